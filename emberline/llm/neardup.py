@@ -2,13 +2,15 @@
 
 1. Every text becomes the set of its 5-word shingles' 63-bit hashes; its k smallest are its sketch. Texts with equal
    sets (a 128-bit sum of the set tells) are one class with its smallest id as representative; copies go no further.
-2. The representatives' ``indexed`` smallest values make inverted lists. Of two sets with Jaccard J, a value among the
-   ``indexed`` smallest of their union is shared with chance J, so J >= 0.85 escapes all lists with chance 0.15 ** 16.
-3. Lists of up to ``list_size`` give all their pairs. A longer list is common to many; only documents most of whose
-   indexed values are that common meet through it (others share a rare value too): each is paired with the list's pivot,
-   the member with most common values. Members that do not join their pivot's component take part in further rounds
-   with new pivots, and after ``rounds`` the rest are paired with every member of another component: no link is lost
-   to a long list, and a group of n near copies costs about n pairs.
+2. The values of the representatives' sketches make inverted lists. Of two sets with Jaccard J, a value among the k
+   smallest of their union is shared with chance J, so J >= 0.85 escapes all lists with chance 0.15 ** 64.
+3. Lists of up to ``list_size`` give all their pairs. Two linked documents that meet in longer lists alone share all
+   but 15 % of their united sets through values that common; so what else each holds (``own``, estimated from its sketch,
+   with six standard deviations to spare) must be small, alone and together. Such documents meet through their ``met``
+   smallest common values (0.15 ** 8 escapes): each is paired with the list's pivot, the member with most common
+   values. Members outside the list's largest component take part in further rounds with new pivots, and after
+   ``rounds`` the rest are paired with every member of another component: a long list loses no link, and a group of n
+   near copies costs about n pairs.
 4. A pair passes if its union sketch holds at least ``estimate`` shared values of k (J >= 0.85 stays below 0.5 with
    chance 5e-10 at k = 64), and is then decided on the full sets. Sets within k are decided by their sketches.
 5. Components of the links.
@@ -83,7 +85,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return cut(sure.unionByName(full))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, indexed: int = 16, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate texts: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Two texts are linked if 100 * shared >= ``percent`` * united shingles. Words are runs of bytes other than ASCII
@@ -96,21 +98,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, indexed: in
     key = ["fp_a", "fp_b", "n"]
     classes = cut(table.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
     reps = cut(table.join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
-    postings = reps.select("rep", "n", F.explode(F.slice("sketch", 1, indexed)).alias("value"))
+    postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     lists = cut(postings.join(shared, "value"))
     rare = lists.where(F.col("c") <= list_size)
     x, y = rare.select("value", F.col("rep").alias("a"), F.col("n").alias("p")), rare.select("value", F.col("rep").alias("b"), F.col("n").alias("q"))
     pairs = x.join(y, "value").where("a < b and " + _similar_sizes("p", "q", percent)).select("a", "b")
-    common = lists.where(F.col("c") > list_size)
-    often = common.groupBy("rep", "n").agg(F.count("*").alias("h")).where(F.col("h") >= 0.375 * F.least(F.col("n"), F.lit(indexed)))
-    crowd = cut(common.join(often.select("rep", "h"), "rep").select("value", "rep", "n", "h"))
+    own = f"(n - n * h / least(n, {k}))"
+    spread = f"(n * n * {percent / 100 * (1 - percent / 100) / k} * greatest(n - {k}, 0) / greatest(n - 1, 1))"
+    slack = (100 - percent) / percent
+    often = lists.where(F.col("c") > list_size).groupBy("rep", "n").agg(F.count("*").alias("h"), F.slice(F.array_sort(F.collect_list("value")), 1, met).alias("values"))
+    often = often.select("rep", "n", "h", F.expr(own).alias("own"), F.expr(spread).alias("spread"), F.explode("values").alias("value"))
+    crowd = cut(often.where(f"own <= {slack} * (n - own) + 6 * sqrt(spread)"))
+    fitting = f"{{0}}own + {{1}}own <= {slack} * least({{0}}n - {{0}}own, {{1}}n - {{1}}own) + 6 * sqrt({{0}}spread + {{1}}spread) and " + _similar_sizes("{0}n", "{1}n", percent)
     crowded = crowd.limit(1).count() > 0
-    members, edges, tried = crowd.withColumn("component", F.col("rep")), None, None
+    members, edges, tried = crowd.withColumns({"component": F.col("rep"), "main": F.lit(None).cast("long")}), None, None
     for _ in range(rounds if crowded else 1):
         if crowded:
-            pivot = members.groupBy("value").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"), "n", "component")).alias("p")).select("value", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
-            star = members.join(pivot, "value").where("rep <> pivot and component <> pc and " + _similar_sizes("n", "pn", percent)).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+            first = F.struct("h", (-F.col("rep")).alias("r"), "rep", "n", "own", "spread", "component")
+            pivot = members.where("main is null or component <> main").groupBy("value").agg(F.max(first).alias("p")).select("value", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "own", "spread", "component")))
+            star = members.join(pivot, "value").where("rep <> p_rep and component <> p_component and " + fitting.format("", "p_")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
             pairs = star if edges is not None else pairs.unionByName(star)
         pairs = pairs.distinct()
         if tried is not None:
@@ -123,16 +130,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, indexed: in
         if not crowded:
             break
         named = cut(crowd.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        split = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-        members = cut(named.join(split, "value", "left_semi"))
+        per = named.groupBy("value", "component").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
+        members = cut(named.drop("main").join(per.where("parts > 1").select("value", F.col("m.component").alias("main")), "value"))
         crowded = members.limit(1).count() > 0
     if crowded:
-        settled = members.groupBy("value", "component").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
-        loose = members.join(settled, "value").where("component <> main").select("value", F.col("rep").alias("a0"), F.col("n").alias("p"), F.col("component").alias("ca"))
-        every = members.select("value", F.col("rep").alias("b0"), F.col("n").alias("q"), F.col("component").alias("cb"))
-        rest = loose.join(every, "value").where("ca <> cb and " + _similar_sizes("p", "q", percent)).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
-        rest = cut(rest.distinct().join(tried, ["a", "b"], "left_anti"))
-        edges = edges.unionByName(_links(rest, reps, rows, k, percent, estimate))
+        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "own", "spread", "component")))
+        rest = side(members.where("component <> main"), "x_").join(side(members, "y_"), "value").where("x_component <> y_component and " + fitting.format("x_", "y_"))
+        rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+        edges = edges.unionByName(_links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, k, percent, estimate))
         labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = table.select("doc_id", *key).join(named, key, "left")
