@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import base, core, objects, texts  # noqa: F401  (each adds its queries)
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
