@@ -33,7 +33,7 @@ class Pieces:
     Pieces of Latin letters are cut further, into the pattern's matches. Memory is emptied when it holds ``most``.
     """
 
-    def __init__(self, path: str, pattern: str = PATTERN, most: int = 1_600_000):
+    def __init__(self, path: str, pattern: str = PATTERN, most: int = 1_900_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -47,18 +47,31 @@ class Pieces:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, keys: list[str], texts: list[str]) -> None:
-        cut, odd = [], []
-        for k, t in zip(keys, texts, strict=True):
-            if (t.isascii() or max(t) < "\u02b0") and not any(a in t for a in self.added):
-                cut.append((k, self.matches(t)))
+    def _learn(self, known: dict, keys: list[str], lead: str) -> None:
+        """Encode new pieces: words alone as they are, others match by match; a word after a space is kept once for all."""
+        alone, cut, odd = [], [], []
+        for k in keys:
+            if not k or not (k.isascii() or max(k) < "\u02b0") or any(a in k for a in self.added):
+                odd.append(k)
+            elif k.isalpha():
+                alone.append(k)
             else:
-                odd.append((k, t))
-        words = [w for w in set(itertools.chain.from_iterable(w for _, w in cut)) if w not in self.words]
+                cut.append((k, self.matches(lead + k)))
+        spaced, words = set(alone) if lead else set(), set() if lead else set(alone)
+        for _, parts in cut:
+            for w in parts:
+                if w[0] == " " and w[1:].isalpha():
+                    spaced.add(w[1:])
+                else:
+                    words.add(w)
+        spaced = [w for w in spaced if w not in self.rest]
+        words = [w for w in words if w not in self.words]
+        self.rest.update(zip(spaced, self._whole([" " + w for w in spaced]), strict=True))
         self.words.update(zip(words, self._whole(words), strict=True))
-        word = self.words.__getitem__
-        known.update((k, word(w[0]) if len(w) == 1 else b"".join(map(word, w))) for k, w in cut)
-        known.update(zip((k for k, _ in odd), self._whole([t for _, t in odd]), strict=True))
+        if not lead:
+            known.update((k, self.words[k]) for k in alone)
+        known.update((k, b"".join([self.rest[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])) for k, parts in cut)
+        known.update(zip(odd, self._whole([lead + k for k in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
@@ -68,12 +81,12 @@ class Pieces:
         parts = [t.split(" ") for t in texts]
         starts = [p.pop(0) for p in parts]
         new = [p for p in set(starts) if p not in self.first]
-        self._learn(self.first, new, new)
+        self._learn(self.first, new, "")
         new = [p for p in set(itertools.chain.from_iterable(parts)) if p not in self.rest]
         joined = [p for p in new if not p or p[0].isspace()]
         self.rest.update(dict.fromkeys(joined))
         new = [p for p in new if p and not p[0].isspace()]
-        self._learn(self.rest, new, [" " + p for p in new])
+        self._learn(self.rest, new, " ")
         out, piece = [], self.rest.__getitem__
         for start, rest in zip(starts, parts, strict=True):
             try:
@@ -91,7 +104,7 @@ class Pieces:
                 runs.append(p)
         for known, keys, lead in ((self.first, runs[:1], ""), (self.rest, runs[1:], " ")):
             new = [p for p in set(keys) if p not in known]
-            self._learn(known, new, [lead + p for p in new])
+            self._learn(known, new, lead)
         return self.first[runs[0]] + b"".join(map(self.rest.__getitem__, runs[1:]))
 
 
