@@ -58,3 +58,62 @@ def read_geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def geometry_centre(geometry: Column) -> Column:
+    """Centre of a GeoJSON geometry's box (a point is its own), from coordinates nested to any depth, or of ``POINT (x y)`` text."""
+    pair = r"\[\s*(-?\d[\d.eE+-]*)\s*,\s*(-?\d[\d.eE+-]*)"
+    axis = lambda i: F.transform(F.regexp_extract_all(geometry, F.lit(pair), F.lit(i)), lambda x: x.try_cast("double"))
+    wkt = r"(?i)POINT\s*\(\s*(-?\d+(?:\.\d+)?)\s+(-?\d+(?:\.\d+)?)\s*\)"
+    own = lambda i: F.regexp_extract(geometry, wkt, i).try_cast("double")
+    middle = lambda i: F.coalesce((F.array_min(axis(i)) + F.array_max(axis(i))) / 2, own(i))
+    return F.struct(middle(2).alias("lat"), middle(1).alias("lon"))
+
+
+def place_feed(df: DataFrame, geometry: str, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """Rows of an event feed whose geometry's centre lies in the box; ``lat`` and ``lon`` added."""
+    w, s, e, n = bbox
+    placed = df.withColumn("_c", geometry_centre(F.col(geometry))).withColumns({"lat": F.col("_c.lat"), "lon": F.col("_c.lon")}).drop("_c")
+    return placed.where(F.col("lat").between(s, n) & F.col("lon").between(w, e))
+
+
+def read_event_feed(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """A GeoJSON FeatureCollection of events of any geometry: ``id, properties, lat, lon`` inside the box."""
+    schema = "type string, features array<struct<id: string, properties: map<string,string>, geometry: string>>"
+    f = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")).select("f.id", "f.properties", "f.geometry")
+    return place_feed(f, "geometry", bbox).drop("geometry")
+
+
+#: A channel's source and match radius in metres.
+SLSTR = {"MWIR": ("COPERNICUS_S3_SL_2_FRP_MWIR1KM", 1200, 1000), "SWIR": ("COPERNICUS_S3_SL_2_FRP_SWIR500M", 700, 500)}
+
+
+def read_slstr_frp(spark: SparkSession, path: str, channel: str) -> DataFrame:
+    """FRP CSV whose header line stands anywhere: a file's header is its line that names latitude and longitude.
+
+    Lines meet their file's header by the file's name; those without numeric coordinates are left out.
+    """
+    source, radius, resolution = SLSTR[channel]
+    cells = F.transform(F.split(F.lower("value"), ","), F.trim)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"))
+    head = F.exists("cells", lambda c: c.startswith("lat")) & F.exists("cells", lambda c: c.startswith("lon"))
+    heads = lines.where(head).groupBy("file").agg(F.min("cells").alias("names"))
+    rows = lines.where(~head).join(heads, "file").where(F.size("cells") == F.size("names")).select(F.map_from_arrays("names", "cells").alias("m"))
+    first = lambda *names: F.coalesce(*(F.col("m")[n].try_cast("double") for n in names))
+    at = F.coalesce(*(F.try_to_timestamp(F.upper(F.col("m")[n])) for n in ("time", "acq_time", "datetime")))
+    out = rows.select(F.lit(source).alias("source"), at.alias("acq"), first("latitude", "lat").alias("lat"), first("longitude", "lon").alias("lon"), first(f"frp_{channel.lower()}", "frp").alias("frp"), norm_confidence(F.coalesce(F.col("m")["confidence"], F.lit("")), "share").alias("confidence"))
+    return out.where("lat is not null and lon is not null and acq is not null").withColumns({"match_radius_m": F.lit(radius), "resolution_m": F.lit(resolution)})
+
+
+def msg_pixels(df: DataFrame) -> DataFrame:
+    """Decoded pixels (``slot`` time, ``hhmm``, ``lat100`` and ``lon100`` in hundredths): degrees, and the pixel's own time of day if it has one."""
+    minutes = F.floor(F.col("hhmm") / 100) * 60 + F.col("hhmm") % 100
+    own = F.date_trunc("day", "slot") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    return df.withColumns({"lat": F.col("lat100") / 100, "lon": F.col("lon100") / 100, "acq": F.coalesce(own, F.col("slot"))}).drop("lat100", "lon100", "hhmm", "slot")
+
+
+def regions_geojson(regions: DataFrame) -> DataFrame:
+    """One GeoJSON feature a region: its id, its code and its rings, nothing else."""
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
+    geometry = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
+    return regions.select("region_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("region_id", "code").alias("properties"), geometry.alias("geometry"))).alias("feature"))

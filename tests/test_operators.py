@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, similarity
-from emberline.operators import cluster, components, enrich, events, grid, ingest, objects
+from emberline.operators import cluster, components, enrich, events, grid, ingest, objects, search
 from emberline.sources import files
 from emberline.streaming import detections as streaming
 
@@ -182,3 +182,22 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_geodesy(spark):
     one = spark.range(1).select(geo.bearing_deg(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("east"), geo.round_half_up(F.lit(-2.5)).alias("r"), *[c.alias(n) for c, n in zip(geo.project_point(F.lit(49.0), F.lit(31.0), F.lit(90.0), F.lit(1000.0)), ("lat", "lon"))]).first()
     assert round(one.east, 6) == 90 and one.r == -2 and abs(metres(49, 31, one.lat, one.lon) - 1000) < 0.01
+
+
+def test_search_by_words(spark):
+    a = spark.createDataFrame([("F", "fuel station"), ("F", "petrol"), ("S", "school"), ("T", "school bus stop"), ("B", "same"), ("C", "same")], "code string, alias string")
+    q = spark.createDataFrame([(x,) for x in ("School", "new school bus stop north", "petroll", "same", "objects", "", "zzz", "petrol school")], "query string")
+    got = {r.query: (r.code, r.how) for r in search.resolve_category(q, a, ["objects"]).collect()}
+    assert got["School"] == ("S", "exact") and got["new school bus stop north"] == ("T", "contained") and got["petroll"] == ("F", "similar")
+    assert got["same"] == (None, "ambiguous") and got["objects"] == (None, "generic") and got["zzz"] == (None, "none") and got["petrol school"][1] == "ambiguous"
+    p = spark.createDataFrame([(1, "Alfa", "city", 100), (2, "alfa", "village", 9), (3, "beta", "town", None), (4, None, "city", 1)], "place_id long, name string, place string, population long")
+    found = {r.query: (r.place_id, r.radius_m) for r in search.settlement_target(spark.createDataFrame([("alfa",), ("betas",), ("gamma",), (None,)], "query string"), p).collect()}
+    assert found == {"alfa": (1, 15000), "betas": (3, 9000)}
+
+
+def test_slstr_and_feed(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("# product\nnote,1\nTime,Latitude,Longitude,FRP_SWIR,confidence\n2024-01-02T03:04:05,49.5,31.5,7.5,0.9\nx,nan?,1,2,3\n")
+    r = files.read_slstr_frp(spark, str(tmp_path / "s.csv"), "SWIR").collect()
+    assert [(x.lat, x.lon, x.frp, x.confidence, x.match_radius_m, x.acq.minute) for x in r] == [(49.5, 31.5, 7.5, "h", 700, 4)]
+    (tmp_path / "f.json").write_text('{"type":"FeatureCollection","features":[{"id":"a","properties":{"n":"1"},"geometry":{"type":"Polygon","coordinates":[[[30,50],[32,50],[32,51],[30,50]]]}},{"id":"b","properties":{},"geometry":{"type":"Point","coordinates":[3,5]}},{"id":"c","properties":{},"geometry":null}]}')
+    assert [(x.id, x.lat, x.lon) for x in files.read_event_feed(spark, str(tmp_path / "f.json"), (22, 44, 41, 53)).collect()] == [("a", 50.5, 31.0)]
