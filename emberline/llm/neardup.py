@@ -9,8 +9,9 @@
    with six standard deviations to spare) must be small, alone and together. Such documents meet through their ``met``
    smallest common values (0.15 ** 8 escapes): each is paired with the list's pivot, the member with most common
    values. Members outside the list's largest component take part in further rounds with new pivots, and after
-   ``rounds`` the rest are paired with every member of another component: a long list loses no link, and a group of n
-   near copies costs about n pairs.
+   ``rounds`` the rest meet members of other components through what they differ by from their list's pivot
+   (``_by_differences``), or in pairs where they lie far from it: a long list loses no link, and a group of n near copies
+   costs about n pairs.
 4. A pair passes if its union sketch holds at least ``estimate`` shared values of k (J >= 0.85 stays below 0.5 with
    chance 5e-10 at k = 64), and is then decided on the full sets. Sets within k are decided by their sketches.
 5. Components of the links.
@@ -85,6 +86,55 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return cut(sure.unionByName(full))
 
 
+def _by_differences(members: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links among a list's members that lie near its pivot, exactly, and the members with their distance ``d`` to it.
+
+    With D(x) the symmetric difference of x's set and the pivot's, two sets differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    elements, and are linked if that is at most r = (100 - percent) / (100 + percent) of their sizes together. So two
+    that are not both linked with the pivot must share elements of their differences, and how many they share decides
+    the pair. Elements that one member alone has link nothing, and members with too many of those drop out first.
+    """
+    plus, minus = 100 + percent, 100 - percent
+    top = members.groupBy("value").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"), "rep")).alias("p")).select("value", F.col("p.rep").alias("pivot"))
+    named = cut(members.join(top, "value"))
+    sides = named.select("pivot", "rep").distinct()
+    need = sides.select(F.explode(F.array("pivot", "rep")).alias("id")).distinct()
+    texts = stored(docs.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            for rows in byte_slices(batch, 3, 2 << 20):
+                pivots, reps = as_bytes(rows.column(2)), as_bytes(rows.column(3))
+                out, sizes, others = [], [], []
+                for pivot, x in zip(pivots, shingle_sets(reps), strict=True):
+                    if pivot != last:
+                        last, held = pivot, shingle_sets([pivot])[0]
+                    out.append(np.setxor1d(x, held, assume_unique=True))
+                    sizes.append(len(x))
+                    others.append(len(held))
+                d = [len(x) for x in out]
+                near = [4 * a <= 3 * n for a, n in zip(d, sizes, strict=True)]
+                kept = pa.array([x.astype(np.int64) if y else [] for x, y in zip(out, near, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(others, pa.int64()), pa.array(d, pa.int64()), pa.array(near, pa.bool_()), kept], ["pivot", "rep", "n", "n_pivot", "d", "near", "items"])
+
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = sides.join(text("pivot"), "pivot").join(text("rep"), "rep").select("pivot", "rep", "text_pivot", "text_rep")
+    gaps = stored(both.mapInArrow(differ, "pivot long, rep long, n long, n_pivot long, d long, near boolean, items array<long>"), "differences")
+    linked = F.expr(f"{plus} * d <= {minus} * (n + n_pivot)")
+    direct = gaps.where(linked & (F.col("pivot") != F.col("rep"))).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    item = gaps.where("near").select("pivot", "rep", "n", "d", linked.alias("linked"), F.explode("items").alias("item"))
+    item = item.join(item.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item"), ["pivot", "item"])
+    many = item.groupBy("pivot", "rep").agg(F.count("*").alias("s"), F.first("n").alias("m"), F.first("d").alias("e")).where(f"{plus} * {percent} * s >= {plus} * {percent} * e - {minus} * m * {plus}").select("pivot", "rep", "s")
+    item = cut(item.join(many, ["pivot", "rep"]).join(named.select("rep", "component").distinct(), "rep"))
+    x, y = (item.select("pivot", "item", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "d", "s", "linked", "component"))) for p in ("x_", "y_"))
+    lacks = f"{plus} * (x_d + y_d) - {minus} * (x_n + y_n)"
+    met = x.join(y, ["pivot", "item"]).where(f"x_rep < y_rep and x_component <> y_component and not (x_linked and y_linked) and {2 * plus} * least(x_s, y_s) >= {lacks} and " + _similar_sizes("x_n", "y_n", percent))
+    shared = met.groupBy("pivot", "x_rep", "y_rep").agg(F.count("*").alias("c"), F.first(F.expr(lacks)).alias("least"))
+    close = shared.where(f"{2 * plus} * c >= least").select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    return cut(direct.unionByName(close).distinct()), named.join(gaps.select("pivot", "rep", "d", "near"), ["pivot", "rep"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate texts: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -134,10 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
         members = cut(named.drop("main").join(per.where("parts > 1").select("value", F.col("m.component").alias("main")), "value"))
         crowded = members.limit(1).count() > 0
     if crowded:
-        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "own", "spread", "component")))
-        rest = side(members.where("component <> main"), "x_").join(side(members, "y_"), "value").where("x_component <> y_component and " + fitting.format("x_", "y_"))
+        found, placed = _by_differences(members, rows, percent)
+        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "own", "spread", "component", "d", "near")))
+        apart = f"not (x_near and y_near) and {100 + percent} * abs(x_d - y_d) <= {100 - percent} * (x_n + y_n)"
+        rest = side(placed.where("component <> main"), "x_").join(side(placed, "y_"), "value").where(f"x_component <> y_component and {apart} and " + fitting.format("x_", "y_"))
         rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-        edges = edges.unionByName(_links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, k, percent, estimate))
+        more = _links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, k, percent, estimate)
+        edges = edges.unionByName(found).unionByName(more)
         labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = table.select("doc_id", *key).join(named, key, "left")

@@ -229,6 +229,14 @@ def test_near_duplicates(spark, odd, none, list_size):
     assert kept == {c for d, _, c in brute_components([(r[0], r[1]) for r in ODD])} - {-1} | {None}
 
 
+@pytest.mark.parametrize(("seed", "edits"), [(2, 2), (3, 4)])
+def test_near_duplicates_by_differences(spark, seed, edits):
+    items = list(enumerate(near_copies(250, seed, edits=edits) + near_copies(60, seed + 50, words=121, edits=3)))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, list_size=8, rounds=1).collect())
+    assert got == brute_components(items)
+
+
 def test_near_duplicates_on_documents(spark, docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
