@@ -162,8 +162,8 @@ def h4_admin_summary(spark, d):
     return production.admin_summary(e.withColumns({"required": F.col("site") % 2 == 0, "sent": F.col("site") % 5 == 0}), as_of(det))
 
 
-AT = (48.0, 31.0)
-NEAR = f"n AS (SELECT CASE WHEN id % 2 = 0 THEN 'document' ELSE 'evidence' END AS kind, id, source, acq, {H.format(a='48.0', b='31.0', c='lat', d='lon')} AS m FROM det WHERE acq >= {AS_OF} - INTERVAL 8760 HOUR)"
+AT = (51.919, 36.729)
+NEAR = f"n AS (SELECT CASE WHEN id % 2 = 0 THEN 'document' ELSE 'evidence' END AS kind, id, source, acq, {H.format(a='51.919', b='36.729', c='lat', d='lon')} AS m FROM det WHERE acq >= {AS_OF} - INTERVAL 8760 HOUR)"
 
 
 @query(f"{W}, {NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY acq DESC, m, id) AS r FROM n WHERE m <= 10000) SELECT kind, id, round(m)::BIGINT AS distance_m FROM k WHERE r <= 100 ORDER BY acq DESC, m, id LIMIT 100")
