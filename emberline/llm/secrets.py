@@ -1,4 +1,4 @@
-"""Secret scans: candidates of every text, told apart by how many repositories and owners hold the same value."""
+"""Secret scans: candidates of every text, told apart by how many owners hold the same value."""
 
 from __future__ import annotations
 
@@ -60,11 +60,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stored(rows.mapInArrow(run, CANDIDATES), "candidates")
 
 
-def ownership(found: DataFrame, copied_owners: int = 3, copied_repositories: int = 12) -> DataFrame:
+def ownership(found: DataFrame, copied_owners: int = 3) -> DataFrame:
     """Per candidate hash: ``n_repositories`` and ``n_owners`` that hold it (distinct; null names count as one) and ``copied``.
 
-    A value that at least ``copied_owners`` owners or ``copied_repositories`` repositories hold is a widely copied
-    example; others look live. Rows collapse to one a (hash, owner, repository), then to one a (hash, owner) and one
+    A value that at least ``copied_owners`` owners hold is a widely copied example; others look live, in however many
+    repositories of fewer owners they are: a credential that one owner repeats is still that owner's. Rows collapse to one a (hash, owner, repository), then to one a (hash, owner) and one
     a (hash, repository), before a hash is counted with map-side sums, so a value in a third of all documents is spread.
     """
     each = found.select(F.explode(F.array_distinct("hashes")).alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
@@ -72,7 +72,7 @@ def ownership(found: DataFrame, copied_owners: int = 3, copied_repositories: int
     owners = held.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
     repositories = held.groupBy("hash", "repository").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
     per = owners.join(repositories, "hash")
-    return per.select("hash", "n_repositories", "n_owners", ((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)).alias("copied"))
+    return per.select("hash", "n_repositories", "n_owners", (F.col("n_owners") >= copied_owners).alias("copied"))
 
 
 def judged(found: DataFrame, **limits) -> DataFrame:

@@ -177,6 +177,14 @@ def test_secrets(spark, docs, odd, none):
     assert masked[3] == key + " <secret>" and masked[0] == key and len(masked) == 8
 
 
+@pytest.mark.parametrize("owners", [[None], ["s1"], ["s1", "s2"]])
+def test_secrets_repeated_by_few_owners(spark, owners):
+    key = "api_key=Zz9Zz9Zz9Zz9"
+    many = spark.createDataFrame([(i, f"{key} text {i}", owners[i % len(owners)]) for i in range(30)], "doc_id long, text string, source string")
+    assert {(r.n_live, r.n_copied, r.live_spans) for r in secrets.scan(many).collect()} == {(1, 0, "assign:0:20")}
+    assert {r.doc_id: r.text for r in secrets.redacted(many).collect()} == {i: f"<secret> text {i}" for i in range(30)}
+
+
 def brute_components(items, percent=85):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
