@@ -4,10 +4,12 @@
    sets (a 128-bit sum of the set tells) are one class with its smallest id as representative; copies go no further.
 2. The values of the representatives' sketches make inverted lists. Of two sets with Jaccard J, a value among the k
    smallest of their union is shared with chance J, so J >= 0.85 escapes all lists with chance 0.15 ** 64.
-3. Lists of up to ``list_size`` give all their pairs. Two linked documents that meet in longer lists alone share all
-   but 15 % of their united sets through values that common; so what else each holds (``own``, estimated from its sketch,
-   with six standard deviations to spare) must be small, alone and together. Such documents meet through their ``met``
-   smallest common values (0.15 ** 8 escapes): each is paired with the list's pivot, the member with most common
+3. Lists of up to ``list_size`` give all their pairs. Two documents that meet in longer lists alone and pass step 4
+   share at least ``need`` values of their union's sketch (:func:`_need`). These lie in both sketches, wherever each is
+   cut, so each document has ``need`` values in longer lists (``h``). Its ``need`` smallest values lie in the union's
+   sketch too, where those in no longer list (``alone``) are shared by neither: of both documents together they must be
+   few. No estimate is in either bound. Such documents meet through their ``met`` smallest common values
+   (0.15 ** 8 escapes): each is paired with the list's pivot, the member with most common
    values. Members outside the list's largest component take part in further rounds with new pivots, and after
    ``rounds`` the rest meet members of other components through what they differ by from their list's pivot
    (``_by_differences``), or in pairs where they lie far from it: a long list loses no link, and a group of n near copies
@@ -53,6 +55,15 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def _need(percent: int, k: int, estimate: float) -> str:
+    """The least number of shared values in the union's sketch of a set of ``n`` and any set that it can be linked with.
+
+    The union has at most 100 n / percent elements, and at most (100 - percent) / 100 of them are not shared. If it fits
+    k, all of it is its sketch; else the sketch misses no more than those, and step 4 asks for ``estimate``.
+    """
+    return f"least(ceil({percent} * n / 100), greatest(ceil({estimate} * {k}), {k} - floor({100 - percent} * n / {percent})))"
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, estimate: float) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, exactly."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -154,19 +165,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
     rare = lists.where(F.col("c") <= list_size)
     x, y = rare.select("value", F.col("rep").alias("a"), F.col("n").alias("p")), rare.select("value", F.col("rep").alias("b"), F.col("n").alias("q"))
     pairs = x.join(y, "value").where("a < b and " + _similar_sizes("p", "q", percent)).select("a", "b")
-    own = f"(n - n * h / least(n, {k}))"
-    spread = f"(n * n * {percent / 100 * (1 - percent / 100) / k} * greatest(n - {k}, 0) / greatest(n - 1, 1))"
-    slack = (100 - percent) / percent
-    often = lists.where(F.col("c") > list_size).groupBy("rep", "n").agg(F.count("*").alias("h"), F.slice(F.array_sort(F.collect_list("value")), 1, met).alias("values"))
-    often = often.select("rep", "n", "h", F.expr(own).alias("own"), F.expr(spread).alias("spread"), F.explode("values").alias("value"))
-    crowd = cut(often.where(f"own <= {slack} * (n - own) + 6 * sqrt(spread)"))
-    fitting = f"{{0}}own + {{1}}own <= {slack} * least({{0}}n - {{0}}own, {{1}}n - {{1}}own) + 6 * sqrt({{0}}spread + {{1}}spread) and " + _similar_sizes("{0}n", "{1}n", percent)
+    often = lists.where(F.col("c") > list_size).groupBy("rep", "n").agg(F.count("*").alias("h"), F.array_sort(F.collect_list("value")).alias("values"))
+    often = often.withColumn("need", F.expr(_need(percent, k, estimate))).where("h >= need").join(reps.select("rep", "sketch"), "rep")
+    often = often.withColumn("alone", F.expr("need - size(filter(values, v -> v <= element_at(sketch, cast(need as int))))"))
+    crowd = cut(often.select("rep", "n", "h", "alone", F.explode(F.slice("values", 1, met)).alias("value")))
+    fitting = f"{percent} * ({{0}}alone + {{1}}alone) <= {100 - percent} * least({{0}}n, {{1}}n) and {{0}}alone + {{1}}alone <= {(1 - min(estimate, percent / 100)) * k} and " + _similar_sizes("{0}n", "{1}n", percent)
     crowded = crowd.limit(1).count() > 0
     members, edges, tried = crowd.withColumns({"component": F.col("rep"), "main": F.lit(None).cast("long")}), None, None
     for _ in range(rounds if crowded else 1):
         if crowded:
-            first = F.struct("h", (-F.col("rep")).alias("r"), "rep", "n", "own", "spread", "component")
-            pivot = members.where("main is null or component <> main").groupBy("value").agg(F.max(first).alias("p")).select("value", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "own", "spread", "component")))
+            first = F.struct("h", (-F.col("rep")).alias("r"), "rep", "n", "alone", "component")
+            pivot = members.where("main is null or component <> main").groupBy("value").agg(F.max(first).alias("p")).select("value", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "alone", "component")))
             star = members.join(pivot, "value").where("rep <> p_rep and component <> p_component and " + fitting.format("", "p_")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
             pairs = star if edges is not None else pairs.unionByName(star)
         pairs = pairs.distinct()
@@ -185,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
         crowded = members.limit(1).count() > 0
     if crowded:
         found, placed = _by_differences(members, rows, percent)
-        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "own", "spread", "component", "d", "near")))
+        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "alone", "component", "d", "near")))
         apart = f"not (x_near and y_near) and {100 + percent} * abs(x_d - y_d) <= {100 - percent} * (x_n + y_n)"
         rest = side(placed.where("component <> main"), "x_").join(side(placed, "y_"), "value").where(f"x_component <> y_component and {apart} and " + fitting.format("x_", "y_"))
         rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()

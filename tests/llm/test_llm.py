@@ -245,6 +245,18 @@ def test_near_duplicates_by_differences(spark, seed, edits):
     assert got == brute_components(items)
 
 
+@pytest.mark.parametrize("copies", [30, 50])
+def test_near_duplicates_of_a_hub_within_its_sketch(spark, copies):
+    items = []
+    for hub in range(8):
+        base = " ".join(f"h{hub}x{i}" for i in range(68))
+        items += [base] + [base + " " + " ".join(f"own{hub}x{i}x{j}" for j in range(11)) for i in range(copies)]
+    items = list(enumerate(items))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == brute_components(items)
+
+
 def test_near_duplicates_on_documents(spark, docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
