@@ -1,7 +1,8 @@
 """MinHash near-dedup: bottom-k sketches of one hash function, inverted lists, union-sketch estimates, exact Jaccard.
 
 1. Every text becomes the set of its 5-word shingles' 63-bit hashes; its k smallest are its sketch. Texts with equal
-   sets (a 128-bit sum of the set tells) are one class with its smallest id as representative; copies go no further.
+   sets (a 128-bit sum of the set tells) are one class with a number of its own and its smallest id's text as
+   representative, whether or not ids are null or shared; copies go no further.
 2. The values of the representatives' sketches make inverted lists. Of two sets with Jaccard J, a value among the k
    smallest of their union is shared with chance J, so J >= 0.85 escapes all lists with chance 0.15 ** 64.
 3. Lists of up to ``list_size`` give all their pairs. Two documents that meet in longer lists alone and pass step 4
@@ -32,11 +33,11 @@ from ..operators.components import connected_components
 from ..session import cut, stored
 from .text import as_bytes, byte_slices, mix, shingle_sets
 
-SKETCH = "doc_id long, n long, fp_a long, fp_b long, sketch array<long>"
+SKETCH = "doc_id long, text_key long, n long, fp_a long, fp_b long, sketch array<long>"
 
 
 def sketches(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, 128-bit fingerprint of the set and sketch of every whole text, stored once."""
+    """Hash of the text, set size, 128-bit fingerprint of the set and sketch of every whole text, stored once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,9 +46,9 @@ def sketches(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_col: str
                 a = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
                 b = [int(mix(s ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64)) for s in sets]
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(a), signed(b), pa.array([s[:k].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "fp_a", "fp_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), signed(a), signed(b), pa.array([s[:k].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "fp_a", "fp_b", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     return stored(rows.mapInArrow(run, SKETCH), "sketches")
 
 
@@ -64,7 +65,14 @@ def _need(percent: int, k: int, estimate: float) -> str:
     return f"least(ceil({percent} * n / 100), greatest(ceil({estimate} * {k}), {k} - floor({100 - percent} * n / {percent})))"
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, estimate: float) -> DataFrame:
+def _texts(need: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The texts of the representatives ``rep`` of ``need``, found by id and a hash of the text, as ``id`` and ``text``, stored once."""
+    at = need.join(heads, "rep")
+    found = docs.join(at, docs["id"].eqNullSafe(at["first_id"]) & (F.xxhash64(docs["text"]) == at["first_key"]))
+    return stored(found.select(at["rep"].alias("id"), docs["text"]).dropDuplicates(["id"]), "texts")
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int, estimate: float) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, exactly."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -75,7 +83,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     judged = cut(both.where(F.when(small, whole).otherwise(near)).select("a", "b", small.alias("sure")))
     sure, open_ = judged.where("sure").select("a", "b"), judged.where("not sure").select("a", "b")
     need = open_.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = stored(docs.join(need, docs.id == need.rep, "left_semi").dropDuplicates(["id"]), "texts")
+    texts = _texts(need, docs, heads)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +105,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return cut(sure.unionByName(full))
 
 
-def _by_differences(members: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_differences(members: DataFrame, docs: DataFrame, heads: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The links among a list's members that lie near its pivot, exactly, and the members with their distance ``d`` to it.
 
     With D(x) the symmetric difference of x's set and the pivot's, two sets differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|
@@ -109,8 +117,8 @@ def _by_differences(members: DataFrame, docs: DataFrame, percent: int) -> tuple[
     top = members.groupBy("value").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"), "rep")).alias("p")).select("value", F.col("p.rep").alias("pivot"))
     named = cut(members.join(top, "value"))
     sides = named.select("pivot", "rep").distinct()
-    need = sides.select(F.explode(F.array("pivot", "rep")).alias("id")).distinct()
-    texts = stored(docs.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    need = sides.select(F.explode(F.array("pivot", "rep")).alias("rep")).distinct()
+    texts = _texts(need, docs, heads)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -146,19 +154,17 @@ def _by_differences(members: DataFrame, docs: DataFrame, percent: int) -> tuple[
     return cut(direct.unionByName(close).distinct()), named.join(gaps.select("pivot", "rep", "d", "near"), ["pivot", "rep"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of near-duplicate texts: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
-
-    Two texts are linked if 100 * shared >= ``percent`` * united shingles. Words are runs of bytes other than ASCII
-    white space, A-Z lowered; fewer than five make one shingle, none an empty set that nothing is linked with.
-    ``component_id`` is the smallest id reachable. Rows that share an id are one document: their links join. A row with
-    a null id has the smallest id of its component (null if there is none) and is kept only in the latter case.
-    """
+def _judged(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`near_duplicates` gives, with ``text_key``, a hash of the row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = sketches(rows, k, "id", "text")
     key = ["fp_a", "fp_b", "n"]
-    classes = cut(table.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = cut(table.join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
+    classes = cut(table.where("n > 0").groupBy(*key).agg(first.alias("f")).select(*key, F.monotonically_increasing_id().alias("rep"), F.col("f.id").alias("first_id"), F.col("f.key").alias("first_key")))
+    heads = classes.select("rep", "first_id", "first_key")
+    named = classes.select(*(F.col(c).alias(f"_{c}") for c in key), *heads.columns)
+    one = F.expr("fp_a = _fp_a and fp_b = _fp_b and n = _n and doc_id <=> first_id and text_key = first_key")
+    reps = cut(table.join(named, one).select("rep", "n", "sketch").dropDuplicates(["rep"]))
     postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     lists = cut(postings.join(shared, "value"))
@@ -182,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        found = _links(pairs, reps, rows, k, percent, estimate)
+        found = _links(pairs, reps, rows, heads, k, percent, estimate)
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -193,21 +199,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
         members = cut(named.drop("main").join(per.where("parts > 1").select("value", F.col("m.component").alias("main")), "value"))
         crowded = members.limit(1).count() > 0
     if crowded:
-        found, placed = _by_differences(members, rows, percent)
+        found, placed = _by_differences(members, rows, heads, percent)
         side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "alone", "component", "d", "near")))
         apart = f"not (x_near and y_near) and {100 + percent} * abs(x_d - y_d) <= {100 - percent} * (x_n + y_n)"
         rest = side(placed.where("component <> main"), "x_").join(side(placed, "y_"), "value").where(f"x_component <> y_component and {apart} and " + fitting.format("x_", "y_"))
         rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-        more = _links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, k, percent, estimate)
+        more = _links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, heads, k, percent, estimate)
         edges = edges.unionByName(found).unionByName(more)
         labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("doc_id", *key).join(named, key, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    placed = cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("first_key").alias("key")))
+    named = placed.join(placed.groupBy("component").agg(best.alias("best")), "component").select(*key, "best")
+    out = table.select("doc_id", "text_key", *key).join(named, key, "left")
+    linked = F.col("best").isNotNull()
+    kept = ~linked | (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.key")))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(linked, F.col("best.id")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of near-duplicate texts: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+
+    Two texts are linked if 100 * shared >= ``percent`` * united shingles. Words are runs of bytes other than ASCII
+    white space, A-Z lowered; fewer than five make one shingle, none an empty set that nothing is linked with.
+    ``component_id`` is the smallest id reachable, null if there is none. Rows that share an id or have none are
+    documents of their own, told apart by their texts. ``kept`` marks one text of each component: of the rows with the
+    smallest id the one with the smallest hash; rows that repeat its id and text are marked too.
+    """
+    return _judged(docs, percent, k, list_size, estimate, rounds, met, id_col, text_col).drop("text_key")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One document of each group of near duplicates (the smallest id), all columns as they are; repeated rows once."""
-    kept = near_duplicates(docs, id_col=id_col, **limits).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    kept = _judged(docs, id_col=id_col, text_col=text_col, **limits).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
+    return keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept"]) & (keyed["_text_key"] == kept["_kept_key"]), "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")

@@ -257,6 +257,17 @@ def test_near_duplicates_of_a_hub_within_its_sketch(spark, copies):
     assert got == brute_components(items)
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    items = [(None, text("a")), (None, text("b")), (None, text("b") + " tail"), (None, text("c", 90)), (None, text("c", 90)), (1, text("c", 90).upper()), (2, text("d")), (2, text("e")), (3, text("e") + " tail"), (3, text("f")), (4, text("d") + " tail"), (5, text("g")), (5, text("g") + " tail")]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(items)
+    left = [(r.doc_id, r.text) for r in neardup.deduplicated(df).collect()]
+    assert sorted((d or -1, t[0].lower()) for d, t in left) == [(-1, "a"), (-1, "b"), (1, "c"), (2, "d"), (2, "e"), (3, "f"), (5, "g")]
+    assert set(left) <= set(items)
+
+
 def test_near_duplicates_on_documents(spark, docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
