@@ -24,12 +24,13 @@ def nfkc(col: Column) -> Column:
     return F.pandas_udf(form, "string", F.PandasUDFType.SCALAR)(col)
 
 
-def norm_text(col: Column, compatible: bool = True) -> Column:
-    """Lower case, compatibility forms, no addresses, only letters, digits and common marks, single spaces, 12 000 characters."""
+def norm_text(col: Column, compatible: bool = True, most: int | None = 12_000) -> Column:
+    """Lower case, compatibility forms, no addresses, only letters, digits and common marks, single spaces; the first ``most`` characters, all if None."""
     x = F.lower(nfkc(col) if compatible else col)
     x = F.regexp_replace(x, r"https?://\S+", " ")
     x = F.regexp_replace(x, r"[^\p{L}\p{N}.,:;!?%()'\"\-+/ ]", " ")
-    return F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 12000)
+    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return x if most is None else F.substring(x, 1, most)
 
 
 def fingerprint(col: Column) -> Column:
@@ -60,14 +61,15 @@ def similar_documents(docs: DataFrame, least: float = 0.72, hours: float = 72) -
     """Pairs with trigram similarity of at least ``least`` within the hours: ``doc_id, other, similarity``.
 
     A prefix of each trigram set, rarest first, is long enough that similar sets must share one of its members; sizes
-    must fit too. Only such pairs are compared, on their whole texts.
+    must fit too, and times: postings meet within slots of the hours. Only such pairs are compared, on their whole texts.
     """
-    sets = docs.select("doc_id", "published_at", trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g")).where("n > 0")
-    each = sets.select("doc_id", "n", F.explode("g").alias("g"))
+    width = max(int(hours * 3.6e9), 1)
+    sets = docs.select("doc_id", micros("published_at").alias("at"), trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g")).where("n > 0")
+    each = sets.select("doc_id", "n", "at", F.floor(F.col("at") / width).alias("slot"), F.explode("g").alias("g"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
-    prefix = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("doc_id", "n", "g")
-    other = prefix.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), "g")
-    pairs = prefix.join(other, "g").where((F.col("doc_id") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("doc_id", "other").distinct()
+    prefix = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("doc_id", "n", "at", "slot", "g")
+    other = prefix.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"), F.explode(F.array(*(F.col("slot") + i for i in (-1, 0, 1)))).alias("slot"), "g")
+    pairs = prefix.join(other, ["g", "slot"]).where((F.abs(F.col("at") - F.col("at2")) <= width) & (F.col("doc_id") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("doc_id", "other").distinct()
     text = docs.select("doc_id", "published_at", "text")
     both = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("published_at").alias("published2"), F.col("text").alias("text2")), "other")
     near = both.where(F.abs(micros("published_at") - micros("published2")) <= int(hours * 3.6e9))

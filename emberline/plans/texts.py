@@ -49,8 +49,8 @@ def t2_fingerprint(spark, d):
 
 @query()
 def t3_cluster_documents(spark, d):
-    """Greedy clusters by trigram similarity over titles (the first line of each document, as a feed gives it)."""
-    return documents.cluster_documents(docs(spark, d).withColumn("text", F.substring_index("text", "\n", 1)))
+    """Greedy clusters by trigram similarity over whole normalised texts."""
+    return documents.cluster_documents(docs(spark, d).withColumn("text", documents.norm_text(F.col("text"), most=None)))
 
 
 TRI = "list_distinct(flatten(list_transform(list_filter(string_split({x}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -64,6 +64,14 @@ def t4_trgm_similarity(spark, d):
     return a.join(b, "doc_id").select("doc_id", F.round(similarity.trgm_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
+@query(f"WITH l AS (SELECT doc_id, {TRI.format(x=LINE.format(x='text'))} AS g FROM documents) SELECT a.doc_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) AS similarity FROM l a JOIN l b ON b.doc_id = a.doc_id + 1")
+def t4_trgm_similarity_texts(spark, d):
+    """As t4_trgm_similarity, whose SQL holds it to first lines, over whole texts."""
+    a = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return a.join(b, "doc_id").select("doc_id", F.round(similarity.trgm_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
+
+
 @query(f"WITH {LEX_SQL}, {MENT} SELECT * FROM m")
 def t5_extract_entities(spark, d):
     return documents.extract_entities(table(spark, d, "documents"), lexicon(spark))

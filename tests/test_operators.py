@@ -201,3 +201,14 @@ def test_slstr_and_feed(spark, tmp_path):
     assert [(x.lat, x.lon, x.frp, x.confidence, x.match_radius_m, x.acq.minute) for x in r] == [(49.5, 31.5, 7.5, "h", 700, 4)]
     (tmp_path / "f.json").write_text('{"type":"FeatureCollection","features":[{"id":"a","properties":{"n":"1"},"geometry":{"type":"Polygon","coordinates":[[[30,50],[32,50],[32,51],[30,50]]]}},{"id":"b","properties":{},"geometry":{"type":"Point","coordinates":[3,5]}},{"id":"c","properties":{},"geometry":null}]}')
     assert [(x.id, x.lat, x.lon) for x in files.read_event_feed(spark, str(tmp_path / "f.json"), (22, 44, 41, 53)).collect()] == [("a", 50.5, 31.0)]
+
+
+def test_clusters_and_similarity_see_whole_texts(spark, tmp_path):
+    from emberline.plans import texts
+
+    body = lambda x: " ".join(str(i * i).translate(str.maketrans("0123456789", x)) for i in range(3000))
+    rows = [(0, "one heading\n" + body("abcdefghij")), (1, "one heading\n" + body("klmnopqrst")), (2, "another title\n" + body("abcdefghij")), (300, "one heading\n" + body("abcdefghij"))]
+    path = str(tmp_path)
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    assert {r.doc_id: r.cluster_id for r in texts.t3_cluster_documents(spark, path).collect()} == {0: 0, 1: 1, 2: 0, 300: 300}
+    assert {r.doc_id: r.similarity < 0.9 for r in texts.t4_trgm_similarity_texts(spark, path).collect()} == {0: True, 1: True}
