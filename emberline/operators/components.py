@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Scratch
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,20 +13,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has ``src`` and ``dst`` (long; either direction, repeats and loops allowed). Returns ``node`` and
     ``component``. Each round takes the smallest label among a vertex and its neighbours (a map-side combined
-    minimum), then follows labels of labels, so a chain of length n needs about log n rounds. Labels live in
-    checkpoints, never on the driver. Null ends are ignored; an empty table gives an empty result.
+    minimum), then follows labels of labels, so a chain of length n needs about log n rounds. Labels are tables in the
+    shared folder, never on the driver; a round's table goes once the next is written. Null ends are ignored; an empty
+    table gives an empty result.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
     pairs = pairs.where("a is not null and b is not null and a <> b")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = scratch.keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    start = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    labels = scratch.keep(start.select("node", F.col("node").alias("old"), F.least("node", "m").alias("component")), "labels")
     for _ in range(max_rounds):
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("heard"))
         hooked = labels.join(heard, labels.node == heard.a).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("lab"))
         root = labels.select(F.col("node").alias("lab"), F.col("component").alias("up"))
-        new = cut(hooked.join(root, "lab", "left").select("node", "old", F.least("lab", F.coalesce("up", "lab")).alias("component")))
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        new = scratch.keep(hooked.join(root, "lab", "left").select("node", "old", F.least("lab", F.coalesce("up", "lab")).alias("component")), "labels")
+        scratch.drop(labels)
+        labels = new
+        if new.where("component <> old").isEmpty():
+            scratch.drop(both)
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle")

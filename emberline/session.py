@@ -41,6 +41,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one job keeps in the shared folder and deletes as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """``df`` written and read back: lineage ends here, and a lost executor costs no earlier step."""
+        path = shared_path(self.spark, f"{self.name}-{what}")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that :meth:`keep` made; the caller reads them no more."""
+        for df in frames:
+            _, path = self.paths.pop(id(df))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package on the executors' Python path (once per Spark context)."""
     sc = spark.sparkContext
