@@ -3,20 +3,16 @@
 1. Every text becomes the set of its 5-word shingles' 63-bit hashes; its k smallest are its sketch. Texts with equal
    sets (a 128-bit sum of the set tells) are one class with a number of its own and its smallest id's text as
    representative, whether or not ids are null or shared; copies go no further.
-2. The values of the representatives' sketches make inverted lists. Of two sets with Jaccard J, a value among the k
-   smallest of their union is shared with chance J, so J >= 0.85 escapes all lists with chance 0.15 ** 64.
-3. Lists of up to ``list_size`` give all their pairs. Two documents that meet in longer lists alone and pass step 4
-   share at least ``need`` values of their union's sketch (:func:`_need`). These lie in both sketches, wherever each is
-   cut, so each document has ``need`` values in longer lists (``h``). Its ``need`` smallest values lie in the union's
-   sketch too, where those in no longer list (``alone``) are shared by neither: of both documents together they must be
-   few. No estimate is in either bound. Such documents meet through their ``met`` smallest common values
-   (0.15 ** 8 escapes): each is paired with the list's pivot, the member with most common
-   values. Members outside the list's largest component take part in further rounds with new pivots, and after
-   ``rounds`` the rest meet members of other components through what they differ by from their list's pivot
-   (``_by_differences``), or in pairs where they lie far from it: a long list loses no link, and a group of n near copies
-   costs about n pairs.
-4. A pair passes if its union sketch holds at least ``estimate`` shared values of k (J >= 0.85 stays below 0.5 with
-   chance 5e-10 at k = 64), and is then decided on the full sets. Sets within k are decided by their sketches.
+2. A representative may lack few values of a linked one's sketch: at most ``m`` (:func:`_lacks`), the hypergeometric
+   mean plus seven standard deviations at the threshold (below 1e-8 a link at k = 64), and never more than an estimate
+   of ``estimate`` allows. Who holds more values that no other sketch has is linked with none and drops out; the others'
+   ``m`` + 1 least frequent values, of which a linked sketch shares one that is among its own, make the inverted lists.
+3. Lists of up to ``list_size`` give all their pairs. A pair passes if its union sketch holds at least ``estimate``
+   shared values of k, and is then decided on the full sets; sets within k are decided by their sketches.
+4. A longer list is not paired. Its pivot is the member in most long lists; every member is verified against the pivot
+   on the full sets, and members that are not linked with it meet others through the elements by which they differ from
+   the pivot, or through all their elements if they lie far from it (:func:`_around_pivots`). That verification is
+   exact and complete, so a long list loses no link, while a group of n near copies costs about n comparisons.
 5. Components of the links.
 """
 
@@ -26,22 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, stored
+from ..session import Scratch
 from .text import as_bytes, byte_slices, mix, shingle_sets
 
+SLICE = 1 << 20  # bytes of text that a task turns into sets at once
 SKETCH = "doc_id long, text_key long, n long, fp_a long, fp_b long, sketch array<long>"
 
 
 def sketches(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Hash of the text, set size, 128-bit fingerprint of the set and sketch of every whole text, stored once."""
+    """Hash of the text, set size, 128-bit fingerprint of the set and sketch of every whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in byte_slices(batch, 1, 2 << 20):
+            for rows in byte_slices(batch, 1, SLICE):
                 sets = shingle_sets(as_bytes(rows.column(1)))
                 a = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
                 b = [int(mix(s ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64)) for s in sets]
@@ -49,30 +46,59 @@ def sketches(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), signed(a), signed(b), pa.array([s[:k].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "fp_a", "fp_b", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return stored(rows.mapInArrow(run, SKETCH), "sketches")
+    return rows.mapInArrow(run, SKETCH)
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _need(percent: int, k: int, estimate: float) -> str:
-    """The least number of shared values in the union's sketch of a set of ``n`` and any set that it can be linked with.
+def _lacks(percent: int, k: int, estimate: float) -> str:
+    """The most values of the sketch of a set of ``n`` that the sketch of a linked set does not hold.
 
-    The union has at most 100 n / percent elements, and at most (100 - percent) / 100 of them are not shared. If it fits
-    k, all of it is its sketch; else the sketch misses no more than those, and step 4 asks for ``estimate``.
+    Sketches of equal size differ by as many values on either side: by those, below the lower cut, of one set that the
+    other set lacks. The larger set has at most n * 100 / percent elements, of which it lacks the given share, and its
+    sketch is a sample of k of them without replacement.
     """
-    return f"least(ceil({percent} * n / 100), greatest(ceil({estimate} * {k}), {k} - floor({100 - percent} * n / {percent})))"
+    n, miss = f"(n * 100 / {percent})", 1 - percent / 100
+    spread = f"sqrt({k * miss * (1 - miss)} * greatest({n} - {k}, 0) / greatest({n} - 1, 1))"
+    return f"cast(least(floor({miss:.4f} * {n} + 1e-6), ceil({k * miss:.4f} + 7 * {spread}), {int(k * (1 - estimate))}) as int)"
+
+
+def _multiple(scratch: Scratch, values: DataFrame) -> DataFrame:
+    """``values`` (rep, value) with the number ``c`` of rows of each value that occurs more than once.
+
+    The counts are a table, one row a value, so a value that a third of all rows hold is joined from split partitions.
+    """
+    counts = scratch.keep(values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    return values.join(counts, "value")
+
+
+def _lists(scratch: Scratch, reps: DataFrame, percent: int, k: int, estimate: float) -> DataFrame:
+    """The inverted lists: (value, rep, n) of the least frequent values of all representatives that may have a link."""
+    sized = reps.select("rep", "n", F.size("sketch").alias("size"), F.expr(_lacks(percent, k, estimate)).alias("m"))
+    first = _multiple(scratch, reps.select("rep", F.explode("sketch").alias("value")))
+    common = first.groupBy("rep").agg(F.collect_list("value").alias("values"))  # at most k
+    open_ = scratch.keep(sized.join(common, "rep").where("size - size(values) <= m"), "open")
+    again = _multiple(scratch, open_.select("rep", F.explode("values").alias("value")))
+    ranked = again.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("ranked"))
+    ranked = open_.join(ranked, "rep").withColumn("alone", F.expr("size - size(ranked)")).where("alone <= m")
+    return scratch.keep(ranked.select("rep", "n", F.explode(F.slice("ranked", F.lit(1), F.expr("m + 1 - alone"))).alias("x")).select(F.col("x.value").alias("value"), "rep", "n"), "lists")
 
 
 def _texts(need: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The texts of the representatives ``rep`` of ``need``, found by id and a hash of the text, as ``id`` and ``text``, stored once."""
+    """The texts of the representatives ``rep`` of ``need``, found by id and a hash of the text, as ``id`` and ``text``."""
     at = need.join(heads, "rep")
     found = docs.join(at, docs["id"].eqNullSafe(at["first_id"]) & (F.xxhash64(docs["text"]) == at["first_key"]))
-    return stored(found.select(at["rep"].alias("id"), docs["text"]).dropDuplicates(["id"]), "texts")
+    return found.select(at["rep"].alias("id"), docs["text"]).dropDuplicates(["id"])
+
+
+def _sides(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    return pairs.join(text(a), a).join(text(b), b).select(a, b, f"text_{a}", f"text_{b}")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int, estimate: float) -> DataFrame:
+def _links(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame, heads: DataFrame, k: int, percent: int, estimate: float) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, exactly."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -80,134 +106,109 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, heads: DataFrame,
     small = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     whole = F.size("i") * 100 >= percent * (F.size("s_a") + F.size("s_b") - F.size("i"))
     near = F.size(F.array_intersect("i", "u")) >= estimate * F.size("u")
-    judged = cut(both.where(F.when(small, whole).otherwise(near)).select("a", "b", small.alias("sure")))
+    judged = scratch.keep(both.where(F.when(small, whole).otherwise(near)).select("a", "b", small.alias("sure")), "judged")
     sure, open_ = judged.where("sure").select("a", "b"), judged.where("not sure").select("a", "b")
-    need = open_.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = _texts(need, docs, heads)
+    texts = scratch.keep(_texts(open_.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, heads), "texts")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in byte_slices(batch, 3, 2 << 20):
-                keep, known = [], {}
-                left, right = as_bytes(rows.column(2)), as_bytes(rows.column(3))
-                fresh = dict.fromkeys([*left, *right])
-                for first in range(0, len(fresh), 64):
-                    some = list(fresh)[first : first + 64]
-                    known.update(zip(some, shingle_sets(some), strict=True))
-                for x, y in zip(left, right, strict=True):
-                    x, y = known[x], known[y]
+            for rows in byte_slices(batch, 3, SLICE):
+                keep = []
+                for x, y in zip(as_bytes(rows.column(2)), as_bytes(rows.column(3)), strict=True):
+                    x, y = shingle_sets([x, y])
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    full = open_.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
-    return cut(sure.unionByName(full))
+    links = scratch.keep(sure.unionByName(_sides(open_, texts, "a", "b").mapInArrow(exact, "a long, b long")), "links")
+    scratch.drop(texts, judged)
+    return links
+
+
+PLACED = "pivot long, near boolean, rep long, n long, d long, linked boolean, items array<long>"
 
 
-def _by_differences(members: DataFrame, docs: DataFrame, heads: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The links among a list's members that lie near its pivot, exactly, and the members with their distance ``d`` to it.
+def _around_pivots(scratch: Scratch, lists: DataFrame, docs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The links among the members of long lists, exactly, but for pairs that are both linked with their list's pivot.
 
     With D(x) the symmetric difference of x's set and the pivot's, two sets differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|
-    elements, and are linked if that is at most r = (100 - percent) / (100 + percent) of their sizes together. So two
-    that are not both linked with the pivot must share elements of their differences, and how many they share decides
-    the pair. Elements that one member alone has link nothing, and members with too many of those drop out first.
+    elements, and are linked if that is at most r = (100 - percent) / (100 + percent) of their sizes together. So they
+    share elements of their differences, and of the rarest of these: of two with |D(x)| >= |D(y)|, y holds at most half
+    of r (n + m) and x at most all of it that the other lacks, so with the elements in order of frequency one of the
+    first that many and one is shared. With the empty set for a pivot the same holds of the whole sets. Members with
+    2 d <= n are near the pivot; one linked with such a member has 100 d <= (150 - percent) n * 100 / percent and is
+    compared around the pivot too, others around the empty set.
     """
     plus, minus = 100 + percent, 100 - percent
-    top = members.groupBy("value").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"), "rep")).alias("p")).select("value", F.col("p.rep").alias("pivot"))
-    named = cut(members.join(top, "value"))
-    sides = named.select("pivot", "rep").distinct()
-    need = sides.select(F.explode(F.array("pivot", "rep")).alias("rep")).distinct()
-    texts = _texts(need, docs, heads)
+    h = lists.groupBy("rep").agg(F.count("*").alias("h"))
+    named = lists.join(h, "rep")
+    top = named.groupBy("value").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"), "rep")).alias("p")).select("value", F.col("p.rep").alias("pivot"))
+    sides = scratch.keep(lists.join(scratch.keep(top, "pivots"), "value").select("pivot", "rep").distinct(), "sides")
+    texts = scratch.keep(_texts(sides.select(F.explode(F.array("pivot", "rep")).alias("rep")).distinct(), docs, heads), "texts")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            for rows in byte_slices(batch, 3, 2 << 20):
-                pivots, reps = as_bytes(rows.column(2)), as_bytes(rows.column(3))
-                out, sizes, others = [], [], []
-                for pivot, x in zip(pivots, shingle_sets(reps), strict=True):
-                    if pivot != last:
-                        last, held = pivot, shingle_sets([pivot])[0]
-                    out.append(np.setxor1d(x, held, assume_unique=True))
-                    sizes.append(len(x))
-                    others.append(len(held))
-                d = [len(x) for x in out]
-                near = [4 * a <= 3 * n for a, n in zip(d, sizes, strict=True)]
-                kept = pa.array([x.astype(np.int64) if y else [] for x, y in zip(out, near, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(others, pa.int64()), pa.array(d, pa.int64()), pa.array(near, pa.bool_()), kept], ["pivot", "rep", "n", "n_pivot", "d", "near", "items"])
-
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = sides.join(text("pivot"), "pivot").join(text("rep"), "rep").select("pivot", "rep", "text_pivot", "text_rep")
-    gaps = stored(both.mapInArrow(differ, "pivot long, rep long, n long, n_pivot long, d long, near boolean, items array<long>"), "differences")
-    linked = F.expr(f"{plus} * d <= {minus} * (n + n_pivot)")
-    direct = gaps.where(linked & (F.col("pivot") != F.col("rep"))).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-    item = gaps.where("near").select("pivot", "rep", "n", "d", linked.alias("linked"), F.explode("items").alias("item"))
-    item = item.join(item.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item"), ["pivot", "item"])
-    many = item.groupBy("pivot", "rep").agg(F.count("*").alias("s"), F.first("n").alias("m"), F.first("d").alias("e")).where(f"{plus} * {percent} * s >= {plus} * {percent} * e - {minus} * m * {plus}").select("pivot", "rep", "s")
-    item = cut(item.join(many, ["pivot", "rep"]).join(named.select("rep", "component").distinct(), "rep"))
-    x, y = (item.select("pivot", "item", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "d", "s", "linked", "component"))) for p in ("x_", "y_"))
-    lacks = f"{plus} * (x_d + y_d) - {minus} * (x_n + y_n)"
-    met = x.join(y, ["pivot", "item"]).where(f"x_rep < y_rep and x_component <> y_component and not (x_linked and y_linked) and {2 * plus} * least(x_s, y_s) >= {lacks} and " + _similar_sizes("x_n", "y_n", percent))
-    shared = met.groupBy("pivot", "x_rep", "y_rep").agg(F.count("*").alias("c"), F.first(F.expr(lacks)).alias("least"))
-    close = shared.where(f"{2 * plus} * c >= least").select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
-    return cut(direct.unionByName(close).distinct()), named.join(gaps.select("pivot", "rep", "d", "near"), ["pivot", "rep"])
-
-
-def _judged(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for rows in byte_slices(batch, 3, SLICE):
+                out: list[tuple] = []
+                pivots, reps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+                sets = shingle_sets(as_bytes(rows.column(3)))
+                for i, (p, x, s) in enumerate(zip(pivots, reps, sets, strict=True)):
+                    if p != last:
+                        last, held = p, shingle_sets(as_bytes(rows.column(2).slice(i, 1)))[0]
+                    gap, n = np.setxor1d(s, held, assume_unique=True).astype(np.int64), len(s)
+                    d = len(gap)
+                    if percent * d <= (150 - percent) * n:
+                        out.append((p, True, x, n, d, plus * d <= minus * (n + len(held)), gap))
+                    if 2 * d > n:
+                        out.append((p, False, x, n, n, False, s.astype(np.int64)))
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], [c.split()[0] for c in PLACED.split(", ")])
+
+    placed = scratch.keep(_sides(sides, texts, "pivot", "rep").mapInArrow(differ, PLACED), "differences")
+    scratch.drop(texts, sides)
+    direct = placed.where("linked and pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    key = ["pivot", "near", "item"]
+    item = placed.select("pivot", "near", "rep", "n", "d", "linked", F.explode("items").alias("item"))
+    counts = scratch.keep(item.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1"), "items")
+    ranked = item.join(counts, key).groupBy("pivot", "near", "rep").agg(*(F.first(c).alias(c) for c in ("n", "d", "linked")), F.array_sort(F.collect_list(F.struct("c", "item"))).alias("ranked"))
+    most = F.floor(F.col("n") * minus / percent + 1e-6).cast("int")  # elements that a linked set with a smaller difference lacks
+    ranked = ranked.withColumn("alone", F.col("d").cast("int") - F.size("ranked")).withColumn("half", F.floor(F.col("n") * minus / (2 * percent) + 1e-6).cast("int"))
+    ranked = ranked.where(F.col("alone") <= most).withColumn("most", most)
+    first = scratch.keep(ranked.select("pivot", "near", "rep", "n", "d", "linked", "alone", "half", F.posexplode(F.expr("slice(ranked, 1, most + 1 - alone)")).alias("at", "x")).selectExpr("pivot", "near", "rep", "n", "d", "linked", "half", "alone + at as place", "x.item as item"), "first")
+    x, y = (first.select(*key, *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "d", "linked", "half", "place"))) for p in ("x_", "y_"))
+    lacks = f"({plus} * (x_d + y_d) - {minus} * (x_n + y_n))"
+    fits = f"{2 * plus} * least(x_d - x_place, y_d - y_place) >= {lacks} and not (x_linked and y_linked) and " + _similar_sizes("x_n", "y_n", percent)
+    met = x.join(y.where("y_place <= y_half"), key).where(f"(x_d > y_d or (x_d = y_d and x_rep > y_rep)) and {fits}").select("pivot", "near", "x_rep", "y_rep")
+    whole = lambda p: placed.select("pivot", "near", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "d", "items")))
+    both = met.distinct().join(whole("x_"), ["pivot", "near", "x_rep"]).join(whole("y_"), ["pivot", "near", "y_rep"])
+    close = both.where(f"{2 * plus} * size(array_intersect(x_items, y_items)) >= {lacks}").select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+    links = scratch.keep(direct.unionByName(close).distinct(), "links")
+    scratch.drop(placed, first, counts)
+    return links
+
+
+def _judged(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 16, estimate: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What :func:`near_duplicates` gives, with ``text_key``, a hash of the row's text."""
+    scratch = Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = sketches(rows, k, "id", "text")
+    table = scratch.keep(sketches(rows, k, "id", "text"), "sketches")
     key = ["fp_a", "fp_b", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
-    classes = cut(table.where("n > 0").groupBy(*key).agg(first.alias("f")).select(*key, F.monotonically_increasing_id().alias("rep"), F.col("f.id").alias("first_id"), F.col("f.key").alias("first_key")))
-    heads = classes.select("rep", "first_id", "first_key")
-    named = classes.select(*(F.col(c).alias(f"_{c}") for c in key), *heads.columns)
-    one = F.expr("fp_a = _fp_a and fp_b = _fp_b and n = _n and doc_id <=> first_id and text_key = first_key")
-    reps = cut(table.join(named, one).select("rep", "n", "sketch").dropDuplicates(["rep"]))
-    postings = reps.select("rep", "n", F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    lists = cut(postings.join(shared, "value"))
-    rare = lists.where(F.col("c") <= list_size)
+    grouped = table.where("n > 0").groupBy(*key).agg(first.alias("f"), F.first("sketch").alias("sketch"))  # equal sets, equal sketches
+    classes = scratch.keep(grouped.select(*key, F.monotonically_increasing_id().alias("rep"), F.col("f.id").alias("first_id"), F.col("f.key").alias("first_key"), "sketch"), "classes")
+    heads, reps = classes.select("rep", "first_id", "first_key"), classes.select("rep", "n", "sketch")
+    lists = _lists(scratch, reps, percent, k, estimate)
+    counts = scratch.keep(lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "lengths")
+    rare = lists.join(counts.where(F.col("c") <= list_size), "value")
     x, y = rare.select("value", F.col("rep").alias("a"), F.col("n").alias("p")), rare.select("value", F.col("rep").alias("b"), F.col("n").alias("q"))
-    pairs = x.join(y, "value").where("a < b and " + _similar_sizes("p", "q", percent)).select("a", "b")
-    often = lists.where(F.col("c") > list_size).groupBy("rep", "n").agg(F.count("*").alias("h"), F.array_sort(F.collect_list("value")).alias("values"))
-    often = often.withColumn("need", F.expr(_need(percent, k, estimate))).where("h >= need").join(reps.select("rep", "sketch"), "rep")
-    often = often.withColumn("alone", F.expr("need - size(filter(values, v -> v <= element_at(sketch, cast(need as int))))"))
-    crowd = cut(often.select("rep", "n", "h", "alone", F.explode(F.slice("values", 1, met)).alias("value")))
-    fitting = f"{percent} * ({{0}}alone + {{1}}alone) <= {100 - percent} * least({{0}}n, {{1}}n) and {{0}}alone + {{1}}alone <= {(1 - min(estimate, percent / 100)) * k} and " + _similar_sizes("{0}n", "{1}n", percent)
-    crowded = crowd.limit(1).count() > 0
-    members, edges, tried = crowd.withColumns({"component": F.col("rep"), "main": F.lit(None).cast("long")}), None, None
-    for _ in range(rounds if crowded else 1):
-        if crowded:
-            first = F.struct("h", (-F.col("rep")).alias("r"), "rep", "n", "alone", "component")
-            pivot = members.where("main is null or component <> main").groupBy("value").agg(F.max(first).alias("p")).select("value", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "alone", "component")))
-            star = members.join(pivot, "value").where("rep <> p_rep and component <> p_component and " + fitting.format("", "p_")).select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
-            pairs = star if edges is not None else pairs.unionByName(star)
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = _links(pairs, reps, rows, heads, k, percent, estimate)
-        edges = found if edges is None else edges.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        if not crowded:
-            break
-        named = cut(crowd.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        per = named.groupBy("value", "component").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
-        members = cut(named.drop("main").join(per.where("parts > 1").select("value", F.col("m.component").alias("main")), "value"))
-        crowded = members.limit(1).count() > 0
-    if crowded:
-        found, placed = _by_differences(members, rows, heads, percent)
-        side = lambda df, c: df.select("value", *(F.col(x).alias(f"{c}{x}") for x in ("rep", "n", "alone", "component", "d", "near")))
-        apart = f"not (x_near and y_near) and {100 + percent} * abs(x_d - y_d) <= {100 - percent} * (x_n + y_n)"
-        rest = side(placed.where("component <> main"), "x_").join(side(placed, "y_"), "value").where(f"x_component <> y_component and {apart} and " + fitting.format("x_", "y_"))
-        rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-        more = _links(cut(rest.join(tried, ["a", "b"], "left_anti")), reps, rows, heads, k, percent, estimate)
-        edges = edges.unionByName(found).unionByName(more)
-        labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = cut(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    pairs = scratch.keep(x.join(y, "value").where("a < b and " + _similar_sizes("p", "q", percent)).select("a", "b").distinct(), "pairs")
+    edges = _links(scratch, pairs, reps, rows, heads, k, percent, estimate)
+    crowd = scratch.keep(lists.join(counts.where(F.col("c") > list_size), "value").select("value", "rep"), "crowd")
+    if not crowd.isEmpty():
+        edges = edges.unionByName(_around_pivots(scratch, crowd, rows, heads, percent))
+    labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = classes.drop("sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     best = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("first_key").alias("key")))
     named = placed.join(placed.groupBy("component").agg(best.alias("best")), "component").select(*key, "best")
     out = table.select("doc_id", "text_key", *key).join(named, key, "left")
@@ -216,20 +217,33 @@ def _judged(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(linked, F.col("best.id")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 24, estimate: float = 0.5, rounds: int = 3, met: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 16, estimate: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate texts: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Two texts are linked if 100 * shared >= ``percent`` * united shingles. Words are runs of bytes other than ASCII
     white space, A-Z lowered; fewer than five make one shingle, none an empty set that nothing is linked with.
     ``component_id`` is the smallest id reachable, null if there is none. Rows that share an id or have none are
     documents of their own, told apart by their texts. ``kept`` marks one text of each component: of the rows with the
-    smallest id the one with the smallest hash; rows that repeat its id and text are marked too.
+    smallest id the one with the smallest hash; rows that repeat its id and text are marked too. Other columns of
+    ``docs`` play no part; an empty table gives an empty result.
     """
-    return _judged(docs, percent, k, list_size, estimate, rounds, met, id_col, text_col).drop("text_key")
+    return _judged(docs, percent, k, list_size, estimate, id_col, text_col).drop("text_key")
+
+
+def _named_apart(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """One document of each group of near duplicates (the smallest id), all columns as they are; repeated rows once."""
-    kept = _judged(docs, id_col=id_col, text_col=text_col, **limits).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    return keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept"]) & (keyed["_text_key"] == kept["_kept_key"]), "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    """One document of each group of near duplicates (the smallest id), all columns as they are; repeated rows once.
+
+    Of rows that share the kept id and text one stays. Rows without words are kept, one for each id and text.
+    """
+    key = _named_apart(docs, "_text_key")
+    kept = _judged(docs, id_col=id_col, text_col=text_col, **limits).where("kept").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct().alias("k")
+    keyed: DataFrame = docs.withColumn(key, F.xxhash64(text_col)).alias("d")
+    own: Column = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.id")) & (F.col(f"d.{key}") == F.col("k.key"))
+    return keyed.join(kept, own, "left_semi").dropDuplicates([id_col, key]).drop(key)

@@ -241,7 +241,7 @@ def test_near_duplicates(spark, odd, none, list_size):
 def test_near_duplicates_by_differences(spark, seed, edits):
     items = list(enumerate(near_copies(250, seed, edits=edits) + near_copies(60, seed + 50, words=121, edits=3)))
     df = spark.createDataFrame(items, "doc_id long, text string").repartition(4)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, list_size=8, rounds=1).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, list_size=8).collect())
     assert got == brute_components(items)
 
 
