@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import cut, shared_path
+from .memory import Pieces, held
 from .text import as_text, byte_slices
 
 BLOCK, MAGIC = 256, b"PFR1"
@@ -25,96 +26,52 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
-class Pieces:
-    """Encodes whole texts with the tokenizers library, each distinct piece once.
+MEMORY = 320 << 20  # bytes of codes that a worker remembers
 
-    The byte-level pre-tokenizer always ends a token before a single space that a visible character follows, so a text
-    may be cut there and the parts encoded apart; a piece that starts with white space stays joined to the one before.
-    Pieces of Latin letters are cut further, into the pattern's matches. Memory is emptied when it holds ``most``.
-    """
 
-    def __init__(self, path: str, pattern: str = PATTERN, most: int = 1_900_000):
+class Encoder:
+    """The tokenizers library over whole texts, each distinct piece once (:class:`~.memory.Pieces`)."""
+
+    def __init__(self, path: str, pattern: str = PATTERN, most: int = MEMORY, joined: int = 500):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
+        self.tok, self.joined = Tokenizer.from_file(path), joined
+        added = [re.escape(a.content) for a in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)").search
+        vocabulary = self.tok.get_vocab(True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
         self.matches = regex.compile(pattern).findall
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}  # without the space before; None: no place to cut
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, keys: list[str], lead: str) -> None:
-        """Encode new pieces: words alone as they are, others match by match; a word after a space is kept once for all."""
-        alone, cut, odd = [], [], []
-        for k in keys:
-            if not k or not (k.isascii() or max(k) < "\u02b0") or any(a in k for a in self.added):
-                odd.append(k)
-            elif k.isalpha():
-                alone.append(k)
-            else:
-                cut.append((k, self.matches(lead + k)))
-        spaced, words = set(alone) if lead else set(), set() if lead else set(alone)
-        for _, parts in cut:
-            for w in parts:
-                if w[0] == " " and w[1:].isalpha():
-                    spaced.add(w[1:])
-                else:
-                    words.add(w)
-        spaced = [w for w in spaced if w not in self.rest]
-        words = [w for w in words if w not in self.words]
-        self.rest.update(zip(spaced, self._whole([" " + w for w in spaced]), strict=True))
-        self.words.update(zip(words, self._whole(words), strict=True))
-        if not lead:
-            known.update((k, self.words[k]) for k in alone)
-        known.update((k, b"".join([self.rest[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])) for k, parts in cut)
-        known.update(zip(odd, self._whole([lead + k for k in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        if len(self.rest) + len(self.words) > self.most:
-            for memory in (self.first, self.rest, self.words):
-                memory.clear()
-        parts = [t.split(" ") for t in texts]
-        starts = [p.pop(0) for p in parts]
-        new = [p for p in set(starts) if p not in self.first]
-        self._learn(self.first, new, "")
-        new = [p for p in set(itertools.chain.from_iterable(parts)) if p not in self.rest]
-        joined = [p for p in new if not p or p[0].isspace()]
-        self.rest.update(dict.fromkeys(joined))
-        new = [p for p in new if p and not p[0].isspace()]
-        self._learn(self.rest, new, " ")
-        out, piece = [], self.rest.__getitem__
-        for start, rest in zip(starts, parts, strict=True):
-            try:
-                out.append(self.first[start] + b"".join(map(piece, rest)))
-            except TypeError:
-                out.append(self._glued(start, rest))
+        self.encode = Pieces(self._words, self._codes, most).encode
+
+    def _words(self, piece: str) -> list[str]:
+        """The pattern's matches of a piece of Latin letters; others stay whole, as does all that holds an added token."""
+        if piece[1:].isalpha() or not (piece.isascii() or max(piece, default="") < "\u02b0") or self.special(piece):
+            return [piece]
+        return self.matches(piece) or [piece]
+
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Ids of words. Those whose only space is in front go to the library in joined lines, cut at tokens that begin with a space."""
+        line = [i for i, w in enumerate(words) if w[:1] == " " and (w[1:].isalpha() or " " not in w[1:] and len(w) > 1 and not w[1].isspace() and not self.special(w))]
+        own = sorted(set(range(len(words))).difference(line))
+        out: list = [None] * len(words)
+        for i, e in zip(own, self.tok.encode_batch_fast([words[i] for i in own], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        groups = [line[i : i + self.joined] for i in range(0, len(line), self.joined)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            if len(cuts) != len(group) + 1:
+                raise ValueError("a token bridges two words")
+            raw, ends = ids.tobytes(), (cuts * 4).tolist()
+            for i, first, last in zip(group, ends, ends[1:], strict=False):
+                out[i] = raw[first:last]
         return out
 
-    def _glued(self, start: str, rest: list[str]) -> bytes:
-        runs = [start]
-        for p in rest:
-            if not p or p[0].isspace():
-                runs[-1] += " " + p
-            else:
-                runs.append(p)
-        for known, keys, lead in ((self.first, runs[:1], ""), (self.rest, runs[1:], " ")):
-            new = [p for p in set(keys) if p not in known]
-            self._learn(known, new, lead)
-        return self.first[runs[0]] + b"".join(map(self.rest.__getitem__, runs[1:]))
-
-
-_pieces: dict[str, Pieces] = {}
-
 
-def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+def encoder(path: str) -> Encoder:
+    return held(("tokenizers", path), lambda: Encoder(path))
 
 
 def _bits(v: np.ndarray) -> np.ndarray:
@@ -216,7 +173,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, percenti
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), pieces(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         docs, sizes, held, total, before, segment = [], [], [], 0, 0, 0
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
