@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -14,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_text, byte_slices
+from .memory import Pieces, held
+from .text import as_text, byte_slices, slices
 
-LONG = 64  # bytes of a word from which equal pairs are contracted together
+LONG = 64  # bytes from which a word's contractions go on in many places at once
+MEMORY = 96 << 20  # bytes of codes that a worker remembers
 
 #: Each step joins neighbouring tokens of a word (key: word << 16 | position) to the merge table and contracts the word's
 #: leftmost pair of least rank; words without a pair drop out, and a word's last step is its encoding.
@@ -30,13 +35,16 @@ WITH RECURSIVE state(step, wp, tok) AS (
   SELECT step + 1, wp - ((wp & 65535) > (pair & 65535))::INT, CASE WHEN (wp & 65535) = (pair & 65535) THEN (pair >> 16)::INT ELSE tok END
   FROM state s JOIN best ON best.w = s.wp >> 16 WHERE (wp & 65535) <> (pair & 65535) + 1)
 )
-SELECT wp >> 16 AS w, list(tok ORDER BY wp) AS ids
-FROM state s JOIN (SELECT wp >> 16 AS w, max(step) AS last FROM state GROUP BY 1) f ON f.w = s.wp >> 16 AND s.step = f.last GROUP BY 1
+SELECT (s.wp >> 16)::INT AS w, s.tok
+FROM state s JOIN (SELECT wp >> 16 AS w, max(step) AS last FROM state GROUP BY 1) f ON f.w = s.wp >> 16 AND s.step = f.last ORDER BY s.wp
 """
 
-#: For long words: as above, but every occurrence of the pair of least rank goes at once, every second one within a run
-#: of overlapping ones. The same as one by one, unless a new pair would come before the old: for those merges (early)
-#: only the leftmost goes. At most 24 steps a run, as a recursion keeps the rows of all its steps.
+#: For long words, whose pairs are contracted wherever that is the same as leftmost and least rank first. A pair of the
+#: least rank among those within {reach} tokens is such a place: all contractions before its own lie farther off, and to
+#: change its tokens one would have to grow into a token over more than {reach} bytes, which no token of the vocabulary
+#: that occurs in the words has. In a run of overlapping pairs of one rank every second one goes, if the run's first is
+#: such a place. Where a contraction makes a pair of lower rank (early), that pair comes next, so the places to its right
+#: in the run or within reach wait. At most {steps} steps a run, as a recursion keeps the rows of all its steps.
 LONG_STEPS = """
 WITH RECURSIVE state(step, w, pos, tok) AS (
   SELECT 0, w, pos, tok FROM word_tokens
@@ -45,24 +53,34 @@ WITH RECURSIVE state(step, w, pos, tok) AS (
   FROM (
     SELECT *, lag(take) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
-      SELECT *, rank = least_rank AND (CASE WHEN early THEN nth = first_nth ELSE (nth - min(nth) OVER (PARTITION BY w, hit, run)) % 2 = 0 END) AS take
+      SELECT *, hit AND start % 2 = 1 AND (nth - start // 2) % 2 = 0 AND coalesce(last_early < least(start // 2, nth - {reach}), true) AS take
       FROM (
-        SELECT *, nth - row_number() OVER (PARTITION BY w, hit ORDER BY nth) AS run, min(CASE WHEN hit THEN nth END) OVER (PARTITION BY w) AS first_nth
+        SELECT *, max(CASE WHEN rank IS DISTINCT FROM before THEN nth * 2 + hit::INT END) OVER (o ROWS UNBOUNDED PRECEDING) AS start,
+          max(CASE WHEN hit AND early THEN nth END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_early
         FROM (
-          SELECT *, coalesce(rank = least_rank, false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth
+          SELECT *, coalesce(rank = least, false) AS hit
           FROM (
-            SELECT s.step, s.w, s.pos, s.tok, m.merged AS rank, m.early, min(m.merged) OVER (PARTITION BY s.w) AS least_rank
-            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM state) s
-            LEFT JOIN merges m ON m.lr = (s.tok::BIGINT << 32) + s.nxt
+            SELECT *, row_number() OVER o AS nth, lag(rank) OVER o AS before,
+              min(rank) OVER (o ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS least, count(rank) OVER (PARTITION BY w) AS pairs
+            FROM (
+              SELECT s.step, s.w, s.pos, s.tok, m.merged AS rank, coalesce(least(a.merged, b.merged, c.merged) < m.merged, false) AS early
+              FROM (SELECT *, lead(tok) OVER o AS nxt, lead(tok, 2) OVER o AS after, lag(tok) OVER o AS prior FROM state WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+              LEFT JOIN merges m ON m.lr = (s.tok::BIGINT << 32) + s.nxt
+              LEFT JOIN lower_merges a ON a.lr = (m.merged::BIGINT << 32) + s.after
+              LEFT JOIN lower_merges b ON b.lr = (s.prior::BIGINT << 32) + m.merged
+              LEFT JOIN lower_merges c ON c.lr = (m.merged::BIGINT << 32) + m.merged
+            )
+            WINDOW o AS (PARTITION BY w ORDER BY pos)
           )
-          WHERE least_rank IS NOT NULL
+          WHERE pairs > 0
         )
+        WINDOW o AS (PARTITION BY w ORDER BY pos)
       )
     )
   )
-  WHERE NOT coalesce(gone, false) AND step < 24
+  WHERE NOT coalesce(gone, false) AND step < {steps}
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last GROUP BY w
+SELECT w, tok FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last ORDER BY w, pos
 """
 
 #: Token bytes as Latin-1 characters, put together in order.
@@ -70,9 +88,9 @@ DECODE = "SELECT t.d, string_agg(v.piece, '' ORDER BY t.pos) AS text FROM doc_to
 
 
 class Codec:
-    """Encodes and decodes with one in-memory DuckDB of one thread."""
+    """Encodes and decodes with one in-memory DuckDB of one thread, which spills to Spark's local folder beyond 100 MB."""
 
-    def __init__(self, path: str, pattern: str, words: int = 40_000, most: int = 1_600_000):
+    def __init__(self, path: str, pattern: str, words: int = 40_000, most: int = MEMORY, rows: int = 400_000):
         import duckdb
 
         with open(path, "rb") as f:
@@ -85,126 +103,95 @@ class Codec:
                 if a is not None and b is not None:
                     l.append(a), r.append(b), m.append(rank)
         l, r, m = (np.array(x, np.int32) for x in (l, r, m))
-        early = np.unique(np.concatenate((l[m < l], r[m < r])))  # tokens that take part in a pair of lower rank than their own
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        self._table("merges", {"lr": (l.astype(np.int64) << 32) + r, "merged": m, "early": np.isin(m, early)})
+        self.spill = tempfile.mkdtemp(prefix="duckdb-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB", "temp_directory": self.spill})
+        self._table("merges", {"lr": (l.astype(np.int64) << 32) + r, "merged": m})
+        self.db.execute("CREATE TABLE lower_merges AS SELECT * FROM merges WHERE merged < greatest(lr >> 32, lr & 4294967295)")
         self._table("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "piece": [t.decode("latin-1") for t in ranks]})
-        self.split, self.words, self.most = regex.compile(pattern).findall, words, most
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}  # without the space before
+        self.split, self.words, self.rows = regex.compile(pattern).findall, words, rows
+        self.reach = None
+        self.encode = Pieces(self._cut, self._contract, most).encode
+
+    def __del__(self):
+        self.db.close()
+        shutil.rmtree(self.spill, ignore_errors=True)
 
     def _table(self, name: str, columns: dict) -> None:
         rows = pa.table(columns)  # noqa: F841  (DuckDB reads it by its name)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
-    def _run(self, tokens: list[np.ndarray], query: str) -> list[np.ndarray]:
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        w = np.repeat(np.arange(len(tokens), dtype=np.int32), size)
+    def _run(self, tokens: np.ndarray, size: np.ndarray, query: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, one after another, and their number by word, before and after a query."""
+        w = np.repeat(np.arange(len(size), dtype=np.int32), size)
         pos = (np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._table("word_tokens", {"w": w, "pos": pos, "tok": np.concatenate(tokens)})
+        self._table("word_tokens", {"w": w, "pos": pos, "tok": tokens})
         got = self.db.sql(query).to_arrow_table()
-        ids, out = got.column("ids").combine_chunks(), list(tokens)
-        flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        for i, k in enumerate(got.column("w").to_pylist()):
-            out[k] = flat[at[i] : at[i + 1]]
-        return out
-
-    def _contract(self, words: list[str], long: bool) -> None:
-        tokens = [self.single[np.frombuffer(w.encode(), np.uint8)] for w in words]
-        if not long:
-            tokens = self._run(tokens, STEPS)
-        open_ = list(range(len(words))) if long else []
-        while open_:
-            after = self._run([tokens[i] for i in open_], LONG_STEPS)
-            shorter = [(i, t) for i, t in zip(open_, after, strict=True) if len(t) < len(tokens[i])]
-            for i, t in shorter:
-                tokens[i] = t
-            open_ = [i for i, _ in shorter]
-        self.known.update((w, t.astype("<u4").tobytes()) for w, t in zip(words, tokens, strict=True))
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet, in blocks that bound the database's memory."""
-        whole = self.ranks
-        short, long = [], []
-        for w in words:
-            b = w.encode()
-            if b in whole and len(b) == 1:
-                self.known[w] = np.array([whole[b]], "<u4").tobytes()
-            else:
-                (short if len(b) <= LONG else long).append(w)
-        for i in range(0, len(short), self.words):
-            self._contract(short[i : i + self.words], False)
-        block, size = [], 0
-        for w in long:
-            if block and size + len(w) > 20_000:
-                self._contract(block, True)
-                block, size = [], 0
-            block.append(w)
-            size += len(w)
-        if block:
-            self._contract(block, True)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers: the pattern's matches, each contracted apart.
-
-        A text is first cut before single spaces that a visible character follows, where a match always starts, so
-        that each distinct piece is matched once.
-        """
-        if len(self.known) + len(self.rest) > self.most:
-            for memory in (self.known, self.first, self.rest):
-                memory.clear()
-        cut = [t.split(" ") for t in texts]
-        starts = [p.pop(0) for p in cut]
-        self._match(self.first, set(starts), "")
-        self._match(self.rest, set(itertools.chain.from_iterable(cut)), " ")
-        out, piece = [], self.rest.__getitem__
-        for start, rest in zip(starts, cut, strict=True):
-            try:
-                out.append(self.first[start] + b"".join(map(piece, rest)))
-            except TypeError:  # a piece that starts with white space stays with the one before
-                runs = [start]
-                for p in rest:
-                    if not p or p[0].isspace():
-                        runs[-1] += " " + p
-                    else:
-                        runs.append(p)
-                self._match(self.first, {runs[0]}, "")
-                self._match(self.rest, set(runs[1:]), " ")
-                out.append(self.first[runs[0]] + b"".join(map(piece, runs[1:])))
+        return got.column("tok").to_numpy(), np.bincount(got.column("w").to_numpy(), minlength=len(size))
+
+    def _cut(self, piece: str) -> list[str]:
+        """The pattern's matches; a space and letters are one."""
+        return [piece] if piece[:1] == " " and piece[1:].isalpha() else self.split(piece)
+
+    def _contract(self, words: list[str]) -> list[bytes]:
+        """Ids of words, in blocks that bound the database's memory."""
+        raw = [w.encode() for w in words]
+        out: list = [None] * len(words)
+        long = [i for i, b in enumerate(raw) if len(b) > LONG]
+        short = [i for i, b in enumerate(raw) if len(b) <= LONG] if long else list(range(len(raw)))
+        for first in range(0, len(short), self.words):
+            self._put(out, short[first : first + self.words], *self._run(*self._bytes([raw[i] for i in short[first : first + self.words]]), STEPS))
+        for first, last in slices([raw[i] for i in long], self.rows // 8):
+            self._put(out, long[first:last], *self._long([raw[i] for i in long[first:last]]))
         return out
 
-    def _match(self, memory: dict[str, bytes | None], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in memory]
-        if lead:
-            memory.update((p, None) for p in new if not p or p[0].isspace())
-            new = [p for p in new if p and not p[0].isspace()]
-        words = [self.split(lead + p) for p in new]
-        self.learn([w for w in set(itertools.chain.from_iterable(words)) if w not in self.known])
-        known = self.known.__getitem__
-        memory.update((p, known(w[0]) if len(w) == 1 else b"".join(map(known, w))) for p, w in zip(new, words, strict=True))
+    def _bytes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.single[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
+
+    @staticmethod
+    def _put(out: list, at: list[int], tokens: np.ndarray, size: np.ndarray) -> None:
+        data, ends = tokens.astype("<u4").tobytes(), [0, *(np.cumsum(size) * 4).tolist()]
+        for i, a, b in zip(at, ends, ends[1:], strict=False):
+            out[i] = data[a:b]
+
+    def _long(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Long words, contracted until none gets shorter; each run of the recursion keeps about ``rows`` rows."""
+        if self.reach is None:
+            self.reach = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for token in self.ranks:
+                self.reach.add_word(token.decode("latin-1"))
+            self.reach.make_automaton()
+        reach = max(n for b in raw for _, n in self.reach.iter(b.decode("latin-1")))
+        tokens, size = self._bytes(raw)
+        open_ = np.ones(len(size), bool)
+        while open_.any():
+            of = np.repeat(open_, size)
+            steps = int(np.clip(self.rows // max(int(of.sum()), 1), 1, 24))
+            part, n = self._run(tokens[of], size[open_], LONG_STEPS.format(reach=reach, steps=steps))
+            now = size.copy()
+            now[open_] = n
+            merged = np.empty(int(now.sum()), np.int32)
+            merged[np.repeat(open_, now)] = part
+            merged[~np.repeat(open_, now)] = tokens[~of]
+            open_, tokens, size = now < size, merged, now
+        return tokens, size
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id sequence."""
-        size = np.array([len(x) for x in ids], np.int64)
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-        pos = (np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._table("doc_tokens", {"d": d, "pos": pos, "id": np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)})
+        """The bytes of each id sequence, in blocks of about ``rows`` ids."""
         out = [b""] * len(ids)
-        for k, text in self.db.execute(DECODE).fetchall():
-            out[k] = text.encode("latin-1")
+        for first, last in slices(ids, self.rows):
+            size = np.array([len(x) for x in ids[first:last]], np.int64)
+            d = np.repeat(np.arange(first, last, dtype=np.int32), size)
+            pos = (np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            self._table("doc_tokens", {"d": d, "pos": pos, "id": np.concatenate(ids[first:last]).astype(np.int32)})
+            for k, text in self.db.execute(DECODE).fetchall():
+                out[k] = text.encode("latin-1")
         return out
 
 
-_codecs: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """Kept for the tasks of one Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(("duckdb", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
@@ -238,17 +225,22 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_ids",
     return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add(bytes_col, T.BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests: ``doc_id``, ``n_tokens``, ``ids_sha256`` (ids as
-    little-endian 32-bit integers), ``decoded_sha256``. Null and empty texts have no tokens. Nothing is shuffled.
+    little-endian 32-bit integers), ``decoded_sha256``; with ``keep_ids`` the ids too, as ``token_ids``. Null and empty
+    texts have no tokens; rows that share an id or have none give a row each. Nothing is shuffled.
     """
+    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for rows in byte_slices(batch, 1):
                 ids = c.encode(as_text(rows.column(1)))
-                back = c.decode([np.frombuffer(x, "<u4") for x in ids])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, back), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                tokens = [np.frombuffer(x, "<u4") for x in ids]
+                columns = [rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, c.decode(tokens)), pa.string())]
+                if keep_ids:
+                    columns.append(pa.array([x.view("<i4") for x in tokens], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, fields)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .memory import let_go
 from .text import as_bytes, byte_slices
 
 UNIT = 192  # bytes: a row of 64 RGB pixels
@@ -161,6 +162,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, 1):
                 sizes, declared, media = [], [], []
@@ -189,8 +191,9 @@ def sniff_media(table: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sniffer, names = Sniffer(), [c.split()[0] for c in SNIFFED.split(", ")]
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 3)):
             out: dict[str, list] = {k: [] for k in names[2:8] + names[9:]}
             for blob in as_bytes(batch.column(3)):
                 found = sniffer.find(blob)

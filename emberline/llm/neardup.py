@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
+from .memory import let_go
 from .text import as_bytes, byte_slices, mix, shingle_sets
 
-SLICE = 1 << 20  # bytes of text that a task turns into sets at once
+SLICE = 900_000  # bytes of text that a task turns into sets at once
 SKETCH = "doc_id long, text_key long, n long, fp_a long, fp_b long, sketch array<long>"
 
 
@@ -37,6 +38,7 @@ def sketches(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_col: str
     """Hash of the text, set size, 128-bit fingerprint of the set and sketch of every whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, 1, SLICE):
                 sets = shingle_sets(as_bytes(rows.column(1)))
@@ -111,6 +113,7 @@ def _links(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
     texts = scratch.keep(_texts(open_.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, heads), "texts")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, 3, SLICE):
                 keep = []
@@ -147,6 +150,7 @@ def _around_pivots(scratch: Scratch, lists: DataFrame, docs: DataFrame, heads: D
     texts = scratch.keep(_texts(sides.select(F.explode(F.array("pivot", "rep")).alias("rep")).distinct(), docs, heads), "texts")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         last, held = None, None
         for batch in batches:
             for rows in byte_slices(batch, 3, SLICE):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, stored
+from .memory import let_go
 from .text import as_bytes, byte_slices
 
 _classes = {
@@ -101,6 +102,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id``, ``held_out`` (false for a null id) and ``x``, the statistics of the whole text (null: empty), stored once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, 2):
                 x = pa.array([statistics(t).tolist() for t in as_bytes(rows.column(2))], pa.list_(pa.float64()))
@@ -197,6 +199,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, at):
                 x = np.array([statistics(t) for t in as_bytes(rows.column(at))])

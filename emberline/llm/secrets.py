@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .memory import let_go
 from .text import as_text, byte_slices
 
 #: The base patterns, then further credential formats.
@@ -45,6 +46,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every document's candidates as parallel arrays, stored once; ``rid`` tells rows with equal ids apart. Values leave as sha-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for rows in byte_slices(batch, 5):
                 found = [find(t) for t in as_text(rows.column(5))]
@@ -116,6 +118,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     rows = keyed.join(spans, keyed[id_col].eqNullSafe(spans["_id"]) & (keyed["_text_key"] == spans["text_key"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = []
             for text, live in zip(batch.column(at).to_pylist(), batch.column(len(kinds)).to_pylist(), strict=True):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -57,18 +59,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i mod 2**64 for i < n, kept for up to a million; longer texts make their own."""
+    if n > 1 << 20:
+        return _powers(n)
+    return tuple(p[:n] for p in _million())
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i mod 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 16)
-        for k, b in (("up", BASE), ("down", INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (BASE, INVERSE):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
+@functools.cache
+def _million() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 20)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
