@@ -10,20 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .text import as_text
-
-_encodings: dict = {}
+from ..session import cut
+from .memory import held
+from .text import as_text, byte_slices
 
 
 def encoding(path: str, pattern: str):
     """The tiktoken encoding of a rank file, kept for the tasks of one Python worker."""
-    if path not in _encodings:
+
+    def make():
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("tiktoken", path, pattern), make)
 
 
 def encoded_lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -32,7 +34,8 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text_col: str = "t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(t)) for t in as_text(batch.column(0))], pa.int64())], ["length"])
+            for rows in byte_slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(t)) for t in as_text(rows.column(0))], pa.int64())], ["length"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "length long")
 
@@ -43,11 +46,12 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     A row for each length L that occurs: ``context_limit`` = L, ``n_docs`` of that length, ``docs_over`` (longer),
     ``docs_at_least``, ``tokens_at_least`` (of those), ``docs_total``, ``tokens_total``, ``tokens_kept`` (sum of
     min(length, L)), ``tokens_cut`` and ``quantile`` (share of documents no longer than L). Limits between two rows
-    follow from :func:`at_limit`. Documents collapse map-side to one row a length; suffix sums run over blocks of
+    follow from :func:`at_limit`. Documents collapse map-side to one row a length, a table that is cut off here, so that
+    no text is encoded twice; suffix sums run over blocks of
     lengths and inside each block, so no task holds more than ``block`` lengths or the list of blocks. Null lengths
     count as 0; no documents give no rows.
     """
-    hist = lengths.groupBy(F.coalesce("length", F.lit(0)).alias("context_limit")).agg(F.count("*").alias("n_docs"))
+    hist = cut(lengths.groupBy(F.coalesce("length", F.lit(0)).alias("context_limit")).agg(F.count("*").alias("n_docs")))
     hist = hist.withColumn("_t", F.col("context_limit") * F.col("n_docs")).withColumn("_b", F.floor(F.col("context_limit") / block))
     blocks = hist.groupBy("_b").agg(F.sum("n_docs").alias("_bn"), F.sum("_t").alias("_bt"))
     above, every = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
