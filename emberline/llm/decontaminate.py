@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .memory import let_go
 from .text import as_text, byte_slices
 
 Q = 8
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)]
 FILTER_BITS = 23
+SLICE = 2 << 20  # bytes of text that are searched together
 
 
 def codes(text: str) -> np.ndarray:
@@ -41,23 +44,29 @@ def budget(n: int, rate: float) -> tuple[int, int]:
     return max(e, 0), n + 1 - Q * (max(e, 0) + 1)
 
 
-def align(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the part of ``text`` nearest to ``pattern``, if within ``most`` edits: one row a character."""
-    m = len(text)
-    at = np.arange(m + 1)
-    cost, start = np.zeros(m + 1, np.int64), at.copy()
-    for i, c in enumerate(pattern, 1):
-        # edits and start in one number, so that the least edits win and then the latest start
-        before = cost * (m + 1) + (m - start)
-        best = np.empty(m + 1, np.int64)
-        best[0] = i * (m + 1) + m
-        best[1:] = np.minimum(before[:-1] + (text != c) * (m + 1), before[1:] + (m + 1))
-        best = np.minimum.accumulate(best - at * (m + 1)) + at * (m + 1)
-        cost, start = best // (m + 1), m - best % (m + 1)
-        if cost.min() > most:
+def align(pattern: np.ndarray, text: np.ndarray, most: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the part of ``text`` nearest to ``pattern``, if within ``most`` edits, in a band of diagonals.
+
+    Only cells with low <= place in text - place in pattern <= high are filled, one row of the band a character.
+    """
+    m, unit, none = len(text), len(text) + 1, np.int64(1) << np.int64(60)
+    at = np.arange(low, high + 1)
+    steps = np.arange(len(at)) * unit
+    padded = np.full(max(m, high + len(pattern)) - min(low, 0) + 2, -1, np.int64)
+    first = 1 - min(low, 0)
+    padded[first : first + m] = text
+    # edits and start in one number, so that the least edits win and then the latest start
+    best = np.where((at >= 0) & (at <= m), m - at, none)
+    for i, c in enumerate(pattern.tolist(), 1):
+        last, end = best, at + i
+        best = last + (padded[first + end[0] - 1 : first + end[-1]] != c) * unit
+        best[:-1] = np.minimum(best[:-1], last[1:] + unit)
+        best = np.minimum.accumulate(best - steps) + steps
+        best[(end < 0) | (end > m)] = none
+        if best.min() // unit > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= most else None
+    k = int((best // unit).argmin())
+    return int(best[k] // unit), m - int(best[k] % unit), int(at[k]) + len(pattern)
 
 
 @dataclasses.dataclass
@@ -96,28 +105,41 @@ class Index:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def hits(self, c: np.ndarray):
-        """Every (place in c, item, place in item) of a shared q-gram."""
-        h = qgrams(c)
+    def _shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of q-grams that the block has, and which of its distinct q-grams they are."""
         at = np.flatnonzero(self.bits[self._slot(h)])
         if not len(at) or not len(self.distinct):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         k = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
         same = self.distinct[k] == h[at]
-        at, k = at[same], k[same]
-        n = self.count[k]
-        rows = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[rows].astype(np.int64), self.place[rows].astype(np.int64)
+        return at[same], k[same]
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
-        """(text, item, item start, text start, text end, edits, shared q-grams) of the best region of each pair that has one."""
+    def search(self, texts: list[str], most: int = 1 << 20) -> list[tuple[int, int, int, int, int, int, int]]:
+        """(text, item, item start, text start, text end, edits, shared q-grams) of the best region of each pair that has one.
+
+        Texts are taken together until they share ``most`` q-grams with the block's items, or one at a time.
+        """
+        if not texts:
+            return []
         cs = [codes(t) for t in texts]
-        joined = np.concatenate([np.append(c, 0).astype(np.uint32) for c in cs])
         starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in cs])))
-        at, item, place = self.hits(joined)
+        at, k = self._shared(qgrams(np.concatenate([np.append(c, 0).astype(np.uint32) for c in cs])))
+        text = np.searchsorted(starts, at, "right") - 1
+        total = np.bincount(text, self.count[k], len(cs)) if len(at) else np.zeros(len(cs))
+        out, first = [], 0
+        while first < len(cs):
+            last = max(first + 1, int(np.searchsorted(np.cumsum(total[first:]), most, "right")) + first)
+            a, b = np.searchsorted(text, (first, last))
+            out += self._regions(cs, starts, text[a:b], at[a:b], k[a:b])
+            first = last
+        return out
+
+    def _regions(self, cs, starts, text, at, k) -> list[tuple[int, int, int, int, int, int, int]]:
         if not len(at):
             return []
-        text = np.searchsorted(starts, at, "right") - 1
+        n = self.count[k]
+        rows = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        text, at, item, place = np.repeat(text, n), np.repeat(at, n), self.item[rows].astype(np.int64), self.place[rows].astype(np.int64)
         diagonal = at - starts[text] - place + self.longest
         half = self.edits[item] + 1
         proposed: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
@@ -127,16 +149,17 @@ class Index:
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
             n = np.diff(np.append(cuts, len(order)))
-            for first, k in zip(cuts[n >= self.need[item[order[cuts]]]], n[n >= self.need[item[order[cuts]]]], strict=True):
-                rows = order[first : first + k]
-                proposed.setdefault((int(text[rows[0]]), int(item[rows[0]])), []).append((int(k), rows))
+            full = n >= self.need[item[order[cuts]]]
+            for first, c in zip(cuts[full], n[full], strict=True):
+                rows = order[first : first + c]
+                proposed.setdefault((int(text[rows[0]]), int(item[rows[0]])), []).append((int(c), rows))
         out = []
         for (t, i), bands in proposed.items():
             best = None
-            for k, rows in sorted(bands, key=lambda b: -b[0]):
+            for c, rows in sorted(bands, key=lambda b: -b[0]):
                 got = self._confirm(cs[t], i, place[rows], at[rows] - starts[t])
                 if got and (best is None or got[3] < best[3]):
-                    best = (*got, k)
+                    best = (*got, c)
                 if best and best[3] == 0:
                     break
             if best:
@@ -155,50 +178,55 @@ class Index:
             if shared[w] < need:
                 return None
             first, last = max(0, int(w) + low), min(len(c), int(w) + n + high)
-            if got := align(item[w : w + n], c[first:last], e):
+            if got := align(item[w : w + n], c[first:last], e, int(w) + low - first, int(w) + high - first):
                 return int(w), first + got[1], first + got[2], got[0]
         return None
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int):
-    """Blocks of the query set of at most ``most`` characters (or one longer item), read in a stream."""
+    """Blocks of the query set of at most ``most`` characters (or one longer item), read in a stream; whether more follow."""
     block, size = [], 0
     for i, t in benchmark.select(F.col(item_col).cast("long"), text_col).dropDuplicates().orderBy(F.col(item_col)).toLocalIterator():
         if block and size + len(t or "") > most:
-            yield block
+            yield block, True
             block, size = [], 0
         block.append((i, t))
         size += len(t or "")
-    if block:
-        yield block
+    yield block, False
 
 
 FOUND = "doc_id long, item_id long, item_start int, doc_start int, doc_end int, edits int, shared int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, window: int = 100, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, window: int = 100, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Pairs of document and benchmark item that share a region.
 
     A region is ``window`` characters of the item (the whole item if shorter) that some part of the document matches
-    within ``rate`` edits a character; letter case of A-Z and kinds of ASCII white space do not count. By the q-gram
-    lemma a region of n characters within e edits shares n + 1 - 8 (e + 1) of its 8-grams, and they lie within e
-    diagonals, so in one of two overlapping bands of 2 (e + 1); bands with that many are aligned. One row a pair: places
-    (code points, end exclusive), ``edits``, ``shared`` 8-grams. The benchmark is the query set: it goes to the tasks in
-    blocks of ``block_chars`` characters, each against all documents. Items shorter than 8 characters or null match
-    nothing, null texts are empty. Nothing of the documents is shuffled.
+    within ``rate`` edits a character, and no more than the q-gram lemma leaves a q-gram for; letter case of A-Z and
+    kinds of ASCII white space do not count. By the lemma a region of n characters within e edits shares
+    n + 1 - 8 (e + 1) of its 8-grams, and they lie within e diagonals, so in one of two overlapping bands of 2 (e + 1);
+    bands with that many are aligned. One row a pair: places (code points, end exclusive), ``edits``, ``shared`` 8-grams.
+
+    The benchmark is the query set: it passes through the driver in blocks of ``block_chars`` characters, each against
+    all documents; of several blocks only one is held at a time, as the pairs of all but the last are stored. Rows that
+    share an id or have none, and repeated rows, give their own pairs; an item given twice counts once. Items shorter
+    than 8 characters or null match nothing, null texts are empty, and so is the result of an empty table. Nothing of
+    the documents is shuffled.
     """
     rows, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
-    for block in _blocks(benchmark, item_col, text_col, block_chars):
+    for block, more in _blocks(benchmark, item_col, "text", block_chars):
         part = rows.mapInArrow(_finder(Index.of(block, rate, window)), FOUND)
+        part = stored(part, "leaks") if more else part
         out = part if out is None else out.unionByName(part)
-    return rows.limit(0).mapInArrow(lambda batches: iter(()), FOUND) if out is None else out
+    return out
 
 
 def _finder(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index.prepare()
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, SLICE):
                 ids, found = part.column(0).to_pylist(), index.search(as_text(part.column(1)))
                 cols = list(zip(*((ids[t], index.ids[i], *rest) for t, i, *rest in found), strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), *[pa.int32()] * 5), strict=True)], [c.split()[0] for c in FOUND.split(", ")])
@@ -206,19 +234,25 @@ def _finder(index: Index):
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, window: int = 100, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows whose text shares no region with any benchmark item, all columns as they are."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, window: int = 100, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows whose text shares no region (:func:`find_leaks`) with any benchmark item, all columns as they are.
+
+    Each row is judged by its own text, so ids and repeated rows play no part. Between two blocks of the benchmark what
+    is left is stored.
+    """
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, "text", block_chars):
+    for block, more in _blocks(benchmark, item_col, "text", block_chars):
         docs = docs.mapInArrow(_dropper(Index.of(block, rate, window), at), docs.schema)
+        docs = stored(docs, "clean") if more else docs
     return docs
 
 
 def _dropper(index: Index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         index.prepare()
         for batch in batches:
-            for part in byte_slices(batch, at):
+            for part in byte_slices(batch, at, SLICE):
                 keep = np.ones(part.num_rows, bool)
                 keep[[x[0] for x in index.search(as_text(part.column(at)))]] = False
                 yield part.filter(pa.array(keep))
