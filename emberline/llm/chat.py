@@ -49,23 +49,45 @@ def preference_pairs(turns: DataFrame, pair: str = "pair_id", side: str = "side"
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of the table's neighbouring conversations: an even id is the chosen one, the next odd id the rejected one."""
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 1, "rejected").otherwise("chosen")
-    return conversations.withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long")).withColumn("side", side)
+def with_other_answers(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
+    """A pair of sides for every conversation: itself as chosen, and with another's last answer as rejected.
+
+    The other conversation is the one whose id differs in the last bit. Its last turn of the ``trained`` role (by
+    number, then text) takes the place of this one's; if it has none, or there is no such conversation, this one's is
+    left out. So the two sides share all turns before. Rows that repeat the last answer are replaced alike; a
+    conversation without answers is the same on both sides; null ids are one conversation without another. Returns
+    ``pair_id`` (the conversation's id), ``side``, ``turn``, ``role`` and ``text``; other columns are left out.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
+    place = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    last = rows.where(F.col("role") == trained).groupBy("pair_id").agg(F.max(place).alias("last"))
+    own = last.select(F.col("pair_id").alias("own_id"), F.col("last").alias("own"))
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("other_id"), F.col("last.text").alias("other"))
+    both = rows.join(own, F.col("pair_id").eqNullSafe(F.col("own_id")), "left").join(other, F.col("pair_id") == F.col("other_id"), "left")
+    answer = (F.col("role") == trained) & (place == F.col("own"))
+    rejected = both.withColumn("answer", F.coalesce(answer, F.lit(False))).where("not answer or other is not null")
+    rejected = rejected.withColumn("text", F.when(F.col("answer"), F.col("other")).otherwise(F.col("text")))
+    named = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "turn", "role", "text")
+    return named(rows, "chosen").unionByName(named(rejected, "rejected"))
 
 
 PAIRS_SQL = """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations),
+WITH base AS (SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+last AS (SELECT pair_id, max({'turn': turn, 'text': text}) AS own FROM base WHERE role = 'assistant' GROUP BY 1),
+sides AS (
+  SELECT pair_id, 0 AS side, turn, role, text FROM base UNION ALL
+  SELECT b.pair_id, 1, b.turn, b.role, CASE WHEN b.role = 'assistant' AND {'turn': b.turn, 'text': b.text} = l.own THEN o.own['text'] ELSE b.text END
+  FROM base b LEFT JOIN last l ON b.pair_id IS NOT DISTINCT FROM l.pair_id LEFT JOIN last o ON xor(o.pair_id, 1) = b.pair_id
+  WHERE o.own IS NOT NULL OR NOT (b.role = 'assistant' AND coalesce({'turn': b.turn, 'text': b.text} = l.own, false))),
+t AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS i FROM sides),
 n AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY 1),
-d AS (SELECT c.pair_id, min(c.i) AS i FROM t c JOIN t r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1 AND c.i = r.i WHERE c.role <> r.role OR c.text <> r.text GROUP BY 1),
-p AS (SELECT n.*, coalesce(d.i - 1, least(nc, nr)) AS k FROM n LEFT JOIN d USING (pair_id)),
-x AS (SELECT t.*, p.k, sum(length(shown)) OVER (PARTITION BY pair_id, side, t.i > p.k ORDER BY t.i) - length(shown) AS head FROM t JOIN p USING (pair_id))
-SELECT pair_id, any_value(p.k)::INT AS n_prompt_turns, any_value(nc)::INT AS n_chosen_turns, any_value(nr)::INT AS n_rejected_turns,
-  coalesce(string_agg(shown, '' ORDER BY x.i) FILTER (x.side = 0 AND x.i <= p.k), '') AS prompt,
-  coalesce(string_agg(shown, '' ORDER BY x.i) FILTER (x.side = 0 AND x.i > p.k), '') AS chosen,
-  coalesce(string_agg(shown, '' ORDER BY x.i) FILTER (x.side = 1 AND x.i > p.k), '') AS rejected,
-  coalesce(string_agg((head + length(role) + 5)::BIGINT || ':' || (head + length(shown) - 1)::BIGINT, ',' ORDER BY x.i) FILTER (x.side = 0 AND x.i > p.k AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg((head + length(role) + 5)::BIGINT || ':' || (head + length(shown) - 1)::BIGINT, ',' ORDER BY x.i) FILTER (x.side = 1 AND x.i > p.k AND role = 'assistant'), '') AS rejected_mask
-FROM x JOIN p USING (pair_id) GROUP BY pair_id"""
+d AS (SELECT c.pair_id, min(c.i) AS i FROM t c JOIN t r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.side = 0 AND r.side = 1 AND c.i = r.i WHERE c.role <> r.role OR c.text <> r.text GROUP BY 1),
+p AS (SELECT n.*, coalesce(d.i - 1, least(nc, nr)) AS k FROM n LEFT JOIN d ON n.pair_id IS NOT DISTINCT FROM d.pair_id),
+x AS (SELECT t.*, p.k, p.nc, p.nr, sum(length(shown)) OVER (PARTITION BY t.pair_id, side, t.i > p.k ORDER BY t.i) - length(shown) AS head FROM t JOIN p ON t.pair_id IS NOT DISTINCT FROM p.pair_id)
+SELECT pair_id, any_value(k)::INT AS n_prompt_turns, any_value(nc)::INT AS n_chosen_turns, any_value(nr)::INT AS n_rejected_turns,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i <= k), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i > k), '') AS chosen,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 1 AND i > k), '') AS rejected,
+  coalesce(string_agg((head + length(role) + 5)::BIGINT || ':' || (head + length(shown) - 1)::BIGINT, ',' ORDER BY i) FILTER (side = 0 AND i > k AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((head + length(role) + 5)::BIGINT || ':' || (head + length(shown) - 1)::BIGINT, ',' ORDER BY i) FILTER (side = 1 AND i > k AND role = 'assistant'), '') AS rejected_mask
+FROM x GROUP BY pair_id"""

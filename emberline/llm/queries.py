@@ -43,7 +43,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_pairs(chat.neighbours(_table(spark, sf_dir, "conversations")))
+    return chat.preference_pairs(chat.with_other_answers(_table(spark, sf_dir, "conversations")))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
