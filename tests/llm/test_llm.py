@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -84,6 +85,34 @@ def test_quality(spark, docs, odd, none):
     assert quality.accepted(odd, unfit).count() == len(ODD)
 
 
+def test_quality_by_brute_force(spark):
+    """Features, ridge and isotonic fit written again in plain numpy: the same score for every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    table = quality.document_statistics(docs)
+    got = {r.doc_id: r.score for r in quality.score(table, quality.fit(table, labels)).collect()}
+    x = {r.doc_id: quality.statistics((r.text or "").encode()) for r in docs.collect()}
+    crc = lambda t: zlib.crc32(t.encode())
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and crc(str(r.doc_id)) % 3 != 1 and r.doc_id in x}
+    ids = sorted(y)
+    a, b = np.array([x[i] for i in ids]), np.array([y[i] for i in ids], float)
+    fold = np.array([crc(f"{i}fold") % 4 for i in ids])
+    mean, scale = a.mean(0), a.std(0) + 1e-3
+    rng = np.random.default_rng(5)
+    omega, phase = rng.normal(size=(a.shape[1], 192)) / 6.0, rng.uniform(0, 2 * np.pi, 192)
+    features = lambda v: np.concatenate((np.sqrt(2 / 192) * np.cos(np.clip((v - mean) / scale, -6, 6) @ omega + phase), np.ones((len(v), 1))), 1)
+    keep = np.diag([1e-3] * 192 + [1e-9])
+    solve = lambda z, t: np.linalg.solve(z.T @ z / len(z) + keep, z.T @ t / len(z))
+    z = features(a)
+    raw = np.array([z[i] @ w for w, i in ((solve(z[fold != k], b[fold != k]), j) for j, k in enumerate(fold))])
+    at = np.clip(((raw + 0.5) / 2 * 512).astype(int), 0, 511)
+    used = np.unique(at)
+    knots, n, ones = (np.array([f(at == k) for k in used]) for f in (lambda m: raw[m].mean(), lambda m: m.sum(), lambda m: b[m].sum()))
+    fitted = np.array([max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))])  # min-max formula
+    want = np.clip(np.interp(features(np.array([x[i] for i in got])) @ solve(z, b), knots, fitted), 0, 1)
+    assert np.allclose(list(got.values()), want, atol=1e-6)
+
+
 def test_isotonic():
     y, n = np.array([1.0, 0, 2, 1, 3]), np.array([2.0, 1, 2, 2, 3])
     v = quality.isotonic(y, n)
@@ -108,16 +137,40 @@ def test_token_counts(spark, docs, odd, none):
 def test_chat(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    assert rows(queries.op4_chat_preferences(spark, SF)) == sorted(c.execute(chat.PAIRS_SQL).fetchall(), key=repr)
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (0, 2, "user", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "x"), (4, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, None, "")]
-    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
-    got = {r.pair_id: r for r in chat.preference_pairs(chat.neighbours(df)).collect()}
+    got = rows(queries.op4_chat_preferences(spark, SF))
+    assert got == sorted(c.execute(chat.PAIRS_SQL).fetchall(), key=repr)
+    assert sum(r[1] > 0 for r in got) > 0.9 * len(got)
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (0, 2, "user", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, "user", "x"), (4, 0, "user", "x"), (5, 0, "user", "x"),
+        (5, 1, "assistant", "word " * 60_000), (None, 0, None, ""), (None, 1, "assistant", "lost"), (6, None, "assistant", None),
+    ]
+    df = spark.createDataFrame([(*t, "clash", 9) for t in turns], "conv_id long, turn int, role string, text string, pair_id string, side long")
+    got = {r.pair_id: r for r in chat.preference_pairs(chat.with_other_answers(df)).collect()}
+    c.execute("CREATE OR REPLACE TABLE t (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", turns)
+    assert sorted(map(tuple, got.values()), key=repr) == sorted(c.execute(chat.PAIRS_SQL.replace("FROM conversations", "FROM t")).fetchall(), key=repr)
     a = got[0]
-    assert (a.n_prompt_turns, a.prompt, a.rejected) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nno<|end|>\n")
+    assert (a.n_prompt_turns, a.prompt, a.rejected) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nno<|end|>\n<|user|>\n<|end|>\n")
     s, e = map(int, a.chosen_mask.split(":"))
     assert a.chosen[s:e] == "yo<|end|>"
-    assert (got[1].rejected, got[1].n_prompt_turns) == ("", 0) and (got[2].chosen, got[2].n_prompt_turns) == ("", 1) and None in got
-    assert chat.preference_pairs(chat.neighbours(df.limit(0))).collect() == []
+    assert (got[2].chosen, got[2].rejected, got[2].n_prompt_turns) == ("", "", 1) and got[4].n_prompt_turns == 1 and got[5].rejected == "" and len(got[5].chosen) > 300_000
+    assert got[None].rejected == "" and got[1].n_rejected_turns == 3
+    assert chat.preference_pairs(chat.with_other_answers(df.limit(0))).collect() == []
+
+
+def test_chat_sides(spark):
+    """Any pairs of sides: the operator itself, against a plain loop."""
+    rng = random.Random(8)
+    turns = [(p, side, t, rng.choice(["user", "assistant", "system"]), rng.choice(["a", "b", "", None])) for p in range(40) for side in ("chosen", "rejected", "other") for t in range(rng.randint(0, 5))]
+    df = spark.createDataFrame(turns, "pair_id long, side string, turn int, role string, text string")
+    got = {r.pair_id: r for r in chat.preference_pairs(df).collect()}
+    shown = lambda t: f"<|{t[3]}|>\n{t[4] or ''}<|end|>\n"
+    for p in {t[0] for t in turns if t[1] != "other"}:
+        c, r = ([t for t in turns if t[:2] == (p, s)] for s in ("chosen", "rejected"))
+        n = 0
+        while n < min(len(c), len(r)) and (c[n][3], c[n][4] or "") == (r[n][3], r[n][4] or ""):
+            n += 1
+        assert (got[p].n_prompt_turns, got[p].prompt, got[p].chosen, got[p].rejected) == (n, *("".join(map(shown, x)) for x in (c[:n], c[n:], r[n:])))
 
 
 @pytest.mark.parametrize("high", [2, 300, 50257, 2**32 - 1])
@@ -147,13 +200,18 @@ def test_token_files(spark, docs, odd, none):
     assert token_files.read_token_files(spark, token_files.write_token_files(none, P.path("byte_bpe_50k.json"))).collect() == []
 
 
-def test_pieces_equal_whole_texts():
+@pytest.mark.parametrize("most", [1 << 10, 1 << 28])
+def test_pieces_equal_whole_texts(most):
     from tokenizers import Tokenizer
 
-    tok, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_files.Pieces(P.path("byte_bpe_50k.json"))
+    tok, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_files.Encoder(P.path("byte_bpe_50k.json"), most=most, joined=7)
+    codec, tik = bpe_duckdb.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, most=most), token_counts.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     rng = random.Random(3)
-    texts = ["".join(rng.choice(" \n\t ab'sé1 　\x1c,.!😀<|endoftext|>") for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["a <|endoftext|> b"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["".join(rng.choice(" \n\t ab'sé1 　\x1c,.!😀<|endoftext|>") for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["a <|endoftext|> b", " " * 70_000 + "x  y", "z" + "  z" * 9000]
+    for first in range(0, len(texts), 400):
+        some = texts[first : first + 400]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode(some)] == [tik.encode_ordinary(t) for t in some]
 
 
 def brute_base(t):
@@ -293,22 +351,69 @@ def test_decontamination(spark, docs, odd, none):
         assert ix.search(["so " + "".join(s) + " on"])
 
 
+def edits_in(p, t):
+    """Edits between ``p`` and the nearest part of ``t``."""
+    d = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        e = [i]
+        for j, x in enumerate(t, 1):
+            e.append(min(d[j - 1] + (c != x), d[j] + 1, e[j - 1] + 1))
+        d = e
+    return min(d)
+
+
 def test_alignment():
     rng = random.Random(5)
+    for _ in range(200):
+        p, t = ([rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        edits, start, end = decontaminate.align(np.array(p), np.array(t), 99, -len(p), len(t))
+        assert edits == edits_in(p, t) == edits_in(p, t[start:end])
+    p = np.arange(50)
+    assert decontaminate.align(p, np.concatenate((np.arange(90, 97), p)), 0, 0, 6) is None  # outside the band
+    assert decontaminate.align(p, np.concatenate((np.arange(90, 97), p)), 0, 5, 9) == (0, 7, 57)
+
+
+def brute_leaks(docs, items, rate=0.08, window=100):
+    """Pairs by the rule alone: some window of the item within its edits of some part of the document."""
+    fold = lambda t: re.sub("[\\x09-\\x0D]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = set()
+    for i, item in items:
+        p = fold(item)
+        n = min(len(p), window)
+        if n >= 8:
+            most = max(0, min(int(n * rate), (n + 1) // 8 - 1))
+            out |= {(d, i) for d, t in docs if any(edits_in(p[a : a + n], fold(t)) <= most for a in range(len(p) - n + 1))}
+    return out
 
-    def brute(p, t):
-        d = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            e = [i]
-            for j, x in enumerate(t, 1):
-                e.append(min(d[j - 1] + (c != x), d[j] + 1, e[j - 1] + 1))
-            d = e
-        return min(d)
 
-    for _ in range(60):
-        p, t = ([rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(2))
-        best, got = brute(p, t), decontaminate.align(np.array(p), np.array(t), 99)
-        assert got[0] == best
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.choice([2, 5, 12, 19]))[:104]) for i in range(14)] + [(14, None), (15, "short"), (3, "Exactly thirty characters here"), (16, "a" * 40), (16, "a" * 40)]
+    docs = []
+    for k in range(60):
+        s = list(rng.choice(items)[1] or "")
+        for _ in range(rng.choice([0, 1, 2, 4, 7, 8, 9, 12])):
+            if s:
+                p = rng.randrange(len(s))
+                s[p : p + 1] = rng.choice(["q", "", s[p] + "z", s[p].upper()])
+        docs.append((k if k % 9 else None, f"{text(3)} {''.join(s)}\t{text(4)}"))
+    docs += [(70, None), (71, ""), (72, "b" + "a" * 60), (72, "b" + "a" * 60)]
+    want = brute_leaks(docs, items)
+    assert 10 < len(want) < len(docs) * len(items) / 2
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, item_id int, edits string").repartition(3)
+    bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, doc_id int")
+    for chars in (150, 2_000_000):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, block_chars=chars).collect()} == want
+        clean = [(d, t) for d, t in docs if not brute_leaks([(d, t)], items)]
+        left = decontaminate.without_leaks(df, bench, block_chars=chars)
+        assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(clean, key=repr)
+    assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(docs)
+    ix = decontaminate.Index.of([i for i in items if i[1]], 0.08, 100)
+    ix.prepare()
+    texts = [t or "" for _, t in docs]
+    assert sorted(ix.search(texts, most=1)) == sorted(ix.search(texts))
 
 
 def test_bpe(spark, docs, odd, none):
@@ -331,8 +436,13 @@ def test_bpe_long_words():
     c = bpe_duckdb.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     enc = token_counts.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     rng = random.Random(4)
-    texts = [x for n in (63, 64, 65, 130, 400) for x in ("a" * n, "=" * n, " " * n + "x", "ab" * n, "".join(rng.choice("abcdefgh") for _ in range(n)), "é" * n)]
+    texts = [x for n in (63, 64, 65, 130, 400, 20_000) for x in ("a" * n, "=" * n, " " * n + "x", "ab" * n, "".join(rng.choice("abcdefgh") for _ in range(n)), "é" * n, "0" * n, "-=-" * n)]
+    for _ in range(40):
+        syllables = rng.sample(["th", "er", "ion", "a", "aa", "aaa", "b", "é", "ß", "==", "=", "--", "-", "000", "0", "q", "ing"], rng.randint(2, 9))
+        texts.append("".join(rng.choice(syllables) for _ in range(rng.randint(40, 300))))
+    start = time.process_time()
     ids = [np.frombuffer(b, "<u4") for b in c.encode(texts)]
+    assert time.process_time() - start < 60
     assert [x.tolist() for x in ids] == [enc.encode_ordinary(t) for t in texts]
     assert c.decode(ids) == [t.encode() for t in texts]
 
