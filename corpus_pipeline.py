@@ -2,7 +2,7 @@
 
 The quality classifier drops what it rejects, near-dedup keeps one document of each group, decontamination drops
 documents that share a region with a benchmark item, the secret scan masks live-looking credentials and keeps all
-documents, and byte-level BPE encodes what is left, decodes it again and gives digests.
+documents, and byte-level BPE encodes what is left, decodes it again and gives the token ids with digests of both.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe_duckdb.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+    return bpe_duckdb.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern(), keep_ids=True)
 
 
 STAGES = [
