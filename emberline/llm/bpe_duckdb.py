@@ -21,7 +21,8 @@ from .memory import Pieces, held
 from .text import as_text, byte_slices, slices
 
 LONG = 64  # bytes from which a word's contractions go on in many places at once
-MEMORY = 96 << 20  # bytes of codes that a worker remembers
+SLICE = 3 << 20  # bytes of text that are encoded together
+MEMORY = 448 << 20  # bytes of codes that a worker remembers, unless the caller says less
 
 #: Each step joins neighbouring tokens of a word (key: word << 16 | position) to the merge table and contracts the word's
 #: leftmost pair of least rank; words without a pair drop out, and a word's last step is its encoding.
@@ -189,19 +190,19 @@ class Codec:
         return out
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memory: int = MEMORY) -> Codec:
     """Kept for the tasks of one Python worker."""
-    return held(("duckdb", path, pattern), lambda: Codec(path, pattern))
+    return held(("duckdb", path, pattern, memory), lambda: Codec(path, pattern, most=memory))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", memory: int = MEMORY) -> DataFrame:
     """Add ``ids_col`` (array<int>) with the BPE ids of every whole text; a null text has no ids. Other columns stay."""
     at, kinds = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, memory)
         for batch in batches:
-            for rows in byte_slices(batch, at):
+            for rows in byte_slices(batch, at, SLICE):
                 ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode(as_text(rows.column(at)))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, ids_col])
 
@@ -225,17 +226,18 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_ids",
     return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add(bytes_col, T.BinaryType()))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Encode every whole text, decode the ids, and give digests: ``doc_id``, ``n_tokens``, ``ids_sha256`` (ids as
     little-endian 32-bit integers), ``decoded_sha256``; with ``keep_ids`` the ids too, as ``token_ids``. Null and empty
-    texts have no tokens; rows that share an id or have none give a row each. Nothing is shuffled.
+    texts have no tokens; rows that share an id or have none give a row each. Nothing is shuffled. ``memory`` bounds what
+    a Python worker remembers of words it has encoded: less memory, more work.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, sha = codec(path, pattern), lambda b: hashlib.sha256(b).hexdigest()
+        c, sha = codec(path, pattern, memory), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for rows in byte_slices(batch, 1):
+            for rows in byte_slices(batch, 1, SLICE):
                 ids = c.encode(as_text(rows.column(1)))
                 tokens = [np.frombuffer(x, "<u4") for x in ids]
                 columns = [rows.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, c.decode(tokens)), pa.string())]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import sys
+from array import array
 from collections.abc import Callable
 
 _held: dict = {}
@@ -91,10 +92,11 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's code: its words' codes in order."""
-        cut = [t.split(" ") for t in texts]
-        starts = [p.pop(0) for p in cut]
-        number = self.pieces.slots.__getitem__
-        places = [list(map(number, p)) for p in cut]
+        number, starts, places = self.pieces.slots.__getitem__, [], []
+        for t in texts:
+            start, *rest = t.split(" ")
+            starts.append(start)
+            places.append(array("i", map(number, rest)))
         code = self.pieces.learn(self._after_space).__getitem__
         out: list = []
         for start, at in zip(self._learn(starts), places, strict=True):
@@ -104,13 +106,15 @@ class Pieces:
                 out.append(None)
         for i, made in enumerate(out):
             if made is None:
-                out[i] = b"".join(self._learn(self._runs(starts[i], cut[i])))
+                out[i] = b"".join(self._learn(self._runs(texts[i])))
         self.pieces.turn(self.most // 4 * 3)
         self.words.turn(self.most // 4)
         return out
 
     @staticmethod
-    def _runs(start: str, rest: list[str]) -> list[str]:
+    def _runs(text: str) -> list[str]:
+        """The text cut at its places alone, so that white space stays with what is before it."""
+        start, *rest = text.split(" ")
         runs = [[start]]
         for p in rest:
             if not p or p[0].isspace():
