@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from emberline.llm import bpe_duckdb, decontaminate, neardup, quality, queries, secrets
 from emberline.session import ship, stored
 
+#: Bytes of encoded words that a Python worker of the last stage remembers; its executors still hold what earlier stages left in their heaps.
+BPE_MEMORY = 64 << 20
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -36,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe_duckdb.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern(), keep_ids=True)
+    return bpe_duckdb.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern(), keep_ids=True, memory=BPE_MEMORY)
 
 
 STAGES = [
