@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geo import bearing_deg, haversine_m
 from ..functions.times import micros, seconds
+from .grid import dwithin_join
+from .hull import diameters
+from .quantiles import exact_quantiles
 
 
 def _hours(h: float) -> Column:
@@ -127,22 +128,25 @@ def frp_trend(det: DataFrame) -> DataFrame:
     return six.withColumn("change_pct", pct).withColumn("trend", F.when(pct >= 30, "rising").when(pct <= -30, "falling").when(pct.isNotNull(), "stable").otherwise("insufficient"))
 
 
-def cluster_diameter(det: DataFrame, directions: int = 16) -> DataFrame:
-    """Greatest distance between two members of each event.
+def cluster_diameter(det: DataFrame) -> DataFrame:
+    """Greatest distance between two members of each event, exactly (:mod:`.hull`); 0 for a single place."""
+    far = diameters(det.select("event_id", "lat", "lon").distinct(), "event_id")
+    return det.select("event_id").distinct().join(far, "event_id", "left").select("event_id", F.coalesce("diameter_m", F.lit(0.0)).alias("diameter_m"))
+
+
+def attach_secondary(pixels: DataFrame, events: DataFrame, radius_m: float = 5000, window_h: float = 24) -> DataFrame:
+    """Pixels of a second sensor with the nearest existing event: of the same region, within the radius of its last place and the window of its span.
 
-    Only members that are extreme in one of ``directions`` compass directions, or in the four around them that a
-    rounding of the hull can hide, are paired; distinct places only. With up to 64 places an event, all are.
+    ``pixels`` has ``id, acq, lat, lon, region_id``, ``events`` ``event_id, region_id, first_seen, last_seen, latest_lat,
+    latest_lon``. No event is opened: pixels without one keep a null ``event_id``, as do those without a region. Ties go
+    to the least id.
     """
-    places = det.groupBy("event_id", "lat", "lon").agg(F.min("id").alias("id"))
-    sized = places.withColumn("k", F.count("*").over(Window.partitionBy("event_id")))
-    few = sized.where("k <= 64").select("event_id", "id", "lat", "lon")
-    many = sized.where("k > 64")
-    along = [F.col("lat") * math.cos(math.pi * i / directions) + F.col("lon") * F.cos(F.radians("lat")) * math.sin(math.pi * i / directions) for i in range(directions)]
-    ends = many.groupBy("event_id").agg(F.array(*[f(F.struct("id", "lat", "lon"), a) for a in along for f in (F.max_by, F.min_by)]).alias("e")).select("event_id", F.explode(F.array_distinct("e")).alias("e")).select("event_id", "e.id", "e.lat", "e.lon")
-    pts = few.unionByName(ends)
-    other = pts.select("event_id", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    far = pts.join(other, "event_id").where("id < id2").groupBy("event_id").agg(F.max(haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("d"))
-    return det.select("event_id").distinct().join(far, "event_id", "left").select("event_id", F.coalesce("d", F.lit(0.0)).alias("diameter_m"))
+    wait = int(window_h * 3.6e9)
+    e = events.select("event_id", F.col("region_id").alias("_region"), "first_seen", "last_seen", "latest_lat", "latest_lon")
+    fits = (F.col("region_id") == F.col("_region")) & (micros("last_seen") >= micros("acq") - wait) & (micros("first_seen") <= micros("acq") + wait)
+    pairs = dwithin_join(pixels.select("id", "acq", "lat", "lon", "region_id"), e, radius_m, lat_b="latest_lat", lon_b="latest_lon", extra=fits)
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("event_id", "distance_m"), F.struct(F.round("distance_m", 3), "event_id")).alias("b")).select("id", "b.*")
+    return pixels.join(best, "id", "left")
 
 
 def cluster_motion(det: DataFrame) -> DataFrame:
@@ -168,6 +172,7 @@ def priority(events: DataFrame) -> DataFrame:
     Reads ``n_platforms, max_frp, first_seen, last_seen, observations, trend, diameter_m, population_5km, flags,
     evidence_classes`` (arrays of names); nulls add nothing.
     """
+    # fixed values: names of factors and their points
     n, frp, obs, pop = F.coalesce("n_platforms", F.lit(0)), F.coalesce("max_frp", F.lit(0.0)), F.coalesce("observations", F.lit(0)), F.coalesce("population_5km", F.lit(0.0))
     minutes = F.greatest(F.lit(0), (micros("last_seen") - micros("first_seen")) / 6e7)
     has = lambda c, name: F.coalesce(F.array_contains(c, name), F.lit(False))
@@ -198,8 +203,10 @@ def atmosphere_level(aerosol: Column, depth: Column) -> Column:
 def latency_health(det: DataFrame, *keys: str) -> DataFrame:
     """Minutes from acquisition to receipt: mean, exact p50 and p95, greatest, how many beyond 90 and 10."""
     m = (micros("received_at") - micros("acq")) / 6e7
-    rows = det.where("received_at is not null and acq is not null").withColumn("m", m)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg("m"), 3).alias("mean_min"), F.round(F.percentile("m", F.lit(0.5)), 3).alias("p50_min"), F.round(F.percentile("m", F.lit(0.95)), 3).alias("p95_min"), F.round(F.max("m"), 3).alias("max_min"),
-        F.count_if(F.col("m") > 90).alias("over_90"), F.count_if(F.col("m") > 10).alias("over_10"),
+    rows = det.where("received_at is not null and acq is not null").select(*keys, F.lit(0).alias("_all"), m.alias("m"))
+    by = list(keys) or ["_all"]
+    plain = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg("m"), 3).alias("mean_min"), F.round(F.max("m"), 3).alias("max_min"), F.count_if(F.col("m") > 90).alias("over_90"), F.count_if(F.col("m") > 10).alias("over_10"),
     )
+    both = plain.join(exact_quantiles(rows, by, "m", {"p50_min": 0.5, "p95_min": 0.95}), by)
+    return both.select(*keys, "n", "mean_min", F.round("p50_min", 3).alias("p50_min"), F.round("p95_min", 3).alias("p95_min"), "max_min", "over_90", "over_10")

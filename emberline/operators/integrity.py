@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros, seconds
 from .events import _hours
+from .quantiles import exact_quantiles
 
 
 def source_coverage(det: DataFrame, sources: DataFrame, runs: DataFrame, as_of, poll_min: int = 15) -> DataFrame:
@@ -30,16 +31,15 @@ def source_coverage(det: DataFrame, sources: DataFrame, runs: DataFrame, as_of,
 def coverage_hourly(det: DataFrame, sources: DataFrame, hours: DataFrame) -> DataFrame:
     """Rows a source and hour of receipt, zeros included (``hours`` and ``sources`` are small dimensions)."""
     n = det.groupBy("source", F.date_trunc("hour", "received_at").alias("hour")).agg(F.count("*").alias("n"))
-    keys = sources.select("source", F.lit(1).alias("_k")).join(hours.select("hour", F.lit(1).alias("_k")), "_k").drop("_k")
+    keys = sources.select("source").crossJoin(hours.select("hour"))  # one row a source, one an hour
     return keys.join(n, ["source", "hour"], "left").fillna(0, ["n"])
 
 
 def baseline(samples: DataFrame, keys: list[str], ready: int = 6) -> DataFrame:
     """Robust baseline of ``value`` by key: count, median, MAD, p10, p90, whether there are enough samples."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    first = samples.groupBy(*keys).agg(F.count("value").alias("n"), q("value", 0.5).alias("median"), q("value", 0.1).alias("p10"), q("value", 0.9).alias("p90"))
-    second = samples.join(first.select(*keys, "median"), keys).groupBy(*keys).agg(q(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    return first.join(second, keys).withColumn("ready", F.col("n") >= ready)
+    first = samples.groupBy(*keys).agg(F.count("value").alias("n")).join(exact_quantiles(samples, keys, "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}), keys)
+    off = samples.join(first.select(*keys, "median"), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("off"))
+    return first.join(exact_quantiles(off, keys, "off", {"mad": 0.5}), keys).withColumn("ready", F.col("n") >= ready)
 
 
 def lag_baseline(det: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def findings_summary(findings: DataFrame) -> DataFrame:
 def watchdog(states: DataFrame, limits: DataFrame, as_of) -> DataFrame:
     """Monitors over their age limit, never run, or with an error."""
     age = F.floor((seconds(F.lit(as_of)) - seconds("last_run")) / 60)
-    j = F.broadcast(limits).join(states, "monitor", "left").withColumn("age_min", age)
+    j = limits.join(states, "monitor", "left").withColumn("age_min", age)
     reason = F.when(F.col("last_run").isNull(), "never_run").when(F.col("error").isNotNull(), "error").when(F.col("age_min") > F.col("limit_min"), "stale")
     return j.withColumn("reason", reason).where("reason is not null").select("monitor", "age_min", "reason")
 
