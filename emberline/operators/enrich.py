@@ -11,15 +11,6 @@ from ..functions.times import micros
 from .grid import dwithin_join, nearest
 
 
-def neighbour_days(events: DataFrame, det: DataFrame, radius_m: float) -> DataFrame:
-    """Distinct other events with a detection near an event before its time ``before``: summed by day, and days."""
-    e = events.select("event_id", "latest_lat", "latest_lon", "before")
-    other = det.select(F.col("event_id").alias("other"), "acq", "lat", "lon")
-    near = dwithin_join(other, e, radius_m, lat_b="latest_lat", lon_b="latest_lon", extra=(F.col("other") != F.col("event_id")) & (F.col("acq") < F.col("before")))
-    daily = near.groupBy("event_id", F.to_date("acq").alias("day")).agg(F.count_distinct("other").alias("n"))
-    return daily.groupBy("event_id").agg(F.sum("n").alias("events"), F.count("*").alias("days"))
-
-
 def history(events: DataFrame, det: DataFrame, archive: DataFrame, radius_m: float = 1000) -> DataFrame:
     """Recurrence within 30, 90 and 365 days before first seen: other live events a day within the radius, archive cells
     within 200 m more; a day counts the greater of both. With a class: persistent, recurrent, occasional, new."""
@@ -35,12 +26,27 @@ def history(events: DataFrame, det: DataFrame, archive: DataFrame, radius_m: flo
     return out.withColumn("hotspot_class", F.when((d >= 10) | (c >= 15), "persistent").when((d >= 3) | (c >= 5), "recurrent").when(c >= 1, "occasional").otherwise("new"))
 
 
-def hotspots_near(archive: DataFrame, lat: float, lon: float, radius_m: float, as_of, days: int, k: int) -> DataFrame:
-    """Archive cells near a point in the last ``days``, by day newest first, then distance."""
-    d = haversine_m(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))
-    rows = archive.withColumn("distance_m", d).where((F.col("distance_m") <= radius_m) & (F.col("day") >= F.date_sub(F.to_date(F.lit(as_of)), days)))
-    per = rows.groupBy("day", "cell_lat", "cell_lon").agg(F.sum("detection_count").alias("detections"), F.max("max_frp").alias("max_frp"), F.array_sort(F.collect_set("sensor_family")).alias("sensors"), F.min("distance_m").alias("distance_m"))
-    return per.orderBy(F.desc("day"), "distance_m", "cell_lat", "cell_lon").limit(k)
+def hotspots_near(archive: DataFrame, live: DataFrame, lat: float, lon: float, radius_m: float, as_of, days: int, k: int, grid: float = 0.0025) -> DataFrame:
+    """Hotspot cells near a point: archived daily cells and live detections put on the same grid, one row a day and cell.
+
+    Radius (100 to 5000 m), days (1 to 3650) and ``k`` (1 to 50) are kept within their bounds. Newest day first, then by
+    the distance of the mean place. ``archive`` is as :func:`~.ingest.hotspot_daily` gives it, ``live`` has ``acq, lat,
+    lon, instrument, satellite, frp, confidence``.
+    """
+    radius_m, days, k = min(max(radius_m, 100), 5000), min(max(days, 1), 3650), min(max(k, 1), 50)
+    metres = lambda y, x: haversine_m(F.lit(lat), F.lit(lon), F.col(y), F.col(x))
+    name = lambda c: F.nullif(F.trim(c), F.lit(""))
+    old = archive.where((F.col("day") >= F.date_sub(F.to_date(F.lit(as_of)), days)) & (metres("latitude", "longitude") <= radius_m)).select("day", "cell_lat", "cell_lon", "latitude", "longitude", F.col("sensor_family").alias("sensor"), "detection_count", "max_frp", "high_confidence_count", F.lit(False).alias("live"))
+    near = live.where((F.col("acq") >= F.lit(as_of) - F.make_dt_interval(F.lit(days))) & (metres("lat", "lon") <= radius_m))
+    sensor = F.coalesce(name("instrument"), name("satellite"), F.lit("unknown"))
+    new = near.groupBy(F.to_date("acq").alias("day"), F.floor(F.col("lat") / grid).cast("int").alias("cell_lat"), F.floor(F.col("lon") / grid).cast("int").alias("cell_lon"), sensor.alias("sensor")).agg(
+        F.avg("lat").alias("latitude"), F.avg("lon").alias("longitude"), F.count("*").alias("detection_count"), F.max("frp").alias("max_frp"), F.count_if(F.lower("confidence").isin("h", "high")).alias("high_confidence_count"), F.lit(True).alias("live")
+    )
+    per = old.unionByName(new).groupBy("day", "cell_lat", "cell_lon").agg(
+        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.array_sort(F.collect_set("sensor")).alias("sensors"), F.sum("detection_count").alias("detections"), F.max("max_frp").alias("max_frp"),
+        F.sum("high_confidence_count").alias("high_confidence"), F.when(F.bool_or("live"), "live").otherwise("archive").alias("kind"),
+    )
+    return per.withColumn("distance_m", F.round(metres("latitude", "longitude"))).where(metres("latitude", "longitude") <= radius_m).orderBy(F.desc("day"), "distance_m", "cell_lat", "cell_lon").limit(k)
 
 
 def sensor_latest(obs: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def frame_match(events: DataFrame, frames: DataFrame, minutes: int = 20) -> Data
     """The nearest frame within 20 minutes; events before the first frame less that lack history."""
     first = frames.agg((F.min(micros("frame_at")) - minutes * 60_000_000).alias("_first"))
     hit = nearest_in_time(events.select("event_id", "first_seen"), frames, "event_id", "first_seen", "frame_at", minutes * 60).select("event_id", "frame_at", "offset_us")
-    out = events.select("event_id", "first_seen").join(hit, "event_id", "left").join(F.broadcast(first))
+    out = events.select("event_id", "first_seen").join(hit, "event_id", "left").crossJoin(first)  # one row
     return out.select("event_id", "frame_at", F.when(F.col("frame_at").isNotNull(), "matched").when(micros("first_seen") < F.col("_first"), "history_unavailable").otherwise("no_frame").alias("status"))
 
 
@@ -152,59 +158,11 @@ def landcover_context(events: DataFrame, features: DataFrame, radius_m: float =
     return per.groupBy("event_id").agg(F.max_by("category", F.struct(F.round("score", 6), "category")).alias("category"), F.round(F.max("score"), 3).alias("score"))
 
 
-def exposure(df: DataFrame) -> DataFrame:
-    """Land-exposure class of a place from soft scores of built-up share, population and mapped land use, with a confidence.
-
-    A score rises from 0 to 1 between two bounds (stated below as fixed values). The first rule that holds names the
-    class; without any input it is ``unknown``. ``completeness`` is 0.6 for raster values and 0.4 for mapped objects;
-    confidence grows with it and with the lead of the best score. Missing counts are 0, missing densities say nothing.
-    """
-    count = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    up = lambda v, lo, hi: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo))), F.lit(0.0))
-    down = lambda v, lo, hi: F.when(v.isNull(), 0.0).otherwise(1 - up(v, lo, hi))
-    built, pop = F.col("built_fraction_1km_pct"), F.col("population_1km")
-    ind, forest_n, farm_n = count("industrial_landuse"), count("forest_landuse"), count("agricultural_landuse")
-    urban_land = F.greatest(F.lit(1.0), count("residential_landuse") + ind + count("commercial_landuse") + count("retail_landuse"))
-    all_land = F.greatest(F.lit(1.0), urban_land + forest_n + farm_n)
-    density = F.when(F.col("area_km2") > 0, count("buildings") / F.col("area_km2"))
-    activity = count("amenities") + count("shops") + count("offices") + count("transport")
-    open_land = 0.55 + 0.45 * down(built, 4, 18)
-    scores = {
-        "dense_urban": F.greatest(up(built, 22, 45), up(pop, 5000, 16000), up(density, 80, 300)),
-        "urban": F.greatest(up(built, 9, 25), up(pop, 1800, 7000), up(density, 25, 120), up(activity, 15, 100)),
-        "suburban": F.greatest(up(built, 3, 12), up(pop, 350, 2500), up(density, 5, 45)),
-        "industrial": F.greatest(up(ind, 1, 8), up(count("industrial_objects"), 1, 16), up(ind / urban_land, 0.18, 0.65)),
-        "forest": F.greatest(up(forest_n, 1, 5), up(forest_n / all_land, 0.25, 0.7)) * open_land,
-        "agricultural": F.greatest(up(farm_n, 1, 5), up(farm_n / all_land, 0.25, 0.7)) * open_land,
-        "rural": F.least(down(built, 2, 8), down(pop, 200, 1200), down(density, 2, 20)),
-    }
-    df = df.withColumns({f"_{k}": v for k, v in scores.items()})
-    s = {k: F.col(f"_{k}") for k in scores}
-    nature = F.greatest(s["forest"], s["agricultural"])
-    mixed = F.greatest(
-        F.when((s["industrial"] >= 0.45) & (s["urban"] >= 0.35), F.least(F.lit(1.0), (s["urban"] + s["industrial"]) / 1.35)).otherwise(0.0),
-        F.when(F.least(s["forest"], s["agricultural"]) >= 0.42, F.least(F.lit(1.0), (s["forest"] + s["agricultural"]) / 1.25)).otherwise(0.0),
-        F.when((nature >= 0.38) & (s["suburban"] >= 0.35), F.least(F.lit(1.0), (nature + s["suburban"]) / 1.3)).otherwise(0.0),
-    )
-    df = df.withColumn("_mixed", mixed)
-    raster = F.coalesce(pop, built, F.col("population_5km"), F.col("built_fraction_5km_pct")).isNotNull()
-    mapped = (count("total") > 0) | (count("buildings") > 0)
-    kind = (
-        F.when(~raster & ~mapped, "unknown").when(F.col("_mixed") >= 0.62, "mixed").when((s["industrial"] >= 0.68) & (count("residential_landuse") / urban_land < 0.35), "industrial")
-        .when((s["forest"] >= 0.64) & (s["forest"] >= s["agricultural"] + 0.08), "forest").when((s["agricultural"] >= 0.64) & (s["agricultural"] >= s["forest"] + 0.08), "agricultural")
-        .when(s["dense_urban"] >= 0.62, "dense_urban").when(s["urban"] >= 0.48, "urban").when(s["suburban"] >= 0.38, "suburban").otherwise("rural")
-    )
-    ranked = F.array_sort(F.array(*(F.col(f"_{k}") for k in [*scores, "mixed"])))
-    lead = F.greatest(F.lit(0.0), ranked[len(scores)] - ranked[len(scores) - 1])
-    complete = F.when(raster, 0.6).otherwise(0.0) + F.when(mapped, 0.4).otherwise(0.0)
-    sure = F.greatest(F.lit(0.35), F.least(F.lit(0.96), 0.48 + 0.27 * complete + 0.25 * F.least(F.lit(1.0), lead / 0.5)))
-    out = df.withColumn("exposure", kind).withColumn("completeness", complete)
-    return out.withColumn("confidence", F.when(F.col("exposure") == "unknown", 0.0).otherwise(F.round(sure, 3))).drop(*(f"_{k}" for k in [*scores, "mixed"]))
-
-
 def nearby_places(events: DataFrame, places: DataFrame, radius_m: float, k: int = 15) -> DataFrame:
-    """The nearest ``k`` named places of each event; one row an id."""
-    p = places.where("name is not null and trim(name) <> ''").dropDuplicates(["place_id"]).withColumnsRenamed({"lat": "plat", "lon": "plon"})
+    """The nearest ``k`` named places of each event; of rows that share an id the least counts."""
+    rest = [c for c in places.columns if c != "place_id"]
+    one = places.where("name is not null and trim(name) <> ''").groupBy("place_id").agg(F.min(F.struct(*rest)).alias("r"))
+    p = one.select("place_id", "r.*").withColumnsRenamed({"lat": "plat", "lon": "plon"})
     pairs = dwithin_join(p, events.select("event_id", "latest_lat", "latest_lon"), radius_m, "plat", "plon", "latest_lat", "latest_lon")
     return nearest(pairs, "event_id", [F.round("distance_m"), "place_id"], k, "rank")
 
@@ -268,7 +226,7 @@ def family_summary(lines: DataFrame, scales: DataFrame) -> DataFrame:
     """The best proximity of each family, 1 less offset over scale (60 s at least), in per cent; the first on ties."""
     scale = F.greatest(F.lit(60.0), F.coalesce("scale_seconds", "default_scale", F.lit(21600.0)))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs("offset_seconds") / scale))
-    each = lines.join(F.broadcast(scales), "family").withColumn("p", p)
+    each = lines.join(scales, "family").withColumn("p", p)
     return each.groupBy("event_id", "family").agg(F.count("*").alias("n"), F.max_by("offset_seconds", F.struct("p", (-F.col("n")).alias("o"))).alias("best_offset_seconds"), round_half_up(F.max("p") * 100).cast("long").alias("proximity"), F.first("weight").alias("weight"))
 
 
@@ -293,7 +251,7 @@ def temporal_flags(lines: DataFrame, family: str) -> DataFrame:
 def topk_by_time(items: DataFrame, limits: DataFrame) -> DataFrame:
     """The items nearest in time of each event and type, as many as ``limits`` (type, k) says."""
     w = Window.partitionBy("event_id", "type").orderBy(F.abs(micros("source_time") - micros("reference")), "item_id")
-    return items.join(F.broadcast(limits), "type").withColumn("rank", F.row_number().over(w)).where("rank <= k").drop("k")
+    return items.join(limits, "type").withColumn("rank", F.row_number().over(w)).where("rank <= k").drop("k")
 
 
 def changed_only(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
