@@ -1,7 +1,8 @@
-"""The same operators on streams: dedup, late rows, hourly coverage, sessions and stateful clustering."""
+"""The same operators on streams: dedup, late rows, hourly coverage, sessions, lifecycle, clustering, and refreshed rollups."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.cluster import Folder
+from ..operators.events import event_rollup
 from ..operators.ingest import detection_hash
 
 
@@ -57,3 +60,80 @@ def lifecycle_stream(stream: DataFrame, close_h: int = 24, late: str = "24 hours
 
     rows = stream.withWatermark("acq", late).select("cell", "acq", F.unix_micros("acq").alias("us"))
     return rows.groupBy("cell").applyInPandasWithState(step, "cell string, first_us long, last_us long, n long, status string", "first_us long, last_us long, n long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def cluster_stream(stream: DataFrame, window_h: float = 24, radius_m: float = 1000, late_h: float = 24) -> DataFrame:
+    """Clustering as rows arrive: ``id, event_id, opened``, as :func:`~..operators.cluster.cluster_events` in ``strict`` mode gives.
+
+    Strict events keep to one region, so a region is a key (rows without one are a key too), and its state is the events
+    that a row may still join: those within the window of the watermark. Rows of a micro-batch are folded by ``received_at``, then
+    id, so the result is the batch's if micro-batches come in that order and no row is later than ``late_h``.
+    """
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        folder = Folder(window_h, radius_m, "strict")
+        if state.exists:
+            folder.restore(json.loads(state.get[0]))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["received_us", "id"])
+        out = []
+        for r in rows.itertuples():
+            event, opened = folder.add(int(r.id), int(r.us), float(r.lat), float(r.lon), float(r.radius_m), int(key[0]))
+            out.append((int(r.id), f"e{event}", opened))
+        oldest = state.getCurrentWatermarkMs() * 1000
+        kept = [{k: v for k, v in e.items() if k != "cell"} for e in folder.open_since(oldest)]
+        state.update((json.dumps(kept),))
+        last = max((e["last"] for e in kept), default=oldest)
+        state.setTimeoutTimestamp(max(last // 1000 + int((window_h + late_h) * 3_600_000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["id", "event_id", "opened"])
+
+    rows = stream.where("acq is not null and lat is not null and lon is not null").withWatermark("acq", f"{int(late_h * 3600)} seconds")
+    rows = rows.select(F.coalesce(F.col("region_id").cast("long"), F.lit(-1)).alias("region"), "acq", F.unix_micros("acq").alias("us"), F.unix_micros("received_at").alias("received_us"), "id", "lat", "lon", F.col("radius_m").cast("double"))
+    return rows.groupBy("region").applyInPandasWithState(step, "id long, event_id string, opened boolean", "events string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def route_late(main: str, late: str, marks: str, late_h: float = 24):
+    """For ``foreachBatch``: rows later than ``late_h`` behind the newest time of earlier batches go to the folder ``late``, others to ``main``.
+
+    Each batch has its own part of the three folders and writes it anew if it is run again; ``marks`` holds each one's newest time.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = lambda path, n=number: f"{path}/batch={n}"
+        newest = batch.agg(F.max(F.unix_micros("acq")).alias("newest"))
+        if number:
+            before = spark.read.schema("newest long, batch long").parquet(marks).where(F.col("batch") < number).agg(F.max("newest").alias("m"))
+            limit = F.coalesce(F.unix_micros("acq") < F.col("m") - int(late_h * 3.6e9), F.lit(False))
+            split = batch.crossJoin(before).withColumn("_late", limit).drop("m")  # one row
+        else:
+            split = batch.withColumn("_late", F.lit(False))
+        split.where("not _late").drop("_late").write.mode("overwrite").parquet(part(main))
+        split.where("_late").drop("_late").write.mode("overwrite").parquet(part(late))
+        newest.write.mode("overwrite").parquet(part(marks))
+
+    return run
+
+
+def refresh_rollups(members: str, rollups: str):
+    """For ``foreachBatch`` over detections with their ``event_id``: keep them, and compute anew the rollups of the events they belong to.
+
+    Only affected events are read again. A batch that is run again writes the same parts. :func:`current_rollups` reads the newest of each.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{members}/batch={number}")
+        known = spark.read.schema(batch.schema.add("batch", "long")).parquet(members).where(F.col("batch") <= number).drop("batch")
+        event_rollup(known.join(batch.select("event_id").distinct(), "event_id", "left_semi")).write.mode("overwrite").parquet(f"{rollups}/batch={number}")
+
+    return run
+
+
+def current_rollups(spark, rollups: str) -> DataFrame:
+    """The rollup that the newest batch wrote of each event."""
+    rows = spark.read.parquet(rollups)
+    rest = [c for c in rows.columns if c not in ("event_id", "batch")]
+    return rows.groupBy("event_id").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("event_id", "r.*")
