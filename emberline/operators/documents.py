@@ -1,7 +1,5 @@
 """Documents about events: normalising, extraction, links, near-duplicate clusters, provenance and the evidence graph."""
 
-from __future__ import annotations
-
 import unicodedata
 
 import pandas as pd
@@ -18,10 +16,11 @@ from .grid import dwithin_join, nearest
 def nfkc(col: Column) -> Column:
     """Unicode compatibility normal form: no built-in function has it."""
 
-    def form(s):
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
 
-    return F.pandas_udf(form, "string", F.PandasUDFType.SCALAR)(col)
+    return form(col)
 
 
 def norm_text(col: Column, compatible: bool = True, most: int | None = 12_000) -> Column:
@@ -37,10 +36,20 @@ def fingerprint(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
-def extract_entities(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lexicon entries (``kind, canonical, pattern, confidence``; a small user table) whose pattern a document holds."""
-    hits = docs.join(F.broadcast(lexicon), F.expr("rlike(text, pattern)"))
-    return hits.groupBy("doc_id", "kind", "canonical").agg(F.max("confidence").alias("confidence"))
+def extract_entities(docs: DataFrame, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
+    """Lexicon entries (``kind, canonical, pattern, confidence``) whose pattern a document holds.
+
+    The lexicon is a user's table of at most ``most`` entries (more are an error): it becomes an array literal, so each
+    document is read once and nothing is joined.
+    """
+    rows = lexicon.select("kind", "canonical", "pattern", F.col("confidence").cast("int").alias("confidence")).where("pattern is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a lexicon of more than {most} patterns")
+    if not rows:
+        return docs.select("doc_id", F.lit("").alias("kind"), F.lit("").alias("canonical"), F.lit(0).alias("confidence")).limit(0)
+    entry = lambda r: F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.canonical).alias("canonical"), F.lit(r.confidence).alias("confidence")))
+    found = docs.select("doc_id", F.explode(F.array_compact(F.array(*map(entry, rows)))).alias("e"))
+    return found.groupBy("doc_id", "e.kind", "e.canonical").agg(F.max("e.confidence").alias("confidence"))
 
 
 def extract_claims(docs: DataFrame, term: str, gap: int = 24, most: int = 10_000) -> DataFrame:
@@ -100,14 +109,60 @@ def cluster_documents(docs: DataFrame, least: float = 0.72, hours: float = 72) -
     return linked.unionByName(docs.join(linked.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("cluster_id")))
 
 
-def link_documents(docs: DataFrame, events: DataFrame, rules: DataFrame, k: int = 25, most_m: float = 100_000, most_h: float = 168) -> DataFrame:
-    """Documents with a place to events, by the window and radius of their source class: scores of place and time, the best ``k`` an event."""
-    d = docs.join(F.broadcast(rules), "source_class").where("lat is not null").withColumnsRenamed({"lat": "dlat", "lon": "dlon"})
-    gap_h = F.abs(micros("published_at") - micros("first_seen")) / 3.6e9
-    pairs = dwithin_join(d, events.select("event_id", "latest_lat", "latest_lon", "first_seen"), most_m, "dlat", "dlon", "latest_lat", "latest_lon", gap_h <= most_h)
-    pairs = pairs.withColumn("gap_h", gap_h).where((F.col("distance_m") <= F.col("radius_m")) & (F.col("gap_h") <= F.col("window_h")))
-    score = F.round(60 * (1 - F.col("distance_m") / F.col("radius_m")) + 40 * (1 - F.col("gap_h") / F.col("window_h")), 3)
-    return nearest(pairs.withColumn("score", score), "event_id", [F.desc("score"), "doc_id"], k, "rank")
+#: Of each kind of source, the greatest distance and time, the points within steps of both, the least points of place and
+#: time together, and how many links a document keeps.
+LINK_RULES = {
+    "quake": {"most_m": 25_000, "most_s": 43_200, "place": ((5000, 55), (15_000, 40), (25_000, 25)), "time": ((3600, 35), (10_800, 25), (43_200, 10)), "least": 50, "k": 5},
+    "alert": {"most_m": 100_000, "most_s": 259_200, "place": ((5000, 50), (25_000, 40), (50_000, 30), (100_000, 15)), "time": ((10_800, 30), (43_200, 24), (86_400, 18), (259_200, 10)), "least": 30, "k": 25},
+    "other": {"most_m": 75_000, "most_s": 259_200, "place": ((5000, 50), (25_000, 40), (50_000, 30), (75_000, 15)), "time": ((10_800, 30), (43_200, 24), (86_400, 18), (259_200, 10)), "least": 30, "k": 25},
+}
+#: Points of an event's place and region in a document's words, their most, and what a document without a place needs.
+LINK_WORDS = {"place": 35, "region": 20, "most": 50, "least": 20, "least_time": 10}
+
+
+def _steps(value: Column, rule: Column, rules: dict, part: str) -> Column:
+    """The points of the first step that holds a value, by a row's rule; 0 beyond the last."""
+    out = F.lit(0)
+    for name, r in rules.items():
+        points = F.lit(0)
+        for most, n in reversed(r[part]):
+            points = F.when(value <= most, n).otherwise(points)
+        out = F.when(rule == name, points).otherwise(out)
+    return out
+
+
+def link_documents(docs: DataFrame, events: DataFrame, rules: dict = LINK_RULES, words: dict = LINK_WORDS) -> DataFrame:
+    """Documents with the events they may be about: ``doc_id, event_id, distance_m, place_score, time_score, text_score, score, rank``.
+
+    ``docs`` has ``doc_id, rule`` (a key of ``rules``), ``published_at, lat, lon, text``; ``events`` ``event_id, last_seen,
+    latest_lat, latest_lon, place, region`` (names, null if unknown). A document with a place meets events within its rule's distance
+    and time, and needs its points of place and time; one without meets those whose place or region its text names, by shared
+    runs of three characters, and needs the points of words and of time. Names of fewer than three characters name nothing.
+    The best of each document stay, by score, then nearness in time.
+    """
+    pick = lambda part: F.coalesce(*(F.when(F.col("rule") == k, r[part]) for k, r in rules.items()))
+    d = docs.select("doc_id", "rule", "published_at", F.col("lat").alias("dlat"), F.col("lon").alias("dlon"), F.lower(F.coalesce("text", F.lit(""))).alias("body")).where(F.col("rule").isin(*rules))
+    e = events.select("event_id", "last_seen", "latest_lat", "latest_lon", F.lower("place").alias("place"), F.lower("region").alias("region"))
+    gap = F.abs(micros("published_at") - micros("last_seen")) / 1e6
+    located = dwithin_join(d.where("dlat is not null and dlon is not null"), e, max(r["most_m"] for r in rules.values()), "dlat", "dlon", "latest_lat", "latest_lon", (gap <= pick("most_s")) & gap.isNotNull())
+    located = located.where(F.col("distance_m") <= pick("most_m"))
+    bare = d.where("dlat is null or dlon is null")
+    slot = int(max(r["most_s"] for r in rules.values()) * 1_000_000)
+    at = lambda c: F.floor(micros(c) / slot)
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - 2, F.lit(1))), lambda i: F.substring(F.col("body"), i, F.lit(3))))
+    spread = bare.select("doc_id", F.explode(heads).alias("g"), F.sequence(at("published_at") - 1, at("published_at") + 1).alias("slots")).select("doc_id", "g", F.explode("slots").alias("slot"))
+    named = e.select("event_id", F.explode(F.array_distinct(F.array_compact(F.array("place", "region")))).alias("name"), at("last_seen").alias("slot")).where("length(name) > 2").select("event_id", "slot", F.substring("name", 1, 3).alias("g"))
+    met = spread.join(named, ["g", "slot"]).select("doc_id", "event_id").distinct()
+    told = met.join(bare, "doc_id").join(e, "event_id").where(gap <= pick("most_s")).withColumn("distance_m", F.lit(None).cast("double"))
+    both = located.unionByName(told.select(*located.columns))
+    holds = lambda c, n: F.when((F.length(c) > 2) & F.contains("body", c), n).otherwise(0)
+    both = both.withColumn("gap_s", gap).withColumns({
+        "place_score": F.when(F.col("distance_m").isNull(), 0).otherwise(_steps(F.col("distance_m"), F.col("rule"), rules, "place")), "time_score": _steps(gap, F.col("rule"), rules, "time"),
+        "text_score": F.least(F.lit(words["most"]), holds("place", words["place"]) + holds("region", words["region"])),
+    }).withColumn("score", F.least(F.lit(100), F.col("place_score") + F.col("time_score") + F.col("text_score")))
+    good = F.when(F.col("distance_m").isNotNull(), F.col("place_score") + F.col("time_score") >= pick("least")).otherwise((F.col("text_score") >= words["least"]) & (F.col("time_score") >= words["least_time"]))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "gap_s", "event_id")
+    return both.where(good).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pick("k")).select("doc_id", "event_id", "distance_m", "place_score", "time_score", "text_score", "score", "rank")
 
 
 def evidence_class(distance_m: Column, hours: Column) -> Column:

@@ -67,7 +67,7 @@ def assign_region(points: DataFrame, regions: DataFrame, key: str, step: float =
 
 def spatial_gate(points: DataFrame, regions: DataFrame, key: str = "idx") -> DataFrame:
     """Per point ``inside`` and ``region_code``, the key kept."""
-    named = assign_region(points, regions.select("region_id", "rings"), key).join(F.broadcast(regions.select("region_id", "code")), "region_id", "left")
+    named = assign_region(points, regions.select("region_id", "rings"), key).join(regions.select("region_id", "code"), "region_id", "left")
     return named.select(key, F.col("region_id").isNotNull().alias("inside"), F.col("code").alias("region_code"))
 
 

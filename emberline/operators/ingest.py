@@ -68,7 +68,7 @@ def retain(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
 
 def choose_source(days: DataFrame, availability: DataFrame) -> DataFrame:
     """For each day and family the most preferred dataset (``rank``) whose span holds the day."""
-    return days.join(F.broadcast(availability), "family").where("day between min_day and max_day").groupBy("family", "day").agg(F.min_by("dataset", F.struct("rank", "dataset")).alias("dataset"))
+    return days.join(availability, "family").where("day between min_day and max_day").groupBy("family", "day").agg(F.min_by("dataset", F.struct("rank", "dataset")).alias("dataset"))
 
 
 def pending(files: DataFrame, processed: DataFrame, key: str = "name") -> DataFrame:
@@ -99,7 +99,7 @@ def clean_html(col: Column) -> Column:
 
 def upsert_documents(base: DataFrame, delta: DataFrame, catalog: DataFrame) -> DataFrame:
     """Merge documents of enabled sources by source and external id; content hash added; a null time or place keeps the old."""
-    good = delta.join(F.broadcast(catalog.where("enabled").select("source_key")), "source_key", "left_semi").where("trim(external_id) <> '' and trim(title) <> ''")
+    good = delta.join(catalog.where("enabled").select("source_key"), "source_key", "left_semi").where("trim(external_id) <> '' and trim(title) <> ''")
     good = good.withColumn("content_hash", F.sha2(F.concat_ws("|", "title", F.coalesce("body", F.lit(""))), 256))
     from .grid import merge_keyed
 

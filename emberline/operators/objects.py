@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
+import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.geo import EARTH_M, bearing_deg, haversine_m, round_half_up, segment_distance_m
+from ..functions.geo import EARTH_M, M_PER_DEGREE, bearing_deg, covers, haversine_m, round_half_up, segment_distance_m
 from ..functions.similarity import alias_similarity, name_similarity, norm_name
 from .components import connected_components
 from .grid import dwithin_join, nearest
@@ -31,6 +33,7 @@ class SpatialPlan:
     ring: tuple[tuple[float, float], ...] = ()
     route: tuple[tuple[float, float], ...] = ()
     corridor_m: float = 0
+    holes: tuple[tuple[tuple[float, float], ...], ...] = ()
 
     def __post_init__(self):
         ok = {"radius": lambda: 100 <= self.radius_m <= 50_000, "nearest": lambda: 1 <= self.k <= 100 and 500 <= self.radius_m <= 100_000, "polygon": lambda: 4 <= len(self.ring) <= 500 and self.box_km2(self.ring) <= 75_000, "route": lambda: 2 <= len(self.route) <= 200 and self.length_m() <= 1_000_000 and 100 <= self.corridor_m <= 20_000 and len(self.windows()) <= 16}
@@ -42,6 +45,12 @@ class SpatialPlan:
         x, y = [p[0] for p in pts], [p[1] for p in pts]
         return (max(x) - min(x)) * 111.32 * max(0.2, math.cos(math.radians((max(y) + min(y)) / 2))) * (max(y) - min(y)) * 111.32
 
+    @staticmethod
+    def ring_km2(pts) -> float:
+        """Planar area of a ring at its mean latitude's scale, as :func:`~..functions.geo.ring_area_km2`."""
+        scale = (M_PER_DEGREE / 1000) ** 2 * math.cos(math.radians(sum(p[1] for p in pts) / len(pts)))
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, (*pts[1:], pts[0]), strict=True))) / 2 * scale
+
     def legs(self) -> list[float]:
         def metres(p, q):
             a, b, c, d = map(math.radians, (p[1], p[0], q[1], q[0]))
@@ -73,6 +82,8 @@ class SpatialPlan:
     def study_area_km2(self) -> float:
         if self.mode == "route":
             return (self.length_m() * 2 * self.corridor_m + math.pi * self.corridor_m**2) / 1e6
+        if self.mode == "polygon":
+            return max(0.0, self.ring_km2(self.ring) - sum(map(self.ring_km2, self.holes)))
         return math.pi * self.radius_m**2 / 1e6
 
 
@@ -86,6 +97,20 @@ def within_radius(points: DataFrame, plan: SpatialPlan) -> DataFrame:
     return out.limit(plan.k) if plan.mode == "nearest" else out
 
 
+def within_polygon(points: DataFrame, *plans: SpatialPlan) -> DataFrame:
+    """Points that a polygon plan covers (its boundary included, its holes not), or any of several: a multipolygon.
+
+    The bounding boxes are a pushable filter; the rings, of at most 500 vertices a plan, are literals of the expression.
+    """
+    tests = []
+    for plan in plans:
+        rings = [F.array(*(F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in r)) for r in (plan.ring, *plan.holes)]
+        x, y = [p[0] for p in plan.ring], [p[1] for p in plan.ring]
+        tests.append((F.col("lon").between(min(x), max(x)) & F.col("lat").between(min(y), max(y)), covers(F.col("lon"), F.col("lat"), F.array(*rings))))
+    box, inside = (functools.reduce(operator.or_, parts) for parts in (next(zip(*tests, strict=True)), [b & c for b, c in tests]))
+    return points.where(box).where(inside)
+
+
 def within_route(points: DataFrame, plan: SpatialPlan) -> DataFrame:
     """Points in the corridor: least distance to a segment (the first on ties), metres along the route, segment index."""
     legs, along = plan.legs(), 0.0

@@ -94,7 +94,7 @@ def read_slstr_frp(spark: SparkSession, path: str, channel: str) -> DataFrame:
     Lines meet their file's header by the file's name; those without numeric coordinates are left out.
     """
     source, radius, resolution = SLSTR[channel]
-    cells = F.transform(F.split(F.lower("value"), ","), F.trim)
+    cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(c))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"))
     head = F.exists("cells", lambda c: c.startswith("lat")) & F.exists("cells", lambda c: c.startswith("lon"))
     heads = lines.where(head).groupBy("file").agg(F.min("cells").alias("names"))
