@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.times import micros
 from ..operators import cluster, enrich, events, grid, ingest, integrity
 from .adapters import AS_OF, DET, IN_REGION, REG, as_of, detections, regions
 from .base import query
@@ -48,9 +49,11 @@ def c3_dedup(spark, d):
     return ingest.dedup(det.unionByName(again)).select("id", "received_at")
 
 
-@query(f"{WI} SELECT count(*) AS received, count(*) FILTER (NOT inside) AS outside, 0::BIGINT AS duplicates, count(*) FILTER (inside) AS inserted FROM (SELECT id, EXISTS (SELECT 1 FROM reg WHERE zone < 3 AND lon BETWEEN west AND east AND lat BETWEEN south AND north) AS inside FROM det)")
+@query(f"{WI}, twice AS (SELECT * FROM det UNION ALL SELECT * REPLACE (id + 1000000000 AS id, received_at + INTERVAL 1 HOUR AS received_at) FROM det WHERE id % 7 = 0) SELECT count(*) AS received, count(*) FILTER (NOT inside) AS outside, count(*) FILTER (inside AND id >= 1000000000) AS duplicates, count(*) FILTER (inside AND id < 1000000000) AS inserted FROM (SELECT id, EXISTS (SELECT 1 FROM reg WHERE zone < 3 AND lon BETWEEN west AND east AND lat BETWEEN south AND north) AS inside FROM twice)")
 def c3_ingest_report(spark, d):
-    return ingest.ingest_report(hashed(spark, d), regions(spark, d).where("zone < 3"))
+    det = hashed(spark, d)
+    again = det.where("id % 7 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "received_at": F.expr("received_at + interval 1 hour")})
+    return ingest.ingest_report(det.unionByName(again), regions(spark, d).where("zone < 3"))
 
 
 @query(f"{WR} SELECT id FROM det WHERE EXISTS (SELECT 1 FROM reg WHERE zone < 3 AND lon BETWEEN west AND east AND lat BETWEEN south AND north)")
@@ -97,11 +100,19 @@ def g12_region_box_area(spark, d):
     return r.select("region_id", "b.*", "area_km2")
 
 
-@query(f"{W}, base AS (SELECT id, frp, confidence FROM det WHERE id % 2 = 0), delta AS (SELECT id, frp + 1 AS frp, CASE WHEN id % 4 = 0 THEN NULL ELSE 'x' END AS confidence FROM det WHERE id % 3 = 0) SELECT coalesce(b.id, d.id) AS id, CASE WHEN d.id IS NULL THEN b.frp ELSE d.frp END AS frp, coalesce(d.confidence, b.confidence) AS confidence FROM base b FULL JOIN delta d ON b.id = d.id")
+@query(f"{W}, delta AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000000 END AS id, frp + 1 AS frp, CASE WHEN id % 4 = 0 THEN NULL ELSE 'x' END AS confidence FROM det) SELECT coalesce(b.id, d.id) AS id, CASE WHEN d.id IS NULL THEN b.frp ELSE d.frp END AS frp, coalesce(d.confidence, b.confidence) AS confidence FROM det b FULL JOIN delta d ON b.id = d.id")
 def g4_merge_keyed(spark, d):
+    """Every detection merged with a changed copy of all of them: even ones replace, odd ones come as new."""
     det = detections(spark, d)
-    delta = det.where("id % 3 = 0").select("id", (F.col("frp") + 1).alias("frp"), F.when(F.col("id") % 4 != 0, "x").alias("confidence"))
-    return grid.merge_keyed(det.where("id % 2 = 0").select("id", "frp", "confidence"), delta, ["id"], keep_old=["confidence"])
+    delta = det.select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000_000)).alias("id"), (F.col("frp") + 1).alias("frp"), F.when(F.col("id") % 4 != 0, "x").alias("confidence"))
+    return grid.merge_keyed(det.select("id", "frp", "confidence"), delta, ["id"], keep_old=["confidence"])
+
+
+@query(f"{W}, delta AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 1000000000 END AS id, frp + 1 AS frp FROM det) SELECT id, frp FROM det UNION ALL SELECT id, frp FROM delta WHERE id >= 1000000000")
+def g4_insert_new(spark, d):
+    det = detections(spark, d).select("id", "frp")
+    delta = det.select((F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000_000)).alias("id"), (F.col("frp") + 1).alias("frp"))
+    return grid.insert_new(det, delta, ["id"])
 
 
 @query(f"{W} SELECT id, 'lat' AS metric, round(lat, 3) AS value FROM det UNION ALL SELECT id, 'frp', round(frp, 3) FROM det")
@@ -122,24 +133,53 @@ def clustered(spark, d, mode="core"):
     return cluster.cluster_events(det.withColumn("radius_m", radius), region_mode=mode)
 
 
-@query()
+FAR = "(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians(e.lat) - radians(o.lat)) / 2), 2) + cos(radians(o.lat)) * cos(radians(e.lat)) * pow(sin((radians(e.lon) - radians(o.lon)) / 2), 2)))))"
+CORE, STRICT = "(e.region IS NULL OR o.region_id IS NULL OR e.region = o.region_id)", "e.region IS NOT DISTINCT FROM o.region_id"
+RADIUS = "CASE WHEN o.resolution_m = 375 THEN 750 ELSE 1000 END"
+
+
+def folded(region, radius, where="true"):
+    """The clustering in SQL: one detection a step of a recursion, in arrival order, with the open events in a list.
+
+    Rows arrive within three hours of their time, so an event 27 hours older than a row meets no later one.
+    """
+    return f"""WITH RECURSIVE {DET}, {REG}, {IN_REGION},
+ord AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY received_at, id) AS i FROM det_r WHERE {where}),
+fold(key, i, event_id, opened, open) USING KEY (key) AS (
+  SELECT -1::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, []::STRUCT(k BIGINT, first TIMESTAMP, last TIMESTAMP, lat DOUBLE, lon DOUBLE, region BIGINT)[]
+  UNION
+  SELECT unnest([-1, id]), i, 'e' || coalesce(best.k, id), best IS NULL, open FROM (
+    SELECT o.id, o.i, best, CASE WHEN best IS NULL THEN list_append(open, {{'k': o.id, 'first': o.acq, 'last': o.acq, 'lat': o.lat, 'lon': o.lon, 'region': o.region_id}})
+      ELSE list_transform(open, lambda e: CASE WHEN e.k <> best.k THEN e WHEN o.acq >= e.last THEN {{'k': e.k, 'first': least(e.first, o.acq), 'last': o.acq, 'lat': o.lat, 'lon': o.lon, 'region': e.region}}
+        ELSE {{'k': e.k, 'first': least(e.first, o.acq), 'last': e.last, 'lat': e.lat, 'lon': e.lon, 'region': e.region}} END) END AS open
+    FROM (SELECT o AS o, list_filter(f.open, lambda e: e.last + INTERVAL 27 HOUR >= o.acq) AS open,
+        list_min(list_filter(list_transform(list_filter(f.open, lambda e: o.acq BETWEEN e.first - INTERVAL 24 HOUR AND e.last + INTERVAL 24 HOUR AND {region}), lambda e: {{'d': {FAR}, 'l': -epoch_us(e.last), 'k': e.k}}), lambda x: x.d <= {radius})) AS best
+      FROM fold f JOIN ord o ON o.i = f.i + 1 WHERE f.key = -1)))"""
+
+
+@query(f"{folded(CORE, RADIUS)} SELECT key AS id, event_id, opened FROM fold WHERE key >= 0")
 def c5_cluster_events(spark, d):
-    """Greedy clustering; its tests hold it against one sequential fold."""
     return clustered(spark, d)
 
 
-@query()
+@query(f"{folded(STRICT, RADIUS)} SELECT key AS id, event_id, opened FROM fold WHERE key >= 0")
 def c6_cluster_events_strict(spark, d):
     return clustered(spark, d, "strict")
 
 
-@query(f"{WI} SELECT region_id, count(*) AS detections, count(DISTINCT id) AS ids, round(max(frp), 3) AS max_frp FROM det_r WHERE region_id IS NOT NULL GROUP BY 1")
+@query(f"""{folded(CORE, 1000, "region_id IS NOT NULL")}, m AS (SELECT d.*, f.event_id AS event FROM det_r d JOIN fold f ON f.key = d.id),
+ e AS (SELECT event, min(region_id) AS region_id, count(*) AS n, max(frp) AS max_frp, count(DISTINCT satellite) AS satellites, (epoch_us(max(acq)) - epoch_us(min(acq))) / 3.6e9 AS hours FROM m GROUP BY 1)
+ SELECT region_id, count(*) AS events, sum(n)::BIGINT AS detections, max(n) AS largest, count(*) FILTER (satellites >= 2) AS confirmed, round(max(max_frp), 3) AS max_frp, round(max(hours), 3) AS longest_h FROM e GROUP BY 1""")
 def event_analytics_by_region(spark, d):
-    """Flagship: area gate, hash dedup, clustering, rollup; detections, FRP (and events, left out of the SQL) by region."""
+    """Flagship: area gate, hash dedup, clustering, rollup; what the clusters of each region are."""
     det = ingest.dedup(grid.assign_region(hashed(spark, d), regions(spark, d), "id").where("region_id is not null"))
     members = det.drop("event_id").join(cluster.cluster_events(det.withColumn("radius_m", F.lit(1000.0))).select("id", "event_id"), "id")
-    per = events.event_rollup(members).join(members.select("event_id", "region_id").distinct(), "event_id")
-    return per.groupBy("region_id").agg(F.sum("observations").alias("detections"), F.sum("observations").alias("ids"), F.round(F.max("max_frp"), 3).alias("max_frp"))
+    per = events.event_rollup(members).join(members.groupBy("event_id").agg(F.min("region_id").alias("region_id")), "event_id")
+    hours = (micros("last_seen") - micros("first_seen")) / 3.6e9
+    return per.groupBy("region_id").agg(
+        F.count("*").alias("events"), F.sum("observations").alias("detections"), F.max("observations").alias("largest"), F.count_if(F.size("satellites") >= 2).alias("confirmed"),
+        F.round(F.max("max_frp"), 3).alias("max_frp"), F.round(F.max(hours), 3).alias("longest_h"),
+    )
 
 
 @query(f"{W}, {ROLL} SELECT * REPLACE (array_to_string(satellites, ',') AS satellites, array_to_string(instruments, ',') AS instruments, array_to_string(sources, ',') AS sources) FROM roll")
@@ -216,9 +256,9 @@ def d2_cluster_diameter(spark, d):
     return events.cluster_diameter(detections(spark, d)).select("event_id", F.round("diameter_m").cast("long").alias("diameter_m"))
 
 
-@query(f"{W}, n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY acq DESC, id DESC) AS n FROM det), c AS (SELECT event_id, avg(lat) FILTER (n BETWEEN 4 AND 6) AS a, avg(lon) FILTER (n BETWEEN 4 AND 6) AS b, avg(lat) FILTER (n <= 3) AS c, avg(lon) FILTER (n <= 3) AS d FROM n WHERE n <= 6 GROUP BY 1) SELECT event_id, round({H.format(a='a', b='b', c='c', d='d')}, 1) AS moved_m FROM c")
+@query(f"{W}, n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY acq DESC, id DESC) AS n FROM det), c AS (SELECT event_id, avg(lat) FILTER (n BETWEEN 4 AND 6) AS a, avg(lon) FILTER (n BETWEEN 4 AND 6) AS b, avg(lat) FILTER (n <= 3) AS c, avg(lon) FILTER (n <= 3) AS d FROM n WHERE n <= 6 GROUP BY 1) SELECT event_id, round({H.format(a='a', b='b', c='c', d='d')}, 1) AS moved_m, round((degrees(atan2(sin(radians(d) - radians(b)) * cos(radians(c)), cos(radians(a)) * sin(radians(c)) - sin(radians(a)) * cos(radians(c)) * cos(radians(d) - radians(b)))) + 360) % 360, 2) AS bearing FROM c")
 def d3_cluster_motion(spark, d):
-    return events.cluster_motion(detections(spark, d)).select("event_id", F.round("moved_m", 1).alias("moved_m"))
+    return events.cluster_motion(detections(spark, d)).select("event_id", F.round("moved_m", 1).alias("moved_m"), F.round("bearing", 2).alias("bearing"))
 
 
 REL = "least(100, CASE latest_confidence WHEN 'h' THEN 70 WHEN 'n' THEN 50 ELSE 25 END + least(15, (observations - 1) * 5) + CASE WHEN len(satellites) >= 2 THEN 10 ELSE 0 END + CASE WHEN max_frp >= 100 THEN 15 WHEN max_frp >= 30 THEN 10 WHEN max_frp >= 10 THEN 5 ELSE 0 END + CASE WHEN hrs >= 3 THEN 10 WHEN hrs >= 1 THEN 5 ELSE 0 END)::INT"
@@ -229,9 +269,13 @@ def d16_reliability(spark, d):
     return events.reliability(events.event_rollup(detections(spark, d))).select("event_id", "reliability", "reliability_level")
 
 
-PRI = f"""pri AS (SELECT r.event_id, last_seen, least(100, CASE WHEN np >= 3 THEN 25 WHEN np = 2 THEN 18 ELSE 8 END + CASE WHEN max_frp >= 100 THEN 25 WHEN max_frp >= 50 THEN 20 WHEN max_frp >= 20 THEN 14 WHEN max_frp >= 5 THEN 7 WHEN max_frp > 0 THEN 3 ELSE 0 END
- + CASE WHEN mins >= 180 THEN 10 WHEN mins >= 60 THEN 7 WHEN mins >= 15 THEN 4 ELSE 0 END + CASE WHEN observations >= 10 THEN 10 WHEN observations >= 5 THEN 7 WHEN observations >= 2 THEN 4 ELSE 1 END
- + CASE WHEN site % 3 = 0 THEN 8 WHEN site % 3 = 1 THEN 3 ELSE 0 END + CASE WHEN site % 2 = 0 THEN 2 ELSE 0 END + least(15, CASE WHEN site * 700 >= 50000 THEN 10 WHEN site * 700 >= 10000 THEN 8 WHEN site * 700 >= 1000 THEN 5 WHEN site > 0 THEN 2 ELSE 0 END + CASE WHEN site % 4 = 0 THEN 5 ELSE 0 END) + CASE WHEN site % 5 = 0 THEN 1 ELSE 0 END)::INT AS priority
+POINTS = {
+    "satellite_confirmation": "CASE WHEN np >= 3 THEN 25 WHEN np = 2 THEN 18 ELSE 8 END", "thermal_intensity": "CASE WHEN max_frp >= 100 THEN 25 WHEN max_frp >= 50 THEN 20 WHEN max_frp >= 20 THEN 14 WHEN max_frp >= 5 THEN 7 WHEN max_frp > 0 THEN 3 ELSE 0 END",
+    "persistence": "CASE WHEN mins >= 180 THEN 10 WHEN mins >= 60 THEN 7 WHEN mins >= 15 THEN 4 ELSE 0 END + CASE WHEN observations >= 10 THEN 10 WHEN observations >= 5 THEN 7 WHEN observations >= 2 THEN 4 ELSE 1 END",
+    "dynamics": "CASE WHEN site % 3 = 0 THEN 8 WHEN site % 3 = 1 THEN 3 ELSE 0 END + CASE WHEN site % 2 = 0 THEN 2 ELSE 0 END",
+    "civilian_context": "least(15, CASE WHEN site * 700 >= 50000 THEN 10 WHEN site * 700 >= 10000 THEN 8 WHEN site * 700 >= 1000 THEN 5 WHEN site > 0 THEN 2 ELSE 0 END + CASE WHEN site % 4 = 0 THEN 5 ELSE 0 END)", "independent_context": "CASE WHEN site % 5 = 0 THEN 1 ELSE 0 END",
+}
+PRI = f"""pri AS (SELECT r.event_id, last_seen, least(100, {" + ".join(POINTS.values())})::INT AS priority, array_to_string(list_filter([{", ".join(f"CASE WHEN {v} > 0 THEN '{k}=' || ({v}) END" for k, v in POINTS.items())}], lambda x: x IS NOT NULL), ',') AS reasons
  FROM (SELECT *, (epoch_us(last_seen) - epoch_us(first_seen)) / 6e7 AS mins, substr(event_id, 2)::INT AS site FROM roll) r JOIN (SELECT event_id, count(DISTINCT {KEY}) AS np FROM det GROUP BY 1) USING (event_id))"""
 
 
@@ -243,9 +287,10 @@ def prioritised(spark, d):
     return events.priority(e), as_of(det)
 
 
-@query(f"{W}, {ROLL}, {PRI} SELECT event_id, priority, CASE WHEN priority >= 75 THEN 'high' WHEN priority >= 55 THEN 'elevated' WHEN priority >= 30 THEN 'normal' ELSE 'low' END AS priority_level FROM pri")
+@query(f"{W}, {ROLL}, {PRI} SELECT event_id, priority, reasons, CASE WHEN priority >= 75 THEN 'high' WHEN priority >= 55 THEN 'elevated' WHEN priority >= 30 THEN 'normal' ELSE 'low' END AS priority_level FROM pri")
 def d17_priority(spark, d):
-    return prioritised(spark, d)[0].select("event_id", "priority", "priority_level")
+    told = F.transform("reasons", lambda x: F.concat_ws("=", x["factor"], x["points"].cast("string")))
+    return prioritised(spark, d)[0].select("event_id", "priority", "priority_level", F.array_join(told, ",").alias("reasons"))
 
 
 @query(f"{W}, {ROLL}, {PRI} SELECT event_id, priority FROM pri WHERE last_seen >= {AS_OF} - INTERVAL 48 HOUR AND priority >= 60 ORDER BY priority DESC, last_seen DESC, event_id LIMIT 25")
@@ -366,7 +411,19 @@ def f9_diagnostics(spark, d):
     return integrity.diagnostics(det, det.where("site % 9 <> 0").select("event_id").distinct(), regions(spark, d))
 
 
-@query(f"{W}, {ROLL}, l AS (SELECT DISTINCT d.event_id, e.event_id AS other, d.acq::DATE AS day, 1 AS k, d.frp FROM roll r JOIN det d ON d.event_id <> r.event_id AND d.acq < r.first_seen + INTERVAL 20 DAY AND {H.format(a='r.latest_lat', b='r.latest_lon', c='d.lat', d='d.lon')} <= 60000 JOIN roll e ON e.event_id = r.event_id), t AS (SELECT other AS event_id, day, count(DISTINCT event_id) AS n FROM l GROUP BY 1, 2) SELECT event_id, sum(n)::BIGINT AS events, count(*) AS days FROM t GROUP BY 1")
+NEAR = H.format(a="r.latest_lat", b="r.latest_lon", c="d.lat", d="d.lon")
+
+
+@query(f"""{W}, {ROLL}, r AS (SELECT event_id, latest_lat, latest_lon, first_seen + INTERVAL 20 DAY AS first_seen FROM roll),
+ live AS (SELECT r.event_id, r.first_seen, d.acq::DATE AS day, count(DISTINCT d.event_id) AS n FROM r JOIN det d ON d.event_id <> r.event_id AND d.acq < r.first_seen AND abs(d.lat - r.latest_lat) < 0.3 AND {NEAR} <= 25000 GROUP BY ALL),
+ cells AS (SELECT source, acq::DATE - 40 AS day, avg(lat) AS lat, avg(lon) AS lon FROM det GROUP BY source, acq::DATE, floor(lat / 0.05), floor(lon / 0.05)),
+ old AS (SELECT r.event_id, r.first_seen, d.day, count(*) AS n FROM r JOIN cells d ON d.day < r.first_seen::DATE AND abs(d.lat - r.latest_lat) < 0.3 AND {NEAR} <= 25200 GROUP BY ALL),
+ days AS (SELECT event_id, first_seen, day, max(n) AS n, first_seen::DATE - day AS age FROM (FROM live UNION ALL FROM old) GROUP BY 1, 2, 3),
+ per AS (SELECT event_id, sum(n) FILTER (age <= 30) AS e30, count(*) FILTER (age <= 30) AS d30, sum(n) FILTER (age <= 90) AS e90, count(*) FILTER (age <= 90) AS d90, sum(n) FILTER (age <= 365) AS e365, count(*) FILTER (age <= 365) AS d365 FROM days GROUP BY 1),
+ z AS (SELECT r.event_id, coalesce(e30, 0)::BIGINT AS events_30d, coalesce(d30, 0) AS days_30d, coalesce(e90, 0)::BIGINT AS events_90d, coalesce(d90, 0) AS days_90d, coalesce(e365, 0)::BIGINT AS events_365d, coalesce(d365, 0) AS days_365d FROM r LEFT JOIN per USING (event_id))
+ SELECT *, CASE WHEN days_365d >= 10 OR events_365d >= 15 THEN 'persistent' WHEN days_365d >= 3 OR events_365d >= 5 THEN 'recurrent' WHEN events_365d >= 1 THEN 'occasional' ELSE 'new' END AS hotspot_class FROM z""")
 def d4_history(spark, d):
+    """Recurrence around each event before a day twenty days in, with an archive of cells forty days older."""
     det = detections(spark, d)
-    return enrich.neighbour_days(events.event_rollup(det).withColumn("before", F.expr("first_seen + interval 20 day")), det, 60000)
+    archive = ingest.hotspot_daily(det, 0.05, "source").withColumn("day", F.date_sub("day", 40))
+    return enrich.history(events.event_rollup(det).withColumn("first_seen", F.expr("first_seen + interval 20 day")), det, archive, 25000)

@@ -184,12 +184,21 @@ def h7_report_coverage(spark, d):
     return production.report_coverage(parts.select("event_id", "source", (F.col("site") % 3 != 0).alias("applicable"), (F.col("n") >= 2).alias("active")))
 
 
-@query(f"{W}, {ROLL}, s AS (SELECT event_id, count(DISTINCT source) AS n FROM det GROUP BY 1), g AS (SELECT event_id, max(frp) AS frp FROM det WHERE site % 3 = 0 GROUP BY 1) SELECT r.event_id, observations, s.n AS sources, round(g.frp, 3) AS peak, CASE WHEN g.event_id IS NULL THEN 'not_cached' ELSE 'ready' END AS trend_status FROM roll r JOIN s USING (event_id) LEFT JOIN g USING (event_id)")
+@query(f"""{W}, {ROLL}, s AS (SELECT event_id, count(DISTINCT source) AS n, count(*) FILTER (id % 4 = 0) AS docs FROM det GROUP BY 1), g AS (SELECT event_id, max(frp) AS frp FROM det WHERE site % 3 = 0 GROUP BY 1), t AS (SELECT event_id, substr(event_id, 2)::INT AS k FROM roll)
+ SELECT r.event_id, observations, s.n AS sources, round(g.frp, 3) AS peak, CASE WHEN g.event_id IS NULL THEN 'not_cached' ELSE 'ready' END AS trend_status, CASE WHEN k % 4 = 0 THEN 'error' ELSE 'ready' END AS ground_status, CASE WHEN k % 2 = 0 THEN latest_confidence END AS level, CASE WHEN k % 2 = 0 THEN 'ready' ELSE 'not_cached' END AS atmosphere_status,
+ nullif(docs, 0) AS documents, CASE WHEN docs = 0 THEN 'not_cached' ELSE 'ready' END AS documents_status, round((epoch_us(last_seen) - epoch_us(first_seen)) / 3.6e9, 3) AS hours FROM roll r JOIN s USING (event_id) JOIN t USING (event_id) LEFT JOIN g USING (event_id)""")
 def h8_evidence_bundle(spark, d):
+    """Seven parts of an event's evidence, some missing for some events, one with a status of its own."""
     det = detections(spark, d)
-    roll = events.event_rollup(det)
-    parts = {"core": roll.select("event_id", "observations"), "provenance": det.groupBy("event_id").agg(F.count_distinct("source").alias("n")), "trend": det.where("site % 3 = 0").groupBy("event_id").agg(F.max("frp").alias("frp"))}
-    return enrich.event_context(roll, parts).select("event_id", "core.observations", F.col("provenance.n").alias("sources"), F.round("trend.frp", 3).alias("peak"), "trend_status")
+    roll = events.event_rollup(det).withColumn("k", F.substring("event_id", 2, 20).cast("int"))
+    hours = (F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 3.6e9
+    parts = {
+        "core": roll.select("event_id", "observations"), "provenance": det.groupBy("event_id").agg(F.count_distinct("source").alias("n")), "trend": det.where("site % 3 = 0").groupBy("event_id").agg(F.max("frp").alias("frp")),
+        "ground": roll.select("event_id", F.lit(1).alias("sensors"), F.when(F.col("k") % 4 == 0, "error").alias("status")), "atmosphere": roll.where("k % 2 = 0").select("event_id", F.col("latest_confidence").alias("level")),
+        "documents": det.where("id % 4 = 0").groupBy("event_id").agg(F.count("*").alias("n")), "timeline": roll.select("event_id", hours.alias("hours")),
+    }
+    out = enrich.event_context(roll, parts)
+    return out.select("event_id", "core.observations", F.col("provenance.n").alias("sources"), F.round("trend.frp", 3).alias("peak"), "trend_status", "ground_status", "atmosphere.level", "atmosphere_status", F.col("documents.n").alias("documents"), "documents_status", F.round("timeline.hours", 3).alias("hours"))
 
 
 ENT = "ent AS (SELECT site::VARCHAR AS entity_id, count(DISTINCT source) AS n_sources, max(frp) AS confidence FROM det GROUP BY 1)"
@@ -258,12 +267,23 @@ def p19_settlement_target(spark, d):
     return search.settlement_target(q, places).select("query", "place_id", "name_score", "radius_m")
 
 
-@query(f"WITH k AS (SELECT n_nationkey AS id, {NORM.format(x='n_name')} AS n FROM nation) SELECT a.id AS entity_id, b.id AS dataset_id, 90 AS score, 'probable' AS status FROM k a JOIN k b ON contains('map of ' || b.n, a.n)")
+WORDS = "list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) > {k}))"
+ALIKE = "CASE WHEN {x} = {y} THEN 1.0 WHEN length({x}) >= 6 AND contains({y}, {x}) OR length({y}) >= 6 AND contains({x}, {y}) THEN 0.92 ELSE greatest(coalesce(2.0 * list_sum(list_transform(list_distinct({g}), lambda g: least(len(list_filter({g}, lambda z: z = g)), len(list_filter({h}, lambda z: z = g))))) / nullif(len({g}) + len({h}), 0), 0), coalesce(len(list_intersect({wx}, {wy})) / nullif(len(list_distinct(list_concat({wx}, {wy}))), 0), 0)) END"
+
+
+def alike(x, y):
+    return ALIKE.format(x=x, y=y, g=f"g{x}", h=f"g{y}", wx=WORDS.format(x=x, k=1), wy=WORDS.format(x=y, k=1))
+
+
+@query(f"""WITH e AS (SELECT min(p_partkey) AS entity_id, {NORM.format(x="p_name")} AS n FROM part GROUP BY p_name), ds AS (SELECT min(p_partkey) AS dataset_id, {NORM.format(x="p_name || CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN ' register' ELSE ' map' END")} AS t, {NORM.format(x="p_brand || ' ' || p_name")} AS p FROM part GROUP BY ALL),
+ b AS (SELECT *, {BI.format(x="n")} AS gn, {BI.format(x="t")} AS gt, {BI.format(x="p")} AS gp FROM e JOIN ds ON len(list_intersect({WORDS.format(x="n", k=2)}, list_concat({WORDS.format(x="t", k=2)}, {WORDS.format(x="p", k=2)}))) > 0),
+ s AS (SELECT entity_id, dataset_id, CASE WHEN n = t THEN 96 WHEN contains(t, n) THEN 90 WHEN n = p THEN 88 ELSE round(100 * greatest({alike("n", "t")}, 0.88 * {alike("n", "p")}))::INT END AS score FROM b) SELECT *, CASE WHEN score >= 86 THEN 'probable' ELSE 'candidate' END AS status FROM s WHERE score >= 55""")
 def p22_link_registry(spark, d):
-    n = table(spark, d, "nation")
-    registry = n.select(F.col("n_nationkey").alias("dataset_id"), F.concat(F.lit("map of "), "n_name").alias("title"), F.concat(F.lit("office "), "n_nationkey").alias("publisher"))
-    found = objects.link_registry(n.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name")), registry)
-    return found.where(F.col("score") == 90)
+    """Names of parts as entities against a register of their names, with words added or not, by publishers that carry a name too."""
+    p = table(spark, d, "part")
+    title = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " register").otherwise(" map"))
+    registry = p.groupBy(title.alias("title"), F.concat_ws(" ", "p_brand", "p_name").alias("publisher")).agg(F.min("p_partkey").alias("dataset_id"))
+    return objects.link_registry(p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")), registry)
 
 
 GEO = "k AS (SELECT doc_id, doc_id % 4 AS e, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..operators import enrich, events, grid, objects
+from ..operators import enrich, events, exposure, grid, objects
 from .adapters import AS_OF, DET, IN_REGION, REG, as_of, detections, regions, table
 from .base import query
 from .core import ROLL, H, flat
@@ -108,11 +108,11 @@ def d8_nearest_pixel(spark, d):
     return enrich.nearest_pixel(events.event_rollup(det), px).select("event_id", "value")
 
 
-@query(f"{W}, {ROLL}, j AS (SELECT r.event_id, i.frp, {HR} AS m FROM det i JOIN roll r ON abs(i.lat - r.latest_lat) < 0.2) SELECT event_id, round(coalesce(sum(frp) FILTER (m <= 1000), 0), 3) AS population_1km, round(coalesce(sum(frp) FILTER (m <= 10000), 0), 3) AS population_10km FROM j WHERE m <= 10000 GROUP BY 1")
+@query(f"{W}, {ROLL}, j AS (SELECT r.event_id, i.frp, {HR} AS m FROM det i JOIN roll r ON abs(i.lat - r.latest_lat) < 0.2) SELECT event_id, round(coalesce(sum(frp) FILTER (m <= 1000), 0), 3) AS population_1km, round(coalesce(sum(frp) FILTER (m <= 10000), 0), 3) AS population_10km, round(least(100.0, 100 * coalesce(sum(frp * 1000) FILTER (m <= 5000), 0) / (3.141592653589793 * 2.5e7)), 6) AS built_pct_5km FROM j WHERE m <= 10000 GROUP BY 1")
 def d10_ring_stats(spark, d):
     det = detections(spark, d)
     px = det.select("lat", "lon", F.col("frp").alias("population"), (F.col("frp") * 1000).alias("built_m2"))
-    return enrich.ring_stats(events.event_rollup(det), px).select("event_id", F.round("population_1km", 3).alias("population_1km"), F.round("population_10km", 3).alias("population_10km"))
+    return enrich.ring_stats(events.event_rollup(det), px).select("event_id", F.round("population_1km", 3).alias("population_1km"), F.round("population_10km", 3).alias("population_10km"), F.round("built_pct_5km", 6).alias("built_pct_5km"))
 
 
 @query(f"{W}, {ROLL}, f AS (SELECT DISTINCT date_trunc('hour', acq) AS frame_at FROM det WHERE acq >= TIMESTAMP '2024-01-01 04:00:00'), j AS (SELECT event_id, frame_at, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(frame_at) - epoch_us(first_seen)), frame_at) AS n FROM roll JOIN f ON abs(epoch_us(frame_at) - epoch_us(first_seen)) <= 1200000000) SELECT r.event_id, j.frame_at, CASE WHEN j.frame_at IS NOT NULL THEN 'matched' WHEN first_seen < (SELECT min(frame_at) FROM f) - INTERVAL 20 MINUTE THEN 'history_unavailable' ELSE 'no_frame' END AS status FROM roll r LEFT JOIN j ON r.event_id = j.event_id AND n = 1")
@@ -122,12 +122,15 @@ def d12_frame_match(spark, d):
     return enrich.frame_match(events.event_rollup(det), frames)
 
 
-@query(f"{W}, c AS (SELECT site % 25 AS region_id, acq AS changed_at, id % 2 = 0 AS state FROM det WHERE id % 5 = 0), e AS (SELECT id AS event_id, site % 25 AS region_id, acq AS first_seen FROM det WHERE id % 5 <> 0) SELECT event_id, c.state FROM e ASOF LEFT JOIN c ON e.region_id = c.region_id AND e.first_seen >= c.changed_at")
+@query(f"""{W}, c AS (SELECT site % 25 AS region_id, acq AS changed_at, id % 2 = 0 AS state FROM det WHERE id % 5 = 0), e AS (SELECT id AS event_id, site % 25 AS region_id, acq AS first_seen FROM det WHERE id % 5 <> 0),
+ s AS (SELECT event_id, c.state, c.changed_at FROM e ASOF LEFT JOIN c ON e.region_id = c.region_id AND e.first_seen >= c.changed_at), n AS (SELECT event_id, min(abs(epoch_us(c.changed_at) - epoch_us(e.first_seen))) / 1e6 AS start_s FROM e JOIN c ON e.region_id = c.region_id AND c.state AND abs(epoch_us(c.changed_at) - epoch_us(e.first_seen)) <= 21600000000 GROUP BY 1)
+ SELECT s.event_id, state, CASE WHEN changed_at IS NULL THEN 'history_unavailable' WHEN state THEN 'during' WHEN start_s <= 1800 THEN 'within_30m' WHEN start_s <= 7200 THEN 'within_2h' ELSE 'none' END AS relation, (floor(start_s / 300 + 0.5) * 5)::BIGINT AS start_min FROM s LEFT JOIN n USING (event_id)""")
 def d13_interval_context(spark, d):
+    """Every fifth detection changes its region's state; the others are looked up."""
     det = detections(spark, d).withColumn("region_id", F.col("site") % 25)
     ch = det.where("id % 5 = 0").select("region_id", F.col("acq").alias("changed_at"), (F.col("id") % 2 == 0).alias("state"))
     e = det.where("id % 5 <> 0").select(F.col("id").alias("event_id"), "region_id", F.col("acq").alias("first_seen"))
-    return enrich.interval_context(e, ch).select("event_id", "state")
+    return enrich.interval_context(e, ch).select("event_id", "state", "relation", "start_min")
 
 
 @query(f"{W} SELECT event_id, count(*) AS n, array_to_string(list(id ORDER BY acq, id), ',') AS ids FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY acq DESC, id DESC) AS k FROM det) WHERE k <= 30 GROUP BY 1")
@@ -141,25 +144,51 @@ def d27_context_summary(spark, d):
     return enrich.context_summary(items)
 
 
-@query(f"{W}, {ROLL} SELECT event_id, CASE WHEN observations % 2 = 0 THEN 'ready' ELSE 'not_cached' END AS atmosphere_status FROM roll")
+@query(f"{W}, {ROLL} SELECT event_id, CASE WHEN observations % 2 = 0 THEN 'ready' ELSE 'not_cached' END AS atmosphere_status, CASE WHEN observations % 2 = 0 THEN max_frp END AS aerosol, CASE WHEN observations % 3 = 0 THEN 'error' WHEN observations % 5 = 0 THEN 'not_cached' ELSE 'ready' END AS ground_status, CASE WHEN observations % 3 = 0 OR observations % 5 <> 0 THEN observations END AS n_sensors FROM roll")
 def d26_event_context(spark, d):
     e = events.event_rollup(detections(spark, d))
-    return enrich.event_context(e, {"atmosphere": e.where("observations % 2 = 0").select("event_id", "max_frp")}).select("event_id", "atmosphere_status")
+    ground = e.where("observations % 3 = 0 or observations % 5 <> 0").select("event_id", F.col("observations").alias("n_sensors"), F.when(F.col("observations") % 3 == 0, "error").alias("status"))
+    out = enrich.event_context(e, {"atmosphere": e.where("observations % 2 = 0").select("event_id", F.col("max_frp").alias("aerosol")), "ground": ground})
+    return out.select("event_id", "atmosphere_status", "atmosphere.aerosol", "ground_status", "ground.n_sensors")
 
 
-@query(f"{W}, {ROLL} SELECT event_id, array_to_string(list_filter([CASE WHEN observations >= 60 THEN 'persistent' END, CASE WHEN max_frp >= 100 THEN 'strong' END], lambda x: x IS NOT NULL), ',') AS flags FROM roll")
+@query(f"{W}, {ROLL} SELECT event_id, array_to_string(list_filter([CASE WHEN observations >= 60 THEN 'persistent' END, CASE WHEN max_frp >= 100 THEN 'strong' END], lambda x: x IS NOT NULL), ',') AS flags, array_to_string(list_filter([CASE WHEN latest_frp > 40 THEN 'atmosphere' END, CASE WHEN len(sources) > 2 THEN 'ground' END], lambda x: x IS NOT NULL), ',') AS evidence_classes FROM roll")
 def d19_dossier(spark, d):
     e = events.event_rollup(detections(spark, d))
-    return flat(enrich.dossier(e, {"strong": F.col("max_frp") >= 100, "persistent": F.col("observations") >= 60}, {}), "flags").select("event_id", "flags")
+    out = enrich.dossier(e, {"strong": F.col("max_frp") >= 100, "persistent": F.col("observations") >= 60}, {"ground": F.size("sources") > 2, "atmosphere": F.col("latest_frp") > 40})
+    return flat(out, "flags", "evidence_classes").select("event_id", "flags", "evidence_classes")
 
 
-@query()
+RAMP = "coalesce(greatest(0.0, least(1.0, ({v} - {a}) / {w}::DOUBLE)), 0.0)"
+
+
+def ramp(v, a, b):
+    return RAMP.format(v=v, a=a, w=b - a)
+
+
+EXPOSED = {
+    "dense": f"greatest({ramp('built', 22, 45)}, {ramp('people', 5000, 16000)}, {ramp('density', 80, 300)})", "urban": f"greatest({ramp('built', 9, 25)}, {ramp('people', 1800, 7000)}, {ramp('density', 25, 120)}, {ramp('activity', 15, 100)})",
+    "sub": f"greatest({ramp('built', 3, 12)}, {ramp('people', 350, 2500)}, {ramp('density', 5, 45)})", "ind": f"greatest({ramp('il', 1, 8)}, {ramp('sites', 1, 16)}, {ramp('il / dev', 0.18, 0.65)})",
+    "forest": f"greatest({ramp('fl', 1, 5)}, {ramp('fl / land', 0.25, 0.7)}) * (1 - 0.45 * {ramp('built', 4, 18)})", "farm": f"greatest({ramp('al', 1, 5)}, {ramp('al / land', 0.25, 0.7)}) * (1 - 0.45 * {ramp('built', 4, 18)})",
+    "rural": f"least(1 - {ramp('built', 2, 8)}, 1 - {ramp('people', 200, 1200)}, 1 - {ramp('density', 2, 20)})",
+}
+
+
+@query(f"""WITH o AS (SELECT c_custkey AS place_id, count(o_orderkey) AS total, coalesce(sum(o_totalprice), 0) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+ i AS (SELECT place_id, total, total > 0 AS known, CASE WHEN total > 0 THEN s / 200 END AS people, CASE WHEN total > 0 THEN (total * 7 + place_id) % 50 END AS built, (total * 31 % 400) / 3.0::DOUBLE AS density, total * 5 % 9 AS rl, total * 11 % 7 + place_id % 3 AS il, total * 3 % 4 AS cl, total * 13 % 9 AS fl, (total * 17 + place_id) % 6 AS al, total % 7 * 9 AS activity, total * 2 % 5 + place_id % 4 AS sites, place_id % 5 = 0 AS cut FROM o),
+ j AS (SELECT *, greatest(1, rl + il + cl)::DOUBLE AS dev, greatest(1, rl + il + cl) + fl + al AS land FROM i), k AS (SELECT *, {", ".join(f"{v} AS {n}" for n, v in EXPOSED.items())} FROM j),
+ m AS (SELECT *, greatest(CASE WHEN ind >= 0.45 AND urban >= 0.35 THEN least(1, (ind + urban) / 1.35::DOUBLE) ELSE 0 END, CASE WHEN forest >= 0.42 AND farm >= 0.42 THEN least(1, (forest + farm) / 1.25::DOUBLE) ELSE 0 END, CASE WHEN greatest(forest, farm) >= 0.38 AND sub >= 0.35 THEN least(1, (greatest(forest, farm) + sub) / 1.3::DOUBLE) ELSE 0 END) AS mixed FROM k),
+ r AS (SELECT *, list_reverse_sort([dense, urban, sub, ind, forest, farm, rural, mixed]) AS v FROM m),
+ c AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN mixed >= 0.62 THEN 'mixed' WHEN ind >= 0.68 AND rl / dev < 0.35 THEN 'industrial' WHEN forest >= 0.64 AND forest >= farm + 0.08 THEN 'forest' WHEN farm >= 0.64 AND farm >= forest + 0.08 THEN 'agricultural' WHEN dense >= 0.62 THEN 'dense_urban' WHEN urban >= 0.48 THEN 'urban' WHEN sub >= 0.38 THEN 'suburban' ELSE 'rural' END AS exposure FROM r)
+ SELECT place_id, exposure, round(CASE WHEN exposure = 'unknown' THEN 0 ELSE greatest(0.35, least(0.96, 0.75 + 0.25 * least(1, (v[1] - v[2]) / 0.5) - CASE WHEN cut THEN 0.08 ELSE 0 END)) END, 3) AS confidence, round(mixed, 3) AS mixed, round(rural, 3) AS rural, (CASE WHEN known THEN 3 ELSE 1 END + (il + sites > 0)::INT + (fl > 0)::INT + (al > 0)::INT + (activity > 0)::INT)::INT AS n_reasons FROM c""")
 def d24_exposure(spark, d):
-    """Exposure classes of places made from orders and lineitem counts a customer; tests hold the rules."""
-    li = table(spark, d, "orders").groupBy((F.col("o_custkey")).alias("place_id")).agg(F.count("*").alias("total"), F.sum("o_totalprice").alias("s"))
-    n = lambda k, m: (F.col("total") * k % m).cast("double")
-    cols = {"population_1km": F.col("s") / 40, "population_5km": F.col("s") / 10, "built_fraction_1km_pct": n(7, 50), "built_fraction_5km_pct": n(3, 30), "area_km2": F.lit(3.0), "buildings": n(31, 400), "residential_landuse": n(5, 9), "industrial_landuse": n(11, 7), "commercial_landuse": n(3, 4), "retail_landuse": n(2, 3), "forest_landuse": n(13, 6), "agricultural_landuse": n(17, 6), "amenities": n(3, 30), "shops": n(5, 20), "offices": n(2, 9), "transport": n(4, 8), "industrial_objects": n(9, 10)}
-    return enrich.exposure(li.withColumns(cols)).select("place_id", "exposure", "confidence", "completeness")
+    """Exposure classes of places, one a customer, from what its orders add up to."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("place_id")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("place_id")).join(o, "place_id", "left").withColumn("total", F.coalesce("n", F.lit(0)))
+    names = {"population_1km": "if(total > 0, s / 200, null)", "built_fraction_1km_pct": "if(total > 0, (total * 7 + place_id) % 50, null)", "area_km2": "3.0D", "buildings": "total * 31 % 400", "residential_landuse": "total * 5 % 9", "industrial_landuse": "total * 11 % 7 + place_id % 3",
+             "commercial_landuse": "total * 3 % 4", "forest_landuse": "total * 13 % 9", "agricultural_landuse": "(total * 17 + place_id) % 6", "amenities": "total % 7 * 4", "shops": "total % 7 * 5", "industrial_objects": "total * 2 % 5", "industrial_buildings": "place_id % 4", "truncated": "place_id % 5 = 0"}
+    out = exposure.exposure(p.withColumns({k: F.expr(v) for k, v in names.items()}))
+    return out.select("place_id", "exposure", "confidence", F.col("scores")["mixed"].alias("mixed"), F.col("scores")["rural"].alias("rural"), F.size("reasons").alias("n_reasons"))
 
 
 PTS = "pts AS (SELECT id, lat, lon FROM det)"
@@ -184,9 +213,9 @@ def p3_nearest(spark, d):
     return within(spark, d, mode="nearest", k=50, radius_m=100000).select("id")
 
 
-@query(f"{W}, r(lo, hi) AS (VALUES (0, 500), (500, 1000), (1000, 2000), (2000, 5000), (5000, 10000), (10000, 50000)) SELECT lo::DOUBLE AS from_m, count(id) AS count FROM r LEFT JOIN (SELECT id, floor({HP} + 0.5) AS m FROM det WHERE {HP} <= 50000) p ON m >= lo AND (m < hi OR (lo = 10000 AND m = hi)) GROUP BY 1")
+@query(f"{W}, r(lo, hi) AS (VALUES (0, 500), (500, 1000), (1000, 2000), (2000, 5000), (5000, 10000), (10000, 50000)) SELECT lo::DOUBLE AS from_m, count(id) AS count, round(pi() * (hi::DOUBLE * hi - lo::DOUBLE * lo) / 1e6, 3) AS area_km2, round(count(id) / (pi() * (hi::DOUBLE * hi - lo::DOUBLE * lo) / 1e6), 3) AS density_per_km2 FROM r LEFT JOIN (SELECT id, floor({HP} + 0.5) AS m FROM det WHERE {HP} <= 50000) p ON m >= lo AND (m < hi OR (lo = 10000 AND m = hi)) GROUP BY lo, hi")
 def p7_rings(spark, d):
-    return objects.rings(within(spark, d), 50000).select("from_m", "count")
+    return objects.rings(within(spark, d), 50000).select("from_m", "count", "area_km2", "density_per_km2")
 
 
 BEAR = "((degrees(atan2(sin(radians(lon) - radians(31.0)) * cos(radians(lat)), cos(radians(49.0)) * sin(radians(lat)) - sin(radians(49.0)) * cos(radians(lat)) * cos(radians(lon) - radians(31.0)))) + 360) % 360)"
@@ -223,11 +252,22 @@ def p12_category_counts(spark, d):
     return objects.category_counts(points(spark, d))
 
 
-@query("SELECT p_name AS query, 'x' || (p_partkey % 20) AS code, 1.0 AS score FROM part WHERE false")
-def p14_resolve_region_none(spark, d):
-    q = table(spark, d, "part").select(F.lit("").alias("query"))
-    a = table(spark, d, "nation").select(F.col("n_name").alias("code"), F.col("n_name").alias("alias"))
-    return objects.resolve_alias(q, a).where("code is not null").select("query", "code", "score")
+NORM = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+ALIKE = "CASE WHEN q = a THEN 1.0 WHEN contains(q, a) OR contains(a, q) THEN 0.94 ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(gq), lambda g: least(len(list_filter(gq, lambda z: z = g)), len(list_filter(ga, lambda z: z = g))))) / nullif(len(gq) + len(ga), 0), 0) END"
+BIGRAMS = "list_transform(range(1, length({x})), lambda i: substr({x}, i, 2))"
+ASKED = "CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'Old ' || n_name WHEN 2 THEN substr(n_name, 2) || 'x' WHEN 3 THEN lower(n_name) || ' ' || c_mktsegment ELSE c_mktsegment || (c_custkey % 17) END"
+
+
+@query(f"""WITH qs AS (SELECT DISTINCT {ASKED} AS query FROM customer JOIN nation ON n_nationkey = c_nationkey), al AS (SELECT n_name AS code, n_name AS alias FROM nation UNION ALL SELECT n_name, 'land of ' || n_name FROM nation UNION ALL SELECT n_name, 'middle ' || n_regionkey FROM nation),
+ q AS (SELECT query, {NORM.format(x="query")} AS q FROM qs), a AS (SELECT DISTINCT code, {NORM.format(x="alias")} AS a FROM al), p AS (SELECT *, {BIGRAMS.format(x="q")} AS gq, {BIGRAMS.format(x="a")} AS ga FROM q, a WHERE q <> ''),
+ s AS (SELECT query, code, max(CASE WHEN lower(trim(query)) = lower(code) THEN 2.0 WHEN q = a THEN 1.5 ELSE {ALIKE} END) AS score FROM p GROUP BY 1, 2), t AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, code))
+ SELECT qs.query, t.code, CASE WHEN t.score > 1 THEN 1.0 ELSE round(t.score, 3) END AS score FROM qs LEFT JOIN t ON t.query = qs.query AND n = 1 AND CASE WHEN score >= 2 THEN true WHEN score >= 1.5 THEN coalesce(second < 1.5, true) ELSE score >= 0.6 AND coalesce(score - second >= 0.08, true) END""")
+def p14_resolve_region(spark, d):
+    """Region names as customers might put them: exact, with a word before, misspelt, with more words, or another thing."""
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    q = c.join(n, c.c_nationkey == n.n_nationkey).select(F.expr(ASKED).alias("query")).distinct()
+    alias = F.explode(F.array("n_name", F.concat(F.lit("land of "), "n_name"), F.concat(F.lit("middle "), "n_regionkey")))
+    return objects.resolve_alias(q, n.select(F.col("n_name").alias("code"), alias.alias("alias"))).select("query", "code", "score")
 
 
 @query("SELECT 'duplicate' AS fault, 'africa' AS what UNION ALL SELECT 'missing', r_name FROM region WHERE r_name = 'EUROPE' UNION ALL SELECT 'unknown', 'NOWHERE'")

@@ -32,9 +32,13 @@ def mentions(spark, d):
     return m.join(dd.select("doc_id", "provider", "published_at"), "doc_id").withColumn("event_id", F.concat(F.lit("e"), F.col("doc_id") % 50))
 
 
-@query("SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')) > 0 AS has_text FROM pages")
+BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')"
+PLAIN = f"replace(replace(replace(replace(replace(replace({BARE}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({PLAIN}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages")
 def a12_clean_html(spark, d):
-    return table(spark, d, "pages").select("page_id", (F.length(ingest.clean_html(F.col("html"))) > 0).alias("has_text"))
+    return table(spark, d, "pages").select("page_id", ingest.clean_html(F.col("html")).alias("text"))
 
 
 @query()
@@ -88,9 +92,9 @@ def t7_extract_coordinates(spark, d):
     return documents.extract_coordinates(t)
 
 
-@query("SELECT doc_id, (CASE WHEN regexp_matches(text, '(^|[^\\p{L}])the($|[^\\p{L}])') THEN 40 WHEN regexp_matches(text, '(^|[^\\p{L}])de($|[^\\p{L}])') THEN 35 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: (regexp_matches(s, '(^|[^\\p{L}])the($|[^\\p{L}])') OR regexp_matches(s, '(^|[^\\p{L}])de($|[^\\p{L}])')) AND regexp_matches(s, '(^|[^\\p{L}])la($|[^\\p{L}])'))) > 0 THEN 50 WHEN regexp_matches(text, '(^|[^\\p{L}])la($|[^\\p{L}])') THEN 35 ELSE 0 END)::INT AS relevance FROM documents")
+@query("SELECT doc_id, (CASE WHEN regexp_matches(text, '(^|[^\\p{L}])the($|[^\\p{L}])') THEN 40 WHEN regexp_matches(text, '(^|[^\\p{L}])de($|[^\\p{L}])') THEN 35 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: (regexp_matches(s, '(^|[^\\p{L}])the($|[^\\p{L}])') OR regexp_matches(s, '(^|[^\\p{L}])de($|[^\\p{L}])')) AND regexp_matches(s, '(^|[^\\p{L}])la($|[^\\p{L}])'))) > 0 THEN 50 WHEN regexp_matches(text, '(^|[^\\p{L}])la($|[^\\p{L}])') THEN 35 ELSE 0 END)::INT AS relevance, (CASE WHEN regexp_matches(text, '(^|[^\\p{L}])the($|[^\\p{L}])') THEN 40 WHEN regexp_matches(text, '(^|[^\\p{L}])de($|[^\\p{L}])') THEN 35 ELSE 0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: (regexp_matches(s, '(^|[^\\p{L}])the($|[^\\p{L}])') OR regexp_matches(s, '(^|[^\\p{L}])de($|[^\\p{L}])')) AND regexp_matches(s, '(^|[^\\p{L}])la($|[^\\p{L}])'))) > 0 THEN 50 WHEN regexp_matches(text, '(^|[^\\p{L}])la($|[^\\p{L}])') THEN 35 ELSE 0 END)::INT >= 80 AND len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: (regexp_matches(s, '(^|[^\\p{L}])the($|[^\\p{L}])') OR regexp_matches(s, '(^|[^\\p{L}])de($|[^\\p{L}])')) AND regexp_matches(s, '(^|[^\\p{L}])la($|[^\\p{L}])'))) > 0 AS accepted FROM documents")
 def t11_relevance(spark, d):
-    return documents.relevance(table(spark, d, "documents"), WORD.format("the"), WORD.format("de"), WORD.format("la")).select("doc_id", "relevance")
+    return documents.relevance(table(spark, d, "documents"), WORD.format("the"), WORD.format("de"), WORD.format("la")).select("doc_id", "relevance", "accepted")
 
 
 @query("WITH l AS (SELECT 'e' || (doc_id % 50) AS event_id, source AS provider, lang AS source_class, doc_id % 100 AS score FROM documents), p AS (SELECT event_id, count(DISTINCT provider) FILTER (score >= 50) AS providers, count(DISTINCT source_class) FILTER (score >= 50) AS classes FROM l GROUP BY 1) SELECT *, CASE WHEN providers >= 3 AND classes >= 2 THEN 'multi_source' WHEN providers >= 2 THEN 'corroborated' WHEN providers = 1 THEN 'single_source' ELSE 'none' END AS level FROM p")
@@ -115,10 +119,12 @@ def t15_divergences(spark, d):
     return documents.divergences(c)
 
 
-@query(f"WITH {LEX_SQL}, {MENT}, e AS (SELECT DISTINCT 'document:' || doc_id AS src, 'event:e' || (doc_id % 50) AS dst FROM m UNION SELECT 'document:' || doc_id, 'entity:' || canonical FROM m) SELECT src AS node, 'document' AS kind FROM e UNION SELECT dst, split_part(dst, ':', 1) FROM e")
+@query(f"WITH {LEX_SQL}, {MENT}, e AS (SELECT DISTINCT 'document:' || doc_id AS src, 'event:e' || (doc_id % 50) AS dst, 'about' AS type FROM m UNION SELECT 'document:' || doc_id, 'entity:' || canonical, 'mentions' FROM m) SELECT src, dst, type, 'edge' AS what FROM e UNION ALL SELECT node, NULL, kind, 'node' FROM (SELECT src AS node, 'document' AS kind FROM e UNION SELECT dst, split_part(dst, ':', 1) FROM e)")
 def t16_evidence_graph(spark, d):
+    """Nodes and edges of the graph that mentions span."""
     m = mentions(spark, d)
-    return documents.evidence_graph(m, m)[0]
+    nodes, edges = documents.evidence_graph(m, m)
+    return edges.select("src", "dst", "type", F.lit("edge").alias("what")).unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("kind").alias("type"), F.lit("node").alias("what")))
 
 
 @query(f"WITH {LEX_SQL}, {MENT} SELECT DISTINCT 'document:' || doc_id AS src, 'event:e' || (doc_id % 50) AS dst, 'about' AS type FROM m WHERE doc_id % 5 <> 0 UNION SELECT 'document:' || doc_id, 'entity:' || canonical, 'mentions' FROM m WHERE doc_id % 5 <> 0")

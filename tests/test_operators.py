@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, similarity
-from emberline.operators import cluster, components, enrich, events, grid, ingest, objects, search
+from emberline.operators import cluster, components, documents, enrich, events, exposure, grid, hull, ingest, objects, quantiles, search
 from emberline.sources import files
 from emberline.streaming import detections as streaming
 
@@ -129,11 +129,131 @@ def test_scores_at_their_bounds(spark):
     assert [r[0] for r in c.select(ingest.norm_confidence(F.col("c"), "modis")).collect()] == ["h", "n", "l", "x"]
 
 
+EXPOSED = "population_1km double, built_fraction_1km_pct double, population_5km double, built_fraction_5km_pct double, total long, buildings long, residential_landuse long, industrial_landuse long, commercial_landuse long, retail_landuse long, forest_landuse long, agricultural_landuse long, amenities long, shops long, offices long, transport long, industrial_objects long, area_km2 double, want string"
+
+
+def test_exposure(spark):
+    rows = [
+        (18000.0, 48.0, 180000.0, 34.0, 900, 700, 35, 2, 8, 4, 0, 0, 90, 60, 20, 15, 2, 3.14, "dense_urban"), (180.0, 7.0, 2400.0, 5.0, 150, 90, 1, 14, 1, 0, 0, 0, 2, 0, 1, 4, 18, 12.5, "industrial"),
+        (5000.0, 21.0, 42000.0, 18.0, 400, 260, 12, 10, 3, 2, 0, 0, 35, 18, 8, 9, 15, 20.0, "mixed"), (70.0, 1.1, 900.0, 1.6, 8, 5, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 78.0, "rural"),
+        (None, None, None, None, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, None, "unknown"), (40.0, 0.8, 500.0, 1.2, 14, 3, 0, 0, 0, 0, 7, 0, 0, 0, 0, 0, 0, 12.566, "forest"), (90.0, 1.3, 900.0, 1.8, 16, 6, 0, 0, 0, 0, 0, 8, 0, 0, 0, 0, 0, 12.566, "agricultural"),
+    ]
+    df = spark.createDataFrame(rows, EXPOSED)
+    got = {r.want: r for r in exposure.exposure(df).collect()}
+    assert all(k == r.exposure for k, r in got.items()) and got["dense_urban"].confidence >= 0.7 and got["unknown"].confidence == 0 and got["unknown"].reasons == []
+    assert [x["input"] for x in got["industrial"].reasons] == ["built", "people", "building_density", "industrial", "activity"] and got["industrial"].reasons[3]["value"] == 32
+    cut = {r.want: r for r in exposure.exposure(df.selectExpr("*", "true truncated", "5 industrial_buildings")).collect()}
+    assert (got["rural"].confidence, cut["rural"].confidence) == (0.96, 0.92) and cut["industrial"].reasons[3]["value"] == 37
+    bare = exposure.exposure(df.select("population_1km", "want")).collect()
+    assert {r.want: r.completeness for r in bare}["dense_urban"] == 0.6 and len(bare) == 7
+
+
 def test_exposure_classes(spark):
     names = "population_1km population_5km built_fraction_1km_pct built_fraction_5km_pct total buildings residential_landuse industrial_landuse commercial_landuse retail_landuse forest_landuse agricultural_landuse amenities shops offices transport industrial_objects area_km2".split()
     rows = [dict(population_1km=18000.0, built_fraction_1km_pct=50.0, total=500.0, buildings=900.0, residential_landuse=30.0, area_km2=3.0), dict(population_1km=100.0, built_fraction_1km_pct=1.0, total=10.0, forest_landuse=9.0, area_km2=3.0), dict(population_1km=50.0, built_fraction_1km_pct=1.0, total=3.0, area_km2=3.0), {}]
     df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} double" for n in names))
-    assert [r.exposure for r in enrich.exposure(df).collect()] == ["dense_urban", "forest", "rural", "unknown"]
+    assert [r.exposure for r in exposure.exposure(df).collect()] == ["dense_urban", "forest", "rural", "unknown"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 65, 200, 5000])
+def test_diameters(spark, n):
+    rng = random.Random(n)
+    ring = [(50 + 0.01 * math.cos(a := rng.uniform(0, 7)) * (r := 1 - rng.random() ** 3 * 0.01), 30 + 0.0155 * math.sin(a) * r) for _ in range(n)]
+    spots = [(60 + rng.randrange(40) / 100, 179.8 + rng.randrange(40) / 100) for _ in range(n)]
+    spots = [(y, x - 360 if x > 180 else x) for y, x in spots]
+    rows = [(k, *p) for k, some in (("a", ring), ("b", spots), ("c", [(1.0, 2.0)] * n)) for p in some] + [("d", None, 1.0), (None, 1.0, 1.0)]
+    got = {r.k: r.diameter_m for r in hull.diameters(spark.createDataFrame(rows, "k string, lat double, lon double").repartition(5), "k", salt=4).collect()}
+    for k, some in (("a", ring), ("b", spots)):
+        some = list(set(some))
+        want = max(metres(*p, *q) for p in some for q in some) if n < 1000 else None
+        assert want is None or math.isclose(got[k], want, rel_tol=1e-9, abs_tol=1e-6)
+    if n == 5000:
+        import numpy as np
+
+        for k, some in (("a", ring), ("b", spots)):
+            p = np.radians(np.array(some))
+            far = max(float((np.sin((p[:, 0] - y) / 2) ** 2 + np.cos(p[:, 0]) * math.cos(y) * np.sin((p[:, 1] - x) / 2) ** 2).max()) for y, x in p)
+            assert math.isclose(got[k], 2 * 6371000.0 * math.asin(math.sqrt(far)), rel_tol=1e-9)
+    assert got["c"] == 0 and set(got) == {"a", "b", "c"}
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 5) for _ in range(700)], "b": [3.0] * 50, "c": [1.0], "d": [float(rng.randrange(3)) for _ in range(200)], "e": [1e9, *(rng.random() for _ in range(300))]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("f", None), ("a", None)], "k string, v double")
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}, buckets=16).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose([got[k].p10, got[k].p50, got[k].p95, got[k].p100], np.quantile(vs, [0.1, 0.5, 0.95, 1.0]))
+
+
+def test_polygon_search(spark):
+    ring = lambda w, s, e, n: ((w, s), (e, s), (e, n), (w, n), (w, s))
+    plan = objects.SpatialPlan("polygon", ring=ring(34.0, 49.0, 35.0, 50.0), holes=(ring(34.4, 49.4, 34.6, 49.6),))
+    other = objects.SpatialPlan("polygon", ring=ring(40.0, 49.0, 40.5, 49.5))
+    pts = spark.createDataFrame([(1, 49.2, 34.2), (2, 49.5, 34.5), (3, 49.1, 40.1), (4, 48.0, 34.5), (5, None, 34.5)], "id long, lat double, lon double")
+    assert {r.id for r in objects.within_polygon(pts, plan).collect()} == {1} and {r.id for r in objects.within_polygon(pts, plan, other).collect()} == {1, 3}
+    whole = objects.SpatialPlan("polygon", ring=ring(34.0, 49.0, 35.0, 50.0)).study_area_km2()
+    row = spark.range(1).select(F.expr("array(array(named_struct('lon', 34D, 'lat', 49D), named_struct('lon', 35D, 'lat', 49D), named_struct('lon', 35D, 'lat', 50D), named_struct('lon', 34D, 'lat', 50D), named_struct('lon', 34D, 'lat', 49D)))").alias("r"))
+    assert math.isclose(whole, row.select(geo.polygon_area_km2(F.col("r"))).first()[0]) and 0 < plan.study_area_km2() < whole
+    with pytest.raises(ValueError, match="out of bounds"):
+        objects.SpatialPlan("polygon", ring=ring(0.0, 0.0, 30.0, 30.0))
+
+
+def test_attach_secondary(spark):
+    t = lambda h: f"2024-01-02 {h:02d}:00:00"
+    e = spark.createDataFrame([("near", 1, t(5), t(6), 50.0, 30.0), ("far", 1, t(5), t(6), 50.02, 30.0), ("else", 2, t(5), t(6), 50.0, 30.0)], "event_id string, region_id long, first_seen string, last_seen string, latest_lat double, latest_lon double")
+    e = e.withColumns({c: F.col(c).cast("timestamp") for c in ("first_seen", "last_seen")})
+    px = [(1, t(7), 50.001, 30.0, 1), (2, t(7), 50.019, 30.0, 1), (3, t(7), 50.2, 30.0, 1), (4, t(7), 50.0, 30.0, None), (5, t(7), 50.0, 30.0, 2), (6, "2024-01-03 07:00:00", 50.0, 30.0, 1)]
+    pixels = spark.createDataFrame(px, "id long, acq string, lat double, lon double, region_id long").withColumn("acq", F.col("acq").cast("timestamp"))
+    assert {r.id: r.event_id for r in events.attach_secondary(pixels, e).collect()} == {1: "near", 2: "far", 3: None, 4: None, 5: "else", 6: None}
+
+
+def test_link_documents(spark):
+    stamp = lambda c: F.col(c).cast("timestamp")
+    docs = [(1, "quake", "2024-01-01 00:30:00", 50.0, 30.0, ""), (2, "quake", "2024-01-01 11:00:00", 50.2, 30.0, ""), (3, "other", "2024-01-02 12:00:00", 50.5, 30.0, ""), (4, "other", "2024-01-03 12:00:00", None, None, "smoke over Testville today"), (5, "other", "2024-01-03 12:00:00", None, None, "smoke in Northland"), (6, "alert", "2024-01-01 02:00:00", None, None, "no name"), (7, "none", "2024-01-01 00:00:00", 50.0, 30.0, "")]
+    d = spark.createDataFrame(docs, "doc_id long, rule string, published_at string, lat double, lon double, text string").withColumn("published_at", stamp("published_at"))
+    e = spark.createDataFrame([("a", "2024-01-01 00:00:00", 50.0, 30.0, "Testville", "north")], "event_id string, last_seen string, latest_lat double, latest_lon double, place string, region string").withColumn("last_seen", stamp("last_seen"))
+    got = {r.doc_id: (r.place_score, r.time_score, r.text_score, r.score) for r in documents.link_documents(d, e).collect()}
+    assert got == {1: (55, 35, 0, 90), 4: (0, 10, 35, 45), 5: (0, 10, 20, 30)}
+
+
+def test_streams_keep_to_the_batch_result(spark, tmp_path):
+    import datetime
+
+    rng, t0 = random.Random(11), datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):
+        at = t0 + datetime.timedelta(minutes=17 * i)
+        rows.append((i, at - datetime.timedelta(minutes=rng.randint(0, 300)), at, 50 + rng.randrange(6) / 300, 30 + rng.randrange(6) / 300, rng.choice([1, 2, None]), 750.0, f"s{i % 3}", "x", "y", 1.0 + i, "h"))
+    schema = "id long, acq timestamp, received_at timestamp, lat double, lon double, region_id long, radius_m double, source string, satellite string, instrument string, frp double, confidence string"
+    src = spark.createDataFrame(rows, schema).orderBy("id")
+    for n in range(5):
+        src.where(f"id between {60 * n} and {60 * n + 59}").coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+    def run(writer, name):
+        q = writer.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run(streaming.cluster_stream(stream(), late_h=48).writeStream.format("parquet").option("path", str(tmp_path / "clusters")).outputMode("append"), "c1")
+    want = {(r.id, r.event_id, r.opened) for r in cluster.cluster_events(src, region_mode="strict").collect()}
+    assert {(r.id, r.event_id, r.opened) for r in spark.read.parquet(str(tmp_path / "clusters")).collect()} == want
+    named = spark.createDataFrame([(i, e) for i, e, _ in want], "id long, event_id string")
+    members = stream().join(named, "id")
+    run(members.writeStream.foreachBatch(streaming.refresh_rollups(str(tmp_path / "members"), str(tmp_path / "rollups"))), "c2")
+    pick = lambda df: sorted((r.event_id, r.observations, r.max_frp, r.first_seen, r.last_seen) for r in df.collect())
+    assert pick(streaming.current_rollups(spark, str(tmp_path / "rollups"))) == pick(events.event_rollup(src.join(named, "id")))
+    run(stream().writeStream.foreachBatch(streaming.route_late(*(str(tmp_path / x) for x in ("main", "late", "marks")), late_h=2)), "c3")
+    main, late = (spark.read.parquet(str(tmp_path / x)) for x in ("main", "late"))
+    newest, expected = None, set()
+    for n in range(5):
+        part = [r for r in rows if 60 * n <= r[0] < 60 * n + 60]
+        expected |= {r[0] for r in part if newest and r[1] < newest - datetime.timedelta(hours=2)}
+        newest = max([r[1] for r in part] + ([newest] if newest else []))
+    assert {r.id for r in late.collect()} == expected and expected and main.count() + len(expected) == 300
 
 
 def test_alias_resolution(spark):
