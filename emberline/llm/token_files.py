@@ -26,7 +26,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
-MEMORY = 448 << 20  # bytes of codes that a worker remembers
+MEMORY = 320 << 20  # bytes of codes that a worker remembers
+SLICE = 2 << 20  # bytes of text that are encoded together
 
 
 class Encoder:
@@ -160,7 +161,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 SEGMENT = "part int, segment int, ids_before long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, percentile: int = 90, segment_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, percentile: int = 90, segment_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
     """Encode every whole text, append ``end_id``, and write the ids as segments in ascending id order; gives the folder.
 
     Rows are dealt by ranges of the id; each task encodes its range and writes segments of about ``segment_ids`` ids
@@ -182,7 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, percenti
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, segment, before, docs, sizes, payload), types, strict=True)], SEGMENT.replace(" array<long>", "").replace(" int", "").replace(" long", "").replace(" binary", "").split(", "))
 
         for batch in batches:
-            for rows in byte_slices(batch, 1, 8 << 20):
+            for rows in byte_slices(batch, 1, SLICE):
                 for i, ids in zip(rows.column(0).to_pylist(), enc.encode(as_text(rows.column(1))), strict=True):
                     ids += end
                     docs.append(i)
