@@ -235,13 +235,22 @@ def p9_coverage_gaps(spark, d):
 ROUTE = ((24.0, 49.0), (27.0, 49.5), (30.0, 49.0))
 
 
-@query()
+LEG = H.format(a="py", b="px", c="qy", d="qx")
+KY = "(radians(1) * 6371000.0)"
+ON_ROUTE = f"""seg AS (SELECT *, {LEG} AS m FROM (VALUES (0, 24.0::DOUBLE, 49.0::DOUBLE, 27.0::DOUBLE, 49.5::DOUBLE), (1, 27.0, 49.5, 30.0, 49.0)) s(i, px, py, qx, qy)), sg AS (SELECT *, coalesce(sum(m) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM seg),
+ f AS (SELECT id, i, a, m, (px - lon) * {KY} * cos(radians((lat + py + qy) / 3)) AS ax, (py - lat) * {KY} AS ay, (qx - px) * {KY} * cos(radians((lat + py + qy) / 3)) AS dx, (qy - py) * {KY} AS dy FROM det, sg),
+ g AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM f), h AS (SELECT id, min({{'d': round(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)), 3), 'i': i, 'along': a + t * m}}) AS b FROM g GROUP BY 1),
+ hit AS (SELECT id, floor(b.d + 0.5)::BIGINT AS distance_m, floor(b.along + 0.5)::BIGINT AS along_m, b.i AS segment FROM h WHERE b.d <= 20000)"""
+
+
+@query(f"{W}, {ON_ROUTE} SELECT * FROM hit")
 def p5_within_route(spark, d):
-    """Corridor search; tests hold it against a plain loop."""
     return objects.within_route(points(spark, d), objects.SpatialPlan("route", route=ROUTE, corridor_m=20000)).select("id", "distance_m", "along_m", "segment")
 
 
-@query()
+@query(f"""{W}, {ON_ROUTE}, l AS (SELECT sum(m) AS length, ceil(sum(m) / 5000)::BIGINT AS n FROM seg), c AS (SELECT least(along_m // 5000, n - 1) AS bin, count(*) AS count FROM hit, l WHERE along_m <= ceil(length) GROUP BY 1),
+ b AS (SELECT bin, bin * 5000 AS from_m, least((bin + 1) * 5000, round(length)::BIGINT) AS to_m, coalesce(count, 0) AS count FROM (SELECT unnest(range(n)) AS bin, length FROM l) LEFT JOIN c USING (bin)), k AS (SELECT *, bin - row_number() OVER (PARTITION BY count = 0 ORDER BY bin) AS run FROM b)
+ SELECT bin, from_m, to_m, count, round(count / ((to_m - from_m) * 2 * 20000 / 1e6), 3) AS density_per_km2, CASE WHEN count = 0 THEN sum(to_m - from_m) OVER (PARTITION BY count = 0, run) ELSE 0 END::BIGINT AS gap_m FROM k""")
 def p10_route_bins(spark, d):
     plan = objects.SpatialPlan("route", route=ROUTE, corridor_m=20000)
     return objects.route_bins(objects.within_route(points(spark, d), plan), plan.length_m(), 20000)
@@ -283,7 +292,12 @@ def p17_filter_objects(spark, d):
     return objects.filter_objects(o, brand="red", min_confidence=20).select("id")
 
 
-@query()
+HOME = H.format(a="o.lat", b="o.lon", c="p.lat", d="p.lon")
+
+
+@query(f"""{W}, p AS (SELECT event_id AS name, min(lat) AS lat, min(lon) AS lon FROM det WHERE substr(event_id, 2)::INT % 4 = 0 GROUP BY 1), o AS (SELECT id, lat, lon, CASE WHEN id % 3 = 0 THEN event_id END AS tag FROM det),
+ j AS (SELECT o.id, p.name, {HOME} AS m FROM o JOIN p ON o.tag IS NULL AND abs(o.lat - p.lat) < 0.3 AND {HOME} <= 25000 QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY round(m), p.name) = 1)
+ SELECT o.id, coalesce(tag, name) AS settlement, CASE WHEN tag IS NOT NULL THEN 'tagged' WHEN name IS NOT NULL THEN 'nearest' ELSE 'none' END AS method, floor(m + 0.5)::BIGINT AS place_m FROM o LEFT JOIN j USING (id)""")
 def p18_fill_settlement(spark, d):
     det = detections(spark, d)
     o = det.select("id", "lat", "lon", F.when(F.col("id") % 3 == 0, F.col("event_id")).alias("settlement"))
