@@ -12,9 +12,10 @@ PRIME = 2147483647
 #: Fixed multipliers of the rounds; the seed is added to the keys.
 ROUND_KEYS = (916191069, 1823776453, 402653189, 1610612741)
 MULTIPLIERS = (48271, 69621)
+BUCKETS, ROWS = 4096, 1_000_000  # least number of buckets that rows are numbered in, and rows a bucket beyond it
 
 
-def number_rows(df: DataFrame, key: str, tie: list[str], buckets: int = 4096, name: str = "row_number") -> DataFrame:
+def number_rows(df: DataFrame, key: str, tie: list[str], buckets: int = BUCKETS, name: str = "row_number") -> DataFrame:
     """Add gapless global row numbers from 0 that depend on the rows alone, not on how they are partitioned.
 
     A row's bucket is a hash of ``key`` and the first tie column; numbers count bucket after bucket, and by key and
@@ -43,8 +44,8 @@ def permute(x: str, n: int, seed: int = 0) -> Column:
     """The place of column 0 <= x < n after a seeded permutation of 0 .. n-1.
 
     Four Feistel rounds move x on a grid of a * b >= n cells, turn by turn shifting its row by a hash of its column and
-    the reverse. A place beyond n walks on along its cycle until it is below n; at most a - 1 cells are beyond, so a
-    walk of 64 steps fails for no n up to 4096 and with less than 1e-100 above; ``raise_error`` guards it.
+    the reverse. A place beyond n walks on along its cycle until it is below n. At most a - 1 cells are beyond, so the
+    walk ends within as many steps; 64 are tried at first, and a row that needs more (a chance below 1e-100) takes them.
     """
     a, b = domain(n)
     hashed = f"((({{v}} * {MULTIPLIERS[0]} + k.key) % {PRIME}) * {MULTIPLIERS[1]} + k.key) % {PRIME}"
@@ -54,10 +55,10 @@ def permute(x: str, n: int, seed: int = 0) -> Column:
         f"(s, k) -> if(k.flip, named_struct('l', s.l, 'r', (s.r + {hashed.format(v='s.l')}) % {b}L), named_struct('l', (s.l + {hashed.format(v='s.r')}) % {a}L, 'r', s.r)), "
         f"s -> s.l * {b}L + s.r)"
     )
-    steps = min(64, a * b - n + 1)
-    first = f"transform(array({x}), v -> {once})[0]"
-    walked = f"aggregate(sequence(1, {steps}), {first}, (v, i) -> if(v < {n}L, v, {once}))"
-    return F.expr(f"transform(array({walked}), w -> if(w < {n}L, w, cast(raise_error('the cycle walk did not end') as bigint)))[0]")
+    beyond = a * b - n + 1
+    walk = lambda start, steps: f"aggregate(sequence(1L, {steps}), {start}, (v, i) -> if(v < {n}L, v, {once}))"
+    walked = walk(f"transform(array({x}), v -> {once})[0]", f"{min(64, beyond)}L")
+    return F.expr(f"transform(array({walked}), w -> if(w < {n}L, w, {walk('w', f'{beyond}L + w - w')}))[0]")  # the second length is no constant, so it is made where it is needed
 
 
 def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +77,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str
     )
     small = cut(small)
     n = small.count()
-    rows = number_rows(small, "doc_id", ["text_crc32", "size"], name="_number")
+    rows = number_rows(small, "doc_id", ["text_crc32", "size"], max(BUCKETS, n // ROWS), name="_number")
     placed = rows.withColumn("_place", permute("_number", n, seed))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
@@ -85,7 +86,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str
     )
 
 
-def shards_sql(shards: int = 8, seed: int = 17, buckets: int = 4096) -> str:
+def shards_sql(shards: int = 8, seed: int = 17) -> str:
     """The same in DuckDB: crc32 byte by byte from a table made by its rule, the rounds as columns, the walk recursive."""
     k = [(x + seed * 7919) % PRIME for x in ROUND_KEYS]
     f = lambda v, key: f"((({v} * {MULTIPLIERS[0]} + {key}) % {PRIME}) * {MULTIPLIERS[1]} + {key}) % {PRIME}"
@@ -98,6 +99,6 @@ WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduc
 raw AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
 small AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: ('0x' || h[2*i+1:2*i+2])::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM raw, tab),
 n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM documents),
-numbered AS (SELECT s.*, n, a, (n + a - 1) // a AS b, row_number() OVER (ORDER BY ((((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME}) * {MULTIPLIERS[0]} + text_crc32 * {MULTIPLIERS[1]}) % {PRIME}) % {buckets}, doc_id NULLS FIRST, text_crc32, size) - 1 AS v FROM small s, n),
+numbered AS (SELECT s.*, n, a, (n + a - 1) // a AS b, row_number() OVER (ORDER BY ((((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME}) * {MULTIPLIERS[0]} + text_crc32 * {MULTIPLIERS[1]}) % {PRIME}) % greatest({BUCKETS}, n // {ROWS}), doc_id NULLS FIRST, text_crc32, size) - 1 AS v FROM small s, n),
 walk AS ({rounds('numbered')} UNION ALL ({rounds('(SELECT * FROM walk WHERE v >= n)')}))
 SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards})::INT AS shard, v // {shards} AS slot, NULL::INT AS grown_shard FROM walk WHERE v < n"""
