@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import Scratch
 from .memory import let_go
-from .text import as_bytes, byte_slices, mix, shingle_sets
+from .text import as_bytes, byte_slices, mix, named_apart, shingle_sets
 
 SLICE = 900_000  # bytes of text that a task turns into sets at once
 SKETCH = "doc_id long, text_key long, n long, fp_a long, fp_b long, sketch array<long>"
@@ -234,19 +234,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, list_size:
     return _judged(docs, percent, k, list_size, estimate, id_col, text_col).drop("text_key")
 
 
-def _named_apart(docs: DataFrame, name: str) -> str:
-    """``name``, made longer until no column has it."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One document of each group of near duplicates (the smallest id), all columns as they are; repeated rows once.
 
     Of rows that share the kept id and text one stays. Rows without words are kept, one for each id and text.
     """
-    key = _named_apart(docs, "_text_key")
+    key = named_apart(docs.columns, "_text_key")
     kept = _judged(docs, id_col=id_col, text_col=text_col, **limits).where("kept").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct().alias("k")
     keyed: DataFrame = docs.withColumn(key, F.xxhash64(text_col)).alias("d")
     own: Column = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.id")) & (F.col(f"d.{key}") == F.col("k.key"))

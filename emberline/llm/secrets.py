@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .memory import let_go
-from .text import as_text, byte_slices
+from .text import as_text, byte_slices, named_apart
 
 #: The base patterns, then further credential formats.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -108,14 +108,16 @@ def scan(docs: DataFrame, **columns) -> DataFrame:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<secret>", **columns) -> DataFrame:
     """The documents with every live-looking value's span replaced by ``mask``; copied examples and all other text stay.
 
-    Only documents with live spans change. Spans find their text by id and a hash of it, so equal ids are no trouble.
+    Only documents with live spans change; null texts stay null, all columns and repeated rows stay. Spans find their text
+    by id and a hash of it, so shared and null ids are no trouble.
     """
     at, kinds = docs.columns.index(text_col), docs.schema
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
+    key = named_apart(docs.columns, "_text_key")
+    keyed = docs.withColumn(key, F.xxhash64(text_col)).alias("d")
     found = judged(candidates(docs, id_col=id_col, text_col=text_col, **columns))
     live = F.filter(F.arrays_zip("starts", "ends", "copied"), lambda x: ~x["copied"])
-    spans = found.select(F.col("doc_id").alias("_id"), "text_key", live.alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_id", "text_key"])
-    rows = keyed.join(spans, keyed[id_col].eqNullSafe(spans["_id"]) & (keyed["_text_key"] == spans["text_key"]), "left")
+    spans = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), live.alias("live")).where(F.size("live") > 0).dropDuplicates(["id", "key"]).alias("s")
+    rows = keyed.join(spans, F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.id")) & (F.col(f"d.{key}") == F.col("s.key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -134,4 +136,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, kinds.names)
 
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), "_live").mapInArrow(run, kinds)
+    return rows.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.live").alias(named_apart(docs.columns, "_live"))).mapInArrow(run, kinds)

@@ -18,6 +18,13 @@ def as_text(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def named_apart(names: list[str], name: str) -> str:
+    """``name``, made longer until none of ``names`` is it."""
+    while name in names:
+        name += "_"
+    return name
+
+
 def slices(texts: list[bytes], most: int = 4 << 20):
     """(first, last) row ranges of at most ``most`` bytes each, or one longer row."""
     first = size = 0
