@@ -31,10 +31,11 @@ def detection_hash_geo(source, ts, lat, lon) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(source, F.lit("")), F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")), place(lat), place(lon)), 256)
 
 
-def dedup(df: DataFrame, key: str = "detection_hash", order: list | None = None) -> DataFrame:
-    """The first arrival of each key."""
-    order = order or ["received_at", "id"]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+def dedup(df: DataFrame, key: str = "detection_hash", order: list[str] | None = None) -> DataFrame:
+    """The first arrival of each key, kept map-side: no more than one row a key and task is shuffled."""
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*(order or ["received_at", "id"]))).alias("_first"))
+    return first.select(*(F.col(key) if c == key else F.col("_first")[c].alias(c) for c in df.columns))
 
 
 def filter_aoi(points: DataFrame, aoi: DataFrame, key: str = "id") -> DataFrame:
