@@ -26,7 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
-MEMORY = 320 << 20  # bytes of codes that a worker remembers
+MEMORY = 400 << 20  # bytes of codes that a worker remembers
 SLICE = 2 << 20  # bytes of text that are encoded together
 
 
