@@ -85,9 +85,11 @@ class Pieces:
 
     def _after_space(self, pieces: list[str]) -> list[bytes | None]:
         """Codes of pieces with their space; none for white space, which stays with what is before it."""
-        seen = [bool(p) and not p[0].isspace() for p in pieces]
-        made = iter(self._learn([" " + p for p, s in zip(pieces, seen, strict=True) if s]))
-        return [next(made) if s else None for s in seen]
+        made = self._learn([" " + p for p in pieces if p and not p[0].isspace()])
+        if len(made) == len(pieces):
+            return made
+        rest = iter(made)
+        return [next(rest) if p and not p[0].isspace() else None for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's code: its words' codes in order."""

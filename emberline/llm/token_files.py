@@ -87,15 +87,16 @@ def pack(ids: np.ndarray, percentile: int = 90) -> bytes:
     """
     n = len(ids)
     blocks = -(-n // BLOCK)
-    v = np.zeros(blocks * BLOCK, np.uint64)
+    v = np.zeros(blocks * BLOCK, np.uint32)
     v[:n] = ids
     if n:
         v[n:] = ids[-1]
     v = v.reshape(blocks, BLOCK)
-    low = v.min(axis=1) if n else np.zeros(0, np.uint64)
+    low = v.min(axis=1) if n else np.zeros(0, np.uint32)
     v = v - low[:, None]
-    width = _bits(np.sort(v, axis=1)[:, (BLOCK - 1) * percentile // 100]) if n else np.zeros(0, np.int64)
-    out = (v >> width.astype(np.uint64)[:, None]) > 0
+    k = (BLOCK - 1) * percentile // 100
+    width = _bits(np.partition(v, k, axis=1)[:, k]) if n else np.zeros(0, np.int64)
+    out = v > ((np.int64(1) << width) - 1).astype(np.uint32)[:, None]
     n_out = out.sum(axis=1)
     size = width * (BLOCK // 8) + n_out * 5
     starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
@@ -103,7 +104,7 @@ def pack(ids: np.ndarray, percentile: int = 90) -> bytes:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            lanes = (v[rows] & np.uint64((1 << int(w)) - 1)).reshape(-1, 64).T.copy()
+            lanes = (v[rows] & np.uint32((1 << int(w)) - 1)).reshape(-1, 64).T.astype(np.uint64, order="C")
             words = np.zeros((int(w), lanes.shape[1]), np.uint64)
             for j in range(64):
                 k, off = divmod(j * int(w), 64)
@@ -117,7 +118,7 @@ def pack(ids: np.ndarray, percentile: int = 90) -> bytes:
         rank = np.arange(len(at)) - np.concatenate(([0], np.cumsum(n_out)))[at]
         base = starts[at] + width[at] * (BLOCK // 8)
         body[base + rank] = place
-        high = (v[at, place] >> width[at].astype(np.uint64)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        high = (v[at, place].astype(np.uint64) >> width[at].astype(np.uint64)).astype("<u4").view(np.uint8).reshape(-1, 4)
         body[((base + n_out[at] + rank * 4)[:, None] + np.arange(4)).ravel()] = high.ravel()
     return HEAD.pack(MAGIC, blocks, n) + starts[:-1].astype("<u8").tobytes() + low.astype("<u4").tobytes() + width.astype("u1").tobytes() + n_out.astype("<u2").tobytes() + body.tobytes()
 
