@@ -23,10 +23,15 @@ def let_go() -> None:
 
 
 class Slots(dict):
-    """Numbers keys as they come."""
+    """Numbers keys as they come, and lists those that came since the list was last taken."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.fresh.append(key)
         return n
 
 
@@ -39,7 +44,7 @@ class Codes:
 
     def learn(self, make: Callable[[list[str]], list[bytes | None]]) -> list[bytes | None]:
         """The codes by number, after those of keys that are new have been made."""
-        fresh = list(itertools.islice(self.slots, len(self.codes), None))
+        fresh, self.slots.fresh = self.slots.fresh, []
         at, codes = self.old
         known = [None if (i := at.get(k)) is None else codes[i] for k in fresh]
         made = iter(make([k for k, c in zip(fresh, known, strict=True) if c is None]))

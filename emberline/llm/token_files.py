@@ -27,7 +27,7 @@ HEAD = struct.Struct("<4sIQ")  # magic, blocks, ids
 
 
 MEMORY = 400 << 20  # bytes of codes that a worker remembers
-SLICE = 2 << 20  # bytes of text that are encoded together
+SLICE = 4 << 20  # bytes of text that are encoded together
 
 
 class Encoder:
