@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe_duckdb, chat, decontaminate, media, neardup, quality, secrets, sharding, token_counts, token_files
+from . import bpe_duckdb, chat, decontaminate, media, neardup, quality, secrets, sharding, suffix_dedup, token_counts, token_files
 
 #: Where the public vocabulary files are.
 TOKENIZERS = None
@@ -71,6 +71,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sniff_media(media.write_media(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_token_counts, op4_chat_preferences, op5_token_files, op6_secrets, op7_near_duplicates, op8_decontamination, op9_bpe_duckdb, op10_media)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")))
 
-ORACLE_SQL = {"op1_sharding": sharding.shards_sql(), "op4_chat_preferences": chat.PAIRS_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_token_counts, op4_chat_preferences, op5_token_files, op6_secrets, op7_near_duplicates, op8_decontamination, op9_bpe_duckdb, op10_media, op11_suffix_dedup)}
+
+ORACLE_SQL = {"op1_sharding": sharding.shards_sql(), "op4_chat_preferences": chat.PAIRS_SQL, "op11_suffix_dedup": suffix_dedup.REMOVAL_SQL}
