@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe_duckdb, chat, decontaminate, media, neardup, phrases, quality, secrets, sharding, suffix_dedup, token_counts, token_files
+from . import bpe_duckdb, chat, decontaminate, media, neardup, phrases, quality, repair, secrets, sharding, suffix_dedup, token_counts, token_files
 
 #: Where the public vocabulary files are.
 TOKENIZERS = None
@@ -75,10 +75,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(turns), turns.select(turns.conv_id.cast("long").alias("conv_id")).distinct())
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_token_counts, op4_chat_preferences, op5_token_files, op6_secrets, op7_near_duplicates, op8_decontamination, op9_bpe_duckdb, op10_media, op11_suffix_dedup, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_token_counts, op4_chat_preferences, op5_token_files, op6_secrets, op7_near_duplicates, op8_decontamination, op9_bpe_duckdb, op10_media, op11_suffix_dedup, op12_repair, op13_collocations)}
 
 ORACLE_SQL = {"op1_sharding": sharding.shards_sql(), "op4_chat_preferences": chat.PAIRS_SQL, "op11_suffix_dedup": suffix_dedup.REMOVAL_SQL, "op13_collocations": phrases.COLLOCATIONS_SQL}
