@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,15 +70,28 @@ def align(pattern: np.ndarray, text: np.ndarray, most: int, low: int, high: int)
     return int(best[k] // unit), m - int(best[k] % unit), int(at[k]) + len(pattern)
 
 
+def _below(y: np.ndarray, r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the pairs 0 <= u < r, 0 <= v < n have u + v < y."""
+    corner = lambda z: np.maximum(z, 0) * (np.maximum(z, 0) + 1) // 2
+    return corner(y) - corner(y - r) - corner(y - n) + corner(y - r - n)
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` counts that many rows: whose row it is, and its number there."""
+    whose = np.repeat(np.arange(len(n)), n)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
+
+
 @dataclasses.dataclass
 class Index:
-    """Q-grams of a block of benchmark items."""
+    """Q-grams of a block of benchmark items, as runs of places that hold the same one (of one letter, say)."""
 
     ids: list
     items: list[np.ndarray]
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    run: np.ndarray
     rate: float
     window: int
 
@@ -89,13 +103,17 @@ class Index:
         item = np.repeat(np.arange(len(kept)), [len(g) for g in grams]) if kept else np.zeros(0, int)
         place = np.concatenate([np.zeros(0, int), *(np.arange(len(g)) for g in grams)])
         order = np.argsort(keys, kind="stable")
-        return cls([i for i, _ in kept], [c for _, c in kept], keys[order], item[order].astype(np.int32), place[order].astype(np.int32), rate, window)
+        keys, item, place = keys[order], item[order], place[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1))))
+        run = np.diff(np.append(first, len(keys)))
+        return cls([i for i, _ in kept], [c for _, c in kept], keys[first], item[first].astype(np.int32), place[first].astype(np.int32), run.astype(np.int32), rate, window)
 
     def prepare(self) -> None:
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[self._slot(self.keys)] = True
         self.distinct, self.first = np.unique(self.keys, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.keys)))
+        self.sorted = np.repeat(np.arange(len(self.distinct)), self.count) * max(len(self.items), 1) + self.item
         n = np.array([min(len(c), self.window) for c in self.items], np.int64)
         both = [budget(int(k), self.rate) for k in n]
         self.size, self.edits, self.need = n, np.array([b[0] for b in both], np.int64), np.array([b[1] for b in both], np.int64)
@@ -105,66 +123,110 @@ class Index:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def _shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of q-grams that the block has, and which of its distinct q-grams they are."""
+    def _shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of places of a q-gram that the block has: first place, which distinct q-gram, places."""
         at = np.flatnonzero(self.bits[self._slot(h)])
         if not len(at) or not len(self.distinct):
-            return (np.zeros(0, np.int64),) * 2
+            return (np.zeros(0, np.int64),) * 3
         k = np.minimum(np.searchsorted(self.distinct, h[at]), len(self.distinct) - 1)
         same = self.distinct[k] == h[at]
-        return at[same], k[same]
+        at, k = at[same], k[same]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), (at[1:] != at[:-1] + 1) | (k[1:] != k[:-1]))))
+        return at[first], k[first], np.diff(np.append(first, len(at)))
 
-    def search(self, texts: list[str], most: int = 1 << 20) -> list[tuple[int, int, int, int, int, int, int]]:
+    def search(self, texts: list[str], most: int = 1 << 18) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text, item, item start, text start, text end, edits, shared q-grams) of the best region of each pair that has one.
 
-        Texts are taken together until they share ``most`` q-grams with the block's items, or one at a time.
+        Bands of about ``most`` pairs of runs are counted at once: of several texts, or of one text and some of the items.
         """
         if not texts:
             return []
         cs = [codes(t) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in cs])))
-        at, k = self._shared(qgrams(np.concatenate([np.append(c, 0).astype(np.uint32) for c in cs])))
+        h = qgrams(np.concatenate([np.append(c, 0).astype(np.uint32) for c in cs]))
+        at, k, run = self._shared(h)
         text = np.searchsorted(starts, at, "right") - 1
-        total = np.bincount(text, self.count[k], len(cs)) if len(at) else np.zeros(len(cs))
+        total = np.bincount(text, self.count[k] * (1 + run // 2), len(cs)) if len(at) else np.zeros(len(cs))
         out, first = [], 0
         while first < len(cs):
             last = max(first + 1, int(np.searchsorted(np.cumsum(total[first:]), most, "right")) + first)
             a, b = np.searchsorted(text, (first, last))
-            out += self._regions(cs, starts, text[a:b], at[a:b], k[a:b])
+            if a < b:
+                few = len(self.items)
+                if total[first:last].sum() > most:  # one text: as many items at once as it has bands for
+                    few = max(1, most // (len(cs[first]) + self.longest + 2))
+                for low in range(0, len(self.items), few):
+                    proposed = self._bands(starts, text[a:b], at[a:b], k[a:b], run[a:b], low, low + few, most)
+                    for (t, i), bands in proposed.items():
+                        if best := self._best(cs[t], h[starts[t] : max(starts[t + 1] - Q, starts[t])], i, bands):
+                            out.append((t, i, *best))
             first = last
         return out
 
-    def _regions(self, cs, starts, text, at, k) -> list[tuple[int, int, int, int, int, int, int]]:
-        if not len(at):
-            return []
-        n = self.count[k]
-        rows = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text, at, item, place = np.repeat(text, n), np.repeat(at, n), self.item[rows].astype(np.int64), self.place[rows].astype(np.int64)
-        diagonal = at - starts[text] - place + self.longest
-        half = self.edits[item] + 1
-        proposed: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for shift in (0, 1):
-            band = (diagonal + shift * half) // (2 * half)
-            key = (text * len(self.items) + item) << np.int64(32) | band
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
-            n = np.diff(np.append(cuts, len(order)))
-            full = n >= self.need[item[order[cuts]]]
-            for first, c in zip(cuts[full], n[full], strict=True):
-                rows = order[first : first + c]
-                proposed.setdefault((int(text[rows[0]]), int(item[rows[0]])), []).append((int(c), rows))
-        out = []
-        for (t, i), bands in proposed.items():
-            best = None
-            for c, rows in sorted(bands, key=lambda b: -b[0]):
-                got = self._confirm(cs[t], i, place[rows], at[rows] - starts[t])
-                if got and (best is None or got[3] < best[3]):
-                    best = (*got, c)
-                if best and best[3] == 0:
-                    break
-            if best:
-                out.append((t, i, *best))
-        return out
+    def _bands(self, starts, text, at, k, run, low: int, high: int, most: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """By text and item of low <= item < high the bands that have enough shared q-grams: how many, and keys that end in shift and band."""
+        items = max(len(self.items), 1)
+        first = np.searchsorted(self.sorted, k * items + low)
+        n = np.searchsorted(self.sorted, k * items + min(high, items)) - first
+        some = n > 0
+        text, at, run, first, n = (x[some] for x in (text, at, run, first, n))
+        part = np.cumsum(n + n * run // 2) // most  # rows of one part are spread together
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(rows):
+                continue
+            whose, number = _spread(n[rows])
+            x, y = rows[whose], first[rows][whose] + number
+            item, own, other = self.item[y].astype(np.int64), self.run[y].astype(np.int64), run[x]
+            lowest = at[x] - starts[text[x]] - self.place[y] - own + 1 + self.longest
+            half = self.edits[item] + 1
+            new_keys, new_counts = [keys], [counts]
+            for shift in (0, 1):
+                band = (lowest + shift * half) // (2 * half)
+                z, number = _spread((lowest + own + other - 2 + shift * half) // (2 * half) - band + 1)
+                band = band[z] + number
+                edge = band * 2 * half[z] - shift * half[z] - lowest[z]
+                new_counts.append(_below(edge + 2 * half[z], other[z], own[z]) - _below(edge, other[z], own[z]))
+                new_keys.append(((text[x][z] * items + item[z]) * 2 + shift) << np.int64(32) | band)
+            keys, inverse = np.unique(np.concatenate(new_keys), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate(new_counts), len(keys)).astype(np.int64)
+        pair = keys >> np.int64(33)
+        full = counts >= self.need[pair % items] if len(keys) else np.zeros(0, bool)
+        pair, counts, keys = (x[full] for x in (pair, counts, keys))
+        order = np.lexsort((keys, -counts, pair))
+        edge = np.append(np.flatnonzero(np.diff(pair[order], prepend=-1)), len(order))
+        return {divmod(int(pair[order[a]]), items): (counts[order[a:b]], keys[order[a:b]]) for a, b in itertools.pairwise(edge)}
+
+    def _best(self, c: np.ndarray, grams: np.ndarray, i: int, bands: tuple[np.ndarray, np.ndarray]):
+        """The region with the fewest edits among the bands, the fullest first; stretches of text that read alike are aligned once."""
+        half, e, own = int(self.edits[i]) + 1, int(self.edits[i]), qgrams(self.items[i])
+        best, known = None, {}
+        for count, key in zip(*bands, strict=True):
+            shift, band = int(key) >> 32 & 1, int(key) & 0xFFFFFFFF
+            low = band * 2 * half - shift * half - self.longest  # the band's first diagonal
+            first, last = max(0, low - e), min(len(c), low + 2 * half + len(self.items[i]) + e)
+            key = (low - first, c[first:last].tobytes())
+            if key not in known:
+                place, at = self._hits(own, grams[first : max(last - Q + 1, first)], low - first, 2 * half)
+                known[key] = self._confirm(c[first:last], i, place, at) if len(place) else None
+            got = known[key]
+            if got and (best is None or got[3] < best[3]):
+                best = (got[0], first + got[1], first + got[2], got[3], int(count))
+            if best and best[3] == 0:
+                break
+        return best
+
+    @staticmethod
+    def _hits(own: np.ndarray, grams: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of equal q-grams in item and text on the diagonals from ``low`` on."""
+        places, ats = [], []
+        for d in range(low, low + width):
+            a, b = max(0, -d), min(len(own), len(grams) - d)
+            if a < b:
+                p = np.flatnonzero(own[a:b] == grams[a + d : b + d]) + a
+                places.append(p)
+                ats.append(p + d)
+        return (np.concatenate(places), np.concatenate(ats)) if places else (np.zeros(0, int),) * 2
 
     def _confirm(self, c: np.ndarray, i: int, place: np.ndarray, at: np.ndarray):
         """Align the item's windows that share enough q-grams in this band, the fullest first."""
