@@ -59,6 +59,11 @@ def _png(b: bytes, at: int) -> int:
             return 0
         p, first = p + 12 + n, False
         if kind == b"IEND":
+            try:
+                for _ in _png_lines(b[at:p], filtered=True):
+                    pass
+            except (ValueError, zlib.error):
+                return 0
             return p - at
     return 0
 
@@ -69,7 +74,7 @@ def _bmp(b: bytes, at: int) -> int:
     size, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
     width, height, planes, bits, packed = struct.unpack_from("<iiHHI", b, at + 18)
     rows = (abs(width) * bits + 31) // 32 * 4 * abs(height)
-    return size if zero == 0 and head == 40 and planes == 1 and bits == 24 and packed == 0 and size == start + rows and start >= 54 and at + size <= len(b) else 0
+    return size if zero == 0 and width > 0 and head == 40 and planes == 1 and bits == 24 and packed == 0 and size == start + rows and start >= 54 and at + size <= len(b) else 0
 
 
 def _gif(b: bytes, at: int) -> int:
@@ -134,22 +139,114 @@ class Sniffer:
         return found
 
 
-def payload_of(media: bytes, kind: str) -> bytes:
-    """The samples of media made by :func:`to_media`."""
-    if kind == "wav":
-        p = 12
-        while media[p : p + 4] != b"data":
-            p += 8 + int.from_bytes(media[p + 4 : p + 8], "little")
-        return media[p + 8 : p + 8 + int.from_bytes(media[p + 4 : p + 8], "little")]
-    if kind == "bmp":
-        return media[int.from_bytes(media[10:14], "little") :]
-    p, data = 8, b""
+#: Bits a sample that each PNG colour type may have, its samples a pixel, and the passes of interlaced images.
+PNG_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+PNG_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PNG_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _inflated(parts: Iterator[bytes], most: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of one deflate stream in several parts, some at a time; an error unless it ends with them."""
+    stream = zlib.decompressobj()
+    for part in parts:
+        while part:
+            yield stream.decompress(part, most)
+            part = stream.unconsumed_tail
+    if not stream.eof or stream.unused_data:
+        raise ValueError("the image data do not end with the stream")
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A PNG line without its filter: each byte was stored as its difference from a guess by bytes left, above and both."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + above
+    if kind == 1:
+        pixels = np.concatenate((line, np.zeros(-len(line) % step, np.uint8))).reshape(-1, step)
+        return np.cumsum(pixels, axis=0, dtype=np.uint8).ravel()[: len(line)]
+    out = bytearray(len(line))
+    stored_, up = line.tobytes(), above.tobytes()
+    for i, x in enumerate(stored_):
+        a, b, c = (out[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        out[i] = (x + guess) & 255
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+def _png_lines(media: bytes, filtered: bool = False) -> Iterator[bytes]:
+    """The bytes of a PNG's lines (of an interlaced one pass by pass) in parts; with ``filtered`` as they are stored.
+
+    A ``ValueError`` or ``zlib.error`` tells of a header that no image has, broken data, or too few or many of them.
+    """
+    chunks, p = [], 8
     while p < len(media):
         n = int.from_bytes(media[p : p + 4], "big")
-        if media[p + 4 : p + 8] == b"IDAT":
-            data += media[p + 8 : p + 8 + n]
+        chunks.append((media[p + 4 : p + 8], p + 8, n))
         p += 12 + n
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(-1, UNIT + 1)[:, 1:].tobytes()
+    if chunks[0][2] != 13:
+        raise ValueError("no header")
+    width, height, depth, colour, *method, laced = struct.unpack_from(">IIBBBBB", media, chunks[0][1])
+    if not width or not height or depth not in PNG_DEPTHS.get(colour, ()) or any(method) or laced > 1:
+        raise ValueError("no such image")
+    bits = depth * PNG_SAMPLES[colour]
+    sizes = [(width, height)]
+    if laced:
+        sizes = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in PNG_PASSES if width > x and height > y]
+    more, held = _inflated(media[at : at + n] for kind, at, n in chunks if kind == b"IDAT"), b""
+    for w, left in sizes:
+        line = (w * bits + 7) // 8 + 1
+        above = np.zeros(line - 1, np.uint8)
+        while left:
+            parts, size = [held], len(held)
+            while size < line:
+                part = next(more, None)
+                if part is None:
+                    raise ValueError("too few lines")
+                parts.append(part)
+                size += len(part)
+            held = b"".join(parts)
+            n = min(left, size // line)
+            lines = np.frombuffer(held, np.uint8, n * line).reshape(n, line)
+            held, left = held[n * line :], left - n
+            if lines[:, 0].max() > 4:
+                raise ValueError("no such filter")
+            if filtered or not lines[:, 0].any():
+                yield lines[:, 1:].tobytes()
+                above = lines[-1, 1:]
+                continue
+            for x in lines:
+                above = _unfiltered(int(x[0]), x[1:], above, max(bits // 8, 1))
+                yield above.tobytes()
+    if held or any(more):
+        raise ValueError("too many lines")
+
+
+def samples_of(media: bytes, kind: str) -> Iterator[bytes]:
+    """The samples of media that the format's validator accepts, in parts, as their bytes stand in the format.
+
+    A WAV's data chunk; a BMP's lines from the top, without padding; a PNG's unfiltered lines. Other types give none.
+    """
+    if kind == "wav":
+        p = 12
+        while media[p : p + 4] != b"data":
+            n = int.from_bytes(media[p + 4 : p + 8], "little")
+            p += 8 + n + (n & 1)
+        yield media[p + 8 : p + 8 + int.from_bytes(media[p + 4 : p + 8], "little")]
+    elif kind == "bmp":
+        start, width, height = int.from_bytes(media[10:14], "little"), *struct.unpack_from("<ii", media, 18)
+        lines = np.frombuffer(media, np.uint8, offset=start).reshape(abs(height), -1)[:, : 3 * width] if height else np.zeros((0, 0), np.uint8)
+        yield (lines[::-1] if height > 0 else lines).tobytes()
+    elif kind == "png":
+        yield from _png_lines(media)
+
+
+def payload_of(media: bytes, kind: str) -> bytes:
+    """All samples of valid media (:func:`samples_of`); of media made by :func:`to_media` the payload."""
+    return b"".join(samples_of(media, kind))
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,8 +283,9 @@ def sniff_media(table: DataFrame) -> DataFrame:
     """Read stored media back: correct their declared type, carve what is embedded, and compute features of the samples.
 
     ``actual`` is the type of the first valid media found, ``carved_at`` its offset, ``n_media`` how many a blob holds.
-    ``payload_*`` are its samples (none, and the empty digest, for a blob without media), ``media_*`` the whole stored
-    blob. ``feature`` names type, mean, spread and most frequent sample. Null media count as empty blobs.
+    ``payload_*`` are its samples (none, and the empty digest, for a blob without media and for GIF and JPEG), ``media_*``
+    the whole stored blob. Any valid PNG, WAV or 24-bit BMP will do; what its own format's reader cannot read to the end
+    (broken deflate data, too few lines) is no media. ``feature`` names type, mean, spread and most frequent sample. Null media count as empty blobs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +296,15 @@ def sniff_media(table: DataFrame) -> DataFrame:
             for blob in as_bytes(batch.column(3)):
                 found = sniffer.find(blob)
                 at, n, kind = found[0] if found else (None, 0, None)
-                payload = payload_of(blob[at : at + n], kind) if kind in KINDS else b""
-                count = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                count, sha, size, tail = np.zeros(256, np.int64), hashlib.sha256(), 0, b""
+                for part in samples_of(blob[at : at + n], kind) if kind in KINDS else ():
+                    count += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+                    sha.update(part)
+                    size, tail = size + len(part), (tail + part)[-16:]
                 total, square = int(count @ np.arange(256)), int(count @ np.arange(256) ** 2)
-                mean = total * 1000 // max(len(payload), 1)
-                spread = square * 1000 // max(len(payload), 1) - mean * mean // 1000
-                values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind}:mean={mean}:var={spread}:mode={int(count.argmax())}:rows={len(payload) // UNIT}", kind, at, len(found))
+                mean = total * 1000 // max(size, 1)
+                spread = square * 1000 // max(size, 1) - mean * mean // 1000
+                values = (size, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), f"{kind}:mean={mean}:var={spread}:mode={int(count.argmax())}:rows={size // UNIT}", kind, at, len(found))
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
             cols = [batch.column(0), batch.column(1), *(pa.array(out[k], t) for k, t in zip(names[2:8], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), batch.column(2), *(pa.array(out[k], t) for k, t in zip(names[9:], (pa.string(), pa.int64(), pa.int32()), strict=True))]

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -414,6 +415,24 @@ def brute_leaks(docs, items, rate=0.08, window=100):
     return out
 
 
+def test_decontamination_of_runs():
+    """Texts and items of one letter or a short period: the same pairs as by the bare rule, and bounded in time and memory."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    items = [(1, "_" * 100), (2, word(60) + "_" * 100), (3, "_" * 50 + word(50)), (4, "-=" * 60), (5, word(40) + "_" * 70), (6, "_" * 30), (7, word(120)), (8, "ab " * 30 + "_" * 40)]
+    docs = [(1, "_" * 150), (2, word(50) + "_" * 101 + word(9)), (3, "-=" * 70), (4, "_" * 60 + items[6][1][:100] + "_" * 60), (5, "-" * 200), (6, "_" * 49 + items[2][1][50:]), (7, "ab " * 40 + "_" * 50), (8, "_" * 25)]
+    for most in (1 << 18, 50, 1):
+        index = decontaminate.Index.of(items, 0.08, 100)
+        index.prepare()
+        assert {(docs[t][0], items[i][0]) for t, i, *_ in index.search([d for _, d in docs], most)} == brute_leaks(docs, items)
+    index = decontaminate.Index.of([(i, word(60) + "_" * 100) for i in range(100)], 0.08, 100)
+    index.prepare()
+    tracemalloc.start()
+    assert len(index.search(["_" * 200_000])) == 100
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_decontamination_by_brute_force(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)]
@@ -475,6 +494,55 @@ def test_bpe_long_words():
     assert c.decode(ids) == [t.encode() for t in texts]
 
 
+def png(width, height, depth, colour, raw, laced=0, more=b""):
+    return media.PNG + media._chunk(b"IHDR", media.struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, laced)) + more + media._chunk(b"IDAT", raw[: len(raw) // 2]) + media._chunk(b"IDAT", raw[len(raw) // 2 :]) + media._chunk(b"IEND", b"")
+
+
+def filtered(lines, step):
+    """Lines of one image, the k-th with PNG's filter k mod 5, as the standard words it."""
+    out, above = b"", bytes(len(lines[0]))
+    for k, line in enumerate(lines):
+        guess = []
+        for i in range(len(line)):
+            a, b, c = line[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            p = a + b - c
+            near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            guess.append((0, a, b, (a + b) // 2, near)[k % 5])
+        out += bytes([k % 5]) + bytes((x - g) % 256 for x, g in zip(line, guess, strict=True))
+        above = line
+    return out
+
+
+def test_foreign_media(spark):
+    rng = random.Random(8)
+    lines = lambda n, size: [rng.randbytes(size) for _ in range(n)]
+    rgb, wide, palette, grey = lines(11, 21), lines(7, 40), lines(6, 5), lines(3, 2)
+    laced = [lines(h, w * 3) for w, h in ((1, 1), (1, 1), (2, 1), (1, 2), (3, 1), (2, 3), (5, 2))]  # 5 x 5 pixels
+    z = zlib.compress
+    wav = lambda n, extra=b"": b"RIFF" + media.struct.pack("<I", 36 + len(extra) + n) + b"WAVEfmt " + media.struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + extra + b"data" + media.struct.pack("<I", n) + bytes(range(200))[:n]
+    bmp = lambda w, h, body: b"BM" + media.struct.pack("<IHHIIiiHHIIiiII", 54 + len(body), 0, 0, 54, 40, w, h, 1, 24, 0, len(body), 1, 1, 0, 0) + body
+    good = [
+        (png(1, 1, 8, 2, z(b"\0abc")), b"abc"), (png(7, 11, 8, 2, z(filtered(rgb, 3))), b"".join(rgb)), (png(5, 7, 16, 6, z(filtered(wide, 8))), b"".join(wide)),
+        (png(10, 6, 4, 3, z(filtered(palette, 1)), more=media._chunk(b"PLTE", b"\1\2\3")), b"".join(palette)), (png(13, 3, 1, 0, z(filtered(grey, 1))), b"".join(grey)),
+        (png(5, 5, 8, 2, z(b"".join(filtered(x, 3) for x in laced)), laced=1), b"".join(x for part in laced for x in part)),
+        (wav(8), bytes(range(8))), (wav(0), b""), (wav(4, b"LIST" + media.struct.pack("<I", 3) + b"odd\0"), bytes(range(4))),
+        (bmp(1, 1, b"abc\0"), b"abc"), (bmp(2, 2, b"low123..top123.."), b"top123low123"), (bmp(3, -1, b"ninebytes\0\0\0"), b"ninebytes"),
+    ]
+    bad = [
+        png(1, 1, 8, 2, b"broken"), png(1, 1, 8, 2, z(b"\0ab")), png(1, 1, 8, 2, z(b"\0abcd")), png(1, 1, 8, 2, z(b"\5abc")), png(1, 1, 8, 2, z(b"\0abc")[:-2]), png(0, 1, 8, 2, z(b"")), png(1, 1, 4, 2, z(b"\0abc")),
+        png(1, 1, 8, 9, z(b"\0abc")), png(1 << 31, 1 << 31, 16, 6, z(b"\0abc")), png(1, 1, 8, 2, z(b"\0abc"), laced=2), png(1, 1, 8, 2, z(b"\0abc") + b"tail"), wav(8)[:-1], bmp(-1, 1, b"abc\0"), bmp(1, 1, b"abc"),
+        media.PNG + media._chunk(b"IHDR", b"short") + media._chunk(b"IEND", b""), media.PNG + media._chunk(b"IEND", b""),
+    ]
+    blobs = [*(m for m, _ in good), *(b"junk BM RIFF" + m + b"tail" for m, _ in good), *bad]
+    table = spark.createDataFrame([(i, 0, "png", b) for i, b in enumerate(blobs)], "doc_id long, n_bytes long, declared string, media binary")
+    got = {r.doc_id: r for r in media.sniff_media(table).collect()}
+    for i, (m, payload) in enumerate(good * 2):
+        r = got[i]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])), i
+        assert (r.n_media, r.carved_at, r.media_bytes) == (1, 12 * (i >= len(good)), len(blobs[i])) and media.payload_of(m, r.actual) == payload
+    assert [i for i in range(len(bad)) if got[2 * len(good) + i].n_media] == []
+
+
 def test_media(spark, docs, odd, none):
     for df in (docs, odd):
         want = []
