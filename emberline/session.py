@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths that :func:`shared_path` has given, innermost :func:`settled` last.
+_made: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +54,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, done: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """What ``make`` gives as a stored table, with its path; all tables that making it wrote go, and so does ``done``."""
+    _made.append([])
+    try:
+        df = make()
+    finally:
+        paths = _made.pop()
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    for old in (*paths, *done):
+        delete_path(spark, old)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 class Scratch:
     """Tables that one job keeps in the shared folder and deletes as soon as no later step reads them."""
 
@@ -58,9 +85,11 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that :meth:`keep` made; the caller reads them no more."""
         for df in frames:
-            _, path = self.paths.pop(id(df))
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(self.spark, self.paths.pop(id(df))[1])
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all tables that :meth:`keep` made but these."""
+        self.drop(*(df for df, _ in list(self.paths.values()) if not any(df is x for x in frames)))
 
 
 def ship(spark: SparkSession) -> None:
