@@ -79,13 +79,16 @@ def _multiple(scratch: Scratch, values: DataFrame) -> DataFrame:
 def _lists(scratch: Scratch, reps: DataFrame, percent: int, k: int, estimate: float) -> DataFrame:
     """The inverted lists: (value, rep, n) of the least frequent values of all representatives that may have a link."""
     sized = reps.select("rep", "n", F.size("sketch").alias("size"), F.expr(_lacks(percent, k, estimate)).alias("m"))
+    kept = [df for df, _ in scratch.paths.values()]
     first = _multiple(scratch, reps.select("rep", F.explode("sketch").alias("value")))
     common = first.groupBy("rep").agg(F.collect_list("value").alias("values"))  # at most k
     open_ = scratch.keep(sized.join(common, "rep").where("size - size(values) <= m"), "open")
     again = _multiple(scratch, open_.select("rep", F.explode("values").alias("value")))
     ranked = again.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("ranked"))
     ranked = open_.join(ranked, "rep").withColumn("alone", F.expr("size - size(ranked)")).where("alone <= m")
-    return scratch.keep(ranked.select("rep", "n", F.explode(F.slice("ranked", F.lit(1), F.expr("m + 1 - alone"))).alias("x")).select(F.col("x.value").alias("value"), "rep", "n"), "lists")
+    lists = scratch.keep(ranked.select("rep", "n", F.explode(F.slice("ranked", F.lit(1), F.expr("m + 1 - alone"))).alias("x")).select(F.col("x.value").alias("value"), "rep", "n"), "lists")
+    scratch.only(*kept, lists)
+    return lists
 
 
 def _texts(need: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -208,10 +211,12 @@ def _judged(docs: DataFrame, percent: int = 85, k: int = 64, list_size: int = 16
     x, y = rare.select("value", F.col("rep").alias("a"), F.col("n").alias("p")), rare.select("value", F.col("rep").alias("b"), F.col("n").alias("q"))
     pairs = scratch.keep(x.join(y, "value").where("a < b and " + _similar_sizes("p", "q", percent)).select("a", "b").distinct(), "pairs")
     edges = _links(scratch, pairs, reps, rows, heads, k, percent, estimate)
+    scratch.drop(pairs)
     crowd = scratch.keep(lists.join(counts.where(F.col("c") > list_size), "value").select("value", "rep"), "crowd")
     if not crowd.isEmpty():
         edges = edges.unionByName(_around_pivots(scratch, crowd, rows, heads, percent))
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    scratch.only(table, classes)  # the result reads no other
     placed = classes.drop("sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     best = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("first_key").alias("key")))
     named = placed.join(placed.groupBy("component").agg(best.alias("best")), "component").select(*key, "best")
