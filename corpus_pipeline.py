@@ -7,10 +7,12 @@ documents, and byte-level BPE encodes what is left, decodes it again and gives t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import bpe_duckdb, decontaminate, neardup, quality, queries, secrets
-from emberline.session import ship, stored
+from emberline.session import settled, ship
 
 #: Bytes of encoded words that a Python worker of the last stage remembers; its executors still hold what earlier stages left in their heaps.
 BPE_MEMORY = 64 << 20
@@ -55,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote on the way, and what it read, goes once its result is stored."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settled(spark, functools.partial(stage, spark, docs, sf_dir), f"stage-{name}", read)
+        read = (path,)
     return docs
