@@ -1,14 +1,18 @@
 """Documents about events: normalising, extraction, links, near-duplicate clusters, provenance and the evidence graph."""
 
 import unicodedata
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.similarity import trgm_similarity, trigrams
 from ..functions.times import micros
+from ..session import cut, stored
 from .components import connected_components
 from .grid import dwithin_join, nearest
 
@@ -36,20 +40,75 @@ def fingerprint(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+def _name_blocks(names: DataFrame, most: int) -> Iterator[tuple[list[str], bool]]:
+    """Distinct names in blocks of at most ``most`` characters (or one longer name), read in a stream; whether more follow."""
+    block, size = [], 0
+    for (name,) in names.select(F.col("name").cast("string")).where("name <> ''").distinct().toLocalIterator():
+        if block and size + len(name) > most:
+            yield block, True
+            block, size = [], 0
+        block.append(name)
+        size += len(name)
+    if block:
+        yield block, False
+
+
+def _searcher(names: list[str], whole_words: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for i, name in enumerate(names):
+            automaton.add_word(name, i)
+        automaton.make_automaton()
+        for batch in batches:
+            docs, found = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = set()
+                for end, i in automaton.iter(text or ""):
+                    start = end + 1 - len(names[i])
+                    if not whole_words or not (text[start - 1 : start].isalpha() or text[end + 1 : end + 2].isalpha()):
+                        hits.add(i)
+                docs += [doc] * len(hits)
+                found += [names[i] for i in sorted(hits)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(found, pa.string())], ["doc_id", "name"])
+
+    return run
+
+
+def names_in_texts(docs: DataFrame, names: DataFrame, whole_words: bool = False, block_chars: int = 4_000_000) -> DataFrame:
+    """Which ``names`` (column ``name``) each of ``docs`` (``doc_id``, ``text``) holds: ``doc_id, name``, once a row of ``docs``.
+
+    One automaton of all names reads every text once, in time that grows with its length alone, and texts take part in
+    no join. ``whole_words`` wants no letter on either side. The dictionary goes to the tasks in blocks of
+    ``block_chars`` characters; each further block is another scan of the documents. Case counts; null and empty names
+    name nothing, null texts are empty.
+    """
+    rows, out = docs.select("doc_id", "text"), None
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, name string"
+    for block, more in _name_blocks(names, block_chars):
+        part = rows.mapInArrow(_searcher(block, whole_words), kind)
+        part = stored(part, "names") if more else part
+        out = part if out is None else out.unionByName(part)
+    return rows.select("doc_id", F.lit("").alias("name")).limit(0) if out is None else out
+
+
 def extract_entities(docs: DataFrame, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
-    """Lexicon entries (``kind, canonical, pattern, confidence``) whose pattern a document holds.
+    """Lexicon entries (``kind, canonical, confidence`` and ``word`` or ``pattern``) that a document holds.
 
-    The lexicon is a user's table of at most ``most`` entries (more are an error): it becomes an array literal, so each
-    document is read once and nothing is joined.
+    Entries with a ``word`` count where it stands without letters on either side; one automaton finds them all
+    (:func:`names_in_texts`), so their number costs nothing a text. Only entries without one are matched by ``pattern``,
+    each by itself: at most ``most`` of them, more are an error. Either column may be missing.
     """
-    rows = lexicon.select("kind", "canonical", "pattern", F.col("confidence").cast("int").alias("confidence")).where("pattern is not null").limit(most + 1).collect()
+    lexicon = lexicon.select("kind", "canonical", F.col("confidence").cast("int").alias("confidence"), *((F.col(c) if c in lexicon.columns else F.lit(None).cast("string")).alias(c) for c in ("word", "pattern")))
+    words, patterns = lexicon.where("word <> ''"), lexicon.where("coalesce(word, '') = '' and pattern is not null")
+    found = names_in_texts(docs, words.select(F.col("word").alias("name")), whole_words=True)
+    found = found.join(words.withColumnRenamed("word", "name"), "name").select("doc_id", "kind", "canonical", "confidence")
+    rows = patterns.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a lexicon of more than {most} patterns")
-    if not rows:
-        return docs.select("doc_id", F.lit("").alias("kind"), F.lit("").alias("canonical"), F.lit(0).alias("confidence")).limit(0)
-    entry = lambda r: F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.canonical).alias("canonical"), F.lit(r.confidence).alias("confidence")))
-    found = docs.select("doc_id", F.explode(F.array_compact(F.array(*map(entry, rows)))).alias("e"))
-    return found.groupBy("doc_id", "e.kind", "e.canonical").agg(F.max("e.confidence").alias("confidence"))
+    if rows:
+        entry = lambda r: F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.canonical).alias("canonical"), F.lit(r.confidence).alias("confidence")))
+        found = found.unionByName(docs.select("doc_id", F.explode(F.array_compact(F.array(*map(entry, rows)))).alias("e")).select("doc_id", "e.kind", "e.canonical", "e.confidence"))
+    return found.groupBy("doc_id", "kind", "canonical").agg(F.max("confidence").alias("confidence"))
 
 
 def extract_claims(docs: DataFrame, term: str, gap: int = 24, most: int = 10_000) -> DataFrame:
@@ -134,31 +193,33 @@ def _steps(value: Column, rule: Column, rules: dict, part: str) -> Column:
 def link_documents(docs: DataFrame, events: DataFrame, rules: dict = LINK_RULES, words: dict = LINK_WORDS) -> DataFrame:
     """Documents with the events they may be about: ``doc_id, event_id, distance_m, place_score, time_score, text_score, score, rank``.
 
-    ``docs`` has ``doc_id, rule`` (a key of ``rules``), ``published_at, lat, lon, text``; ``events`` ``event_id, last_seen,
-    latest_lat, latest_lon, place, region`` (names, null if unknown). A document with a place meets events within its rule's distance
-    and time, and needs its points of place and time; one without meets those whose place or region its text names, by shared
-    runs of three characters, and needs the points of words and of time. Names of fewer than three characters name nothing.
-    The best of each document stay, by score, then nearness in time.
+    ``docs`` has ``doc_id`` (distinct), ``rule`` (a key of ``rules``), ``published_at, lat, lon, text``; ``events`` ``event_id,
+    last_seen, latest_lat, latest_lon, place, region`` (names, null if unknown). A document with a place meets events within
+    its rule's distance and time, and needs its points of place and time; one without meets those whose place or region
+    its text names (:func:`names_in_texts`; case does not count), and needs the points of words and of time. Names of fewer
+    than three characters name nothing. The best of each document stay, by score, then nearness in time.
     """
     pick = lambda part: F.coalesce(*(F.when(F.col("rule") == k, r[part]) for k, r in rules.items()))
-    d = docs.select("doc_id", "rule", "published_at", F.col("lat").alias("dlat"), F.col("lon").alias("dlon"), F.lower(F.coalesce("text", F.lit(""))).alias("body")).where(F.col("rule").isin(*rules))
+    docs = docs.where(F.col("rule").isin(*rules))
+    d = docs.select("doc_id", "rule", "published_at", F.col("lat").alias("dlat"), F.col("lon").alias("dlon"))
     e = events.select("event_id", "last_seen", "latest_lat", "latest_lon", F.lower("place").alias("place"), F.lower("region").alias("region"))
+    name = F.explode(F.array_distinct(F.array_compact(F.array("place", "region")))).alias("name")
+    named = e.select("event_id", "last_seen", name).where("length(name) > 2")
+    found = cut(names_in_texts(docs.select("doc_id", F.lower("text").alias("text")), named.select("name")))
     gap = F.abs(micros("published_at") - micros("last_seen")) / 1e6
     located = dwithin_join(d.where("dlat is not null and dlon is not null"), e, max(r["most_m"] for r in rules.values()), "dlat", "dlon", "latest_lat", "latest_lon", (gap <= pick("most_s")) & gap.isNotNull())
     located = located.where(F.col("distance_m") <= pick("most_m"))
-    bare = d.where("dlat is null or dlon is null")
     slot = int(max(r["most_s"] for r in rules.values()) * 1_000_000)
     at = lambda c: F.floor(micros(c) / slot)
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - 2, F.lit(1))), lambda i: F.substring(F.col("body"), i, F.lit(3))))
-    spread = bare.select("doc_id", F.explode(heads).alias("g"), F.sequence(at("published_at") - 1, at("published_at") + 1).alias("slots")).select("doc_id", "g", F.explode("slots").alias("slot"))
-    named = e.select("event_id", F.explode(F.array_distinct(F.array_compact(F.array("place", "region")))).alias("name"), at("last_seen").alias("slot")).where("length(name) > 2").select("event_id", "slot", F.substring("name", 1, 3).alias("g"))
-    met = spread.join(named, ["g", "slot"]).select("doc_id", "event_id").distinct()
-    told = met.join(bare, "doc_id").join(e, "event_id").where(gap <= pick("most_s")).withColumn("distance_m", F.lit(None).cast("double"))
-    both = located.unionByName(told.select(*located.columns))
-    holds = lambda c, n: F.when((F.length(c) > 2) & F.contains("body", c), n).otherwise(0)
-    both = both.withColumn("gap_s", gap).withColumns({
+    asked = d.where("dlat is null or dlon is null").join(found, "doc_id").withColumn("slot", F.explode(F.sequence(at("published_at") - 1, at("published_at") + 1)))
+    met = asked.join(named.select("event_id", "last_seen", "name", at("last_seen").alias("slot")), ["name", "slot"]).where(gap <= pick("most_s"))
+    told = met.select("doc_id", "rule", "published_at", "dlat", "dlon", "event_id").distinct().join(e, "event_id").withColumn("distance_m", F.lit(None).cast("double"))
+    both = located.unionByName(told.select(*located.columns)).withColumn("gap_s", gap)
+    for c in ("place", "region"):
+        both = both.join(found.select("doc_id", F.col("name").alias(c), F.lit(words[c]).alias(f"{c}_points")), ["doc_id", c], "left")
+    both = both.withColumns({
         "place_score": F.when(F.col("distance_m").isNull(), 0).otherwise(_steps(F.col("distance_m"), F.col("rule"), rules, "place")), "time_score": _steps(gap, F.col("rule"), rules, "time"),
-        "text_score": F.least(F.lit(words["most"]), holds("place", words["place"]) + holds("region", words["region"])),
+        "text_score": F.least(F.lit(words["most"]), F.coalesce("place_points", F.lit(0)) + F.coalesce("region_points", F.lit(0))),
     }).withColumn("score", F.least(F.lit(100), F.col("place_score") + F.col("time_score") + F.col("text_score")))
     good = F.when(F.col("distance_m").isNotNull(), F.col("place_score") + F.col("time_score") >= pick("least")).otherwise((F.col("text_score") >= words["least"]) & (F.col("time_score") >= words["least_time"]))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "gap_s", "event_id")

@@ -18,7 +18,9 @@ MENT = f"m AS (SELECT doc_id, kind, canonical, max(confidence) AS confidence FRO
 
 
 def lexicon(spark):
-    return spark.createDataFrame(LEX, "kind string, canonical string, pattern string, confidence int")
+    """Half the entries as words, half as patterns that say the same."""
+    rows = [(k, c, p if i % 2 else None, None if i % 2 else c, n) for i, (k, c, p, n) in enumerate(LEX)]
+    return spark.createDataFrame(rows, "kind string, canonical string, pattern string, word string, confidence int")
 
 
 def docs(spark, d):
@@ -61,16 +63,8 @@ TRI = "list_distinct(flatten(list_transform(list_filter(string_split({x}, ' '),
 LINE = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query(f"WITH l AS (SELECT doc_id, {TRI.format(x=LINE.format(x='split_part(text, chr(10), 1)'))} AS g FROM documents) SELECT a.doc_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) AS similarity FROM l a JOIN l b ON b.doc_id = a.doc_id + 1")
-def t4_trgm_similarity(spark, d):
-    a = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return a.join(b, "doc_id").select("doc_id", F.round(similarity.trgm_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
-
-
 @query(f"WITH l AS (SELECT doc_id, {TRI.format(x=LINE.format(x='text'))} AS g FROM documents) SELECT a.doc_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) AS similarity FROM l a JOIN l b ON b.doc_id = a.doc_id + 1")
 def t4_trgm_similarity_texts(spark, d):
-    """As t4_trgm_similarity, whose SQL holds it to first lines, over whole texts."""
     a = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return a.join(b, "doc_id").select("doc_id", F.round(similarity.trgm_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
