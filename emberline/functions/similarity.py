@@ -39,6 +39,15 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.92).otherwise(F.greatest(dice(x, y), jaccard))
 
 
+def registry_similarity(a: Column, b: Column) -> Column:
+    """Jaccard of words of three letters and more; 1 if equal, 0.94 if a name of eight letters or more is contained in the other."""
+    x, y = norm_name(a), norm_name(b)
+    words = lambda s: F.array_distinct(F.filter(F.split(s, " "), lambda w: F.length(w) > 2))
+    jaccard = F.coalesce(F.size(F.array_intersect(words(x), words(y))) / F.nullif(F.size(F.array_union(words(x), words(y))), F.lit(0)), F.lit(0.0))
+    inside = ((F.length(x) >= 8) & y.contains(x)) | ((F.length(y) >= 8) & x.contains(y))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.94).otherwise(jaccard)
+
+
 def trigrams(c: Column) -> Column:
     """The set of trigrams of each word, lower-cased and padded with two blanks before and one after."""
     words = F.filter(F.split(norm_name(c), " "), lambda w: w != "")

@@ -7,14 +7,12 @@ import functools
 import math
 import operator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geo import EARTH_M, M_PER_DEGREE, bearing_deg, covers, haversine_m, round_half_up, segment_distance_m
-from ..functions.similarity import alias_similarity, name_similarity, norm_name
-from .components import connected_components
+from ..functions.similarity import alias_similarity, norm_name
 from .grid import dwithin_join, nearest
 
 RINGS = (0, 500, 1000, 2000, 5000, 10000)
@@ -204,12 +202,15 @@ def resolve_alias(queries: DataFrame, aliases: DataFrame, least: float = 0.60, m
 
 
 def validate_aliases(aliases: DataFrame, codes: DataFrame) -> DataFrame:
-    """Catalogue faults: aliases of two codes, codes without alias, aliases of unknown codes."""
+    """Catalogue faults: aliases of two codes, codes without alias, aliases of unknown codes, and aliases that do not resolve to
+    their code (:func:`resolve_alias`): ``fault`` (duplicate, missing, unknown, round_trip) and ``what``."""
     key = aliases.withColumn("key", norm_name(F.col("alias")))
     twice = key.groupBy("key").agg(F.count_distinct("code").alias("n")).where("n > 1").select(F.lit("duplicate").alias("fault"), F.col("key").alias("what"))
     missing = codes.join(aliases, "code", "left_anti").select(F.lit("missing").alias("fault"), F.col("code").alias("what"))
     unknown = aliases.join(codes, "code", "left_anti").select(F.lit("unknown").alias("fault"), F.col("code").alias("what")).distinct()
-    return twice.unionByName(missing).unionByName(unknown)
+    found = resolve_alias(aliases.select(F.col("alias").alias("query")).distinct(), aliases).select(F.col("query").alias("alias"), F.col("code").alias("found"))
+    trips = aliases.join(found, "alias").where(~F.col("found").eqNullSafe(F.col("code"))).select(F.lit("round_trip").alias("fault"), F.col("alias").alias("what")).distinct()
+    return twice.unionByName(missing).unionByName(unknown).unionByName(trips)
 
 
 def filter_objects(objects: DataFrame, settlement=None, brand=None, source=None, min_confidence=None, has_address=None) -> DataFrame:
@@ -232,63 +233,11 @@ def fill_settlement(objects: DataFrame, places: DataFrame, radius_m: float = 250
     return out.withColumn("method", F.when(tagged, "tagged").when(F.col("place").isNotNull(), "nearest").otherwise("none")).withColumn("settlement", F.when(tagged, F.col("settlement")).otherwise(F.col("place"))).drop("place")
 
 
-def _resolve(accept: int, margin: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[int, int] = {}
-        by_id = {}
-        for r in pdf.sort_values(["rank", "id"]).itertuples():
-            by_id.setdefault(r.id, []).append((int(r.other), int(r.confidence)))
-        out = []
-        for i, cand in by_id.items():
-            heads: dict[int, int] = {}
-            for other, c in cand:
-                if other >= 0 and other in taken:
-                    heads[taken[other]] = max(heads.get(taken[other], 0), c)
-            best = sorted(heads.items(), key=lambda x: (-x[1], x[0]))
-            ok = best and best[0][1] >= accept and (len(best) == 1 or best[0][1] - best[1][1] >= margin)
-            taken[i] = best[0][0] if ok else i
-            out.append((i, taken[i], best[0][1] if best else None, "merged" if ok else "proposal" if best and 80 <= best[0][1] else "new"))
-        return pd.DataFrame(out, columns=["id", "entity_id", "confidence", "decision"])
-
-    return run
-
-
-def resolve_entities(rows: DataFrame, radius_m: float = 180, accept: int = 86, margin: int = 6) -> DataFrame:
-    """Records of the same object across sources: ``id, entity_id, confidence, decision``.
-
-    ``rows`` has ``id, name, lat, lon, category, rank`` (rank: normative order). Pairs of one category within the radius
-    score 100 * (0.75 name + 0.25 proximity). Inside each connected group of pairs that score 80 or more, records in
-    rank order join the entity that leads by the margin, else open one; 80 and more without that is a proposal.
-    """
-    a = rows.select("id", "name", "lat", "lon", "category")
-    b = rows.select(F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("category").alias("category2"))
-    pairs = dwithin_join(a, b, radius_m, extra=(F.col("category") == F.col("category2")) & (F.col("id") < F.col("id2")))
-    score = F.round(100 * (0.75 * name_similarity(F.col("name"), F.col("name2")) + 0.25 * (1 - F.col("distance_m") / radius_m))).cast("int")
-    good = pairs.withColumn("confidence", score).where("confidence >= 80").select("id", "id2", "confidence")
-    groups = connected_components(good.select(F.col("id").alias("src"), F.col("id2").alias("dst")))
-    both = good.select("id", F.col("id2").alias("other"), "confidence").unionByName(good.select(F.col("id2").alias("id"), F.col("id").alias("other"), "confidence"))
-    joined = both.join(rows.select("id", "rank"), "id").join(groups, both.id == groups.node).select("component", both.id, "other", "confidence", "rank")
-    linked = joined.groupBy("component").applyInPandas(_resolve(accept, margin), "id long, entity_id long, confidence int, decision string")
-    alone = rows.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("entity_id"), F.lit(None).cast("int").alias("confidence"), F.lit("new").alias("decision"))
-    return linked.unionByName(alone)
-
-
 def merge_profiles(fields: DataFrame) -> DataFrame:
     """Of each entity's field the value of highest confidence (then source), and the set of all values."""
     return fields.groupBy("entity_id", "field").agg(F.max_by("value", F.struct("confidence", "source")).alias("value"), F.max_by("source", F.struct("confidence", "source")).alias("source"), F.array_sort(F.collect_set("value")).alias("values"))
 
 
-def link_registry(entities: DataFrame, datasets: DataFrame, least: int = 55) -> DataFrame:
-    """Entities and registry records that share a word: exact name 96, contained 90, publisher 88, else similarity; from 55."""
-    words = lambda df, c, *keep: df.select(*keep, F.explode(F.array_distinct(F.filter(F.split(norm_name(F.col(c)), " "), lambda w: F.length(w) > 2))).alias("w"))
-    named = words(datasets, "title", "dataset_id", "title", "publisher").unionByName(words(datasets, "publisher", "dataset_id", "title", "publisher"))
-    pairs = words(entities, "name", "entity_id", "name").join(named, "w").drop("w").distinct()
-    n, t, p = norm_name(F.col("name")), norm_name(F.col("title")), norm_name(F.col("publisher"))
-    soft = F.round(100 * F.greatest(name_similarity(F.col("name"), F.col("title")), 0.88 * name_similarity(F.col("name"), F.col("publisher")))).cast("int")
-    score = F.when(n == t, 96).when(t.contains(n), 90).when(n == p, 88).otherwise(soft)
-    return pairs.select("entity_id", "dataset_id", score.alias("score")).where(F.col("score") >= least).withColumn("status", F.when(F.col("score") >= 86, "probable").otherwise("candidate"))
-
-
 def search_events(events: DataFrame, **f) -> DataFrame:
     """Events by any of: region_id, status, source, since, until, min_frp, min_observations, min_platforms, lat/lon/radius_m; newest
     (or nearest) first, 1 to 50 of them."""

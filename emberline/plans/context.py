@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -159,21 +160,16 @@ def t9_link_documents(spark, d):
     return documents.link_documents(docs, e).drop("distance_m")
 
 
-CORNERS = ((24.0, 45.0), (38.0, 45.0), (31.0, 51.5), (24.0, 45.0))
-HOLE = ((29.0, 46.0), (33.0, 46.0), (33.0, 48.0), (29.0, 48.0), (29.0, 46.0))
+CORNERS = ((24.00037, 45.00041), (27.00037, 45.00041), (25.50037, 47.40041), (24.00037, 45.00041))
+HOLE = ((25.00013, 45.50017), (26.00013, 45.50017), (26.00013, 46.20017), (25.00013, 46.20017), (25.00013, 45.50017))
+BOX = ((36.00037, 49.00041), (38.00037, 49.00041), (38.00037, 51.00041), (36.00037, 51.00041), (36.00037, 49.00041))
 
 
-@query(f"{W} SELECT id FROM det WHERE lat >= 45 AND (lat - 45) * 7 <= (lon - 24) * 6.5 AND (lat - 45) * 7 <= (38 - lon) * 6.5 AND NOT (lon > 29 AND lon < 33 AND lat > 46 AND lat < 48) UNION SELECT id FROM det WHERE lon BETWEEN 36 AND 39 AND lat BETWEEN 49 AND 51")
+@query(f"{W} SELECT id FROM det WHERE lat >= 45.00041 AND (lat - 45.00041) * 1.5 <= (lon - 24.00037) * 2.4 AND (lat - 45.00041) * 1.5 <= (27.00037 - lon) * 2.4 AND NOT (lon > 25.00013 AND lon < 26.00013 AND lat > 45.50017 AND lat < 46.20017) UNION SELECT id FROM det WHERE lon BETWEEN 36.00037 AND 38.00037 AND lat BETWEEN 49.00041 AND 51.00041")
 def p4_within_polygon(spark, d):
-    """A triangle with a hole, and a box apart from it."""
-    triangle = objects.SpatialPlan("polygon", ring=((26.0, 45.0), (27.0, 45.0), (26.5, 46.0), (26.0, 45.0)))  # the bounds of a plan hold here
-    big = object.__new__(objects.SpatialPlan)
-    for k, v in (triangle.__dict__ | {"ring": CORNERS, "holes": (HOLE,)}).items():
-        object.__setattr__(big, k, v)
-    box = object.__new__(objects.SpatialPlan)
-    for k, v in (triangle.__dict__ | {"ring": ((36.0, 49.0), (39.0, 49.0), (39.0, 51.0), (36.0, 51.0), (36.0, 49.0))}).items():
-        object.__setattr__(box, k, v)
-    return objects.within_polygon(detections(spark, d).select("id", "lat", "lon"), big, box).select("id")
+    """A triangle with a hole, and a box apart from it, both as large as a search may be."""
+    plans = (objects.SpatialPlan("polygon", ring=CORNERS, holes=(HOLE,)), objects.SpatialPlan("polygon", ring=BOX))
+    return objects.within_polygon(detections(spark, d).select("id", "lat", "lon"), *plans).select("id")
 
 
 def written(df, name):
@@ -184,8 +180,15 @@ def written(df, name):
 
 
 def lines(df, *columns, head):
+    """Lines of a CSV behind ``head`` in every file, one a partition."""
     body = df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value"))
-    return body.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).unionByName(body).coalesce(1)
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return body.repartition(8).mapInArrow(run, "value string")
 
 
 @query(f"{W} SELECT source, satellite, acq::DATE + hour(acq) * INTERVAL 1 HOUR + minute(acq) * INTERVAL 1 MINUTE AS acq, lat, lon, frp, CASE WHEN frp >= 80 THEN 'h' WHEN frp >= 30 THEN 'n' ELSE 'l' END AS confidence FROM (SELECT * REPLACE ('S' AS source) FROM det WHERE id % 10 > 0) WHERE date_trunc('minute', acq) BETWEEN {AS_OF} - INTERVAL 24 HOUR AND {AS_OF} + INTERVAL 10 MINUTE")

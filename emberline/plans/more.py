@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import norm_name
-from ..operators import enrich, events, grid, ingest, integrity, objects, production, search
+from ..operators import enrich, events, grid, ingest, integrity, objects, production, resolve, search
 from ..sources import files
 from .adapters import AS_OF, DET, IN_REGION, REG, as_of, detections, regions, table
 from .base import query
@@ -33,8 +33,9 @@ def a10_event_feed(spark, d):
     return files.place_feed(det.select("id", shape.alias("geometry")), "geometry", (24, 45, 38, 50)).select("id", "lat", "lon")
 
 
-UPSERT = """base AS (SELECT source AS source_key, doc_id::VARCHAR AS external_id, 'title ' || doc_id AS title, text AS body, doc_id::DOUBLE AS lat FROM documents WHERE doc_id % 2 = 0),
- delta AS (SELECT source AS source_key, doc_id::VARCHAR AS external_id, 'new ' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS body, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE -doc_id::DOUBLE END AS lat FROM documents WHERE doc_id % 3 = 0 AND source <> (SELECT min(source) FROM documents) AND doc_id % 7 <> 0)"""
+#: The whole table is the base; the delta changes every row but those whose title stays blank, and brings each row in twelve anew.
+UPSERT = """base AS (SELECT source AS source_key, doc_id::VARCHAR AS external_id, 'title ' || doc_id AS title, text AS body, doc_id::DOUBLE AS lat FROM documents),
+ delta AS (SELECT source AS source_key, CASE WHEN doc_id % 12 = 1 THEN 'new-' || doc_id ELSE doc_id::VARCHAR END AS external_id, 'new ' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS body, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE -doc_id::DOUBLE END AS lat FROM documents WHERE source <> (SELECT min(source) FROM documents) AND doc_id % 7 <> 0)"""
 
 
 @query(f"WITH {UPSERT} SELECT coalesce(b.source_key, d.source_key) AS source_key, coalesce(b.external_id, d.external_id) AS external_id, CASE WHEN d.title IS NULL THEN b.title ELSE d.title END AS title, CASE WHEN d.title IS NULL THEN sha256(b.body) ELSE sha256(d.title || '|' || coalesce(d.body, '')) END AS content_hash, coalesce(d.lat, b.lat) AS lat FROM base b FULL JOIN delta d USING (source_key, external_id)")
@@ -42,11 +43,11 @@ def a11_upsert_documents(spark, d):
     t = table(spark, d, "documents").withColumns({"source_key": F.col("source"), "external_id": F.col("doc_id").cast("string")})
     null = lambda kind: F.lit(None).cast(kind)
     keys = ["source_key", "external_id"]
-    base = t.where("doc_id % 2 = 0").select(*keys, F.concat(F.lit("title "), "doc_id").alias("title"), F.col("text").alias("body"), F.sha2("text", 256).alias("content_hash"), null("timestamp").alias("published_at"), F.col("doc_id").cast("double").alias("lat"), null("double").alias("lon"))
+    base = t.select(*keys, F.concat(F.lit("title "), "doc_id").alias("title"), F.col("text").alias("body"), F.sha2("text", 256).alias("content_hash"), null("timestamp").alias("published_at"), F.col("doc_id").cast("double").alias("lat"), null("double").alias("lon"))
     title = F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.concat(F.lit("new "), "doc_id"))
-    delta = t.where("doc_id % 3 = 0").select(*keys, title.alias("title"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("body"), null("timestamp").alias("published_at"), F.when(F.col("doc_id") % 4 != 0, -F.col("doc_id").cast("double")).alias("lat"), null("double").alias("lon"))
-    least = t.agg(F.min("source").alias("least"))
-    catalog = t.select("source_key").distinct().join(F.broadcast(least)).select("source_key", (F.col("source_key") != F.col("least")).alias("enabled"))
+    changed = t.withColumn("external_id", F.when(F.col("doc_id") % 12 == 1, F.concat(F.lit("new-"), "doc_id")).otherwise(F.col("external_id")))
+    delta = changed.select(*keys, title.alias("title"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("body"), null("timestamp").alias("published_at"), F.when(F.col("doc_id") % 4 != 0, -F.col("doc_id").cast("double")).alias("lat"), null("double").alias("lon"))
+    catalog = t.select("source_key").distinct().join(t.agg(F.min("source").alias("least"))).select("source_key", (F.col("source_key") != F.col("least")).alias("enabled"))
     return ingest.upsert_documents(base, delta, catalog).select(*keys, "title", "content_hash", "lat")
 
 
@@ -240,18 +241,11 @@ ASK = "q AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN n_name || ' ' ||
 
 @query(f"WITH {ASK}, m AS (SELECT query, code, alias, trim(substr(q, length(alias) + 1)) AS object, 'prefix' AS position FROM k JOIN al ON starts_with(q, alias || ' ') UNION ALL SELECT query, code, alias, trim(substr(q, 1, length(q) - length(alias))), 'suffix' FROM k JOIN al ON ends_with(q, ' ' || alias)) SELECT query, code, object, position FROM m WHERE object <> '' QUALIFY row_number() OVER (PARTITION BY query ORDER BY length(alias) DESC, position, code) = 1")
 def p16_split_query(spark, d):
-    o = table(spark, d, "orders").withColumn("n_nationkey", (F.col("o_custkey") % 25).cast("int")).join(F.broadcast(table(spark, d, "nation")), "n_nationkey")
+    o = table(spark, d, "orders").withColumn("n_nationkey", (F.col("o_custkey") % 25).cast("int")).join(table(spark, d, "nation"), "n_nationkey")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(" ", "n_name", "o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.concat_ws(" ", "o_orderpriority", "n_name")).otherwise(F.col("o_orderpriority"))
     return search.split_query(o.select(text.alias("query")).distinct(), table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("alias")))
 
 
-@query("SELECT DISTINCT p_type AS query, n_nationkey AS code, 'x' AS how FROM part, nation WHERE false UNION ALL SELECT DISTINCT 'near ' || n_name, n_nationkey, 'contained' FROM nation UNION ALL SELECT DISTINCT lower(n_name), n_nationkey, 'exact' FROM nation UNION ALL SELECT 'object', NULL, 'generic'")
-def p13_resolve_category(spark, d):
-    n = table(spark, d, "nation")
-    q = n.select(F.explode(F.array(F.concat(F.lit("near "), "n_name"), F.lower("n_name"))).alias("query")).unionByName(spark.sql("select 'object' query"))
-    return search.resolve_category(q, n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("alias")), ["object"])
-
-
 NORM = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 TOWN = f"t AS (SELECT n_nationkey AS id, {NORM.format(x='n_name')} AS n, CASE n_regionkey WHEN 0 THEN 'city' WHEN 1 THEN 'village' ELSE 'place' END AS place, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS pop FROM nation), q AS (SELECT DISTINCT {NORM.format(x='n_name')} || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 's' ELSE 'land' END AS q FROM customer JOIN nation ON n_nationkey = c_nationkey), g AS (SELECT *, {BI.format(x='q')} AS gx, {BI.format(x='n')} AS gy FROM q, t), s AS (SELECT *, CASE WHEN q = n THEN 1 ELSE 2.0 * list_sum(list_transform(list_distinct(gx), lambda g: least(len(list_filter(gx, lambda z: z = g)), len(list_filter(gy, lambda z: z = g))))) / (len(gx) + len(gy)) END AS score FROM g)"
 
@@ -260,30 +254,50 @@ TOWN = f"t AS (SELECT n_nationkey AS id, {NORM.format(x='n_name')} AS n, CASE n_
 def p19_settlement_target(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     end = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "s").otherwise("land")
-    q = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.concat(norm_name(F.col("n_name")), end).alias("query")).distinct()
+    q = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(norm_name(F.col("n_name")), end).alias("query")).distinct()
     place = F.when(F.col("n_regionkey") == 0, "city").when(F.col("n_regionkey") == 1, "village").otherwise("place")
     people = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("population"))
     places = n.join(people, "n_nationkey", "left").select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), place.alias("place"), "population")
     return search.settlement_target(q, places).select("query", "place_id", "name_score", "radius_m")
 
 
-WORDS = "list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) > {k}))"
-ALIKE = "CASE WHEN {x} = {y} THEN 1.0 WHEN length({x}) >= 6 AND contains({y}, {x}) OR length({y}) >= 6 AND contains({x}, {y}) THEN 0.92 ELSE greatest(coalesce(2.0 * list_sum(list_transform(list_distinct({g}), lambda g: least(len(list_filter({g}, lambda z: z = g)), len(list_filter({h}, lambda z: z = g))))) / nullif(len({g}) + len({h}), 0), 0), coalesce(len(list_intersect({wx}, {wy})) / nullif(len(list_distinct(list_concat({wx}, {wy}))), 0), 0)) END"
+#: Categories are the distinct names of parts; the asked names are those of the parts, whole, in other words, misspelt, cut or generic.
+CATEGORY_ASK = "CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'a ' || p_name || ' of ' || p_type WHEN 2 THEN replace(p_name, 'l', 'll') || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END WHEN 3 THEN p_type || ' ' || (p_partkey % 40) WHEN 4 THEN substr(p_name, 2) ELSE 'Object' END"
+
+
+@query(f"""WITH asked AS (SELECT DISTINCT {CATEGORY_ASK} AS query FROM part), q AS (SELECT query, {NORM.format(x="query")} AS q FROM asked), al AS (SELECT DISTINCT p_name AS code, {NORM.format(x="alias")} AS a FROM (SELECT p_name, unnest([p_name, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)]) AS alias FROM part)),
+ p AS (SELECT query, q, code, a, {BI.format(x="q")} AS gx, {BI.format(x="a")} AS gy FROM q, al WHERE q <> ''),
+ s AS (SELECT *, CASE WHEN q = a THEN 3 WHEN contains(' ' || q || ' ', ' ' || a || ' ') THEN 2 ELSE 1 END AS kind, coalesce(2.0 * list_sum(list_transform(list_distinct(gx), lambda g: least(len(list_filter(gx, lambda z: z = g)), len(list_filter(gy, lambda z: z = g))))) / nullif(len(gx) + len(gy), 0), 0) AS dice FROM p),
+ c AS (SELECT query, kind, code, max(CASE kind WHEN 2 THEN length(a) WHEN 1 THEN dice ELSE 1 END) AS v FROM s WHERE kind > 1 OR dice >= 0.86 GROUP BY ALL), top AS (SELECT *, max(kind) OVER (PARTITION BY query) AS best FROM c), led AS (SELECT *, max(v) OVER (PARTITION BY query) AS first FROM top WHERE kind = best),
+ n AS (SELECT query, best, min(code) AS code, count(*) AS codes FROM led WHERE CASE best WHEN 1 THEN first - v < 0.08 ELSE v = first END GROUP BY 1, 2)
+ SELECT query, CASE WHEN codes = 1 THEN code END AS code, CASE WHEN q.q = 'object' THEN 'generic' WHEN codes IS NULL THEN 'none' WHEN codes > 1 THEN 'ambiguous' ELSE ['similar', 'contained', 'exact'][best] END AS how FROM q LEFT JOIN n USING (query) WHERE q.q <> ''""")
+def p13_resolve_category(spark, d):
+    p = table(spark, d, "part")
+    turned = F.concat(F.substring_index("p_name", " ", -1), F.lit(" "), F.substring_index("p_name", " ", 1))
+    catalogue = p.select(F.col("p_name").alias("code"), F.explode(F.array("p_name", turned)).alias("alias")).distinct()
+    return search.resolve_category(p.selectExpr(f"{CATEGORY_ASK} AS query").distinct(), catalogue, ["object"])
 
 
-def alike(x, y):
-    return ALIKE.format(x=x, y=y, g=f"g{x}", h=f"g{y}", wx=WORDS.format(x=x, k=1), wy=WORDS.format(x=y, k=1))
+WORDS3 = "list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) > 2))"
+REGISTRY_LIKE = f"CASE WHEN {{x}} = '' OR {{y}} = '' THEN 0 WHEN {{x}} = {{y}} THEN 1 WHEN length({{x}}) >= 8 AND contains({{y}}, {{x}}) OR length({{y}}) >= 8 AND contains({{x}}, {{y}}) THEN 0.94 ELSE coalesce(len(list_intersect({WORDS3}, {WORDS3.format(x='{y}')})) / nullif(len(list_distinct(list_concat({WORDS3}, {WORDS3.format(x='{y}')}))), 0), 0) END::DOUBLE"
+TITLE = "p_name || CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN ' register' ELSE ' map' END"
+PUBLISHER = "CASE WHEN p_size % 4 = 0 THEN p_name || ' works' WHEN p_size % 4 = 1 THEN p_name || ' works and more' WHEN p_size % 4 = 2 THEN p_brand END"
+NOTES = "CASE WHEN p_size % 5 > 0 THEN 'A list of ' || p_type || ' things by ' || p_name || ' ' || p_brand END"
 
 
-@query(f"""WITH e AS (SELECT min(p_partkey) AS entity_id, {NORM.format(x="p_name")} AS n FROM part GROUP BY p_name), ds AS (SELECT min(p_partkey) AS dataset_id, {NORM.format(x="p_name || CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN ' register' ELSE ' map' END")} AS t, {NORM.format(x="p_brand || ' ' || p_name")} AS p FROM part GROUP BY ALL),
- b AS (SELECT *, {BI.format(x="n")} AS gn, {BI.format(x="t")} AS gt, {BI.format(x="p")} AS gp FROM e JOIN ds ON len(list_intersect({WORDS.format(x="n", k=2)}, list_concat({WORDS.format(x="t", k=2)}, {WORDS.format(x="p", k=2)}))) > 0),
- s AS (SELECT entity_id, dataset_id, CASE WHEN n = t THEN 96 WHEN contains(t, n) THEN 90 WHEN n = p THEN 88 ELSE round(100 * greatest({alike("n", "t")}, 0.88 * {alike("n", "p")}))::INT END AS score FROM b) SELECT *, CASE WHEN score >= 86 THEN 'probable' ELSE 'candidate' END AS status FROM s WHERE score >= 55""")
+@query(f"""WITH e AS (SELECT min(p_partkey) AS entity_id, {NORM.format(x="p_name")} AS n FROM part GROUP BY p_name), term AS (SELECT entity_id, unnest([n, 'new ' || split_part(n, ' ', 2) || ' shop', n || ' works']) AS term FROM e),
+ ds AS (SELECT min(p_partkey) AS dataset_id, {NORM.format(x="title")} AS t, coalesce({NORM.format(x="notes")}, '') AS o, coalesce({NORM.format(x="publisher")}, '') AS p FROM (SELECT p_partkey, {TITLE} AS title, {NOTES} AS notes, {PUBLISHER} AS publisher FROM part) GROUP BY title, notes, publisher),
+ pair AS (SELECT DISTINCT entity_id, dataset_id FROM (SELECT entity_id, unnest({WORDS3.format(x="term")}) AS w FROM term) JOIN (SELECT dataset_id, unnest({WORDS3.format(x="t || ' ' || o || ' ' || p")}) AS w FROM ds) USING (w)),
+ r AS (SELECT entity_id, dataset_id, max(greatest({REGISTRY_LIKE.format(x="term", y="t")}, 0.75::DOUBLE * {REGISTRY_LIKE.format(x="term", y="o")})) AS best, bool_or(t = term) AS exact_title, bool_or(length(term) >= 8 AND contains(t, term)) AS title_contains, max(CASE WHEN ends_with(term, ' works') THEN {REGISTRY_LIKE.format(x="term", y="p")} ELSE 0 END) AS run_by FROM pair JOIN term USING (entity_id) JOIN ds USING (dataset_id) GROUP BY 1, 2),
+ s AS (SELECT *, floor(100 * greatest(best, CASE WHEN run_by >= 0.85 THEN 0.88::DOUBLE ELSE 0 END) + 0.5)::INT AS c FROM r), u AS (SELECT *, run_by >= 0.82 AS publisher_match, greatest(c, CASE WHEN exact_title THEN 96 WHEN title_contains THEN 90 ELSE 0 END, CASE WHEN run_by >= 0.82 THEN 88 ELSE 0 END) AS score FROM s)
+ SELECT entity_id, dataset_id, score, exact_title, title_contains, publisher_match, CASE WHEN score >= 90 AND (exact_title OR title_contains OR publisher_match) THEN 'probable' ELSE 'candidate' END AS status FROM u WHERE score >= 55""")
 def p22_link_registry(spark, d):
-    """Names of parts as entities against a register of their names, with words added or not, by publishers that carry a name too."""
+    """Names of parts as entities, with an alias and an operator, against a register made of all parts."""
     p = table(spark, d, "part")
-    title = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " register").otherwise(" map"))
-    registry = p.groupBy(title.alias("title"), F.concat_ws(" ", "p_brand", "p_name").alias("publisher")).agg(F.min("p_partkey").alias("dataset_id"))
-    return objects.link_registry(p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")), registry)
+    registry = p.selectExpr("p_partkey", f"{TITLE} AS title", f"{NOTES} AS notes", f"{PUBLISHER} AS publisher").groupBy("title", "notes", "publisher").agg(F.min("p_partkey").alias("dataset_id"))
+    names = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"))
+    alias = F.concat(F.lit("new "), F.substring_index("name", " ", -1), F.lit(" shop"))
+    return resolve.link_registry(names.withColumns({"aliases": F.array(alias), "operators": F.array(F.concat("name", F.lit(" works")))}), registry)
 
 
 GEO = "k AS (SELECT doc_id, doc_id % 4 AS e, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..operators import enrich, events, exposure, grid, objects
+from ..operators import enrich, events, exposure, grid, objects, resolve
 from .adapters import AS_OF, DET, IN_REGION, REG, as_of, detections, regions, table
 from .base import query
 from .core import ROLL, H, flat
@@ -279,11 +279,21 @@ def p14_resolve_region(spark, d):
     return objects.resolve_alias(q, n.select(F.col("n_name").alias("code"), alias.alias("alias"))).select("query", "code", "score")
 
 
-@query("SELECT 'duplicate' AS fault, 'africa' AS what UNION ALL SELECT 'missing', r_name FROM region WHERE r_name = 'EUROPE' UNION ALL SELECT 'unknown', 'NOWHERE'")
+#: An alias catalogue made by customers: their nation with their segment, misspelt at times; rarely the segment alone, which many nations share.
+ALIAS_OF = "CASE WHEN c_custkey % 97 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(n_name) || ' ' || c_mktsegment WHEN c_custkey % 11 = 0 THEN substr(n_name, 2) || '-' || c_mktsegment ELSE n_name END"
+
+
+@query(f"""WITH al AS (SELECT DISTINCT n_name AS code, {ALIAS_OF} AS alias FROM customer JOIN nation ON n_nationkey = c_nationkey), codes AS (SELECT n_name AS code FROM nation WHERE n_nationkey % 7 <> 0 UNION ALL SELECT 'AREA ' || r_name FROM region),
+ q AS (SELECT DISTINCT alias AS query, {NORM.format(x="alias")} AS q FROM al), a AS (SELECT DISTINCT code, {NORM.format(x="alias")} AS a FROM al), p AS (SELECT *, {BIGRAMS.format(x="q")} AS gq, {BIGRAMS.format(x="a")} AS ga FROM q, a WHERE q <> ''),
+ s AS (SELECT query, code, max(CASE WHEN lower(trim(query)) = lower(code) THEN 2.0 WHEN q = a THEN 1.5 ELSE {ALIKE} END) AS score FROM p GROUP BY 1, 2), t AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, code)),
+ found AS (SELECT query, code FROM t WHERE n = 1 AND CASE WHEN score >= 2 THEN true WHEN score >= 1.5 THEN coalesce(second < 1.5, true) ELSE score >= 0.6 AND coalesce(score - second >= 0.08, true) END)
+ SELECT 'duplicate' AS fault, a AS what FROM a GROUP BY a HAVING count(DISTINCT code) > 1 UNION ALL SELECT 'missing', code FROM codes WHERE code NOT IN (SELECT code FROM al) UNION ALL SELECT DISTINCT 'unknown', code FROM al WHERE code NOT IN (SELECT code FROM codes)
+ UNION ALL SELECT DISTINCT 'round_trip', alias FROM al LEFT JOIN found f ON f.query = alias WHERE f.code IS DISTINCT FROM al.code""")
 def p15_validate_aliases(spark, d):
-    r = table(spark, d, "region").where("r_name <> 'EUROPE'").select(F.col("r_name").alias("code"), F.lower("r_name").alias("alias"))
-    extra = r.where("code = 'AFRICA'").select(F.lit("ASIA").alias("code"), F.lit("Africa").alias("alias")).unionByName(r.where("code = 'ASIA'").select(F.lit("NOWHERE").alias("code"), F.lit("nowhere land").alias("alias")))
-    return objects.validate_aliases(r.unionByName(extra), table(spark, d, "region").select(F.col("r_name").alias("code")))
+    n = table(spark, d, "nation")
+    al = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("n_name AS code", f"{ALIAS_OF} AS alias").distinct()
+    codes = n.where("n_nationkey % 7 <> 0").selectExpr("n_name AS code").unionByName(table(spark, d, "region").selectExpr("'AREA ' || r_name AS code"))
+    return objects.validate_aliases(al, codes)
 
 
 @query("SELECT p_partkey AS id FROM part WHERE lower(p_name) LIKE '%red%' AND p_size >= 20")
@@ -305,11 +315,37 @@ def p18_fill_settlement(spark, d):
     return objects.fill_settlement(o, places).select("id", "settlement", "method", "place_m")
 
 
-@query()
+#: Sites of one supplier (the authority) and fifteen customers (of three sources), whose names and places vary about the site's.
+SITE_NAME = "'plant ' || (site * 7919 % 997) || ' ' || substr('northsoutheastwest', site % 12 + 1, 7)"
+MEMBER_NAME = f"CASE k % 5 WHEN 0 THEN {SITE_NAME} WHEN 1 THEN upper({SITE_NAME}) || ' s' WHEN 2 THEN {SITE_NAME} || ' hall' WHEN 3 THEN replace({SITE_NAME}, 'plant', 'plants') ELSE CASE WHEN k % 2 = 0 THEN 'parking' ELSE 'kiosk ' || k END END"
+RECORD_SQL = (
+    "SELECT 1000000000 + s_suppkey AS id, s_suppkey AS site, 4 AS k, 'authority' AS source, 3 AS rank FROM supplier UNION ALL SELECT c_custkey, {div}, c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'map' WHEN 1 THEN 'open' ELSE 'register' END, 2 - c_custkey % 3 FROM customer",
+    f"SELECT id, site, source, CASE WHEN source = 'authority' THEN {SITE_NAME} ELSE {MEMBER_NAME} END AS name, CASE k % 4 WHEN 2 THEN 'place' WHEN 3 THEN 'cafe' ELSE 'shop' END AS category, 44.0{{d}} + (site % 200) * 0.02{{d}} + (k * 37 % 21 - 10) * 0.0001{{d}} AS lat, 22.0{{d}} + ({{row}} % 400) * 0.03{{d}} + (k * 53 % 21 - 10) * 0.0001{{d}} AS lon,"
+    " CASE WHEN source = 'authority' AND site % 3 > 0 OR source = 'open' AND k % 15 = 4 THEN 'Q' || site END AS exact_id, CAST(rank AS INT) AS rank, CAST(k * 31 % 500 AS DOUBLE) AS distance_m FROM",
+)
+NAME_WORDS = "list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) > 1))"
+NAMES_ALIKE = f"CASE WHEN x = '' OR y = '' OR x = 'parking' OR y = 'parking' THEN 0 WHEN x = y THEN 1 WHEN length(x) >= 6 AND contains(y, x) OR length(y) >= 6 AND contains(x, y) THEN 0.92 ELSE greatest(coalesce(2.0 * list_sum(list_transform(list_distinct(gx), lambda g: least(len(list_filter(gx, lambda z: z = g)), len(list_filter(gy, lambda z: z = g))))) / nullif(len(gx) + len(gy), 0), 0), coalesce(len(list_intersect({NAME_WORDS.format(x='x')}, {NAME_WORDS.format(x='y')})) / nullif(len(list_distinct(list_concat({NAME_WORDS.format(x='x')}, {NAME_WORDS.format(x='y')}))), 0), 0)) END::DOUBLE"
+REAL = "{x} NOT IN ('', 'wikidata_entity', 'place', 'infrastructure')"
+
+
+@query(f"""WITH RECURSIVE raw AS ({RECORD_SQL[0].format(div='c_custkey // 15')}), rec AS ({RECORD_SQL[1].format(d='::DOUBLE', row='site // 200')} raw), num AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY exact_id IS NULL, -rank, distance_m, source, name, category, id) AS step, {NORM.format(x='name')} AS x, {BIGRAMS.format(x=NORM.format(x='name'))} AS gx FROM rec),
+ pairs AS (SELECT a.site, a.id, b.id AS other, {H.format(a='b.lat', b='b.lon', c='a.lat', d='a.lon')} AS m, a.x, b.x AS y, a.gx, b.gx AS gy FROM num a JOIN num b ON a.site = b.site),
+ maps AS (SELECT id, map_from_entries(list({{'k': other, 'v': m}})) AS m, map_from_entries(list({{'k': other, 'v': {NAMES_ALIKE}}})) AS s FROM pairs GROUP BY id), r AS (SELECT num.*, m, s FROM num JOIN maps USING (id)),
+ fold AS (SELECT DISTINCT site, 0::BIGINT AS step, NULL::BIGINT AS id, NULL::BIGINT AS entity_id, '' AS method, 0 AS confidence, 0 AS n_proposed, []::STRUCT(id BIGINT, nm BIGINT, loc BIGINT, cat VARCHAR, exact VARCHAR, sources VARCHAR[], head INT)[] AS ents FROM r
+  UNION ALL SELECT site, step, id, coalesce(target, id), CASE WHEN hit IS NOT NULL THEN 'exact' WHEN target IS NOT NULL THEN 'name_distance' ELSE 'single_source' END, CASE WHEN hit IS NULL AND target IS NOT NULL THEN -cands[1].a ELSE 100 END, CASE WHEN target IS NULL THEN least(2, len(cands)) ELSE 0 END,
+   CASE WHEN target IS NULL THEN list_append(ents, {{'id': id, 'nm': id, 'loc': id, 'cat': category, 'exact': exact_id, 'sources': [source], 'head': rank}})
+    ELSE list_transform(ents, lambda e: CASE WHEN e.id = target THEN {{'id': e.id, 'nm': CASE WHEN rank > e.head THEN id ELSE e.nm END, 'loc': CASE WHEN source = 'map' THEN id ELSE e.loc END, 'cat': CASE WHEN source = 'map' OR NOT ({REAL.format(x='e.cat')}) AND {REAL.format(x='category')} THEN category ELSE e.cat END, 'exact': coalesce(e.exact, exact_id), 'sources': list_append(e.sources, source), 'head': e.head}} ELSE e END) END
+  FROM (SELECT *, CASE WHEN hit IS NOT NULL THEN hit WHEN len(cands) > 0 AND -cands[1].a >= 86 AND (len(cands) = 1 OR cands[2].a - cands[1].a >= 6) THEN cands[1].i END AS target FROM (SELECT *, CASE WHEN hit IS NOT NULL OR exact_id IS NOT NULL AND source = 'authority' THEN [] ELSE list_sort(list_filter(list_transform(list_filter(ents, lambda e: NOT list_contains(e.sources, source) AND m[e.loc] <= 180 AND (NOT ({REAL.format(x='e.cat')}) OR NOT ({REAL.format(x='category')}) OR e.cat = category)),
+    lambda e: {{'a': -greatest(floor(s[e.nm] * 75 + greatest(0, 1 - m[e.loc] / 180) * 25 + 0.5)::INT, CASE WHEN s[e.nm] >= 0.88 AND m[e.loc] <= 120 THEN 88 WHEN s[e.nm] >= 0.78 AND m[e.loc] <= 40 THEN 86 ELSE 0 END), 'b': m[e.loc], 'i': e.id}}), lambda c: c.a <= -80)) END AS cands
+   FROM (SELECT r.site, r.step, r.id, r.source, r.category, r.exact_id, r.rank, r.m, r.s, f.ents, list_filter(f.ents, lambda e: e.exact = r.exact_id)[1].id AS hit FROM fold f JOIN r ON r.site = f.site AND r.step = f.step + 1))))
+ SELECT id, entity_id, method, confidence, n_proposed FROM fold WHERE step > 0""")
 def p20_resolve_entities(spark, d):
-    """Greedy resolution; its tests check the rule on literal records."""
-    det = detections(spark, d)
-    return objects.resolve_entities(det.select("id", F.concat(F.lit("site number "), "site").alias("name"), "lat", "lon", F.col("source").alias("category"), (F.col("id") % 4).alias("rank")))
+    """All suppliers and customers as records of sixteen to a site."""
+    for name in ("supplier", "customer"):
+        table(spark, d, name).createOrReplaceTempView(f"p20_{name}")
+    raw = RECORD_SQL[0].format(div="c_custkey div 15").replace("FROM supplier", "FROM p20_supplier").replace("FROM customer", "FROM p20_customer")
+    rows = spark.sql(f"{RECORD_SQL[1].format(d='D', row='(site div 200)')} ({raw})")
+    return resolve.resolve_entities(rows).select("id", "entity_id", "method", "confidence", F.size("proposed").alias("n_proposed"))
 
 
 BI = "list_transform(range(1, length({x})), lambda i: substr({x}, i, 2))"
