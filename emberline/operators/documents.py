@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.similarity import trgm_similarity, trigrams
+from ..functions.similarity import trigrams
 from ..functions.times import micros
 from ..session import cut, stored
 from .components import connected_components
@@ -125,47 +125,88 @@ def extract_coordinates(docs: DataFrame) -> DataFrame:
     return pair.where(F.abs("lat").between(0, 90) & F.abs("lon").between(0, 180)).distinct()
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by classes of equal trigram sets: (doc_id, at, class) and (class, g, n); texts without trigrams, and documents without a time, are left out."""
+    sets = docs.select("doc_id", micros("published_at").alias("at"), F.array_sort(trigrams(F.col("text"))).alias("g")).where(F.size("g") > 0)
+    sets = sets.where("at is not null").withColumn("key", F.sha2(F.array_join("g", "\u0000"), 256))
+    named = sets.groupBy("key").agg(F.min("doc_id").alias("class"), F.first("g").alias("g"))
+    members = sets.drop("g").join(named.select("key", "class"), "key").select("doc_id", "at", "class")
+    return members, named.select("class", "g", F.size("g").alias("n"))
+
+
+def _similar_classes(members: DataFrame, classes: DataFrame, least: float, width: int) -> DataFrame:
+    """Pairs of different classes whose sets are similar and some of whose documents are near in time: ``class, other, similarity``.
+
+    A prefix of each set, rarest trigrams first, is long enough that similar sets share one of its members. Two sets that
+    first meet at places p and q of their prefixes share at most what is left behind; sizes must fit too. Classes meet
+    within slots of the time, however many documents they have there.
+    """
+    each = classes.select("class", "n", F.explode("g").alias("g"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "g"))
+    prefix = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    slots = members.select("class", F.floor(F.col("at") / width).alias("slot")).distinct()
+    one = prefix.join(slots, "class").select("class", "n", "r", "slot", "g")
+    two = one.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("r").alias("r2"), F.explode(F.array(*(F.col("slot") + i for i in (-1, 0, 1)))).alias("slot"), "g")
+    left = 1 + F.least(F.col("n") - F.col("r"), F.col("m") - F.col("r2"))  # shared trigrams if this is the first
+    met = one.join(two, ["g", "slot"]).where((F.col("class") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least))
+    met = met.groupBy("class", "other").agg(F.max(left).alias("most"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("most") * (1 + least) >= least * (F.col("n") + F.col("m")) - 1e-9)
+    sets = classes.select("class", "g")
+    both = met.join(sets, "class").join(sets.select(F.col("class").alias("other"), F.col("g").alias("g2")), "other")
+    shared = F.size(F.array_intersect("g", "g2"))
+    return both.withColumn("similarity", shared / (F.col("n") + F.col("m") - shared)).where(F.col("similarity") >= least).select("class", "other", "similarity")
+
+
 def similar_documents(docs: DataFrame, least: float = 0.72, hours: float = 72) -> DataFrame:
     """Pairs with trigram similarity of at least ``least`` within the hours: ``doc_id, other, similarity``.
 
-    A prefix of each trigram set, rarest first, is long enough that similar sets must share one of its members; sizes
-    must fit too, and times: postings meet within slots of the hours. Only such pairs are compared, on their whole texts.
+    Sets are compared once for all documents that share them (:func:`_similar_classes`); the pairs themselves are spread
+    from the classes, equal ones included, so prefer :func:`cluster_documents` where copies are many.
     """
     width = max(int(hours * 3.6e9), 1)
-    sets = docs.select("doc_id", micros("published_at").alias("at"), trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g")).where("n > 0")
-    each = sets.select("doc_id", "n", "at", F.floor(F.col("at") / width).alias("slot"), F.explode("g").alias("g"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
-    prefix = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("doc_id", "n", "at", "slot", "g")
-    other = prefix.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"), F.explode(F.array(*(F.col("slot") + i for i in (-1, 0, 1)))).alias("slot"), "g")
-    pairs = prefix.join(other, ["g", "slot"]).where((F.abs(F.col("at") - F.col("at2")) <= width) & (F.col("doc_id") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select("doc_id", "other").distinct()
-    text = docs.select("doc_id", "published_at", "text")
-    both = pairs.join(text, "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("published_at").alias("published2"), F.col("text").alias("text2")), "other")
-    near = both.where(F.abs(micros("published_at") - micros("published2")) <= int(hours * 3.6e9))
-    return near.withColumn("similarity", trgm_similarity(F.col("text"), F.col("text2"))).where(F.col("similarity") >= least).select("doc_id", "other", "similarity")
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    near: dict = {}
-    for r in pdf.itertuples():
-        near.setdefault(r.doc_id, {})[r.other] = r.similarity
-    order = pdf[["doc_id", "published_at"]].drop_duplicates().sort_values(["published_at", "doc_id"])
-    heads, out = set(), []
-    for r in order.itertuples():
-        best = max(((s, -h) for h, s in near[r.doc_id].items() if h in heads), default=None)
-        if best is None:
-            heads.add(r.doc_id)
-        out.append((r.doc_id, r.doc_id if best is None else -best[1]))
-    return pd.DataFrame(out, columns=["doc_id", "cluster_id"])
+    members, classes = (cut(x) for x in _classes(docs))
+    pairs = _similar_classes(members, classes, least, width)
+    pairs = pairs.unionByName(classes.select("class", F.col("class").alias("other"), F.lit(1.0).alias("similarity")))
+    near = members.join(pairs, "class").join(members.select(F.col("doc_id").alias("id2"), F.col("at").alias("at2"), F.col("class").alias("other")), "other").where(F.abs(F.col("at") - F.col("at2")) <= width)
+    near = near.where((F.col("class") != F.col("other")) | (F.col("doc_id") < F.col("id2")))
+    return near.select(F.least("doc_id", "id2").alias("doc_id"), F.greatest("doc_id", "id2").alias("other"), "similarity")
+
+
+def _folded(width: int):
+    """The greedy rule over rows (component, doc_id, at, class, others, alike) sorted by component and time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, heads = None, {}  # of each class of the group its last representative: time and id
+        for batch in batches:
+            out = []
+            for group, doc, at, own, others, alike in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != component:
+                    component, heads = group, {}
+                near = [(s, -heads[c][1]) for c, s in zip((own, *others), (1.0, *alike), strict=True) if c in heads and at - heads[c][0] <= width]
+                best = max(near, default=None)
+                if best is None:
+                    heads[own] = (at, doc)
+                out.append(doc if best is None else -best[1])
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(out, pa.int64())], ["doc_id", "cluster_id"])
+
+    return run
 
 
 def cluster_documents(docs: DataFrame, least: float = 0.72, hours: float = 72) -> DataFrame:
-    """In order of publication a document joins the cluster of the most similar representative, else it starts one."""
-    pairs = similar_documents(docs, least, hours)
-    groups = connected_components(pairs.select(F.col("doc_id").alias("src"), F.col("other").alias("dst")))
-    both = pairs.unionByName(pairs.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"), "similarity"))
-    rows = both.join(docs.select("doc_id", "published_at"), "doc_id").join(groups, F.col("doc_id") == groups.node).select("component", "doc_id", "other", "similarity", "published_at")
-    linked = rows.groupBy("component").applyInPandas(_greedy, "doc_id long, cluster_id long")
-    return linked.unionByName(docs.join(linked.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("cluster_id")))
+    """In order of publication (then id) a document joins the cluster of the most similar representative, else it starts one.
+
+    Representatives are within the hours; of equally similar ones the smallest id wins. Documents with equal trigram sets are one
+    class: only classes are paired, and since representatives of a class are further apart than the hours, a connected group
+    of classes is folded as a sorted stream of documents that holds one representative a class. ``doc_id`` is distinct.
+    """
+    width = max(int(hours * 3.6e9), 1)
+    members, classes = (cut(x) for x in _classes(docs))
+    pairs = cut(_similar_classes(members, classes, least, width))
+    groups = connected_components(pairs.select(F.col("class").alias("src"), F.col("other").alias("dst")))
+    both = pairs.unionByName(pairs.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity")).groupBy("class").agg(F.collect_list("other").alias("others"), F.collect_list("similarity").alias("alike"))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    rows = members.join(both, "class", "left").join(groups, F.col("class") == groups.node, "left").select(F.coalesce("component", "class").alias("component"), "doc_id", "at", "class", F.coalesce("others", none("long")).alias("others"), F.coalesce("alike", none("double")).alias("alike"))
+    linked = rows.repartition("component").sortWithinPartitions("component", "at", "doc_id").mapInArrow(_folded(width), "doc_id long, cluster_id long")
+    return linked.unionByName(docs.join(members.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("cluster_id")))
 
 
 #: Of each kind of source, the greatest distance and time, the points within steps of both, the least points of place and

@@ -315,7 +315,7 @@ def p18_fill_settlement(spark, d):
     return objects.fill_settlement(o, places).select("id", "settlement", "method", "place_m")
 
 
-#: Sites of one supplier (the authority) and fifteen customers (of three sources), whose names and places vary about the site's.
+#: Sites of up to one supplier (the authority) and five customers (of three sources), whose names and places vary about the site's.
 SITE_NAME = "'plant ' || (site * 7919 % 997) || ' ' || substr('northsoutheastwest', site % 12 + 1, 7)"
 MEMBER_NAME = f"CASE k % 5 WHEN 0 THEN {SITE_NAME} WHEN 1 THEN upper({SITE_NAME}) || ' s' WHEN 2 THEN {SITE_NAME} || ' hall' WHEN 3 THEN replace({SITE_NAME}, 'plant', 'plants') ELSE CASE WHEN k % 2 = 0 THEN 'parking' ELSE 'kiosk ' || k END END"
 RECORD_SQL = (
@@ -328,7 +328,7 @@ NAMES_ALIKE = f"CASE WHEN x = '' OR y = '' OR x = 'parking' OR y = 'parking' THE
 REAL = "{x} NOT IN ('', 'wikidata_entity', 'place', 'infrastructure')"
 
 
-@query(f"""WITH RECURSIVE raw AS ({RECORD_SQL[0].format(div='c_custkey // 15')}), rec AS ({RECORD_SQL[1].format(d='::DOUBLE', row='site // 200')} raw), num AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY exact_id IS NULL, -rank, distance_m, source, name, category, id) AS step, {NORM.format(x='name')} AS x, {BIGRAMS.format(x=NORM.format(x='name'))} AS gx FROM rec),
+@query(f"""WITH RECURSIVE raw AS ({RECORD_SQL[0].format(div='c_custkey // 5')}), rec AS ({RECORD_SQL[1].format(d='::DOUBLE', row='site // 200')} raw), num AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY exact_id IS NULL, -rank, distance_m, source, name, category, id) AS step, {NORM.format(x='name')} AS x, {BIGRAMS.format(x=NORM.format(x='name'))} AS gx FROM rec),
  pairs AS (SELECT a.site, a.id, b.id AS other, {H.format(a='b.lat', b='b.lon', c='a.lat', d='a.lon')} AS m, a.x, b.x AS y, a.gx, b.gx AS gy FROM num a JOIN num b ON a.site = b.site),
  maps AS (SELECT id, map_from_entries(list({{'k': other, 'v': m}})) AS m, map_from_entries(list({{'k': other, 'v': {NAMES_ALIKE}}})) AS s FROM pairs GROUP BY id), r AS (SELECT num.*, m, s FROM num JOIN maps USING (id)),
  fold AS (SELECT DISTINCT site, 0::BIGINT AS step, NULL::BIGINT AS id, NULL::BIGINT AS entity_id, '' AS method, 0 AS confidence, 0 AS n_proposed, []::STRUCT(id BIGINT, nm BIGINT, loc BIGINT, cat VARCHAR, exact VARCHAR, sources VARCHAR[], head INT)[] AS ents FROM r
@@ -340,10 +340,10 @@ REAL = "{x} NOT IN ('', 'wikidata_entity', 'place', 'infrastructure')"
    FROM (SELECT r.site, r.step, r.id, r.source, r.category, r.exact_id, r.rank, r.m, r.s, f.ents, list_filter(f.ents, lambda e: e.exact = r.exact_id)[1].id AS hit FROM fold f JOIN r ON r.site = f.site AND r.step = f.step + 1))))
  SELECT id, entity_id, method, confidence, n_proposed FROM fold WHERE step > 0""")
 def p20_resolve_entities(spark, d):
-    """All suppliers and customers as records of sixteen to a site."""
+    """All suppliers and customers as records of up to six to a site."""
     for name in ("supplier", "customer"):
         table(spark, d, name).createOrReplaceTempView(f"p20_{name}")
-    raw = RECORD_SQL[0].format(div="c_custkey div 15").replace("FROM supplier", "FROM p20_supplier").replace("FROM customer", "FROM p20_customer")
+    raw = RECORD_SQL[0].format(div="c_custkey div 5").replace("FROM supplier", "FROM p20_supplier").replace("FROM customer", "FROM p20_customer")
     rows = spark.sql(f"{RECORD_SQL[1].format(d='D', row='(site div 200)')} ({raw})")
     return resolve.resolve_entities(rows).select("id", "entity_id", "method", "confidence", F.size("proposed").alias("n_proposed"))
 

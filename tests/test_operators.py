@@ -332,3 +332,48 @@ def test_clusters_and_similarity_see_whole_texts(spark, tmp_path):
     spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     assert {r.doc_id: r.cluster_id for r in texts.t3_cluster_documents(spark, path).collect()} == {0: 0, 1: 1, 2: 0, 300: 300}
     assert {r.doc_id: r.similarity < 0.9 for r in texts.t4_trgm_similarity_texts(spark, path).collect()} == {0: True, 1: True}
+
+
+def test_document_clusters_by_brute_force(spark):
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone", "Über", "x1"]) + str(rng.randrange(40)) for _ in range(n)]
+    bases = [words(rng.randrange(4, 14)) for _ in range(12)]
+    rows = [(5000, None, 0), (5001, "", 5), (5002, "?!", 6), (5003, "no time", None)]
+    for i in range(180):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = words(1)[0]
+        rng.shuffle(w) if rng.random() < 0.3 else None
+        rows.append((i * 7 % 1009, " ".join(w), rng.randrange(200)))
+    rows += [(2000 + i, "one text that is repeated very often.", rng.randrange(400)) for i in range(120)]
+
+    def grams(t):
+        return {f"  {w} "[k : k + 3] for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for k in range(len(w) + 1)}
+
+    def alike(a, b):
+        return len(a & b) / len(a | b)
+
+    clusters, heads, pairs = {}, [], set()
+    sets = {i: grams(t) for i, t, _ in rows}
+    dated = sorted((h, i) for i, _, h in rows if h is not None and sets[i])
+    for h, i in dated:
+        best = max(((s, -j) for g, j in heads if h - g <= 72 and (s := alike(sets[i], sets[j])) >= 0.72), default=None)
+        clusters[i] = i if best is None else -best[1]
+        heads += [(h, i)] if best is None else []
+        pairs |= {(min(i, j), max(i, j)) for g, j in dated if j != i and abs(g - h) <= 72 and alike(sets[i], sets[j]) >= 0.72}
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int").select("doc_id", "text", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, h)").alias("published_at")).repartition(3)
+    got = {r.doc_id: r.cluster_id for r in documents.cluster_documents(df).collect()}
+    assert got == {i: clusters.get(i, i) for i, _, _ in rows} and len(set(got.values())) < 150
+    assert {(r.doc_id, r.other) for r in documents.similar_documents(df).collect()} == pairs
+
+
+def test_names_in_texts(spark):
+    docs = spark.createDataFrame([(1, "abcd abc bc"), (2, None), (3, ""), (4, "éabc." + "x" * 100_000), (5, "a")], "doc_id long, text string").repartition(2)
+    names = spark.createDataFrame([("abc",), ("bc",), ("abc",), (None,), ("",), ("éa",), ("zz",)], "name string")
+    found = lambda **k: sorted(tuple(r) for r in documents.names_in_texts(docs, names, **k).collect())
+    assert found() == [(1, "abc"), (1, "bc"), (4, "abc"), (4, "bc"), (4, "éa")] == found(block_chars=2)
+    assert found(whole_words=True) == [(1, "abc"), (1, "bc")]
+    assert documents.names_in_texts(docs, names.limit(0)).collect() == []
+    lexicon = spark.createDataFrame([("k", "one", "abc", None, 5), ("k", "one", None, "x{9}", 7), ("k", "two", "zz", None, 1)], "kind string, canonical string, word string, pattern string, confidence int")
+    assert sorted(map(tuple, documents.extract_entities(docs, lexicon).collect())) == [(1, "k", "one", 5), (4, "k", "one", 7)]
