@@ -601,4 +601,6 @@ def test_pipeline(spark):
     assert {r.doc_id for r in masked} == {r.doc_id for r in clean}
     enc = token_counts.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in final) == sorted((r.doc_id, len(enc.encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in masked)
+    encoded = {r.doc_id: np.array(enc.encode_ordinary(r.text), "<u4") for r in masked}
+    assert all(r.token_ids == encoded[r.doc_id].tolist() and r.ids_sha256 == hashlib.sha256(encoded[r.doc_id].tobytes()).hexdigest() for r in final)
     assert masked[0].__fields__ == before[0].__fields__
