@@ -15,7 +15,7 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle metres between two points; null if a coordinate is."""
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_M * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
