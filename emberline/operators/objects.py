@@ -166,6 +166,16 @@ def coverage_gaps(found: DataFrame, lat: float, lon: float, limit_m: float) -> D
     return dim.join(found.select(F.get(at, F.lit(0)).alias("from_m"), sector(lat, lon).alias("sector")), ["from_m", "sector"], "left_anti")
 
 
+def gap_summary(found: DataFrame, lat: float, lon: float, limit_m: float, most: int = 24) -> DataFrame:
+    """How much of the ring and sector cells is empty: ``cell_count, empty_cells, empty_fraction, gaps``, the first ``most`` by ring and sector."""
+    place = F.array_position(F.array(*map(F.lit, SECTORS)), F.col("sector"))
+    gaps = F.array_sort(F.collect_list(F.struct("from_m", place.alias("at"), "sector")))
+    cells = len(ring_bounds(limit_m)) * len(SECTORS)
+    out = coverage_gaps(found, lat, lon, limit_m).agg(F.count("*").alias("empty_cells"), F.slice(gaps, 1, most).alias("gaps"))
+    shown = F.transform("gaps", lambda g: F.struct(g["from_m"].alias("from_m"), g["sector"].alias("sector")))
+    return out.select(F.lit(cells).cast("long").alias("cell_count"), "empty_cells", F.round(F.col("empty_cells") / cells, 3).alias("empty_fraction"), shown.alias("gaps"))
+
+
 def route_bins(found: DataFrame, length_m: float, corridor_m: float, step: int = 5000) -> DataFrame:
     """Objects by five-kilometre stretch of the route, with the run of empty stretches each belongs to (0 if not empty)."""
     n = max(1, math.ceil(length_m / step))
@@ -213,13 +223,18 @@ def validate_aliases(aliases: DataFrame, codes: DataFrame) -> DataFrame:
     return twice.unionByName(missing).unionByName(unknown).unionByName(trips)
 
 
-def filter_objects(objects: DataFrame, settlement=None, brand=None, source=None, min_confidence=None, has_address=None) -> DataFrame:
-    """Only the filters given apply."""
-    like = lambda c, v: norm_name(F.col(c)).contains(v.lower())
-    for column, value in (("settlement", settlement), ("brand", brand)):
-        objects = objects.where(like(column, value)) if value else objects
+def filter_objects(objects: DataFrame, settlement=None, brand=None, source=None, min_confidence=None, has_address=None, address=None, operator=None) -> DataFrame:
+    """Only the filters given apply; texts count as contained by letters and digits alone, whatever their case.
+
+    ``address`` is sought in the columns ``address`` and ``normalized_location``, ``brand`` in ``brand`` and
+    ``canonical_name``, as far as there are any; an object without a confidence has none.
+    """
+    for columns, value in ((("settlement",), settlement), (("address", "normalized_location"), address), (("brand", "canonical_name"), brand), (("operator",), operator)):
+        if value:
+            text = F.concat_ws(" ", *(F.col(c) for c in columns if c in objects.columns))
+            objects = objects.where(norm_name(text).contains(norm_name(F.lit(value))))
     objects = objects.where(F.array_contains("sources", source)) if source else objects
-    objects = objects.where(F.col("confidence") >= min_confidence) if min_confidence is not None else objects
+    objects = objects.where(F.coalesce("confidence", F.lit(0)) >= min_confidence) if min_confidence is not None else objects
     return objects.where((F.trim(F.coalesce("address", F.lit(""))) != "") == has_address) if has_address is not None else objects
 
 
@@ -239,21 +254,52 @@ def merge_profiles(fields: DataFrame) -> DataFrame:
 
 
 def search_events(events: DataFrame, **f) -> DataFrame:
-    """Events by any of: region_id, status, source, since, until, min_frp, min_observations, min_platforms, lat/lon/radius_m; newest
-    (or nearest) first, 1 to 50 of them."""
+    """Events by any of: prefix (of the id), region_id, region (a part of its name), status (of either status column), source, since,
+    until, min_frp, min_observations, min_platforms, sent, lat/lon with radius_m (100 to 500 000, 10 000 if not given).
+
+    Newest (or nearest) first, 1 to 50 of them. A place without both coordinates, beyond the globe or with another radius is a
+    ``ValueError``, as is a filter of another name.
+    """
     tests = {
-        "region_id": lambda v: F.col("region_id") == v, "status": lambda v: F.col("status") == v, "source": lambda v: F.array_contains("sources", v), "since": lambda v: F.col("last_seen") >= F.lit(v), "until": lambda v: F.col("first_seen") <= F.lit(v),
-        "min_frp": lambda v: F.col("max_frp") >= v, "min_observations": lambda v: F.col("observations") >= v, "min_platforms": lambda v: F.size("satellites") >= v, "prefix": lambda v: F.col("event_id").startswith(v),
+        "region_id": lambda v: F.col("region_id") == v, "region": lambda v: F.coalesce("region", F.lit("")).ilike(f"%{v}%"), "source": lambda v: F.array_contains("sources", v), "since": lambda v: F.col("last_seen") >= F.lit(v), "until": lambda v: F.col("first_seen") <= F.lit(v),
+        "status": lambda v: functools.reduce(lambda a, b: a | b, (F.coalesce(F.col(c) == v, F.lit(False)) for c in ("lifecycle_status", "status") if c in events.columns)),
+        "min_frp": lambda v: F.coalesce("max_frp", F.lit(0.0)) >= v, "min_observations": lambda v: F.col("observations") >= v, "min_platforms": lambda v: F.size("satellites") >= v, "sent": lambda v: F.col("sent") == v,
+        "prefix": lambda v: F.lower("event_id").startswith(v.lower()),
     }
+    if unknown := set(f) - set(tests) - {"lat", "lon", "radius_m", "limit"}:
+        raise ValueError(f"no such filters: {sorted(unknown)}")
+    lat, lon, radius = f.get("lat"), f.get("lon"), f.get("radius_m")
+    radius = 10_000 if radius is None else radius
+    if (lat is None) != (lon is None) or not 100 <= radius <= 500_000 or (lat is not None and not (-90 <= lat <= 90 and -180 <= lon <= 180)):
+        raise ValueError("a place needs latitude, longitude and a radius of 100 m to 500 km")
+    found = events
     for k, test in tests.items():
         if f.get(k) is not None:
-            events = events.where(test(f[k]))
+            found = found.where(test(f[k]))
     order = [F.desc("last_seen"), "event_id"]
-    if f.get("lat") is not None:
-        d = haversine_m(F.lit(f["lat"]), F.lit(f["lon"]), F.col("latest_lat"), F.col("latest_lon"))
-        events = events.withColumn("distance_m", d).where(F.col("distance_m") <= min(max(f.get("radius_m", 10_000), 100), 500_000))
+    if lat is not None:
+        found = found.withColumn("distance_m", haversine_m(F.lit(lat), F.lit(lon), F.col("latest_lat"), F.col("latest_lon"))).where(F.col("distance_m") <= radius)
         order = [F.round("distance_m"), *order]
-    return events.orderBy(*order).limit(min(max(f.get("limit", 10), 1), 50))
+    return found.orderBy(*order).limit(min(max(f.get("limit", 10), 1), 50))
+
+
+def analytics_summary(events: DataFrame, det: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Figures of the last 1 to 8760 hours as rows (part, name, n, value).
+
+    ``events``: new, active_new, closed_new, touched, multisource_new; ``source``: detections of each; ``frp``: detections that
+    have one, with their greatest (max) and mean (avg, two decimals) as ``value``.
+    """
+    start = F.lit(as_of) - F.make_dt_interval(F.lit(0), F.lit(min(max(hours, 1), 8760)))
+    new, closed = F.col("first_seen") >= start, F.coalesce(F.col("lifecycle_status") == "closed", F.lit(False))
+    counts = {"new": new, "active_new": new & ~closed, "closed_new": new & closed, "touched": F.col("last_seen") >= start, "multisource_new": new & (F.size("satellites") >= 2)}
+    row = lambda part, name, n, value: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), n.cast("long").alias("n"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    of_events = events.agg(*(F.count_if(c).alias(k) for k, c in counts.items())).select(F.explode(F.array(*(row("events", k, F.col(k), none) for k in counts))).alias("r")).select("r.*")
+    recent = det.where(F.col("acq") >= start)
+    of_sources = recent.groupBy("source").agg(F.count("*").alias("n")).select(F.lit("source").alias("part"), F.col("source").alias("name"), "n", none.cast("double").alias("value"))
+    power = recent.where("frp is not null").agg(F.count("*").alias("n"), F.max("frp").alias("max"), F.round(F.avg("frp"), 2).alias("avg"))
+    of_frp = power.select(F.explode(F.array(*(row("frp", k, F.col("n"), F.col(k)) for k in ("max", "avg")))).alias("r")).select("r.*")
+    return of_events.unionByName(of_sources).unionByName(of_frp)
 
 
 def analytics(events: DataFrame, regions: DataFrame, as_of, hours: int = 24) -> DataFrame:

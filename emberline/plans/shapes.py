@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, shapes
-from ..operators import records
-from .adapters import DET, detections, table
+from ..operators import events, objects, records
+from .adapters import AS_OF, DET, _columns, as_of, detections, table
 from .base import query
+from .core import ROLL, H
+from .objects import HP, SECT, W, within
 
 #: JSON arrays from all events: two records each, with a broken one, a bare number or a text that is no array at times.
 JSON = """CASE WHEN event_id % 13 = 0 THEN '{' || props WHEN event_id % 17 = 0 THEN '[]' ELSE '[' || props || ', ' || CASE event_id % 4 WHEN 0 THEN '{"k": "many"}' WHEN 1 THEN '{"k": ' || event_id || ', "s": "a, b"}' WHEN 2 THEN CAST(event_id AS STRING) ELSE '{"s": "only"}' END || ', ' || props || ']' END"""
@@ -54,3 +56,61 @@ def g10_surface_points(spark, d):
 def g11_spheroidal_distance(spark, d):
     """Every detection's distance on the ellipsoid to one place."""
     return detections(spark, d).select("id", F.round(shapes.spheroid_m(F.col("lat"), F.col("lon"), F.lit(49.5), F.lit(31.25)), 3).alias("distance_m"))
+
+
+#: Columns that events of the library have and the rollup of the test tables lacks.
+STATE = "CASE CAST(substr(event_id, 2) AS INT) % 3 WHEN 0 THEN 'North Bay' WHEN 1 THEN 'northern plain' END AS region, CASE CAST(substr(event_id, 2) AS INT) % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'closed' ELSE 'active' END AS lifecycle_status, CASE WHEN CAST(substr(event_id, 2) AS INT) % 5 = 0 THEN 'closed' ELSE 'open' END AS status, CAST(substr(event_id, 2) AS INT) % 2 = 0 AS sent"
+SEARCHES = {
+    "region": ({"region": "NORTH"}, "region ILIKE '%north%'"), "bay": ({"region": "bay"}, "region ILIKE '%bay%'"), "closed": ({"status": "closed"}, "lifecycle_status = 'closed' OR status = 'closed'"), "active": ({"status": "active"}, "lifecycle_status = 'active'"),
+    "sent": ({"sent": True}, "sent"), "unsent": ({"sent": False}, "NOT sent"), "prefix": ({"prefix": "E1"}, "starts_with(event_id, 'e1')"), "source": ({"source": "LSA_SAF_MSG_FRP_PIXEL"}, "list_contains(sources, 'LSA_SAF_MSG_FRP_PIXEL')"),
+    "since": ({"since": "2024-01-29 00:00:00"}, "last_seen >= TIMESTAMP '2024-01-29'"), "until": ({"until": "2024-01-01 06:00:00"}, "first_seen <= TIMESTAMP '2024-01-01 06:00:00'"),
+    "frp": ({"min_frp": 120}, "max_frp >= 120"), "observations": ({"min_observations": 12}, "observations >= 12"), "platforms": ({"min_platforms": 4}, "len(satellites) >= 4"), "all": ({"region": "north", "status": "active", "sent": True, "min_frp": 20, "min_platforms": 2}, "region ILIKE '%north%' AND lifecycle_status = 'active' AND sent AND max_frp >= 20 AND len(satellites) >= 2"),
+}
+NEAR = H.format(a="48.0", b="30.0", c="latest_lat", d="latest_lon")
+
+
+@query(f"WITH {DET}, {ROLL}, e AS (SELECT *, {STATE} FROM roll) " + " UNION ALL ".join(f"(SELECT '{k}' AS search, event_id FROM e WHERE {w} ORDER BY last_seen DESC, event_id LIMIT 50)" for k, (_, w) in SEARCHES.items()) + f" UNION ALL (SELECT 'near', event_id FROM e WHERE {NEAR} <= 200000 ORDER BY round({NEAR}), last_seen DESC, event_id LIMIT 50)")
+def h2_search_filters(spark, d):
+    """Every filter of the event search, each by itself, five together, and by distance."""
+    e = events.event_rollup(detections(spark, d)).selectExpr("*", *_columns(STATE))
+    out = objects.search_events(e, lat=48.0, lon=30.0, radius_m=200_000, limit=50).select(F.lit("near").alias("search"), "event_id")
+    for k, (filters, _) in SEARCHES.items():
+        out = out.unionByName(objects.search_events(e, limit=50, **filters).select(F.lit(k).alias("search"), "event_id"))
+    return out
+
+
+@query(f"""WITH {DET}, {ROLL}, e AS (SELECT *, {STATE} FROM roll), t AS (SELECT {AS_OF} - INTERVAL 72 HOUR AS s), c AS (SELECT count(*) FILTER (first_seen >= s) AS a, count(*) FILTER (first_seen >= s AND lifecycle_status <> 'closed') AS b, count(*) FILTER (first_seen >= s AND lifecycle_status = 'closed') AS c, count(*) FILTER (last_seen >= s) AS d, count(*) FILTER (first_seen >= s AND len(satellites) >= 2) AS m FROM e, t),
+ p AS (SELECT count(*) AS n, max(frp) AS most, round(avg(frp), 2) AS mean FROM det, t WHERE acq >= s AND frp IS NOT NULL)
+ SELECT 'events' AS part, unnest(['new', 'active_new', 'closed_new', 'touched', 'multisource_new']) AS name, unnest([a, b, c, d, m]) AS n, NULL::DOUBLE AS value FROM c UNION ALL SELECT 'source', source, count(*), NULL FROM det, t WHERE acq >= s GROUP BY source UNION ALL SELECT 'frp', unnest(['max', 'avg']), n, unnest([most, mean]) FROM p""")
+def h3_analytics_summary(spark, d):
+    det = detections(spark, d)
+    return objects.analytics_summary(events.event_rollup(det).selectExpr("*", *_columns(STATE)), det, as_of(det), 72)
+
+
+ADDRESS = "CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 20 AS STRING) || ' Mill-Street, ' || p_type END"
+OPERATOR = "CASE WHEN p_partkey % 4 > 0 THEN 'The ' || p_brand || ' Company' END"
+FILTERS = {
+    "address": ({"address": "mill street  ECONOMY"}, "contains(lower(address), 'economy')"), "operator": ({"operator": "brand 3 company"}, "operator = 'The Brand#3 Company'"), "brand": ({"brand": "Red"}, "contains(lower(p_name), 'red')"),
+    "confidence": ({"min_confidence": 30}, "confidence >= 30"), "source": ({"source": "map"}, "p_partkey % 2 = 0"), "with": ({"has_address": True}, "address IS NOT NULL"), "without": ({"has_address": False}, "address IS NULL"),
+    "settlement": ({"settlement": "LARGE"}, "p_type = 'LARGE'"), "all": ({"address": "mill", "operator": "brand", "brand": "ring", "min_confidence": 10, "source": "map", "has_address": True}, "address IS NOT NULL AND operator IS NOT NULL AND contains(p_name, 'ring') AND confidence >= 10 AND p_partkey % 2 = 0"),
+}
+
+
+@query(f"WITH o AS (SELECT *, {ADDRESS} AS address, {OPERATOR} AS operator, CASE WHEN p_size > 5 THEN p_size END AS confidence FROM part) " + " UNION ALL ".join(f"SELECT '{k}' AS filter, p_partkey AS id FROM o WHERE {w}" for k, (_, w) in FILTERS.items()))
+def p17_filter_all(spark, d):
+    """Every attribute filter by itself, and all but one together."""
+    o = table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS canonical_name", "p_type AS settlement", f"{ADDRESS} AS address", f"{OPERATOR} AS operator", "CASE WHEN p_size > 5 THEN p_size END AS confidence", "if(p_partkey % 2 = 0, array('map', 'open'), array('open')) AS sources")
+    out = None
+    for k, (filters, _) in FILTERS.items():
+        part = objects.filter_objects(o, **filters).select(F.lit(k).alias("filter"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""{W}, cells AS (SELECT unnest([0, 500, 1000, 2000, 5000, 10000])::DOUBLE AS from_m, s.sector, s.spot FROM (SELECT unnest(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW']) AS sector, unnest(range(8)) AS spot) s), p AS (SELECT floor({HP} + 0.5) AS m, {SECT} AS sector FROM det WHERE {HP} <= 50000),
+ g AS (SELECT * FROM cells WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sector = cells.sector AND m >= from_m AND m < CASE from_m WHEN 0 THEN 500 WHEN 500 THEN 1000 WHEN 1000 THEN 2000 WHEN 2000 THEN 5000 WHEN 5000 THEN 10000 ELSE 50000 END)), n AS (SELECT count(*) AS n FROM g)
+ SELECT 48 AS cell_count, n AS empty_cells, round(n / 48, 3) AS empty_fraction, from_m, sector FROM (SELECT * FROM g ORDER BY from_m, spot LIMIT 24), n""")
+def p9_gap_summary(spark, d):
+    """The empty cells about a place: how many, their share, and the first 24."""
+    s = objects.gap_summary(within(spark, d), 49.0, 31.0, 50000)
+    return s.select("cell_count", "empty_cells", "empty_fraction", F.explode("gaps").alias("g")).select("cell_count", "empty_cells", "empty_fraction", "g.*")
