@@ -210,3 +210,26 @@ def latency_health(det: DataFrame, *keys: str) -> DataFrame:
     )
     both = plain.join(exact_quantiles(rows, by, "m", {"p50_min": 0.5, "p95_min": 0.95}), by)
     return both.select(*keys, "n", "mean_min", F.round("p50_min", 3).alias("p50_min"), F.round("p95_min", 3).alias("p95_min"), "max_min", "over_90", "over_10")
+
+
+def event_latency(det: DataFrame, sent: DataFrame) -> DataFrame:
+    """Each event's delays in minutes: ``event_id, first_seen, first_received_at, sent_at``, the greatest from acquisition to receipt
+    (``source_latency_min``, at least 0; 0 if no receipt is known), from first receipt to sending (``delivery_latency_min``) and from the first
+    acquisition to sending (``end_to_end_latency_min``); the last two are null for events that were not sent.
+
+    ``sent`` has ``event_id, sent_at``, one row an event. Detections without an event are left out.
+    """
+    minutes = lambda a, b: (micros(b) - micros(a)) / 6e7
+    late = F.greatest(F.lit(0.0), F.coalesce(minutes("acq", "received_at"), F.lit(0.0)))
+    by = det.where("event_id is not null").groupBy("event_id").agg(F.min("acq").alias("first_seen"), F.min("received_at").alias("first_received_at"), F.round(F.max(late), 1).alias("source_latency_min"))
+    both = by.join(sent.select("event_id", "sent_at"), "event_id", "left")
+    return both.select("event_id", "first_seen", "first_received_at", "sent_at", "source_latency_min", F.round(minutes("first_received_at", "sent_at"), 1).alias("delivery_latency_min"), F.round(minutes("first_seen", "sent_at"), 1).alias("end_to_end_latency_min"))
+
+
+def worst_latencies(det: DataFrame, sent: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` slowest detections (``kind`` source) and sent events (delivery): ``kind, event_id, id, latency_min``; ties by event, then id."""
+    source = det.where("acq is not null and received_at is not null").select(F.lit("source").alias("kind"), "event_id", "id", F.greatest(F.lit(0.0), (micros("received_at") - micros("acq")) / 6e7).alias("latency_min"))
+    done = event_latency(det, sent).where("sent_at is not null and first_received_at is not null")
+    delivery = done.select(F.lit("delivery").alias("kind"), "event_id", F.lit(None).cast("long").alias("id"), F.greatest(F.lit(0.0), (micros("sent_at") - micros("first_received_at")) / 6e7).alias("latency_min"))
+    top = lambda df: df.orderBy(F.desc("latency_min"), "event_id", "id").limit(k)
+    return top(source).unionByName(top(delivery)).withColumn("latency_min", F.round("latency_min", 1))

@@ -1,4 +1,4 @@
-"""Queries over shapes, the ellipsoid and JSON records."""
+"""Queries over shapes, the ellipsoid, JSON records, event search, object filters and latencies."""
 
 from __future__ import annotations
 
@@ -114,3 +114,26 @@ def p9_gap_summary(spark, d):
     """The empty cells about a place: how many, their share, and the first 24."""
     s = objects.gap_summary(within(spark, d), 49.0, 31.0, 50000)
     return s.select("cell_count", "empty_cells", "empty_fraction", F.explode("gaps").alias("g")).select("cell_count", "empty_cells", "empty_fraction", "g.*")
+
+
+#: Every third event was sent some minutes after it was first received.
+SENT = "SELECT event_id, min(received_at) + {minutes} AS sent_at FROM {det} WHERE CAST(substr(event_id, 2) AS INT) % 3 = 0 GROUP BY event_id"
+LATENCY = "lat AS (SELECT event_id, first_seen, first_received_at, sent_at, round(worst, 1) AS source_latency_min, round((epoch_us(sent_at) - epoch_us(first_received_at)) / 6e7, 1) AS delivery_latency_min, round((epoch_us(sent_at) - epoch_us(first_seen)) / 6e7, 1) AS end_to_end_latency_min FROM (SELECT event_id, min(acq) AS first_seen, min(received_at) AS first_received_at, max(greatest(0, (epoch_us(received_at) - epoch_us(acq)) / 6e7)) AS worst FROM det GROUP BY event_id) LEFT JOIN sent USING (event_id))"
+SENT_SQL = f"sent AS ({SENT.format(minutes='(any_value(substr(event_id, 2)::INT) * 7 % 41) * INTERVAL 1 MINUTE', det='det')})"
+
+
+def sent(det):
+    late = F.make_dt_interval(mins=F.expr("cast(substr(event_id, 2) as int) * 7 % 41"))
+    return det.where("cast(substr(event_id, 2) as int) % 3 = 0").groupBy("event_id").agg(F.min("received_at").alias("first")).select("event_id", (F.col("first") + late).alias("sent_at"))
+
+
+@query(f"{W}, {SENT_SQL}, {LATENCY} SELECT * FROM lat")
+def d22_event_latency(spark, d):
+    det = detections(spark, d)
+    return events.event_latency(det, sent(det))
+
+
+@query(f"{W}, {SENT_SQL}, {LATENCY} (SELECT 'source' AS kind, event_id, id, round(m, 1) AS latency_min FROM (SELECT event_id, id, greatest(0, (epoch_us(received_at) - epoch_us(acq)) / 6e7) AS m FROM det) ORDER BY m DESC, event_id, id LIMIT 10) UNION ALL (SELECT 'delivery', event_id, NULL, delivery_latency_min FROM lat WHERE sent_at IS NOT NULL ORDER BY epoch_us(sent_at) - epoch_us(first_received_at) DESC, event_id LIMIT 10)")
+def d22_worst_latency(spark, d):
+    det = detections(spark, d)
+    return events.worst_latencies(det, sent(det))
