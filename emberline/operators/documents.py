@@ -280,13 +280,25 @@ def correlate_evidence(items: DataFrame, events: DataFrame) -> DataFrame:
     return items.select("item_id").join(best, "item_id", "left").withColumn("match", evidence_class(F.col("distance_m"), F.col("gap_h")))
 
 
-def relevance(docs: DataFrame, strong: str, weak: str, places: str) -> DataFrame:
-    """Keyword 40 or 35, place 35 or (in a sentence with a keyword) 50; accepted from 75 in one sentence."""
+#: Hours between a publication and the event's last detection, and their points, for posts and for news.
+POST_TIMES, NEWS_TIMES = ((6, 20), (18, 15), (36, 10)), ((12, 25), (36, 15))
+
+
+def relevance(docs: DataFrame, strong: str, weak: str, places: str, times: tuple = ()) -> DataFrame:
+    """``docs`` with ``relevance`` and ``accepted``: keyword 40 or 35, place 35 or (in a sentence with a keyword) 50, time by ``times``.
+
+    ``times`` are steps of (hours, points) between the columns ``published_at`` and ``last_seen``, either way; without them, or
+    without a time, there are no such points. The sum is at most 100; from 80 on, with keyword and place in one sentence,
+    a document is accepted.
+    """
     sentences = F.split("text", r"[.!?\n]+")
     has = lambda p: F.col("text").rlike(p)
     together = F.exists(sentences, lambda s: (s.rlike(strong) | s.rlike(weak)) & s.rlike(places))
     score = F.when(has(strong), 40).when(has(weak), 35).otherwise(0) + F.when(together, 50).when(has(places), 35).otherwise(0)
-    return docs.withColumn("relevance", score).withColumn("accepted", (F.col("relevance") >= 80) & together)
+    near = F.lit(0)
+    for hours, points in reversed(times):
+        near = F.when(F.abs(micros("published_at") - micros("last_seen")) <= hours * 3_600_000_000, points).otherwise(near)
+    return docs.withColumn("relevance", F.least(F.lit(100), score + near)).withColumn("accepted", (F.col("relevance") >= 80) & together)
 
 
 def corroboration(links: DataFrame) -> DataFrame:

@@ -91,6 +91,17 @@ def t11_relevance(spark, d):
     return documents.relevance(table(spark, d, "documents"), WORD.format("the"), WORD.format("de"), WORD.format("la")).select("doc_id", "relevance", "accepted")
 
 
+HOLDS = "regexp_matches({x}, '" + WORD + "')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, abs(epoch_us({PUB}) - epoch_us(TIMESTAMP '2024-01-04 05:00:00')) / 3.6e9 AS h, {HOLDS.format('the', x='text')} AS s, {HOLDS.format('de', x='text')} AS w, {HOLDS.format('la', x='text')} AS p, len(list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda q: ({HOLDS.format('the', x='q')} OR {HOLDS.format('de', x='q')}) AND {HOLDS.format('la', x='q')})) > 0 AS t FROM documents),
+ y AS (SELECT doc_id, t, least(100, CASE WHEN s THEN 40 WHEN w THEN 35 ELSE 0 END + CASE WHEN t THEN 50 WHEN p THEN 35 ELSE 0 END + CASE WHEN h <= 6 THEN 20 WHEN h <= 18 THEN 15 WHEN h <= 36 THEN 10 ELSE 0 END)::INT AS relevance FROM x) SELECT doc_id, relevance, relevance >= 80 AND t AS accepted FROM y""")
+def t11_relevance_in_time(spark, d):
+    """As t11_relevance, with the points of time to an event that was last seen on the fourth day."""
+    t = docs(spark, d).withColumn("last_seen", F.expr("timestamp_ntz'2024-01-04 05:00:00'")).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    return documents.relevance(t, WORD.format("the"), WORD.format("de"), WORD.format("la"), documents.POST_TIMES).select("doc_id", "relevance", "accepted")
+
+
 @query("WITH l AS (SELECT 'e' || (doc_id % 50) AS event_id, source AS provider, lang AS source_class, doc_id % 100 AS score FROM documents), p AS (SELECT event_id, count(DISTINCT provider) FILTER (score >= 50) AS providers, count(DISTINCT source_class) FILTER (score >= 50) AS classes FROM l GROUP BY 1) SELECT *, CASE WHEN providers >= 3 AND classes >= 2 THEN 'multi_source' WHEN providers >= 2 THEN 'corroborated' WHEN providers = 1 THEN 'single_source' ELSE 'none' END AS level FROM p")
 def t12_corroboration(spark, d):
     return documents.corroboration(docs(spark, d).withColumn("event_id", F.concat(F.lit("e"), F.col("doc_id") % 50)).withColumn("score", F.col("doc_id") % 100))
