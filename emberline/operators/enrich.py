@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.geo import bearing_deg, haversine_m, project_point, round_half_up  # noqa: F401
+from ..functions.geo import bearing_deg, haversine_m, mean_direction, project_point, round_half_up  # noqa: F401
 from ..functions.times import micros
-from .grid import dwithin_join, nearest
+from .grid import covering, dwithin_join, nearest
 
 
 def history(events: DataFrame, det: DataFrame, archive: DataFrame, radius_m: float = 1000) -> DataFrame:
@@ -90,6 +90,30 @@ def plume(events: DataFrame, wind: DataFrame, steps: int = 6) -> DataFrame:
     return events.join(hours, "event_id").select("event_id", F.aggregate("w", start, step, lambda s: s["path"]).alias("path"))
 
 
+def plume_sectors(events: DataFrame, wind: DataFrame, steps: int = 6, max_km: float = 100, half_angle: float = 22.5, arc: float = 7.5) -> DataFrame:
+    """Each event's sector downwind: ``event_id, direction_deg, rings`` (a polygon of longitude and latitude).
+
+    The direction is the circular mean of where the hours' winds blow to (``from_deg`` and half a turn; ``hour`` 1 to ``steps``, those
+    without speed or direction left out), or of the event's own ``wind_from_deg`` if there are none and it has one; events
+    without either have no sector. The polygon goes from the event through points ``max_km`` away, ``arc`` degrees apart.
+    """
+    known = wind.where(F.col("hour").between(1, steps) & F.col("speed").isNotNull() & F.col("from_deg").isNotNull())
+    mean = known.groupBy("event_id").agg(mean_direction(F.col("from_deg") + 180.0).alias("mean"))
+    own = F.col("wind_from_deg").cast("double") if "wind_from_deg" in events.columns else F.lit(None).cast("double")
+    out = events.select("event_id", "latest_lat", "latest_lon", own.alias("own")).join(mean, "event_id", "left")
+    out = out.withColumn("direction_deg", F.coalesce("mean", F.pmod(F.col("own") + 180.0, F.lit(360.0)))).where("direction_deg is not null")
+    angles = [-half_angle + i * arc for i in range(round(2 * half_angle / arc) + 1)]
+    away = (project_point(F.col("latest_lat"), F.col("latest_lon"), F.col("direction_deg") + a, F.lit(max_km * 1000.0)) for a in angles)
+    corner = lambda lat, lon: F.struct(lon.alias("lon"), lat.alias("lat"))
+    centre = corner(F.col("latest_lat"), F.col("latest_lon"))
+    return out.select("event_id", "direction_deg", F.array(F.array(centre, *(corner(*p) for p in away), centre)).alias("rings"))
+
+
+def in_sectors(points: DataFrame, sectors: DataFrame, step: float = 0.5) -> DataFrame:
+    """Pairs of points (``lat, lon`` and more) and the events whose sector (:func:`plume_sectors`) covers them, met by grid cells."""
+    return covering(points, sectors.select(F.col("event_id").alias("region_id"), "rings"), step).withColumnRenamed("region_id", "event_id")
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, t: str, t2: str, within_s: float, partition: list[str] = ()) -> DataFrame:
     """For each ``key`` the row of ``right`` nearest in time within ``within_s``; time buckets make it an equi-join."""
     size = int(within_s * 1_000_000)

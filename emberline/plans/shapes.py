@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, shapes
-from ..operators import events, objects, records
+from ..operators import enrich, events, objects, records
 from .adapters import AS_OF, DET, _columns, as_of, detections, table
 from .base import query
 from .core import ROLL, H
@@ -137,3 +137,24 @@ def d22_event_latency(spark, d):
 def d22_worst_latency(spark, d):
     det = detections(spark, d)
     return events.worst_latencies(det, sent(det))
+
+
+TURN = "radians(dir + a)"
+ARC = "(100000.0 / 6371000.0)"
+
+
+@query(f"""{W}, {ROLL}, dirs AS (SELECT event_id, latest_lat, latest_lon, (degrees(atan2(avg(sin(radians(t))), avg(cos(radians(t))))) + 360) % 360 AS dir FROM (SELECT *, (substr(event_id, 2)::INT * 40 + h * 10 + 180) % 360 AS t FROM roll, (SELECT unnest(range(1, 7)) AS h) WHERE (substr(event_id, 2)::INT + h) % 5 > 0) GROUP BY ALL),
+ arc AS (SELECT event_id, i, degrees(asin(sin(radians(latest_lat)) * cos({ARC}) + cos(radians(latest_lat)) * sin({ARC}) * cos({TURN}))) AS y, latest_lon, latest_lat, a, dir FROM dirs, (SELECT unnest(range(1, 8)) AS i, unnest([-22.5, -15, -7.5, 0, 7.5, 15, 22.5])::DOUBLE AS a)),
+ v AS (SELECT event_id, i, y, (degrees(radians(latest_lon) + atan2(sin({TURN}) * sin({ARC}) * cos(radians(latest_lat)), cos({ARC}) - sin(radians(latest_lat)) * sin(radians(y)))) + 540) % 360 - 180 AS x FROM arc UNION ALL SELECT event_id, unnest([0, 8]), latest_lat, latest_lon FROM dirs),
+ e AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY event_id ORDER BY i)),
+ hit AS (SELECT e.event_id, d.id FROM e JOIN det d ON (e.y > d.lat) <> (e.y2 > d.lat) AND d.lon < (e.x2 - e.x) * (d.lat - e.y) / (e.y2 - e.y) + e.x GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+ SELECT event_id, round(dir, 3) AS direction_deg, count(id) AS n_points FROM dirs LEFT JOIN (SELECT h.event_id, h.id FROM hit h JOIN det d ON d.id = h.id AND d.event_id <> h.event_id) USING (event_id) GROUP BY ALL""")
+def d11_plume_sectors(spark, d):
+    """How many detections of other events lie downwind of each event; a fifth of the hours has no wind."""
+    det = detections(spark, d)
+    e = events.event_rollup(det)
+    wind = e.select("event_id", F.substring("event_id", 2, 20).cast("int").alias("site"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("hour"))
+    speed = F.when((F.col("site") + F.col("hour")) % 5 > 0, 4.5)
+    sectors = enrich.plume_sectors(e, wind.select("event_id", "hour", speed.alias("speed"), ((F.col("site") * 40 + F.col("hour") * 10) % 360).cast("double").alias("from_deg")))
+    found = enrich.in_sectors(det.select("id", F.col("event_id").alias("own"), "lat", "lon"), sectors).where("own <> event_id").groupBy("event_id").agg(F.count("*").alias("n_points"))
+    return sectors.join(found, "event_id", "left").select("event_id", F.round("direction_deg", 3).alias("direction_deg"), F.coalesce("n_points", F.lit(0)).alias("n_points"))

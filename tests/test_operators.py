@@ -268,12 +268,6 @@ def test_similarity(spark):
     assert got[0] == (0.25, 0.25) and got[1] == (0.0, 0.0) and got[2][1] == 0.92
 
 
-def test_entities(spark):
-    rows = [(1, "Alpha Bakery", 49.0, 31.0, "shop", 0), (2, "alpha bakery", 49.0001, 31.0, "shop", 1), (3, "Alpha Bakery", 49.5, 31.0, "shop", 2), (4, "Alpha Bakery", 49.0, 31.0, "cafe", 3)]
-    got = {r.id: r.entity_id for r in objects.resolve_entities(spark.createDataFrame(rows, "id long, name string, lat double, lon double, category string, rank int")).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "f.csv").write_text("﻿latitude,longitude,frp,confidence,acq_date,acq_time,satellite\n49.1,31.2,5.5,85,2024-01-02,0105,N\n49.1,31.2,,n,2024-01-01,105,N\nx,31,1,n,2024-01-02,0105,N\n49,31,1,n,2024-01-02,0930,N\n")
     got = files.read_firms_csv(spark, str(tmp_path / "f.csv"), "S", "2024-01-02 09:00:00", kind="modis").collect()

@@ -40,3 +40,16 @@ def test_json_records(spark):
     got = {(r.id, r.place): (r.k, r.s, r.malformed) for r in records.json_records(df, "id", "a", "k bigint, s string").collect()}
     assert got[1, 1] == (1, "x", None) and got[1, 2] == (None, None, '{"k":"no"}') and got[1, 3] == (None, None, "7") and got[1, 4] == (None, "y", None)
     assert {k for k in got if k[0] == 1} == {(1, i) for i in range(1, 7)} and not any(k[0] in (2, 3) for k in got) and got[4, 0] == (None, None, "nonsense")
+
+
+def test_event_search_bounds(spark):
+    import pytest
+
+    from emberline.operators import objects
+
+    e = spark.createDataFrame([("E1", 49.0, 31.0), ("e2", 49.001, 31.0)], "event_id string, latest_lat double, latest_lon double").withColumn("last_seen", F.lit(1)).withColumn("region", F.lit(None).cast("string"))
+    assert [r.event_id for r in objects.search_events(e, lat=49.0, lon=31.0, radius_m=100).collect()] == ["E1"] and objects.search_events(e, prefix="E").count() == 2 and objects.search_events(e, region="x").count() == 0
+    for bad in ({"lat": 1.0}, {"lat": 91.0, "lon": 0.0}, {"lat": 1.0, "lon": 1.0, "radius_m": 99}, {"radius_m": 500_001}, {"nonsense": 1}):
+        with pytest.raises(ValueError):
+            objects.search_events(e, **bad)
+    assert [tuple(r) for r in e.select(geo.haversine_m(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))).collect()] == [(None,), (None,)]
