@@ -27,6 +27,30 @@ def event_rollup(det: DataFrame) -> DataFrame:
     )
 
 
+def rollup_parts(det: DataFrame) -> DataFrame:
+    """What :func:`event_rollup` needs of each event's detections, in a form that :func:`merge_parts` can add up."""
+    names = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    return det.groupBy("event_id").agg(
+        F.min("acq").alias("first_seen"), F.max("acq").alias("last_seen"), F.count("*").alias("observations"), F.max("frp").alias("max_frp"), F.max(F.struct("acq", "id", "frp", "confidence", "lat", "lon")).alias("latest"),
+        names("satellite"), names("instrument"), names("source"),
+    )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One part an event from any number of them, of detections that no two parts share."""
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return parts.groupBy("event_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("observations").alias("observations"), F.max("max_frp").alias("max_frp"), F.max("latest").alias("latest"),
+        names("satellites"), names("instruments"), names("sources"),
+    )
+
+
+def rollup_of_parts(parts: DataFrame) -> DataFrame:
+    """The columns of :func:`event_rollup`."""
+    last = [F.col(f"latest.{c}").alias(f"latest_{c}") for c in ("frp", "confidence", "lat", "lon")]
+    return parts.select("event_id", "first_seen", "last_seen", "observations", last[0], "max_frp", *last[1:], "satellites", "instruments", "sources")
+
+
 def event_sources(det: DataFrame) -> DataFrame:
     """Distinct satellite (or else source) names of each event, and how many."""
     name = F.coalesce(F.nullif(F.col("satellite"), F.lit("")), F.col("source"))
