@@ -317,6 +317,38 @@ def fusion_feed(channels: dict[str, DataFrame], rejected: DataFrame, k: int = 75
     return nearest(all_.join(rejected.select("item_id").distinct(), "item_id", "left_anti"), "event_id", [F.desc("score"), F.desc("published_at"), "item_id"], k, "rank")
 
 
+#: The points of a correlation class in older evidence, of any other class, and of none; statuses that put a post elsewhere.
+CLASS_SCORES = {"very_close": 80, "strong": 80, "high": 80, "close": 60, "moderate": 60, "medium": 60}
+OTHER_CLASS, NO_CLASS = 40, 30
+ELSEWHERE = ("foreign_location_signal", "other_known_place")
+
+
+def class_score(name: Column) -> Column:
+    out = F.when(name.isNull(), NO_CLASS)
+    for k, n in CLASS_SCORES.items():
+        out = out.when(name == k, n)
+    return out.otherwise(OTHER_CLASS)
+
+
+def evidence_feed(events: DataFrame, links: DataFrame, posts: DataFrame, statuses: DataFrame, legacy: DataFrame, k: int = 75) -> DataFrame:
+    """The best ``k`` items of each event from three channels: ``event_id, item_id, channel, score, observed_at, distance_m, delta_s, rank``.
+
+    ``events`` has ``event_id, last_seen``; ``links`` (documents linked by rules) and ``posts`` have ``event_id, item_id, score,
+    observed_at``, links ``distance_m`` and ``delta_s``, posts ``category``; older evidence ``legacy`` has ``event_id, item_id,
+    correlation_class, observed_at, distance_m, delta_min``. Posts of the category ``geo_rejected`` or with a status (``event_id,
+    item_id, geo_status``) that puts them elsewhere are left out; a post's delta is its time less the event's last. Order is by
+    score, then time, newest first, nulls last, then channel and item.
+    """
+    none = F.lit(None).cast("double")
+    away = statuses.where(F.col("geo_status").isin(*ELSEWHERE)).select("event_id", "item_id").distinct()
+    kept = posts.where("coalesce(category, '') <> 'geo_rejected'").join(away, ["event_id", "item_id"], "left_anti").join(events.select("event_id", "last_seen"), "event_id", "left")
+    row = lambda df, channel, score, distance, delta: df.select("event_id", "item_id", F.lit(channel).alias("channel"), score.cast("int").alias("score"), "observed_at", distance.cast("double").alias("distance_m"), delta.cast("double").alias("delta_s"))
+    all_ = row(links, "fusion", F.col("score"), F.col("distance_m"), F.col("delta_s"))
+    all_ = all_.unionByName(row(kept, "public_osint", F.col("score"), none, (micros("observed_at") - micros("last_seen")) / 1e6))
+    all_ = all_.unionByName(row(legacy, "legacy_osint", class_score(F.col("correlation_class")), F.col("distance_m"), F.col("delta_min") * 60))
+    return nearest(all_, "event_id", [F.desc_nulls_last("score"), F.desc_nulls_last("observed_at"), "channel", "item_id"], k, "rank")
+
+
 def entity_stats(mentions: DataFrame, k: int = 40) -> DataFrame:
     """Per event and entity: mentions, providers, first and last; the ``k`` most mentioned."""
     per = mentions.groupBy("event_id", "kind", "canonical").agg(F.count("*").alias("mentions"), F.count_distinct("provider").alias("providers"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
@@ -342,6 +374,32 @@ def evidence_graph(links: DataFrame, mentions: DataFrame) -> tuple[DataFrame, Da
     return node("src").unionByName(node("dst")).distinct(), edges
 
 
+def event_graph(items: DataFrame, mentions: DataFrame, claims: DataFrame, clusters: DataFrame, k: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``event_id, node, type, label, mentions, providers``) and edges (``event_id, src, dst, relation``) of each event's evidence.
+
+    ``items`` has ``event_id, item_id, title, provider, published_at``: the newest ``k`` of an event count, nulls last, then by id.
+    Of their ``mentions`` (``item_id, kind, canonical``) and ``claims`` (``item_id, type, value``) the ``k`` of most providers, then
+    of most mentions, are nodes; edges go to all that they name. ``clusters`` has ``item_id, cluster_id``.
+    """
+    kept = nearest(items, "event_id", [F.desc_nulls_last("published_at"), "item_id"], k)
+    item, count, providers = F.concat(F.lit("item:"), F.col("item_id").cast("string")), F.count("*").alias("mentions"), F.count_distinct("provider").alias("providers")
+    none = [F.lit(None).cast("long").alias(c) for c in ("mentions", "providers")]
+    named = kept.join(mentions.select("item_id", "kind", "canonical"), "item_id").withColumn("node", F.concat(F.lit("entity:"), F.md5(F.concat_ws("|", "kind", "canonical").cast("binary"))))
+    said = kept.join(claims.select("item_id", F.col("type").alias("claim"), F.col("value").cast("string").alias("value")), "item_id").withColumn("node", F.concat(F.lit("claim:"), F.md5(F.concat_ws("|", "claim", "value").cast("binary"))))
+    grouped = kept.join(clusters.select("item_id", "cluster_id"), "item_id").withColumn("node", F.concat(F.lit("cluster:"), F.col("cluster_id").cast("string")))
+    best = lambda df, kind, label: nearest(df.groupBy("event_id", "node").agg(F.min(label).alias("label"), count, providers), "event_id", [F.desc("providers"), F.desc("mentions"), "node"], k).select("event_id", "node", F.lit(kind).alias("type"), "label", "mentions", "providers")
+    event = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+    nodes = kept.select("event_id", event.alias("node"), F.lit("event").alias("type"), F.left(F.col("event_id").cast("string"), F.lit(8)).alias("label"), *none).distinct()
+    nodes = nodes.unionByName(kept.select("event_id", item.alias("node"), F.lit("document").alias("type"), F.left(F.col("title"), F.lit(180)).alias("label"), *none))
+    nodes = nodes.unionByName(grouped.groupBy("event_id", "node").agg(F.lit("cluster").alias("type"), F.concat(F.lit("cluster ("), F.count("*").cast("string"), F.lit(")")).alias("label"), count, providers))
+    nodes = nodes.unionByName(best(named, "entity", "canonical")).unionByName(best(said, "claim", "value"))
+    edge = lambda df, to, relation: df.select("event_id", item.alias("src"), to.alias("dst"), F.lit(relation).alias("relation"))
+    edges = edge(kept, event, "linked_to")
+    for df, relation in ((grouped, "member_of"), (named, "mentions"), (said, "asserts")):
+        edges = edges.unionByName(edge(df, F.col("node"), relation))
+    return nodes, edges.distinct()
+
+
 def filter_graph(nodes: DataFrame, edges: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the edges that touch rejected nodes, and without nodes that then have no edge (events stay)."""
     r = rejected.select("node")

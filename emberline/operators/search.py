@@ -123,25 +123,3 @@ def registry_summary(entities: DataFrame, links: DataFrame, proposals: DataFrame
     """Each entity with its number of sources, registry records (``entity_id, dataset_id``) and open proposals."""
     n = lambda df, name: df.groupBy("entity_id").agg(F.count("*").alias(name))
     return entities.select("entity_id", F.size("sources").alias("n_sources")).join(n(links, "n_records"), "entity_id", "left").join(n(proposals, "n_proposals"), "entity_id", "left").fillna(0, ["n_records", "n_proposals"])
-
-
-def geo_status(docs: DataFrame, contexts: DataFrame, places: DataFrame, country: str, foreign: str) -> DataFrame:
-    """How a document's text places it: the ladder nearest place 100, region 90, local place 85, country 35, other place 10.
-
-    ``docs`` has ``doc_id, event_id, text``; ``contexts`` has ``event_id, place, region``; ``places`` (a gazetteer) has
-    ``event_id, name`` for local ones and a null event for the others. Gazetteer names meet texts by their first word and
-    then as a phrase; ``country`` and ``foreign`` are patterns. A foreign signal counts only without any place.
-    """
-    text = F.concat(F.lit(" "), norm_name(F.col("text")), F.lit(" "))
-    d = docs.select("doc_id", "event_id", text.alias("t")).join(contexts.select("event_id", norm_name(F.col("place")).alias("place"), norm_name(F.col("region")).alias("region")), "event_id", "left")
-    has = lambda c: (F.length(c) >= 4) & F.contains("t", F.concat(F.lit(" "), c, F.lit(" ")))
-    names = places.select(F.col("event_id").alias("of"), norm_name(F.col("name")).alias("name")).where("length(name) >= 4").distinct().withColumn("w", F.element_at(F.split("name", " "), 1))
-    met = d.select("doc_id", "event_id", "t", "place", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("w")).join(names, "w").where((F.coalesce("place", F.lit("")) != F.col("name")) & has(F.col("name")))
-    met = met.groupBy("doc_id").agg(F.bool_or(F.col("of").isNotNull() & (F.col("of") == F.col("event_id"))).alias("local"), F.bool_or(F.col("of").isNull()).alias("other"))
-    j = d.join(met, "doc_id", "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    steps = [(yes(has(F.col("place"))), "nearest_place", 100), (yes(has(F.col("region"))), "region", 90), (yes(F.col("local")), "local_reference", 85), (yes(F.col("other")), "other_known_place", 10), (F.rlike("t", F.lit(country)), "country_only", 35), (F.rlike("t", F.lit(foreign)), "foreign_location_signal", 0)]
-    status, score = F, F
-    for c, name, n in steps:
-        status, score = status.when(c, name), score.when(c, n)
-    return j.select("doc_id", status.otherwise("none").alias("geo_status"), score.otherwise(0).alias("geo_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import norm_name
-from ..operators import enrich, events, grid, ingest, integrity, objects, production, resolve, search
+from ..operators import enrich, events, grid, ingest, integrity, names, objects, production, resolve, search
 from ..sources import files
 from .adapters import AS_OF, DET, IN_REGION, REG, as_of, detections, regions, table
 from .base import query
@@ -303,9 +303,18 @@ def p22_link_registry(spark, d):
 GEO = "k AS (SELECT doc_id, doc_id % 4 AS e, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents)"
 
 
-@query(f"WITH {GEO} SELECT doc_id, CASE WHEN e < 2 AND contains(t, ' that ') THEN 'nearest_place' WHEN e < 2 AND contains(t, ' there ') THEN 'region' WHEN e = 2 AND contains(t, ' this ') THEN 'local_reference' WHEN contains(t, ' tion ') THEN 'other_known_place' WHEN regexp_matches(t, ' la ') THEN 'country_only' WHEN regexp_matches(t, ' und ') THEN 'foreign_location_signal' ELSE 'none' END AS geo_status FROM k")
-def t8_geo_status(spark, d):
+GEO_STATUS = "CASE WHEN e < 2 AND contains(t, 'that') THEN 'nearest_place' WHEN e < 2 AND contains(t, 'ther') THEN 'region' WHEN e = 2 AND contains(t, 'this') THEN 'local_reference' WHEN contains(t, 'tion') THEN 'other_known_place' WHEN regexp_matches(t, ' la ') THEN 'country_only' WHEN regexp_matches(t, ' und ') THEN 'foreign_location_signal' ELSE 'none' END"
+GEO_SCORE = "CASE geo_status WHEN 'nearest_place' THEN 100 WHEN 'region' THEN 90 WHEN 'local_reference' THEN 85 WHEN 'other_known_place' THEN 10 WHEN 'country_only' THEN 35 ELSE 0 END"
+
+
+def placed(spark, d):
+    """Documents of four events with their place status; two events have a place and a region, one a local name."""
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("event_id"), "text")
     contexts = docs.select("event_id").distinct().where("event_id < 2").withColumns({"place": F.lit("That"), "region": F.lit("there")})
     places = docs.where("event_id = 2").select("event_id", F.lit("this").alias("name")).distinct().unionByName(spark.sql("select cast(null as bigint) event_id, 'tion' name"))
-    return search.geo_status(docs, contexts, places, " la ", " und ").select("doc_id", "geo_status")
+    return names.geo_status(docs, contexts, places, " la ", " und ")
+
+
+@query(f"WITH {GEO} SELECT *, {GEO_SCORE} AS geo_score FROM (SELECT doc_id, {GEO_STATUS} AS geo_status FROM k)")
+def t8_geo_status(spark, d):
+    return placed(spark, d).drop("event_id")

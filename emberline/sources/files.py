@@ -56,8 +56,11 @@ def read_geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.forall("rings", lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1))) & (F.size("rings") > 0))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header in every file. With ``mark`` each file starts with a byte-order mark, and only cells that need quotes have them."""
+    if mark:
+        df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
+    df.write.option("header", True).option("quoteAll", not mark).option("escape", '"').csv(path)
 
 
 def geometry_centre(geometry: Column) -> Column:
