@@ -37,7 +37,7 @@ def coverage_hourly(det: DataFrame, sources: DataFrame, hours: DataFrame) -> Dat
 
 def baseline(samples: DataFrame, keys: list[str], ready: int = 6) -> DataFrame:
     """Robust baseline of ``value`` by key: count, median, MAD, p10, p90, whether there are enough samples."""
-    first = samples.groupBy(*keys).agg(F.count("value").alias("n")).join(exact_quantiles(samples, keys, "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}), keys)
+    first = exact_quantiles(samples, keys, "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}, count="n").select(*keys, "n", "median", "p10", "p90")
     off = samples.join(first.select(*keys, "median"), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("off"))
     return first.join(exact_quantiles(off, keys, "off", {"mad": 0.5}), keys).withColumn("ready", F.col("n") >= ready)
 

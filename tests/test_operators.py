@@ -183,12 +183,27 @@ def test_exact_quantiles(spark):
     rng = random.Random(4)
     groups = {"a": [rng.gauss(0, 5) for _ in range(700)], "b": [3.0] * 50, "c": [1.0], "d": [float(rng.randrange(3)) for _ in range(200)], "e": [1e9, *(rng.random() for _ in range(300))]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("f", None), ("a", None)], "k string, v double")
-    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}, buckets=16).collect()}
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
         assert np.allclose([got[k].p10, got[k].p50, got[k].p95, got[k].p100], np.quantile(vs, [0.1, 0.5, 0.95, 1.0]))
 
 
+def test_exact_quantiles_of_large_groups_with_outliers_and_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.exponential(size=9001), "b": np.r_[rng.normal(size=5000), 1e300, -1e300], "c": rng.integers(0, 3, 7000).astype(float), "d": np.full(3000, 2.5), "e": np.arange(2047.0), "f": np.arange(2048.0)[::-1], "g": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g] + [("a", None), (None, 1.0)], "k string, x double").repartition(7)
+    points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p501": 0.501, "p90": 0.9, "p100": 1.0}
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "x", points, count="n").collect()}
+    assert set(got) == set(groups)
+    for k, g in groups.items():
+        assert got[k].n == len(g)
+        for name, p in points.items():
+            assert abs(got[k][name] - np.quantile(g, p)) <= 1e-9 * max(1, abs(np.quantile(g, p))), (k, name)
+
+
 def test_polygon_search(spark):
     ring = lambda w, s, e, n: ((w, s), (e, s), (e, n), (w, n), (w, s))
     plan = objects.SpatialPlan("polygon", ring=ring(34.0, 49.0, 35.0, 50.0), holes=(ring(34.4, 49.4, 34.6, 49.6),))
