@@ -196,7 +196,10 @@ def codec(path: str, pattern: str, memory: int = MEMORY) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", memory: int = MEMORY) -> DataFrame:
-    """Add ``ids_col`` (array<int>) with the BPE ids of every whole text; a null text has no ids. Other columns stay."""
+    """Add ``ids_col`` (array<int>) with the BPE ids of every whole text; a null text has no ids. Other columns stay; one of that name is replaced."""
+    if ids_col == text_col:
+        raise ValueError("the ids need a column of their own")
+    docs = docs.drop(ids_col)
     at, kinds = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """Add ``bytes_col`` (binary): the bytes that the ids stand for; null ids give no bytes. Unknown ids are an error."""
+    """Add ``bytes_col`` (binary): the bytes that the ids stand for; null ids give no bytes. Unknown ids are an error.
+
+    Other columns stay; one named ``bytes_col`` is replaced, so it must not be ``ids_col``.
+    """
+    if bytes_col == ids_col:
+        raise ValueError("the bytes need a column of their own")
+    docs = docs.drop(bytes_col)
     at = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

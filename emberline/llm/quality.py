@@ -118,7 +118,8 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     ``table`` is :func:`document_statistics`. Pass one sums the statistics for mean and spread; pass two sums, within
     each partition and by fold, the outer products and right sides of ridge regression on ``width`` Fourier features.
     Each fold's rows are then scored by the other folds' weights, binned, and a non-decreasing calibration is fitted to
-    the bins. Null labels are left out; without any label every score is 0.5.
+    the bins. Null labels are left out; without any label every score is 0.5. A label that is given twice, or an id that
+    stands twice, counts as often as it is there; null ids have no label.
     """
     marks = labels.where(F.col(label_col).isNotNull() & training_rows(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     fold = F.pmod(F.crc32(F.concat(F.col("id").cast("string"), F.lit("fold")).cast("binary")), F.lit(folds)).cast("int").alias("fold")

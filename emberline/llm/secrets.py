@@ -43,7 +43,11 @@ CANDIDATES = "rid long, text_key long, doc_id long, repository string, owner str
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """Every document's candidates as parallel arrays, stored once; ``rid`` tells rows with equal ids apart. Values leave as sha-256."""
+    """Every document's candidates as parallel arrays, stored once; ``rid`` tells rows with equal ids apart. Values leave as sha-256.
+
+    ``repository`` and ``owner`` must name columns (null values count as one name); a table without owners has no
+    ownership to count, and is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()

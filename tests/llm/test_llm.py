@@ -86,6 +86,47 @@ def test_quality(spark, docs, odd, none):
     assert quality.accepted(odd, unfit).count() == len(ODD)
 
 
+def plain_statistics(text):
+    """The statistics of a text, counted byte by byte."""
+    import math
+    import string
+
+    n, letters = len(text), [chr(b) for b in text]
+    kinds = [string.ascii_lowercase, string.ascii_uppercase, string.digits, " \t", "\n\r", ".", ",;:", "!?", "|<>[]{}\\/_=+", "#$%&*@^~", "'\"()-"]
+    shares = [sum(c in k for c in letters) for k in kinds] + [sum(b >= 128 for b in text), sum(b < 32 and b not in (9, 10, 13) for b in text)]
+    counts = collections.Counter(text)
+    words, lines = [w for w in re.split(rb"[ \t\n\r\x0b\x0c]+", text) if w], [x for x in text.split(b"\n") if x != b""]
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    capitals, i = 0, 0
+    while i < n:
+        j = i
+        while j < n and "A" <= letters[j] <= "Z":
+            j += 1
+        if j - i >= 2 and (i == 0 or not word(letters[i - 1])):
+            capitals += j - i
+        i = max(j, i + 1)
+    entropy = -sum(c / n * math.log(c / n) for c in counts.values())
+    return [math.sqrt(s / max(n, 1)) for s in shares] + [
+        math.log(1 + n), entropy, math.log(1 + len(words)), n / (len(words) + 1), math.log(1 + len(set(words))) / math.log(len(words) + 2), len(set(lines)) / len(lines) if lines else 1.0,
+        math.log(1 + n / (len(lines) + 1)), capitals / max(n, 1), sum(len(x) for x in set(lines)) / max(n, 1),
+    ]
+
+
+def test_statistics_by_plain_counts(docs):
+    texts = [(r.text or "").encode() for r in docs.select("text").collect()] + [(r[1] or "").encode() for r in ODD]
+    texts += [b"AB aBC x_DEF GHi JK9 L\x00\x1f\xff MN", b"\n\n", b"one\x0btwo\x0cthree\x1dfour", b"A" * 70, b"9AB _CD EF"]
+    for t in texts:
+        assert np.allclose(quality.statistics(t), plain_statistics(t), rtol=1e-9, atol=1e-12), t[:80]
+
+
+def test_labels_given_twice_count_twice(spark):
+    table = quality.document_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality").cache()
+    score = lambda marks: {r.doc_id: r.score for r in quality.score(table, quality.fit(table, marks)).collect()}
+    once, twice = score(labels), score(labels.unionByName(labels).unionByName(labels.limit(5).withColumn("quality", quality.F.lit(None).cast("int"))))
+    assert once.keys() == twice.keys() and np.allclose(list(once.values()), [twice[k] for k in once], atol=1e-6)
+
+
 def test_quality_by_brute_force(spark):
     """Features, ridge and isotonic fit written again in plain numpy: the same score for every document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -477,6 +518,11 @@ def test_bpe(spark, docs, odd, none):
     assert bpe_duckdb.round_trip(none, path, P.PATTERN).collect() == []
     both = bpe_duckdb.decode(bpe_duckdb.encode(odd, path, P.PATTERN), path, P.PATTERN).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() and r.token_ids == enc.encode_ordinary(r.text or "") and r.value == "clash" for r in both)
+    named = odd.withColumnsRenamed({"value": "token_ids", "lang": "decoded"})
+    again = bpe_duckdb.decode(bpe_duckdb.encode(named, path, P.PATTERN), path, P.PATTERN)
+    assert sorted(again.columns) == sorted(named.columns) and sorted(map(bytes, (r.decoded for r in again.collect()))) == sorted((r[1] or "").encode() for r in ODD)
+    with pytest.raises(ValueError):
+        bpe_duckdb.encode(odd, path, P.PATTERN, ids_col="text")
 
 
 def test_bpe_long_words():
