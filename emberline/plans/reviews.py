@@ -10,9 +10,13 @@ from .base import query
 from .more import GEO, GEO_SCORE, GEO_STATUS, placed
 from .texts import LEX_SQL, MENT, PUB, docs, mentions, t15_divergences
 
-EVENT = F.concat(F.lit("e"), F.col("doc_id") % 50)
 EVENT_SQL = "'e' || (doc_id % 50)"
 
+
+def event():
+    return F.concat(F.lit("e"), F.col("doc_id") % 50).alias("event_id")
+
+
 ADMIN = """reg AS (SELECT n_nationkey AS region_id, lower(n_name) AS local_name, 'land ' || lower(n_name) AS name, lower(n_name) || 'ska' AS english_name, n_nationkey % 5 = 0 AS is_city FROM nation),
  ask AS (SELECT c_custkey AS id, lower(CASE c_custkey % 6 WHEN 0 THEN 'м. ' || n_name WHEN 1 THEN n_name || ' область' WHEN 2 THEN 'land ' || n_name WHEN 4 THEN ' ' WHEN 5 THEN 'м' || n_name END) AS l, lower(CASE c_custkey % 6 WHEN 3 THEN n_name || 'ska oblast' WHEN 4 THEN n_name || 'ia oblast' WHEN 5 THEN n_name || 'ii' END) AS en FROM customer JOIN nation ON n_nationkey = c_nationkey),
  base AS (SELECT id, l, regexp_replace(regexp_replace(trim(l), '^м(\\.\\s*|\\s+)', ''), '\\s+область$', '') AS b, regexp_replace(trim(en), '\\s+oblast$', '') AS e FROM ask),
@@ -43,12 +47,12 @@ AWAY = f"away AS (SELECT doc_id AS item_id, geo_status FROM (SELECT doc_id, {GEO
  SELECT event_id, item_id, channel, score, delta_s, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, observed_at DESC, channel, item_id) AS rank FROM f) WHERE rank <= 75""")
 def t13_evidence_feed(spark, d):
     """Three channels, a third of the documents each; posts in German stand for rejected ones."""
-    c = docs(spark, d).select(EVENT.alias("event_id"), F.col("doc_id").alias("item_id"), F.col("published_at").alias("observed_at"), (F.col("doc_id") % 100).cast("int").alias("score"), "lang")
+    c = docs(spark, d).select(event(), F.col("doc_id").alias("item_id"), F.col("published_at").alias("observed_at"), (F.col("doc_id") % 100).cast("int").alias("score"), "lang")
     kind = F.when(F.col("item_id") % 4 == 0, "strong").when(F.col("item_id") % 4 == 1, "close").when(F.col("item_id") % 4 == 2, "odd")
     links = c.where("item_id % 3 = 0").withColumns({"distance_m": F.col("score"), "delta_s": F.col("score")})
     posts = c.where("item_id % 3 = 1").withColumn("category", F.when(F.col("lang") == "de", "geo_rejected"))
     legacy = c.where("item_id % 3 = 2").withColumns({"correlation_class": kind, "distance_m": F.col("score"), "delta_min": F.col("score")})
-    statuses = placed(spark, d).select(EVENT.alias("event_id"), F.col("doc_id").alias("item_id"), "geo_status")
+    statuses = placed(spark, d).select(event(), F.col("doc_id").alias("item_id"), "geo_status")
     events = c.groupBy("event_id").agg(F.max("observed_at").alias("last_seen"))
     return documents.evidence_feed(events, links, posts, statuses, legacy).select("event_id", "item_id", "channel", "score", "delta_s", "rank")
 
@@ -63,7 +67,7 @@ def t16_event_graph(spark, d):
     """Nodes, then edges, of each event's newest 60 documents."""
     x = docs(spark, d)
     item = F.col("doc_id").alias("item_id")
-    items = x.select(EVENT.alias("event_id"), item, F.concat_ws(" ", "provider", "doc_id").alias("title"), "provider", "published_at")
+    items = x.select(event(), item, F.concat_ws(" ", "provider", "doc_id").alias("title"), "provider", "published_at")
     claims = x.select(item, F.lit("number").alias("type"), (F.col("n_chars") % 7).alias("value"))
     nodes, edges = documents.event_graph(items, mentions(spark, d).select(item, "kind", "canonical"), claims, x.select(item, F.expr("doc_id div 3").alias("cluster_id")))
     none = lambda kind: F.lit(None).cast(kind)
@@ -78,7 +82,7 @@ def proposals(spark, d, first: bool):
     """What documents and divergences propose; at first those of even ids alone, with points one higher."""
     x = docs(spark, d)
     status = placed(spark, d).select("doc_id", "geo_status", (F.col("geo_score") + int(first)).alias("geo_score"))
-    places = x.join(status, "doc_id").select(F.col("doc_id").alias("item"), EVENT.alias("event_id"), F.concat_ws(" ", "provider", "doc_id").alias("title"), "provider", "published_at", "geo_status", "geo_score")
+    places = x.join(status, "doc_id").select(F.col("doc_id").alias("item"), event(), F.concat_ws(" ", "provider", "doc_id").alias("title"), "provider", "published_at", "geo_status", "geo_score")
     v = t15_divergences(spark, d).withColumn("status", F.when((F.col("id") + F.col("id2")) % 3 == 0, "resolved").otherwise("unresolved"))
     if first:
         places, v = places.where("item % 2 = 0"), v.where("id % 2 = 0")
@@ -148,6 +152,6 @@ def t18_pending_reviews(spark, d):
 def t21_review_summary(spark, d):
     queue = queue_second(spark, d)
     kind = F.element_at(F.array(*map(F.lit, ("claim", "entity", "event_link"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    statements = table(spark, d, "documents").select(EVENT.alias("event_id"), kind.alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("item"), (F.col("doc_id") % 4 == 0).alias("independent"), F.concat(F.lit("v"), F.col("doc_id") % 2).alias("version"))
+    statements = table(spark, d, "documents").select(event(), kind.alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("item"), (F.col("doc_id") % 4 == 0).alias("independent"), F.concat(F.lit("v"), F.col("doc_id") % 2).alias("version"))
     out = reviews.review_summary(reviews.reviewed_statements(statements, queue), queue)
     return out.withColumn("versions", F.array_join(F.transform("versions", lambda v: F.concat_ws(":", v["version"], v["statements"])), ","))
