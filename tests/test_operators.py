@@ -386,3 +386,10 @@ def test_names_in_texts(spark):
     assert documents.names_in_texts(docs, names.limit(0)).collect() == []
     lexicon = spark.createDataFrame([("k", "one", "abc", None, 5), ("k", "one", None, "x{9}", 7), ("k", "two", "zz", None, 1)], "kind string, canonical string, word string, pattern string, confidence int")
     assert sorted(map(tuple, documents.extract_entities(docs, lexicon).collect())) == [(1, "k", "one", 5), (4, "k", "one", 7)]
+
+
+def test_components_of_a_long_path_settle(spark):
+    ids = list(range(400))
+    random.Random(7).shuffle(ids)
+    got = components.connected_components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")).collect()
+    assert len(got) == 400 and {r.component for r in got} == {0}
