@@ -72,9 +72,9 @@ def _ramp(name: str, bounds: tuple[float, float]) -> Column:
     return F.when(value < 0, 0.0).when(value > 1, 1.0).otherwise(value)
 
 
-def scores(rising=RISING, falling=FALLING, open_land=OPEN_LAND) -> dict[str, Column]:
-    """The score of each class over the map ``input``; an input that is not there says nothing for a class."""
-    out = {k: F.array_max(F.array(*(F.coalesce(_ramp(n, b), F.lit(0.0)) for n, b in table.items()))) for k, table in rising.items()}
+def scores(rising=RISING, falling=FALLING, open_land=OPEN_LAND, missing: float = 0.0) -> dict[str, Column]:
+    """The score of each class over the map ``input``; an input that is not there raises a score to ``missing`` and says nothing else."""
+    out = {k: F.array_max(F.array(*(F.coalesce(_ramp(n, b), F.lit(missing)) for n, b in table.items()))) for k, table in rising.items()}
     for k, (kept, name, bounds) in open_land.items():
         out[k] = out[k] * (kept + (1 - kept) * F.coalesce(1 - _ramp(name, bounds), F.lit(0.0)))
     return out | {k: F.array_min(F.array(*(F.coalesce(1 - _ramp(n, b), F.lit(0.0)) for n, b in table.items()))) for k, table in falling.items()}
@@ -88,11 +88,12 @@ def _mixture(score: Column, mixtures=MIXTURES) -> Column:
     return F.array_max(F.array(*parts))
 
 
-def exposure(df: DataFrame, rising=RISING, falling=FALLING, open_land=OPEN_LAND, mixtures=MIXTURES, rules=RULES, sure: Confidence = Confidence()) -> DataFrame:
+def exposure(df: DataFrame, rising=RISING, falling=FALLING, open_land=OPEN_LAND, mixtures=MIXTURES, rules=RULES, sure: Confidence = Confidence(), missing: float = 0.0) -> DataFrame:
     """Class of land exposure with ``confidence``, ``completeness``, ``scores`` by class and ``reasons``.
 
     Reads raster values (``population_1km``, ``population_5km``, ``built_fraction_1km_pct``, ``built_fraction_5km_pct``) and counts of mapped
-    objects (see :func:`inputs`, ``total``, ``truncated``); columns that are not there are missing. Without raster
+    objects (see :func:`inputs`, ``total``, ``truncated``); columns that are not there are missing, and missing inputs
+    raise no score (to ``missing`` if given). Without raster
     values and objects the class is ``unknown`` and the confidence 0. ``completeness`` adds up the shares of the two
     kinds; confidence grows with it and with the lead of the best score, and falls where objects were cut off.
     ``reasons`` lists the inputs that say something, in the order of the table.
@@ -102,7 +103,7 @@ def exposure(df: DataFrame, rising=RISING, falling=FALLING, open_land=OPEN_LAND,
     mapped = (F.coalesce(_have(df, "total"), F.lit(0.0)) > 0) | (F.coalesce(_have(df, "buildings"), F.lit(0.0)) > 0)
     names = [*df.columns]
     work = df.withColumn("input", F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))).withColumn("_raster", raster).withColumn("_mapped", mapped)
-    found = scores(rising, falling, open_land)
+    found = scores(rising, falling, open_land, missing)
     work = work.withColumn("score", F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v))))
     work = work.withColumn("score", F.map_concat("score", F.create_map(F.lit("mixed"), _mixture(F.col("score"), mixtures)))).withColumn("known", F.col("_raster") | F.col("_mapped"))
     work = work.withColumn("exposure", F.coalesce(*(F.when(F.expr(rule), name) for name, rule in rules)))
