@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geo import EARTH_M, covers, haversine_m
+from ..session import cut
 
 
 def _cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
     return F.floor(lat / step).cast("long"), F.floor(lon / step).cast("long")
 
 
-def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a="lon", lat_b="lat2", lon_b="lon2", extra: Column | None = None, distance: str = "distance_m", max_lat: float = 80.0) -> DataFrame:
+def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a="lon", lat_b="lat2", lon_b="lon2", extra: Column | None = None, distance: str = "distance_m", max_lat: float = 80.0, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows at most ``radius_m`` apart, with their distance.
 
     Cells are squares of degrees one radius high; the rows of ``b`` (give the smaller side) are copied to the cells
     that their circle can reach, which is three cells high and, towards the poles, wider. Longitudes wrap at 180
-    degrees. ``extra`` is tested beside the distance (say, a time window). Rows without coordinates match nothing.
+    degrees. ``extra`` is tested beside the distance (say, a time window). Columns ``on`` (say, slots of time) must be equal
+    too and are dropped. Rows without coordinates match nothing.
     Rows beyond ``max_lat`` degrees are searched as if at that latitude plus the circle's own width allows.
     """
     step = max(math.degrees(radius_m / EARTH_M), 1e-6) * 1.0001
@@ -34,7 +36,7 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     reach = reach.withColumn("_cy", F.explode(F.sequence(yb - 1, yb + 1)))
     reach = reach.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(xb - wide, xb + wide), lambda c: F.pmod(c, F.lit(cells))))))
     left = a.withColumn("_cy", ya).withColumn("_cx", xa)
-    pairs = left.join(reach, ["_cy", "_cx"]).drop("_cy", "_cx").withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
+    pairs = left.join(reach, ["_cy", "_cx", *on]).drop("_cy", "_cx", *on).withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
     keep = F.col(distance) <= radius_m
     return pairs.where(keep if extra is None else keep & extra)
 
@@ -46,6 +48,25 @@ def nearest(pairs: DataFrame, key, order: list, k: int = 1, rank: str | None = N
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
+def nearest_within(a: DataFrame, b: DataFrame, key: str, radius_m: int, order: list, k: int = 1, rank: str | None = None, extra: Column | None = None, on: tuple[str, ...] = (), steps: tuple[int, ...] = (64, 16, 4, 1), **columns) -> DataFrame:
+    """The first ``k`` rows of ``b`` within the radius of each row of ``a`` by rounded ``distance_m``, then ``order``.
+
+    As :func:`dwithin_join` and :func:`nearest`, but circles grow (the radius over each of ``steps``), and a row whose first
+    ``k`` lie within a circle is not sought in the next, so crowded places make few pairs. ``key`` is distinct in ``a``.
+    """
+    out, open_, place = None, a, [F.round("distance_m"), *order]
+    for n in steps:
+        most = radius_m // n
+        pairs = dwithin_join(open_, b, radius_m if n == 1 else most + 1, extra=extra, on=on, **columns)
+        best = cut(nearest(pairs, key, place, k, "_n"))
+        if n > 1:
+            full = best.where((F.col("_n") == k) & (F.round("distance_m") <= most)).select(key)
+            best = best.join(full, key, "left_semi")
+            open_ = open_.join(full, key, "left_anti")
+        out = best if out is None else out.unionByName(best)
+    return out.withColumnRenamed("_n", rank) if rank else out.drop("_n")
+
+
 def covering(points: DataFrame, regions: DataFrame, step: float = 0.5, lat="lat", lon="lon") -> DataFrame:
     """Pairs of points and regions (``region_id``, ``rings``) that cover them.
 

@@ -84,8 +84,7 @@ def g1_dwithin_join(spark, d):
 @query(f"{W}, {SITES}, p AS (SELECT a.site, b.site AS site2, {H.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')} AS m FROM sites a JOIN sites b ON a.site <> b.site) SELECT site, site2, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(m), site2)::INT AS rn FROM p WHERE m <= 90000) WHERE rn <= 3")
 def g3_nearest(spark, d):
     s = detections(spark, d).groupBy("site").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    pairs = grid.dwithin_join(s, s.toDF("site2", "lat2", "lon2"), 90000, extra=F.col("site") != F.col("site2"))
-    return grid.nearest(pairs, "site", [F.round("distance_m"), "site2"], 3, "rank").select("site", "site2", "rank")
+    return grid.nearest_within(s, s.toDF("site2", "lat2", "lon2"), "site", 90000, ["site2"], 3, "rank", F.col("site") != F.col("site2")).select("site", "site2", "rank")
 
 
 @query(f"{W} SELECT site, round({H.format(a='min(lat)', b='min(lon)', c='max(lat)', d='max(lon)')})::BIGINT AS metres, round(min(lat), 3) AS south FROM det GROUP BY site")

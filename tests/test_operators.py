@@ -418,3 +418,31 @@ def test_profiles_of_equal_confidence(spark):
     for some in (rows, rows[::-1]):
         got = objects.merge_profiles(spark.createDataFrame(some, "entity_id long, field string, value string, confidence double, source string").coalesce(1)).first()
         assert got.value == "c" and got["values"] == ["a", "b", "c"]
+
+
+def test_growing_circles_equal_brute_force(spark):
+    rng = random.Random(3)
+    a = [(i, rng.uniform(50, 51), rng.uniform(30, 32)) for i in range(60)] + [(60, None, 1.0), (61, 10.0, 10.0)]
+    b = [(i, rng.choice([rng.uniform(50, 51), 50.5]), rng.choice([rng.uniform(30, 32), 31.0])) for i in range(80)]
+    got = grid.nearest_within(spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "id2 long, lat2 double, lon2 double"), "id", 60_000, ["id2"], 3, "rank").collect()
+    near = lambda p: sorted((round(m), q[0]) for q in b if p[1] is not None and (m := metres(p[1], p[2], q[1], q[2])) <= 60_000)[:3]
+    assert {(r.id, r.rank, r.id2) for r in got} == {(p[0], k + 1, x[1]) for p in a for k, x in enumerate(near(p))}
+
+
+def test_nearest_in_time_makes_no_pairs(spark):
+    rng = random.Random(4)
+    left, right = [(i, i % 2, rng.randrange(40_000)) for i in range(100)], [(i, i % 2, rng.randrange(40_000)) for i in range(100)]
+    at = lambda rows, names: spark.createDataFrame(rows, "id long, g long, s long").selectExpr(*names, "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) t")
+    df = enrich.nearest_in_time(at(left, ("id", "g")), at(right, ("id other", "g")).withColumnRenamed("t", "t2"), "id", "t", "t2", 600, ["g"])
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {p[0]: min(((abs(q[2] - p[2]), q[2]) for q in right if q[1] == p[1] and abs(q[2] - p[2]) <= 600), default=None) for p in left}
+    assert {r.id: abs(r.offset_us) // 1_000_000 for r in df.collect()} == {k: v[0] for k, v in want.items() if v}
+
+
+def test_polygon_in_pieces(spark):
+    ring, hole = ((24.00037, 45.00041), (38.00037, 45.00041), (31.00037, 51.50041), (24.00037, 45.00041)), ((29.00013, 46.00017), (33.00013, 46.00017), (33.00013, 48.00017), (29.00013, 48.00017), (29.00013, 46.00017))
+    plans = objects.pieces(ring, (hole,))
+    rng = random.Random(5)
+    pts = [(i, rng.uniform(44, 52), rng.uniform(23, 39)) for i in range(800)]
+    inside = lambda y, x: y >= 45.00041 and (y - 45.00041) * 7 <= min(x - 24.00037, 38.00037 - x) * 6.5 and not (29.00013 < x < 33.00013 and 46.00017 < y < 48.00017)
+    assert len(plans) > 4 and {r.id for r in objects.within_polygon(spark.createDataFrame(pts, "id long, lat double, lon double"), *plans).collect()} == {i for i, y, x in pts if inside(y, x)}
