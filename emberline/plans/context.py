@@ -160,15 +160,15 @@ def t9_link_documents(spark, d):
     return documents.link_documents(docs, e).drop("distance_m")
 
 
-CORNERS = ((24.00037, 45.00041), (27.00037, 45.00041), (25.50037, 47.40041), (24.00037, 45.00041))
-HOLE = ((25.00013, 45.50017), (26.00013, 45.50017), (26.00013, 46.20017), (25.00013, 46.20017), (25.00013, 45.50017))
-BOX = ((36.00037, 49.00041), (38.00037, 49.00041), (38.00037, 51.00041), (36.00037, 51.00041), (36.00037, 49.00041))
+CORNERS = ((24.00037, 45.00041), (38.00037, 45.00041), (31.00037, 51.50041), (24.00037, 45.00041))
+HOLE = ((29.00013, 46.00017), (33.00013, 46.00017), (33.00013, 48.00017), (29.00013, 48.00017), (29.00013, 46.00017))
+BOX = ((36.00037, 49.00041), (39.00037, 49.00041), (39.00037, 51.00041), (36.00037, 51.00041), (36.00037, 49.00041))
 
 
-@query(f"{W} SELECT id FROM det WHERE lat >= 45.00041 AND (lat - 45.00041) * 1.5 <= (lon - 24.00037) * 2.4 AND (lat - 45.00041) * 1.5 <= (27.00037 - lon) * 2.4 AND NOT (lon > 25.00013 AND lon < 26.00013 AND lat > 45.50017 AND lat < 46.20017) UNION SELECT id FROM det WHERE lon BETWEEN 36.00037 AND 38.00037 AND lat BETWEEN 49.00041 AND 51.00041")
+@query(f"{W} SELECT id FROM det WHERE lat >= 45.00041 AND (lat - 45.00041) * 7 <= (lon - 24.00037) * 6.5 AND (lat - 45.00041) * 7 <= (38.00037 - lon) * 6.5 AND NOT (lon > 29.00013 AND lon < 33.00013 AND lat > 46.00017 AND lat < 48.00017) UNION SELECT id FROM det WHERE lon BETWEEN 36.00037 AND 39.00037 AND lat BETWEEN 49.00041 AND 51.00041")
 def p4_within_polygon(spark, d):
-    """A triangle with a hole, and a box apart from it, both as large as a search may be."""
-    plans = (objects.SpatialPlan("polygon", ring=CORNERS, holes=(HOLE,)), objects.SpatialPlan("polygon", ring=BOX))
+    """A triangle with a hole, in pieces as large as a search may be, and a box apart from it."""
+    plans = (*objects.pieces(CORNERS, (HOLE,)), *objects.pieces(BOX))
     return objects.within_polygon(detections(spark, d).select("id", "lat", "lon"), *plans).select("id")
 
 
