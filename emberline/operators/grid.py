@@ -22,7 +22,8 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     Cells are squares of degrees one radius high; the rows of ``b`` (give the smaller side) are copied to the cells
     that their circle can reach, which is three cells high and, towards the poles, wider. Longitudes wrap at 180
     degrees. ``extra`` is tested beside the distance (say, a time window). Columns ``on`` (say, slots of time) must be equal
-    too and are dropped. Rows without coordinates match nothing.
+    too and are dropped. Rows without coordinates match nothing. The copies are dealt by cell: Spark takes them for no more than
+    the rows they come from, and would gather nine times a table on the driver to send it to every task.
     Rows beyond ``max_lat`` degrees are searched as if at that latitude plus the circle's own width allows.
     """
     step = max(math.degrees(radius_m / EARTH_M), 1e-6) * 1.0001
@@ -36,7 +37,7 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     reach = reach.withColumn("_cy", F.explode(F.sequence(yb - 1, yb + 1)))
     reach = reach.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(xb - wide, xb + wide), lambda c: F.pmod(c, F.lit(cells))))))
     left = a.withColumn("_cy", ya).withColumn("_cx", xa)
-    pairs = left.join(reach, ["_cy", "_cx", *on]).drop("_cy", "_cx", *on).withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
+    pairs = left.join(reach.hint("merge"), ["_cy", "_cx", *on]).drop("_cy", "_cx", *on).withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
     keep = F.col(distance) <= radius_m
     return pairs.where(keep if extra is None else keep & extra)
 
