@@ -68,11 +68,18 @@ def registry_similarity(a: Column, b: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """The set of trigrams of each word, lower-cased and padded with two blanks before and one after."""
-    words = F.filter(F.split(norm_name(c), " "), lambda w: w != "")
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit("  "), w, F.lit(" ")), 3))))
+    words = F.filter(F.array_distinct(F.split(norm_name(c), " ")), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    three = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(padded, three)))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of arrays without repeats; 0 if both are empty."""
+    of = lambda x, y, shared: F.coalesce(shared / F.nullif(F.size(x) + F.size(y) - shared, F.lit(0)), F.lit(0.0))
+    return _once(lambda x, y: _once(lambda shared: of(x, y, shared), F.size(F.array_intersect(x, y))), a, b)
 
 
 def trgm_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of trigram sets."""
-    of = lambda x, y: F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
-    return _once(of, trigrams(a), trigrams(b))
+    return set_similarity(trigrams(a), trigrams(b))
