@@ -88,6 +88,14 @@ def test_repeated_spans_in_chunks(spark, monkeypatch):
     assert (suffix_dedup.prefixes(t, places, 400, suffix_dedup._powers(97 + 401)) == whole).all()
 
 
+def test_repeated_spans_lawful_texts(spark):
+    """Thue and Morse's string of two letters and the same with both changed differ, though their polynomials modulo 2**64 agree."""
+    law = lambda x, y: "".join((x, y)[i.bit_count() % 2] for i in range(256))
+    rows = [(i, law(*pair) + f"{i // 2:02}" * 72, "en") for i, pair in enumerate(x for p in itertools.combinations("abcdefgjlnpqsvwxyz", 2) for x in (p, p[::-1]))]
+    assert not any(spans for _, _, spans, _ in removed(rows, 400))
+    assert spans_of(suffix_dedup.repeated_spans(table(spark, rows))) == sorted(removed(rows, 400), key=repr)
+
+
 def test_repeated_spans_edges(spark):
     assert suffix_dedup.repeated_spans(table(spark, [])).collect() == []
     with pytest.raises(ValueError):
