@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.llm import phrases, queries, repair, suffix_dedup
@@ -96,6 +97,22 @@ def test_repeated_spans_lawful_texts(spark):
     assert spans_of(suffix_dedup.repeated_spans(table(spark, rows))) == sorted(removed(rows, 400), key=repr)
 
 
+def test_repeated_spans_of_many_copies(spark):
+    """Rows of one text with many copies come out of several tasks."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    rows = [(i, "copy " * 90 if i % 2 else f"{i} no copy", "en") for i in range(4000)]
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        got = suffix_dedup.repeated_spans(table(spark, rows, 8)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert sorted((r.doc_id, [tuple(x) for x in r.spans]) for r in got) == [(i, [(0, 450)] if i % 2 else []) for i in range(4000)]
+    assert len({r.task for r in got if r.spans}) > 1
+
+
 def test_repeated_spans_edges(spark):
     assert suffix_dedup.repeated_spans(table(spark, [])).collect() == []
     with pytest.raises(ValueError):
