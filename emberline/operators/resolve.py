@@ -20,6 +20,7 @@ GENERIC = (
 RADIUS_M, PROPOSE, ACCEPT, MARGIN = 180, 80, 86, 6
 FLOORS = ((0.78, 40, 86), (0.88, 120, 88))
 LEAST_NAME = (PROPOSE - 0.5 - 25) / 75  # a candidate's names are at least so similar
+SAME = ("source", "name", "category", "lat", "lon", "exact_id", "rank", "distance_m", "within")  # records that agree in these are equal
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -40,7 +41,7 @@ def _real(category: Column) -> Column:
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """Equal records as one node with the number of its copies; ``o`` is the order in which records are looked at."""
-    key = ["source", "name", "category", "lat", "lon", "exact_id", "rank", "distance_m"]
+    key = list(SAME)
     nodes = rows.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("n"))
     order = [F.col("exact_id").isNull().alias("a"), (-F.col("rank")).alias("b"), F.coalesce("distance_m", F.lit(0.0)).alias("c"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{i}") for i, c in enumerate(key[:5])), F.col("node").alias("z")]
     return nodes.withColumn("o", F.struct(*order))
@@ -48,7 +49,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 def _entity(decided: DataFrame, copy: int) -> DataFrame:
     """An entity founded by copy ``j + copy`` of each node."""
-    cols = (F.col("node").alias("e_node"), (F.col("j") + copy).alias("e_j"), "name", "category", "lat", "lon", "exact_id", F.array("source").alias("sources"), F.col("rank").alias("head_rank"))
+    cols = (F.col("node").alias("e_node"), (F.col("j") + copy).alias("e_j"), "name", "category", "lat", "lon", "exact_id", F.array("source").alias("sources"), F.col("rank").alias("head_rank"), "within")
     return decided.select(*cols)
 
 
@@ -62,11 +63,11 @@ def _grown(entities: DataFrame, joined: DataFrame, placing: str) -> DataFrame:
     category = F.when(placed, F.col("r_category")).when(some & ~_real(F.col("category")) & (F.coalesce("category", F.lit("")) != "") & _real(F.col("r_category")), F.col("r_category")).otherwise(F.col("category"))
     return e.select(
         "e_node", "e_j", F.when(better, F.col("r_name")).otherwise(F.col("name")).alias("name"), category.alias("category"), *(F.when(placed, F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) for c in ("lat", "lon")),
-        F.coalesce("exact_id", "r_exact_id").alias("exact_id"), F.when(some, F.array_union("sources", F.array("r_source"))).otherwise(F.col("sources")).alias("sources"), "head_rank",
+        F.coalesce("exact_id", "r_exact_id").alias("exact_id"), F.when(some, F.array_union("sources", F.array("r_source"))).otherwise(F.col("sources")).alias("sources"), "head_rank", "within",
     )
 
 
-def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str = "map") -> DataFrame:
+def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str = "map", within: str | None = None) -> DataFrame:
     """Records of the same object across sources: ``id, entity_id, method, confidence, proposed``.
 
     ``rows`` has ``id`` (distinct), ``source, name, category, lat, lon, exact_id, rank, distance_m``. Records are looked at
@@ -77,7 +78,8 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
     generic names are like none. The best from 86 on that leads by 6 is joined (``name_distance``). Else the record is an
     entity of its own (``single_source``, 100), with the two best from 80 on as ``proposed`` (entity_id, confidence).
     An entity takes the name of a record of higher rank than its first, a real category for ``wikidata_entity``, ``place``
-    or ``infrastructure``, and category and place of ``placing`` records. ``entity_id`` is its first record's id.
+    or ``infrastructure``, and category and place of ``placing`` records. ``entity_id`` is its first record's id. Records that differ
+    in the column ``within`` (say, the search that found them), if it is given, never meet, be it by place or by exact id.
 
     Rounds of joins, no group in one task: a record is settled once no earlier open record can reach an entity that it
     can reach, that is none of another source within 360 m with a similar name, none beside a common candidate, and none of an
@@ -85,24 +87,25 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
     only join by exact id. A record of any null column is a record like others.
     """
     scratch = Scratch(rows.sparkSession, "resolve")
-    rows = rows.select("id", *(F.col(c).cast(t).alias(c) for c, t in (("source", "string"), ("name", "string"), ("category", "string"), ("lat", "double"), ("lon", "double"), ("exact_id", "string"), ("rank", "int"), ("distance_m", "double"))))
-    rows = rows.fillna({"source": "", "rank": 0})
+    group = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))
+    rows = rows.select("id", group.alias("within"), *(F.col(c).cast(t).alias(c) for c, t in (("source", "string"), ("name", "string"), ("category", "string"), ("lat", "double"), ("lon", "double"), ("exact_id", "string"), ("rank", "int"), ("distance_m", "double"))))
+    rows = rows.fillna({"source": "", "rank": 0}).withColumn("exact_id", F.when(F.col("exact_id").isNotNull(), F.struct("within", "exact_id")))
     nodes = scratch.keep(_nodes(rows), "nodes")
-    side = lambda p: nodes.select(*(F.col(c).alias(f"{p}{c}") for c in ("node", "o", "source", "name", "lat", "lon", "exact_id")))
-    near = dwithin_join(side("u_"), side("r_"), 2 * RADIUS_M, "u_lat", "u_lon", "r_lat", "r_lon")
+    side = lambda p: nodes.select("within", *(F.col(c).alias(f"{p}{c}") for c in ("node", "o", "source", "name", "lat", "lon", "exact_id")))
+    near = dwithin_join(side("u_"), side("r_"), 2 * RADIUS_M, "u_lat", "u_lon", "r_lat", "r_lon", on=("within",))
     edges = scratch.keep(near.where((F.col("u_o") < F.col("r_o")) & (F.col("u_source") != F.col("r_source")) & (_alike(F.col("u_name"), F.col("r_name")) >= LEAST_NAME)).select(F.col("u_node").alias("u"), F.col("r_node").alias("node")), "edges")
     own = nodes.where("exact_id is not null").select("node", F.col("exact_id").alias("q"))
     by = scratch.keep(near.where("u_exact_id is not null").select(F.col("r_node").alias("node"), F.col("u_exact_id").alias("q")).unionByName(own).distinct(), "exact")
     busy = edges.select("node").unionByName(edges.select(F.col("u").alias("node"))).unionByName(by.select("node")).distinct()
     none = "cast(array() as array<struct<e_node: bigint, e_j: bigint, confidence: int>>)"
-    act = ["node", "j", "n", "source", "name", "category", "lat", "lon", "exact_id", "rank", "e_node", "e_j", "method", "confidence", "proposed"]
+    act = ["node", "j", "n", "source", "name", "category", "lat", "lon", "exact_id", "rank", "within", "e_node", "e_j", "method", "confidence", "proposed"]
     alone = {"e_node": F.lit(None).cast("long"), "e_j": F.lit(None).cast("long"), "method": F.lit("single_source"), "confidence": F.lit(100)}
     acts = [nodes.join(busy, "node", "left_anti").withColumns({"j": F.lit(0).cast("long"), "proposed": F.expr(none)} | alone).select(*act)]
     open_ = scratch.keep(nodes.join(busy, "node").withColumn("j", F.lit(0).cast("long")), "open")
     entities = scratch.keep(_entity(open_.limit(0), 0), "entities")
     while not open_.isEmpty():
-        other = entities.select("e_node", "e_j", F.col("name").alias("e_name"), F.col("category").alias("e_category"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "sources")
-        seen = dwithin_join(open_, other, RADIUS_M, extra=~F.array_contains("sources", F.col("source")))  # who has a record of the source stays out of reach
+        other = entities.select("e_node", "e_j", F.col("name").alias("e_name"), F.col("category").alias("e_category"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "sources", "within")
+        seen = dwithin_join(open_, other, RADIUS_M, extra=~F.array_contains("sources", F.col("source")), on=("within",))  # who has a record of the source stays out of reach
         seen = seen.withColumn("alike", _alike(F.col("name"), F.col("e_name"))).where(F.col("alike") >= LEAST_NAME)
         seen = scratch.keep(seen.select("node", "o", "source", "category", "exact_id", "e_node", "e_j", "e_category", "distance_m", "alike"), "seen")
         first = seen.groupBy("e_node", "e_j").agg(F.min("o").alias("least"))
@@ -140,7 +143,7 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
     one = (F.col("method") == "name_distance") | ((F.col("method") == "single_source") & F.col("exact_id").isNotNull())
     claims = all_.where("method = 'single_source' and exact_id is not null and n > 1").select("node", (F.col("j") + 1).alias("lo"), (F.col("j") + F.col("n")).alias("hi"), F.col("node").alias("e_node"), F.col("j").alias("e_j"), F.lit("exact").alias("method"), F.lit(100).alias("confidence"), F.expr(none).alias("proposed"))
     all_ = all_.select("node", F.col("j").alias("lo"), F.when(one, F.col("j") + 1).otherwise(F.col("j") + F.col("n")).alias("hi"), "e_node", "e_j", "method", "confidence", "proposed").unionByName(claims)
-    named = rows.join(nodes.select("node", *(F.col(c).alias(f"n_{c}") for c in ("source", "name", "category", "lat", "lon", "exact_id", "rank", "distance_m"))), _same())
+    named = rows.join(nodes.select("node", *(F.col(c).alias(f"n_{c}") for c in SAME)), _same())
     numbered = scratch.keep(named.select("id", "node", (F.row_number().over(Window.partitionBy("node").orderBy("id")) - 1).cast("long").alias("copy")), "numbered")
     out = numbered.join(all_, "node").where("copy >= lo and copy < hi")
     head = numbered.select(F.col("node").alias("e_node"), F.col("copy").alias("e_j"), F.col("id").alias("entity_id"))
@@ -155,7 +158,7 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
 
 def _same() -> Column:
     out = F.lit(True)
-    for c in ("source", "name", "category", "lat", "lon", "exact_id", "rank", "distance_m"):
+    for c in SAME:
         out = out & F.col(c).eqNullSafe(F.col(f"n_{c}"))
     return out
 
