@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.geo import EARTH_M, covers, haversine_m
-from ..session import cut
+from ..session import Scratch, cut
 
 
 def _cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
@@ -39,7 +39,7 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     reach = reach.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(xb - wide, xb + wide), lambda c: F.pmod(c, F.lit(round_))))))
     left = a.withColumn("_cy", ya).withColumn("_cx", xa)
     pairs = left.join(reach.hint("merge"), ["_cy", "_cx", *on]).drop(*(() if cells else ("_cy", "_cx", *on))).withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
-    keep = F.col(distance) <= radius_m
+    keep = (F.abs(F.col(lat_a) - F.col(lat_b)) <= step) & (F.col(distance) <= radius_m)  # the first is cheap and sends off a third
     return pairs.where(keep if extra is None else keep & extra)
 
 
@@ -54,18 +54,33 @@ def nearest_within(a: DataFrame, b: DataFrame, key: str, radius_m: int, order: l
     """The first ``k`` rows of ``b`` within the radius of each row of ``a`` by rounded ``distance_m``, then ``order``.
 
     As :func:`dwithin_join` and :func:`nearest`, but circles grow (the radius over each of ``steps``), and a row whose first
-    ``k`` lie within a circle is not sought in the next, so crowded places make few pairs. ``key`` is distinct in ``a``.
+    ``k`` lie within a circle is not sought in the next, so crowded places make few pairs. ``key`` is distinct in ``a``. If one is
+    wanted, pairs are not ordered: the least rounded distance is found where they meet, and only pairs at it are made again.
     """
-    out, open_, place = None, a, [F.round("distance_m"), *order]
+    out, open_, place, scratch = None, a, [F.round("distance_m"), *order], Scratch(a.sparkSession, "nearest")
     for n in steps:
         most = radius_m // n
-        pairs = dwithin_join(open_, b, radius_m if n == 1 else most + 1, extra=extra, on=on, **columns)
-        best = cut(nearest(pairs, key, place, k, "_n"))
+        reach = radius_m if n == 1 else most + 1
+        if k == 1:
+            met = dwithin_join(open_, b, reach, extra=extra, on=on, cells=True, **columns)
+            least = met.groupBy("_cy", "_cx", *on, key).agg(F.min(F.round("distance_m")).alias("_m")).select(F.col(key).alias("_key"), "_m")
+            least = cut(least if n == 1 else least.where(F.col("_m") <= most))
+            full, there = least.select(F.col("_key").alias(key)), F.round("distance_m") <= F.col("_m")
+            pairs = dwithin_join(open_.join(least, F.col(key) == F.col("_key")).drop("_key"), b, reach, extra=there if extra is None else extra & there, on=on, **columns).drop("_m")
+            best = cut(nearest(pairs, key, place, 1, "_n"))
+        else:
+            pairs = dwithin_join(open_, b, reach, extra=extra, on=on, **columns)
+            best = cut(nearest(pairs, key, place, k, "_n"))
+            if n > 1:
+                full = best.where((F.col("_n") == k) & (F.round("distance_m") <= most)).select(key)
+                best = best.join(full, key, "left_semi")
         if n > 1:
-            full = best.where((F.col("_n") == k) & (F.round("distance_m") <= most)).select(key)
-            best = best.join(full, key, "left_semi")
-            open_ = open_.join(full, key, "left_anti")
+            left = scratch.keep(open_.join(full, key, "left_anti"), "open")
+            if open_ is not a:
+                scratch.drop(open_)
+            open_ = left
         out = best if out is None else out.unionByName(best)
+    scratch.only()
     return out.withColumnRenamed("_n", rank) if rank else out.drop("_n")
 
 
