@@ -156,6 +156,5 @@ def d11_plume_sectors(spark, d):
     wind = e.select("event_id", F.substring("event_id", 2, 20).cast("int").alias("site"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("hour"))
     speed = F.when((F.col("site") + F.col("hour")) % 5 > 0, 4.5)
     sectors = enrich.plume_sectors(e, wind.select("event_id", "hour", speed.alias("speed"), ((F.col("site") * 40 + F.col("hour") * 10) % 360).cast("double").alias("from_deg")))
-    places = det.groupBy(F.col("event_id").alias("own"), "lat", "lon").agg(F.count("*").alias("n"))
-    found = enrich.in_sectors(places, sectors).where("own <> event_id").groupBy("event_id").agg(F.sum("n").alias("n_points"))
+    found = enrich.count_in_sectors(det, sectors).withColumnRenamed("n", "n_points")
     return sectors.join(found, "event_id", "left").select("event_id", F.round("direction_deg", 3).alias("direction_deg"), F.coalesce("n_points", F.lit(0)).alias("n_points"))
