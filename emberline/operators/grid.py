@@ -16,7 +16,7 @@ def _cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
     return F.floor(lat / step).cast("long"), F.floor(lon / step).cast("long")
 
 
-def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a="lon", lat_b="lat2", lon_b="lon2", extra: Column | None = None, distance: str = "distance_m", max_lat: float = 80.0, on: tuple[str, ...] = (), cells: bool = False) -> DataFrame:
+def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a="lon", lat_b="lat2", lon_b="lon2", extra: Column | None = None, distance: str = "distance_m", max_lat: float = 80.0, on: tuple[str, ...] = (), cells: bool = False, coarse: int = 1) -> DataFrame:
     """Pairs of rows at most ``radius_m`` apart, with their distance.
 
     Cells are squares of degrees one radius high; the rows of ``b`` (give the smaller side) are copied to the cells
@@ -25,9 +25,11 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     too and are dropped, unless ``cells`` keeps them and ``_cy, _cx``: a row of ``a`` has one cell, and pairs are dealt by these
     columns, so what is ranked or summed by them and the row needs no other shuffle. Rows without coordinates match nothing. The copies are dealt by cell: Spark takes them for no more than
     the rows they come from, and would gather nine times a table on the driver to send it to every task.
-    Rows beyond ``max_lat`` degrees are searched as if at that latitude plus the circle's own width allows.
+    With ``coarse`` from 2 on cells are so many radii high, and a row goes to those that its circle does reach, few more than one:
+    for rows that ``on`` keeps to small groups. Rows beyond ``max_lat`` degrees are searched as if at that latitude plus the circle's own width allows.
     """
-    step = max(math.degrees(radius_m / EARTH_M), 1e-6) * 1.0001
+    least = max(math.degrees(radius_m / EARTH_M), 1e-6) * 1.0001
+    step = least * coarse
     round_ = round(360 / step) or 1
     step_lon = 360 / round_ if round_ > 1 else 360.0
     ya, xa = F.floor(F.col(lat_a) / step).cast("long"), F.pmod(F.floor((F.col(lon_a) + 180) / step_lon).cast("long"), F.lit(round_))
@@ -35,11 +37,17 @@ def dwithin_join(a: DataFrame, b: DataFrame, radius_m: float, lat_a="lat", lon_a
     wide = F.ceil(F.lit(step / step_lon) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat_b)) + step, F.lit(89.9)))), F.lit(1e-3))).cast("int")
     wide = F.least(wide, F.lit(round_ // 2 + 1))
     reach = b.where(F.col(lat_b).isNotNull() & F.col(lon_b).isNotNull())
-    reach = reach.withColumn("_cy", F.explode(F.sequence(yb - 1, yb + 1)))
-    reach = reach.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.sequence(xb - wide, xb + wide), lambda c: F.pmod(c, F.lit(round_))))))
+    ys, xs = F.sequence(yb - 1, yb + 1), F.sequence(xb - wide, xb + wide)
+    if coarse > 1:
+        far, at = F.abs(F.col(lat_b)) + least, F.col(lon_b) + 180
+        by = F.least(F.when(far >= 89, 180.0).otherwise(least / F.cos(F.radians(F.least(far, F.lit(89.0))))), F.lit(180.0))
+        ys = F.sequence(F.floor((F.col(lat_b) - least) / step).cast("long"), F.floor((F.col(lat_b) + least) / step).cast("long"))
+        xs = F.sequence(F.floor((at - by) / step_lon).cast("long"), F.floor((at + by) / step_lon).cast("long"))
+    reach = reach.withColumn("_cy", F.explode(ys))
+    reach = reach.withColumn("_cx", F.explode(F.array_distinct(F.transform(xs, lambda c: F.pmod(c, F.lit(round_))))))
     left = a.withColumn("_cy", ya).withColumn("_cx", xa)
     pairs = left.join(reach.hint("merge"), ["_cy", "_cx", *on]).drop(*(() if cells else ("_cy", "_cx", *on))).withColumn(distance, haversine_m(F.col(lat_a), F.col(lon_a), F.col(lat_b), F.col(lon_b)))
-    keep = (F.abs(F.col(lat_a) - F.col(lat_b)) <= step) & (F.col(distance) <= radius_m)  # the first is cheap and sends off a third
+    keep = (F.abs(F.col(lat_a) - F.col(lat_b)) <= least) & (F.col(distance) <= radius_m)  # the first is cheap and sends off a third
     return pairs.where(keep if extra is None else keep & extra)
 
 

@@ -20,6 +20,7 @@ GENERIC = (
 RADIUS_M, PROPOSE, ACCEPT, MARGIN = 180, 80, 86, 6
 FLOORS = ((0.78, 40, 86), (0.88, 120, 88))
 LEAST_NAME = (PROPOSE - 0.5 - 25) / 75  # a candidate's names are at least so similar
+COARSE = 16  # radii to a cell where records of one search meet only each other
 SAME = ("source", "name", "category", "lat", "lon", "exact_id", "rank", "distance_m", "within")  # records that agree in these are equal
 
 
@@ -87,12 +88,13 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
     only join by exact id. A record of any null column is a record like others.
     """
     scratch = Scratch(rows.sparkSession, "resolve")
+    coarse = 1 if within is None else COARSE
     group = F.lit("") if within is None else F.coalesce(F.col(within).cast("string"), F.lit(""))
     rows = rows.select("id", group.alias("within"), *(F.col(c).cast(t).alias(c) for c, t in (("source", "string"), ("name", "string"), ("category", "string"), ("lat", "double"), ("lon", "double"), ("exact_id", "string"), ("rank", "int"), ("distance_m", "double"))))
     rows = rows.fillna({"source": "", "rank": 0}).withColumn("exact_id", F.when(F.col("exact_id").isNotNull(), F.struct("within", "exact_id")))
     nodes = scratch.keep(_nodes(rows), "nodes")
     side = lambda p: nodes.select("within", *(F.col(c).alias(f"{p}{c}") for c in ("node", "o", "source", "name", "lat", "lon", "exact_id")))
-    near = dwithin_join(side("u_"), side("r_"), 2 * RADIUS_M, "u_lat", "u_lon", "r_lat", "r_lon", on=("within",))
+    near = dwithin_join(side("u_"), side("r_"), 2 * RADIUS_M, "u_lat", "u_lon", "r_lat", "r_lon", on=("within",), coarse=coarse)
     edges = scratch.keep(near.where((F.col("u_o") < F.col("r_o")) & (F.col("u_source") != F.col("r_source")) & (_alike(F.col("u_name"), F.col("r_name")) >= LEAST_NAME)).select(F.col("u_node").alias("u"), F.col("r_node").alias("node")), "edges")
     own = nodes.where("exact_id is not null").select("node", F.col("exact_id").alias("q"))
     by = scratch.keep(near.where("u_exact_id is not null").select(F.col("r_node").alias("node"), F.col("u_exact_id").alias("q")).unionByName(own).distinct(), "exact")
@@ -105,7 +107,7 @@ def resolve_entities(rows: DataFrame, authority: str = "authority", placing: str
     entities = scratch.keep(_entity(open_.limit(0), 0), "entities")
     while not open_.isEmpty():
         other = entities.select("e_node", "e_j", F.col("name").alias("e_name"), F.col("category").alias("e_category"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "sources", "within")
-        seen = dwithin_join(open_, other, RADIUS_M, extra=~F.array_contains("sources", F.col("source")), on=("within",))  # who has a record of the source stays out of reach
+        seen = dwithin_join(open_, other, RADIUS_M, extra=~F.array_contains("sources", F.col("source")), on=("within",), coarse=coarse)  # who has a record of the source stays out of reach
         seen = seen.withColumn("alike", _alike(F.col("name"), F.col("e_name"))).where(F.col("alike") >= LEAST_NAME)
         seen = scratch.keep(seen.select("node", "o", "source", "category", "exact_id", "e_node", "e_j", "e_category", "distance_m", "alike"), "seen")
         first = seen.groupBy("e_node", "e_j").agg(F.min("o").alias("least"))
